@@ -1,8 +1,9 @@
 """The queries of this subpackage and their oracles."""
 
-from sparkweave.llm import packing
+from sparkweave.llm import packing, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op7_simhash_covering": simhash.op7_simhash_covering,
 }
 ORACLE: dict[str, str] = {}
