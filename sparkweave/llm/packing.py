@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from sparkweave.llm.common import dropped, release, table, written
 
 #: The fast encoder is used for texts of these characters only; for them it was tested to give equal ids.
-_PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a0-\\u024f\\u2010-\\u2027\\u20ac]")
+_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\u00a0-\u024f\u2010-\u2027\u20ac]")
 _encoders: dict = {}
 
 

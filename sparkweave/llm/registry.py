@@ -1,9 +1,10 @@
 """The queries of this subpackage and their oracles."""
 
-from sparkweave.llm import packing, simhash
+from sparkweave.llm import packing, recompression, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op7_simhash_covering": simhash.op7_simhash_covering,
+    "op10_recompression": recompression.op10_recompression,
 }
 ORACLE: dict[str, str] = {}
