@@ -5,7 +5,7 @@ strings get equal names on every executor without a dictionary, and a round need
 range of words that its existence depends on. So a symbol whose range lies inside a window appears in every copy
 of this window, at the same place: it is an interior symbol.
 
-1. For every window of ``window`` words the longest interior symbol is its anchor (windows without one are their own
+1. For every window of ``window`` words one interior symbol of the last round is its anchor (windows without one are their own
    anchor). Neighbouring windows that share an anchor are one row: anchor, context, document, first and last window; the
    context is a hash of all words of these windows.
 2. Anchors that occur once belong to no repeated window. Occurrences of the others with equal context repeat each other
@@ -39,8 +39,8 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0
 BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 #: Words that are parsed at once: documents are joined up to about this number.
 BLOCK_WORDS = 200_000
-#: Lower levels name too few words to tell repeats from chance; windows without a higher symbol are their own anchor.
-MIN_LEVEL = 4
+#: Symbols of so many words are long enough to tell repeats from chance.
+ENOUGH = 4
 #: Word hashes that a task keeps.
 CACHE = 400_000
 
@@ -139,21 +139,16 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, window: int,
     offset = np.r_[0, np.cumsum(sizes)][:-1]
     n = len(hashes)
     whole = np.arange(n) + window <= (offset + sizes)[doc] if n else np.zeros(0, bool)
-    best, names = np.zeros(n, np.int64), []
-    for level, (symbol, starts, ends, lo, hi, _) in enumerate(rounds(hashes, doc, levels)):
-        if level < MIN_LEVEL:
-            continue
-        inside = np.flatnonzero((hi - lo <= window) & (lo >= 0) & (hi <= n))
-        symbol, starts, size, lo, hi = symbol[inside], starts[inside], (ends - starts)[inside], lo[inside], hi[inside]
-        names.append((starts, symbol))
-        # The longest counts, then the first, then the lower level.
-        score = size << 48 | (n - starts) << 8 | 255 - len(names)
-        for back in range(window):
-            at = lo - back
-            ok = np.flatnonzero((at >= hi - window) & (at >= 0))
-            if not len(ok):
-                break
-            np.maximum.at(best, at[ok], score[ok])
+    *_, (symbol, first, end, lo, hi, _) = rounds(hashes, doc, levels)
+    inside = np.flatnonzero((hi - lo <= window) & (lo >= 0) & (hi <= n))
+    symbol, first, size, lo, hi = symbol[inside], first[inside], (end - first)[inside], lo[inside], hi[inside]
+    # Long enough symbols come first, then the least name, then the first place: a choice that neighbouring windows mostly share.
+    score = np.minimum(size, ENOUGH) << 60 | (mix(symbol) >> np.uint64(36)).astype(np.int64) << 32 | n - first
+    best = np.zeros(n, np.int64)
+    for back in range(window):
+        at = lo - back
+        ok = np.flatnonzero((at >= hi - window) & (at >= 0))
+        np.maximum.at(best, at[ok], score[ok])
     start = np.flatnonzero(whole)
     if not len(start):
         empty = np.zeros(0, np.int64)
@@ -163,10 +158,9 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, window: int,
     cut = np.flatnonzero(np.r_[True, (mine[1:] != mine[:-1]) | (start[1:] != start[:-1] + 1)])
     low, high, mine = start[cut], start[np.r_[cut[1:], len(start)] - 1], mine[cut]
     name, place = substring_hash(sums(hashes, 0), low, low + window), low.copy()
-    for k, (starts, symbol) in enumerate(names):
-        at = np.flatnonzero((mine > 0) & (mine & 255 == 254 - k))
-        place[at] = n - (mine[at] >> 8 & (1 << 40) - 1)
-        name[at] = symbol[np.searchsorted(starts, place[at])]
+    at = np.flatnonzero(mine > 0)
+    place[at] = n - (mine[at] & (1 << 32) - 1)
+    name[at] = symbol[np.searchsorted(first, place[at])]
     own = doc[low]
     context = substring_hash(sums(hashes, 1), low, high + window)
     # The anchor's place in its first window is part of the context: equal contexts then hold equal windows in step.
@@ -252,33 +246,32 @@ def kept(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
 
 
 def _repeated(found: DataFrame) -> DataFrame:
-    """Of rows (anchor, context, doc, low, high) those whose anchor occurs more than once; mixed: it has several contexts."""
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
-    return found.join(shared.select("anchor", (F.col("c0") != F.col("c1")).alias("mixed")), "anchor")
+    """Of rows (anchor, context, doc, low, high) those whose anchor occurs more than once."""
+    return found.join(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchor")
 
 
-def repeated_ranges(docs: DataFrame, window: int = 20, levels: int = 7) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = 20, levels: int = 3) -> DataFrame:
     """doc and ranges: array of (low, high), the windows of the document that also start earlier. ``docs``: doc, text; doc is unique."""
     spark = docs.sparkSession
     rows = written(_repeated(occurrence_rows(docs, window, levels)), "repeated")
     release(spark)
-    first = rows.groupBy("anchor", "context").agg(F.min(F.struct("doc", "low")).alias("first"), F.count(F.lit(1)).alias("n"))
-    many = first.where("n > 1").select("anchor", "context", "first")
-    again = rows.join(many, ["anchor", "context"]).where(F.struct("doc", "low") != F.col("first")).select("doc", "low", "high")
-    again = written(again, "again")
-    high = rows.where("mixed").groupBy("anchor", "context").agg(F.min(F.struct("doc", "low", "high")).alias("r")).select("r.*")
+    first = written(rows.groupBy("anchor", "context").agg(F.min(F.struct("doc", "low", "high")).alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    again = rows.join(first.where("n > 1").select("anchor", "context", "first"), ["anchor", "context"])
+    again = written(again.where("doc <> first.doc or low <> first.low").select("doc", "low", "high"), "again")
+    mixed = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    high = first.join(mixed, "anchor").select("first.*")
     ranges = written(high.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
     windows = written(window_rows(docs.join(ranges, "doc").select("doc", "text", "ranges"), window), "windows")
     release(spark)
     equal = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     late = windows.join(equal, ["h1", "h2"]).where(F.struct("doc", "start") != F.col("first")).select("doc", F.col("start").alias("low"), F.col("start").alias("high"))
     out = written(again.unionByName(late).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "removed")
-    dropped(rows, again, ranges, windows)
+    dropped(rows, first, again, ranges, windows)
     release(spark)
     return out
 
 
-def deduplicate(docs: DataFrame, window: int = 20, levels: int = 7, with_text: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 20, levels: int = 3, with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
