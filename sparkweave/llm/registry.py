@@ -1,10 +1,13 @@
 """The queries of this subpackage and their oracles."""
 
-from sparkweave.llm import packing, recompression, simhash
+from sparkweave.llm import bitsliced, packing, recompression, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_bit_sliced_top_k": bitsliced.op2_bit_sliced_top_k,
     "op7_simhash_covering": simhash.op7_simhash_covering,
     "op10_recompression": recompression.op10_recompression,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_bit_sliced_top_k": bitsliced.OP2_SQL,
+}
