@@ -1,11 +1,12 @@
 """The queries of this subpackage and their oracles."""
 
-from sparkweave.llm import bitsliced, packing, recompression, simhash
+from sparkweave.llm import bitsliced, packing, recompression, simhash, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_bit_sliced_top_k": bitsliced.op2_bit_sliced_top_k,
     "op7_simhash_covering": simhash.op7_simhash_covering,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_recompression": recompression.op10_recompression,
 }
 ORACLE: dict[str, str] = {
