@@ -184,9 +184,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
-    parts = min(blocks * groups, 4096)
-    pairs = queries.repartition(parts, "block", "q_ids").join(index, "block")
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = queries.join(index, "block").mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
