@@ -1,11 +1,12 @@
 """The queries of this subpackage and their oracles."""
 
-from sparkweave.llm import bitsliced, packing, recompression, simhash, toxicity, urls
+from sparkweave.llm import bitsliced, decontamination, packing, recompression, simhash, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_bit_sliced_top_k": bitsliced.op2_bit_sliced_top_k,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_simhash_covering": simhash.op7_simhash_covering,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_recompression": recompression.op10_recompression,
