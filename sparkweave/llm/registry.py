@@ -1,6 +1,6 @@
 """The queries of this subpackage and their oracles."""
 
-from sparkweave.llm import bitsliced, decontamination, packing, recompression, simhash, toxicity, urls
+from sparkweave.llm import bitsliced, decontamination, packing, pii, recompression, simhash, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_simhash_covering": simhash.op7_simhash_covering,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_pii": pii.op9_pii,
     "op10_recompression": recompression.op10_recompression,
 }
 ORACLE: dict[str, str] = {
