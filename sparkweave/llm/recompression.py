@@ -29,7 +29,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +36,10 @@ from sparkweave.llm.common import dropped, release, table, written
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-#: Words that are parsed at once: documents are joined up to about this number.
-BLOCK_WORDS = 200_000
-#: Symbols of so many words are long enough to tell repeats from chance.
+#: Bytes of text that are parsed at once, and of those that are hashed at once.
+BLOCK, CHUNK = 1 << 21, 1 << 20
+#: Symbols of so many words are preferred.
 ENOUGH = 4
-#: Word hashes that a task keeps.
-CACHE = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,19 +49,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, kept for the words seen so far up to a bound."""
-
-    def __init__(self) -> None:
-        self.seen: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > CACHE:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+_breaks = np.zeros(256, bool)
+_breaks[[0x20, *range(0x09, 0x0E)]] = True
+_bytes = mix(np.arange(1, 257, dtype=np.uint64) * MIX[0])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and how many words each text has."""
+    out, sizes = [], np.zeros(len(texts), np.int64)
+    for data in _chunks(texts):
+        codes = np.frombuffer(b" ".join(data[1]) + b" ", np.uint8)
+        gap = _breaks[codes]
+        starts = np.flatnonzero(np.r_[True, gap[:-1]] & ~gap)
+        ends = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
+        total, down = _prefix(_bytes[codes], 0)
+        out.append(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * MIX[2]))
+        edge = np.cumsum([0, *(len(t) + 1 for t in data[1])])
+        sizes[data[0] : data[0] + len(data[1])] += np.diff(np.searchsorted(starts, edge))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), sizes
+
+
+def _chunks(texts: list[bytes]):
+    """(number of the first text, texts) of about CHUNK bytes; longer texts come alone, in parts cut at a space."""
+    first, part, size = 0, [], 0
+    for i, text in enumerate(texts):
+        if len(text) > CHUNK:
+            if part:
+                yield first, part
+            at = 0
+            while at < len(text):
+                to = len(text) if len(text) - at <= CHUNK else max(text.rfind(b" ", at, at + CHUNK), text.rfind(b"\n", at, at + CHUNK))
+                to = to if to > at else len(text)
+                yield i, [text[at:to]]
+                at = to
+            first, part, size = i + 1, [], 0
+        else:
+            if not part:
+                first = i
+            part.append(text)
+            size += len(text)
+            if size > CHUNK:
+                yield first, part
+                part, size = [], 0
+    if part:
+        yield first, part
 
 
 def powers(n: int, base: np.uint64) -> np.ndarray:
@@ -76,19 +104,24 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
 _powers: dict = {}
 
 
-def sums(hashes: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of hash * base**i and the powers of the inverse base: any substring's hash in two steps."""
-    n = len(hashes)
+def _prefix(values: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of value * base**i and the powers of the inverse base: any substring's hash in two steps."""
+    n = len(values)
     if which not in _powers or len(_powers[which][0]) <= n:
         base = BASES[which]
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         _powers[which] = powers(2 * n, base), powers(2 * n, inverse)
     up, down = _powers[which]
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(hashes + MIX[0]) * up[:n] if which else hashes * up[:n], out=total[1:])
+    np.cumsum(values * up[:n], out=total[1:])
     return total, down
 
 
+def sums(hashes: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """For ``substring_hash``: two independent hashes of word sequences."""
+    return _prefix(mix(hashes + MIX[0]) if which else hashes, which)
+
+
 def substring_hash(prefix: tuple[np.ndarray, np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
     total, down = prefix
     return mix((total[high] - total[low]) * down[low] + (high - low).astype(np.uint64))
@@ -139,48 +172,50 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, window: int,
     offset = np.r_[0, np.cumsum(sizes)][:-1]
     n = len(hashes)
     whole = np.arange(n) + window <= (offset + sizes)[doc] if n else np.zeros(0, bool)
+    start = np.flatnonzero(whole)
+    if not len(start):
+        empty = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), empty, empty, empty
     *_, (symbol, first, end, lo, hi, _) = rounds(hashes, doc, levels)
     inside = np.flatnonzero((hi - lo <= window) & (lo >= 0) & (hi <= n))
-    symbol, first, size, lo, hi = symbol[inside], first[inside], (end - first)[inside], lo[inside], hi[inside]
+    symbol, size, lo, hi = symbol[inside], (end - first)[inside], lo[inside], hi[inside]
     # Long enough symbols come first, then the least name, then the first place: a choice that neighbouring windows mostly share.
-    score = np.minimum(size, ENOUGH) << 60 | (mix(symbol) >> np.uint64(36)).astype(np.int64) << 32 | n - first
+    score = np.minimum(size, ENOUGH) << 60 | (mix(symbol) >> np.uint64(36)).astype(np.int64) << 32 | n - np.arange(len(symbol))
     best = np.zeros(n, np.int64)
     for back in range(window):
         at = lo - back
         ok = np.flatnonzero((at >= hi - window) & (at >= 0))
         np.maximum.at(best, at[ok], score[ok])
-    start = np.flatnonzero(whole)
-    if not len(start):
-        empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), empty, empty, empty
     mine = best[start]
-    mine[mine == 0] = -1 - start[mine == 0]
-    cut = np.flatnonzero(np.r_[True, (mine[1:] != mine[:-1]) | (start[1:] != start[:-1] + 1)])
-    low, high, mine = start[cut], start[np.r_[cut[1:], len(start)] - 1], mine[cut]
-    name, place = substring_hash(sums(hashes, 0), low, low + window), low.copy()
-    at = np.flatnonzero(mine > 0)
-    place[at] = n - (mine[at] & (1 << 32) - 1)
-    name[at] = symbol[np.searchsorted(first, place[at])]
+    chosen = np.where(mine > 0, n - (mine & (1 << 32) - 1), 0)
+    # Windows without an interior symbol are their own anchor. Others reach at least half of the free words
+    # to the left or to the right of their symbol's range; the anchor is the range with those words.
+    a = np.where(mine > 0, lo[chosen], start) if len(lo) else start
+    b = np.where(mine > 0, hi[chosen], start + window) if len(lo) else start + window
+    half = (window - (b - a) + 1) // 2
+    to_left = start <= a - half
+    a, b = np.where(to_left, a - half, a), np.where(to_left, b, b + half)
+    cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (start[1:] != start[:-1] + 1)])
+    low, high, a, b = start[cut], start[np.r_[cut[1:], len(start)] - 1], a[cut], b[cut]
     own = doc[low]
-    context = substring_hash(sums(hashes, 1), low, high + window)
+    name = substring_hash(sums(hashes, 0), a, b)
     # The anchor's place in its first window is part of the context: equal contexts then hold equal windows in step.
-    return name, mix(context + (place - low).astype(np.uint64) * MIX[0]), own, low - offset[own], high - offset[own]
+    context = mix(substring_hash(sums(hashes, 1), low, high + window) + (a - low).astype(np.uint64) * MIX[0])
+    return name, context, own, low - offset[own], high - offset[own]
 
 
 def _blocks(batches):
-    """Documents with their words, joined up to BLOCK_WORDS words."""
+    """Rows of the batches, their texts as bytes, joined up to BLOCK bytes."""
     rows: list = []
-    many = 0
+    size = 0
     for batch in batches:
-        columns = [batch.column(i) for i in range(batch.num_columns)]
-        for i in range(batch.num_rows):
-            row = [c[i].as_py() for c in columns]
-            words = (row[1] or "").encode().split()
-            rows.append((row[0], words, *row[2:]))
-            many += len(words)
-            if many >= BLOCK_WORDS:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+            text = (row[1] or "").encode()
+            rows.append((row[0], text, *row[2:]))
+            size += len(text)
+            if size >= BLOCK:
                 yield rows
-                rows, many = [], 0
+                rows, size = [], 0
     if rows:
         yield rows
 
@@ -193,10 +228,8 @@ def occurrence_rows(docs: DataFrame, window: int, levels: int) -> DataFrame:
     """anchor, context, doc, low, high for every document, where doc is its order key."""
 
     def run(batches):
-        hashes_of = WordHashes()
         for rows in _blocks(batches):
-            sizes = np.array([len(r[1]) for r in rows])
-            hashes = hashes_of([w for r in rows for w in r[1]])
+            hashes, sizes = word_hashes([r[1] for r in rows])
             name, context, own, low, high = anchors(hashes, np.repeat(np.arange(len(rows)), sizes), sizes, window, levels)
             keys = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(own))
             yield pa.RecordBatch.from_arrays([_signed(name), _signed(context), keys, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["anchor", "context", "doc", "low", "high"])
@@ -208,13 +241,16 @@ def window_rows(docs: DataFrame, window: int) -> DataFrame:
     """h1, h2, doc, start for the windows in the ranges of each document: columns doc, text, ranges."""
 
     def run(batches):
-        hashes_of = WordHashes()
         for rows in _blocks(batches):
-            for key, words, ranges in rows:
-                hashes = hashes_of(words)
-                start = np.unique(np.concatenate([np.arange(r["low"], r["high"] + 1) for r in ranges]))
-                h1, h2 = (substring_hash(sums(hashes, k), start, start + window) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), pa.array(np.full(len(start), key)), pa.array(start.astype(np.int32))], names=["h1", "h2", "doc", "start"])
+            hashes, sizes = word_hashes([r[1] for r in rows])
+            offset = np.cumsum(sizes) - sizes
+            low = np.concatenate([[r["low"] + o for r in row[2]] for row, o in zip(rows, offset)])
+            many = np.concatenate([[r["high"] - r["low"] + 1 for r in row[2]] for row in rows])
+            start = np.unique(np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum()))
+            own = np.searchsorted(offset, start, side="right") - 1
+            h1, h2 = (substring_hash(sums(hashes, k), start, start + window) for k in (0, 1))
+            keys = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), keys, pa.array((start - offset[own]).astype(np.int32))], names=["h1", "h2", "doc", "start"])
 
     return docs.mapInArrow(run, "h1 long, h2 long, doc long, start int")
 
@@ -225,8 +261,8 @@ def kept(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     def run(batches):
         for rows in _blocks(batches):
             out: list[list] = [[], [], [], [], []]
-            for key, words, ranges in rows:
-                removed = 0
+            for key, text, ranges in rows:
+                words, removed = text.split(), 0
                 if ranges:
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, [r["low"] for r in ranges], 1)
@@ -250,7 +286,7 @@ def _repeated(found: DataFrame) -> DataFrame:
     return found.join(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchor")
 
 
-def repeated_ranges(docs: DataFrame, window: int = 20, levels: int = 3) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = 20, levels: int = 2) -> DataFrame:
     """doc and ranges: array of (low, high), the windows of the document that also start earlier. ``docs``: doc, text; doc is unique."""
     spark = docs.sparkSession
     rows = written(_repeated(occurrence_rows(docs, window, levels)), "repeated")
@@ -271,7 +307,7 @@ def repeated_ranges(docs: DataFrame, window: int = 20, levels: int = 3) -> DataF
     return out
 
 
-def deduplicate(docs: DataFrame, window: int = 20, levels: int = 3, with_text: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 20, levels: int = 2, with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
