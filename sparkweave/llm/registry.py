@@ -1,10 +1,12 @@
 """The queries of this subpackage and their oracles."""
 
-from sparkweave.llm import bitsliced, decontamination, packing, pii, recompression, simhash, toxicity, urls
+from sparkweave.llm import bitsliced, decontamination, licenses, packing, pii, quality, recompression, simhash, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_bit_sliced_top_k": bitsliced.op2_bit_sliced_top_k,
+    "op3_quality": quality.op3_quality,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_url_filter": urls.op5_url_filter,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_simhash_covering": simhash.op7_simhash_covering,
