@@ -36,9 +36,9 @@ THRESHOLD = 0.7
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 
 _LETTER = r"[^\W\d_]"
+_GAPPED = re.compile(rf"(?<!\w){_LETTER}(?:[ .*_~-]{{1,2}}{_LETTER}){{2,}}(?!\w)")  # single letters with gaps
 _SUSPECT = re.compile(
-    rf"(?<!\w){_LETTER}(?:[ .*_~-]{{1,2}}{_LETTER}){{2,}}(?!\w)"  # single letters with gaps
-    rf"|(?<!\w)(?=[\w@$!|+]*{_LETTER})(?=[\w@$!|+]*[0-9@$|+]|[\w@$!|+]*!{_LETTER})[\w@$!|+]*\w"  # letters with digits or signs
+    rf"(?<!\w)(?=[\w@$!|+]*{_LETTER})(?=[\w@$!|+]*[0-9@$|+]|[\w@$!|+]*!{_LETTER})[\w@$!|+]*\w"  # letters with digits or signs
     rf"|\w*({_LETTER})\1\1\w*"  # runs
 )
 _WORD = re.compile(_LETTER + "+")
@@ -92,7 +92,19 @@ class Restorer:
 
     def __call__(self, text: str) -> str:
         """The lower-case text with its disguised spans restored."""
-        return _SUSPECT.sub(self._span, text.lower())
+        return _TOKEN.sub(lambda m: self.token(m[0]), _GAPPED.sub(self._span, text.lower()))
+
+    def tokens(self, text: str | None) -> set[str]:
+        """The different tokens of a text, after letters with gaps were joined; ``token`` restores them."""
+        return set(_GAPPED.sub(self._span, (text or "").lower()).split())
+
+    def token(self, token: str) -> str:
+        """A restored token; it is looked at only when met for the first time."""
+        return token if token.isalpha() and not _RUN3.search(token) else _SUSPECT.sub(self._span, token)
+
+    def words(self, text: str | None) -> set[str]:
+        """The different words of the restored text."""
+        return {w for t in self.tokens(text) for w in _WORD.findall(self.token(t))}
 
     def _span(self, match: re.Match) -> str:
         span = match[0]
@@ -141,6 +153,8 @@ class Restorer:
 
 _LETTER_GAPS = re.compile(rf"{_LETTER}(?:[ .*_~-]{{1,2}}{_LETTER})+")
 _RUNS = re.compile(r"(.)\1*", re.S)
+_RUN3 = re.compile(r"(.)\1\1")
+_TOKEN = re.compile(r"\S+")
 
 
 def buckets_of(word: str) -> list[int]:
@@ -164,10 +178,10 @@ class Scorer:
         seen, out = self.seen, set()
         if len(seen) > self.CACHE:
             seen.clear()
-        for word in set(_WORD.findall(self.restore(text or ""))):
-            hit = seen.get(word)
+        for token in self.restore.tokens(text):
+            hit = seen.get(token)
             if hit is None:
-                hit = seen[word] = tuple(b for b in buckets_of(word) if b in self.weights)
+                hit = seen[token] = tuple(b for w in _WORD.findall(self.restore.token(token)) for b in buckets_of(w) if b in self.weights)
             if hit:
                 out.update(hit)
         return out
@@ -177,6 +191,16 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
+_last: list = []
+
+
+def _scorer(model: dict) -> Scorer:
+    """The worker's scorer, with the tokens that it has seen in earlier tasks."""
+    if not _last or _last[0] is not model:
+        _last[:] = [model, Scorer(model)]
+    return _last[1]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int) -> tuple[DataFrame | None, float]:
     """text, y, weight of at most about ``sample`` labelled documents, half of each label, and the share of label 1."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(allowed).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
@@ -197,8 +221,7 @@ def _bucket_counts(rows: DataFrame, letters) -> DataFrame:
         restore, counts = Restorer(letters.value), np.zeros((2, BUCKETS), np.int32)
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                words = set(_WORD.findall(restore(text or "")))
-                counts[y, list({b for w in words for b in buckets_of(w)})] += 1
+                counts[y, list({b for w in restore.words(text) for b in buckets_of(w)})] += 1
         seen = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[1, seen]), pa.array(counts[0, seen])], names=["bucket", "with1", "with0"])
 
@@ -256,7 +279,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer = _scorer(shared.value)
         for batch in batches:
             scores = pa.array([scorer.score(t) for t in batch.column("__text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), scores], names=[*names, "score"])
