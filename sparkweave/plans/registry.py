@@ -1,12 +1,670 @@
-"""Named queries over the driver's tables and their SQL oracles."""
+"""Named queries over the driver's tables and their SQL oracles.
+
+Literal fixtures are the same Python rows on both sides: a DataFrame here, VALUES in the SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sparkweave.functions import text as T
+from sparkweave.operators import chunk, evaluate, extract, graph, retrieve, vector
+from sparkweave.schema import DOMAIN
+from sparkweave.sources import parse
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quoted(x) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, str):
+        return "'" + x.replace("'", "''") + "'"
+    if isinstance(x, (list, tuple)):
+        return "[" + ", ".join(map(quoted, x)) + "]"
+    return repr(x)
+
+
+def values(rows: list[tuple], *columns: str) -> str:
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS v({', '.join(columns)}))"
+
+
+def numbered(texts: list) -> list[tuple]:
+    return [(i, *x) if isinstance(x, tuple) else (i, x) for i, x in enumerate(texts)]
+
+
+# ── texts and filters ──────────────────────────────────────────────────────────────────────────────────────────────
+
+SUBSTANTIAL_SQL = r"""
+  length(trim(text, E' \t\n\r')) >= 200
+  AND NOT regexp_matches(text, '(?i)^\s*form\s+[a-z]+-\d+[a-z]?\s+.{0,40}?page\s+\d+\s+of\s+\d+')
+  AND length(regexp_replace(trim(text, E' \t\n\r'), '[^\p{L}]', '', 'g')) * 1.0 / greatest(length(trim(text, E' \t\n\r')), 1) > 0.5"""
+
+
+@query(f"SELECT doc_id, lang FROM documents WHERE {SUBSTANTIAL_SQL}")
+def chunk_filter_substantial(spark, d):
+    return t(spark, d, "documents").where(T.is_substantial(F.col("text"))).select("doc_id", "lang")
+
+
+@query("SELECT lang, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(length(text)) AS BIGINT) AS longest FROM documents GROUP BY lang")
+def doc_stats_by_lang(spark, d):
+    return t(spark, d, "documents").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"), F.max(F.length("text")).cast("long").alias("longest")
+    )
+
+
+@query(r"""
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, s[i] AS sentence FROM (
+  SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents), range(1, 100000) r(i)
+WHERE i <= len(s)""")
+def sentence_split(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
+
+
+PARAGRAPHS = numbered(["one", "one\n\ntwo", "one\ntwo\n\n\nthree  \n\n", "\n\n  lead\n\nlast", "", "a\n\n\n\nb\n\nc d\ne"])
+
+
+@query(rf"""
+SELECT id, CAST(i - 1 AS BIGINT) AS pos, p[i] AS paragraph FROM (
+  SELECT id, list_filter(list_transform(regexp_extract_all(text, '(?s).+?(?:\n{{2,}}|$)'), lambda x: trim(x, E' \t\n')), lambda x: x <> '') AS p
+  FROM {values(PARAGRAPHS, 'id', 'text')}), range(1, 20) r(i) WHERE i <= len(p)""")
+def paragraph_split(spark, d):
+    rows = spark.createDataFrame(PARAGRAPHS, "id int, text string")
+    return rows.select("id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "paragraph")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("SELECT doc_id, CAST(i // 1400 AS BIGINT) AS pos, substr(text, CAST(i + 1 AS BIGINT), 1500) AS piece FROM documents, range(0, 1000000, 1400) r(i) WHERE i <= greatest(length(text) - 1, 0)")
+def hard_split_windows(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.posexplode(T.hard_split(F.col("text"))).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""
+SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+FROM conversations""")
+def section_offsets(spark, d):
+    return chunk.section_offsets(t(spark, d, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", "offset")
+
+
+def _sections(spark, d) -> DataFrame:
+    docs = t(spark, d, "documents")
+    return docs.select(F.col("doc_id"), F.concat(F.lit("/data/"), F.col("source")).alias("filepath"), F.lit(0).alias("section_no"), F.col("lang").alias("heading_path"), "text", F.expr("cast(map() as map<string,string>)").alias("metadata"))
+
+
+@query()
+def chunk_documents(spark, d):
+    return chunk.sections_to_chunks(_sections(spark, d)).drop("metadata")
+
+
+@query(r"""
+SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages WHERE html LIKE '%<h1>%'""")
+def html_title_h1(spark, d):
+    found = parse.pages_to_sections(t(spark, d, "pages"), "page_id", "html").where(F.col("heading_path") != "")
+    return found.groupBy("doc_id").agg(F.min_by("heading_path", "section_no").alias("title")).select(F.col("doc_id").cast("long").alias("page_id"), F.regexp_replace("title", r"\s+", " ").alias("title"))
+
+
+@query()
+def html_sections(spark, d):
+    return parse.pages_to_sections(t(spark, d, "pages"), "page_id", "html").drop("metadata")
+
+
+SPANS = [
+    ("a", 1, 0, 0, 0, "The Guide", 20.0, 16), ("a", 1, 1, 0, 0, "Some", 10.0, 0), ("a", 1, 1, 0, 1, "text here.", 10.0, 0), ("a", 1, 1, 1, 0, "   ", 10.0, 0),
+    ("a", 1, 2, 0, 0, "Part One", 14.0, 0), ("a", 1, 3, 0, 0, "Body of one.", 10.0, 0), ("a", 2, 0, 0, 0, "A detail", 10.0, 16), ("a", 2, 1, 0, 0, "Body of the detail.", 10.0, 0),
+    ("a", 2, 2, 0, 0, "Part Two", 13.0, 16), ("a", 2, 3, 0, 0, "Body of two,", 10.0, 0), ("a", 3, 0, 0, 0, "and more.", 10.0, 0), ("b", 1, 0, 0, 0, "No headings", 9.0, 0), ("b", 1, 1, 0, 0, "at all", 9.0, 0),
+]
+SPAN_COLUMNS = ("doc_id", "page", "block", "line", "span", "text", "size", "flags")
+SPAN_TYPES = "doc_id string, page int, block int, line int, span int, text string, size double, flags int"
+
+
+@query(f"""
+WITH s AS (SELECT * FROM {values(SPANS, *(f'"{c}"' for c in SPAN_COLUMNS))} WHERE trim(text) <> ''),
+m AS (SELECT doc_id, median(CAST(size AS DOUBLE)) AS median FROM s GROUP BY doc_id)
+SELECT s.doc_id, CAST(page AS BIGINT) AS page, CAST(block AS BIGINT) AS block, text, CAST(CASE WHEN size / median >= 1.6 THEN 1 WHEN size / median >= 1.3 THEN 2 WHEN (flags & 16) <> 0 AND size / median >= 1.0 THEN 3 END AS INTEGER) AS level
+FROM s JOIN m USING (doc_id)""")
+def pdf_heading_levels(spark, d):
+    spans = spark.createDataFrame(SPANS, SPAN_TYPES).where(F.trim("text") != "")
+    medians = spans.groupBy("doc_id").agg(F.median("size").alias("median"))
+    level = parse.pdf_heading_level(F.col("size"), F.col("flags").bitwiseAND(16) != 0, F.col("median"))
+    return spans.join(F.broadcast(medians), "doc_id").select("doc_id", F.col("page").cast("long").alias("page"), F.col("block").cast("long").alias("block"), "text", level.alias("level"))
+
+
+@query(f"""SELECT * FROM {values([
+    ('a', 0, 'The Guide', 1, 'Some text here.', '1'), ('a', 1, 'The Guide > Part One', 2, 'Body of one.', '1'), ('a', 2, 'The Guide > Part One > A detail', 3, 'Body of the detail.', '2'),
+    ('a', 3, 'The Guide > Part Two', 2, 'Body of two,' + chr(10) * 2 + 'and more.', '2'), ('b', 0, '', 0, 'No headings' + chr(10) + 'at all', '1')], 'doc_id', 'section_no', 'heading_path', 'level', 'text', 'page')}""")
+def pdf_sections(spark, d):
+    return parse.pdf_sections(spark.createDataFrame(SPANS, SPAN_TYPES)).select("doc_id", "section_no", "heading_path", "level", "text", F.col("metadata")["page_number"].alias("page"))
+
+
+# ── names ──────────────────────────────────────────────────────────────────────────────────────────────────────────
+
+NAMES = numbered([
+    "I-485", "Form I-485", "Form I 485", "form i-485", "I 485", "i-130a", "Form I‑485", "  USCIS   National   Benefits  ", "H-1B", "TN", "W-2", "1040EZ", "941", "INA section 245",
+    "section 213A of Form I-864", "8 CFR 245.2", "Department of State", "filing fee", "coffee", "green card", "immediate relative", "approved petition", "birth certificate", "DS-260", "ETA-9089",
+    "Form I-864EZ", "something else", "G-28", "AR-11", "eb-1 preference", "h-1b",
+])
+FORM_RE, VISA_RE, TAX_RE = DOMAIN.form, DOMAIN.visa, DOMAIN.tax
+
+
+def folded_sql(x: str) -> str:
+    return f"translate({x}, {quoted(T.DASHES)}, {quoted('-' * len(T.DASHES))})"
+
+
+def squeezed_sql(x: str) -> str:
+    return rf"trim(regexp_replace({folded_sql(x)}, '\s+', ' ', 'g'))"
+
+
+def type_sql(x: str) -> str:
+    section = f"regexp_matches({x}, '(?i)section|§')"
+    cases = [f"WHEN regexp_matches({folded_sql(x)}, {quoted(FORM_RE)}) AND NOT {section} THEN 'form'"]
+    cases += [f"WHEN regexp_matches({x}, {quoted(p)}) AND NOT {section} THEN '{k}'" for p, k in ((VISA_RE, "applicant_category"), (TAX_RE, "evidence_or_document"))]
+    cases += [f"WHEN {' OR '.join(f'contains(lower({x}), {quoted(w)})' for w in ws)} THEN '{k}'" for k, ws in DOMAIN.keywords.items()]
+    return f"CASE {' '.join(cases)} ELSE '{DOMAIN.fallback_type}' END"
+
+
+def canonical_sql(x: str, kind: str) -> str:
+    s = squeezed_sql(x)
+    part = lambda g: f"upper(regexp_extract({s}, {quoted(FORM_RE)}, {g}))"
+    return f"CASE WHEN {kind} = 'form' AND regexp_matches({s}, {quoted(FORM_RE)}) THEN 'Form ' || {part(1)} || '-' || {part(2)} || {part(3)} ELSE {s} END"
+
+
+def id_sql(x: str, kind: str) -> str:
+    return f"substr(sha256({kind} || '::' || trim(lower({canonical_sql(x, kind)}))), 1, 16)"
+
+
+def _names(spark) -> DataFrame:
+    return spark.createDataFrame(NAMES, "id int, name string")
+
+
+@query(f"SELECT id, {canonical_sql('name', quoted('form'))} AS as_form, {canonical_sql('name', quoted('agency'))} AS as_agency FROM {values(NAMES, 'id', 'name')}")
+def canonicalize_names(spark, d):
+    return _names(spark).select("id", T.canonical_name(F.col("name"), F.lit("form")).alias("as_form"), T.canonical_name(F.col("name"), F.lit("agency")).alias("as_agency"))
+
+
+@query(f"SELECT id, {type_sql('name')} AS type FROM {values(NAMES, 'id', 'name')}")
+def infer_types(spark, d):
+    return _names(spark).select("id", T.infer_type(F.col("name")).alias("type"))
+
+
+@query(f"SELECT id, entity_id FROM (SELECT v.id, {id_sql('name', 'type')} AS entity_id FROM (SELECT id, name, {type_sql('name')} AS type FROM {values(NAMES, 'id', 'name')}) v)")
+def entity_ids(spark, d):
+    return _names(spark).withColumn("type", T.infer_type(F.col("name"))).select("id", T.entity_id(F.col("name"), F.col("type")).alias("entity_id"))
+
+
+PATHS = numbered(["/x/i-485instr.pdf", "C:\\docs\\I-130A.pdf", "i-864ez.pdf", "n-400.tar.pdf", "notes.txt", "", "ds260.html", "/a/b/g28", "/x/i-485instr", ".pdf"])
+
+
+@query(rf"""
+WITH s AS (SELECT id, path, regexp_replace(lower(regexp_extract(path, '([^\\/]*)$', 1)), '\.[^.]*$', '') AS stem FROM {values(PATHS, 'id', 'path')}),
+g AS (SELECT *, regexp_replace(stem, 'instr$', '') AS slug FROM s)
+SELECT id, CASE WHEN length(path) > 0 AND regexp_matches(slug, '^([a-z]+)-?(\d+)([a-z]?)$') THEN
+  'Form ' || upper(regexp_extract(slug, '^([a-z]+)-?(\d+)([a-z]?)$', 1)) || '-' || regexp_extract(slug, '^([a-z]+)-?(\d+)([a-z]?)$', 2) || upper(regexp_extract(slug, '^([a-z]+)-?(\d+)([a-z]?)$', 3))
+  || CASE WHEN ends_with(stem, 'instr') THEN ' (instructions)' ELSE '' END END AS label FROM g""")
+def form_labels(spark, d):
+    return spark.createDataFrame(PATHS, "id int, path string").select("id", T.form_label(F.col("path")).alias("label"))
+
+
+@query(rf"""
+WITH s AS (SELECT id, lower(regexp_extract(path, '([^\\/]*)$', 1)) AS name FROM {values(PATHS, 'id', 'path')})
+SELECT id, CASE WHEN regexp_matches(name, '^([a-z]{{1,3}})-?(\d{{2,4}})([a-z]?)') THEN upper(regexp_extract(name, '^([a-z]{{1,3}})-?(\d{{2,4}})([a-z]?)', 1)) || '-'
+  || regexp_extract(name, '^([a-z]{{1,3}})-?(\d{{2,4}})([a-z]?)', 2) || upper(regexp_extract(name, '^([a-z]{{1,3}})-?(\d{{2,4}})([a-z]?)', 3)) END AS form FROM s""")
+def form_of_path(spark, d):
+    return spark.createDataFrame(PATHS, "id int, path string").select("id", T.form_of_path(F.col("path")).alias("form"))
+
+
+SAID = numbered([
+    "File I-485 with I‑693 and I-485.", "No forms here", "DS-260, N-400A and AB-1", "i-485 lower", "The sources do not cover this.", "I could not find it", "We couldn't find that", "It does not include fees",
+    "Yes: file it.", "No information is available", "outside the scope", "", "score: 0.8", '{"score": 7}', "I rate this 85 of 100", "-3", "Score = 1.5", "none", "about 0.25 then 9",
+])
+
+
+@query(rf"SELECT id, list_sort(list_distinct(regexp_extract_all({folded_sql('said')}, '\b([A-Z]{{1,3}}-\d{{2,4}}[A-Z]?)\b', 1))) AS forms FROM {values(SAID, 'id', 'said')}")
+def forms_in_text(spark, d):
+    return spark.createDataFrame(SAID, "id int, said string").select("id", F.array_sort(T.forms_in_text(F.col("said"))).alias("forms"))
+
+
+@query(rf"""
+WITH s AS (SELECT id, CAST(coalesce(nullif(regexp_extract(said, '(?i)"?score"?\s*[:=]\s*(-?\d+(?:\.\d+)?)', 1), ''), nullif(regexp_extract(said, '(?:score\D*)?(-?\d+(?:\.\d+)?)', 1), '')) AS DOUBLE) AS v FROM {values(SAID, 'id', 'said')})
+SELECT id, coalesce(greatest(0.0, least(1.0, CASE WHEN v > 1 AND v <= 10 THEN v / 10 WHEN v > 10 THEN v / 100 ELSE v END)), CAST(0 AS DOUBLE)) AS score FROM s""")
+def parse_score(spark, d):
+    return spark.createDataFrame(SAID, "id int, said string").select("id", T.parse_score(F.col("said")).alias("score"))
+
+
+@query(f"SELECT id, coalesce(regexp_matches(said, {quoted(DOMAIN.refusal)}), false) AS refusal FROM {values([*SAID, (99, None)], 'id', 'said')}")
+def refusal_flag(spark, d):
+    return spark.createDataFrame([*SAID, (99, None)], "id int, said string").select("id", T.is_refusal(F.col("said")).alias("refusal"))
+
+
+@query(rf"""
+SELECT id, CASE WHEN length(path) = 0 OR stem = '' THEN '' ELSE {quoted(T.FORMS_URL)} || stem || '.pdf' END AS url,
+  CASE WHEN length(path) > 0 AND stem <> '' THEN {quoted(T.FORMS_URL)} || stem || '.pdf#page=3' END AS page_url
+FROM (SELECT id, path, regexp_replace(regexp_extract(path, '([^\\/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem FROM {values(PATHS, 'id', 'path')})""")
+def citation_urls(spark, d):
+    return spark.createDataFrame(PATHS, "id int, path string").select("id", T.source_url(F.col("path")).alias("url"), T.page_url(F.col("path"), F.lit(3)).alias("page_url"))
+
+
+RESPONSES = numbered([
+    '{"entities": ["Form I-485", {"name": "H-1B", "entity_type": "form"}, {"value": "USCIS", "category": "Agency"}], "relations": [{"subject": "Form I-485", "predicate": "Requires", "object": "I-693", "evidence": "must"}]}',
+    '```json\n{"entities": [{"name": "filing fee", "type": "nonsense", "description": "cost", "aliases": ["fee"]}], "relations": []}\n```',
+    'Here it is: {"entities": [{"name": "  "}, 5, {"name": "Green Card", "entity_type": "benefit or status"}], "relations": [{"source": "a", "relation": "references", "target": "b"}, {"subject": "a", "predicate": "likes", "object": "b"}, {"subject": "x", "predicate": "requires", "object": "x"}]} done',
+    "garbage without braces", "", '{"relations": [{"subject": "", "predicate": "requires", "object": "b"}, "text"]}', "{broken",
+])
+
+JSON_SQL = rf"""
+WITH r AS (SELECT id, CASE WHEN starts_with(trim(text, E' \n'), '```') THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(trim(x), '```')), chr(10)) ELSE text END AS text FROM {values(RESPONSES, 'id', 'text')}),
+j AS (SELECT id, coalesce(TRY_CAST(nullif(text, '') AS JSON), TRY_CAST(nullif(regexp_extract(text, '(?s)\{{.*\}}'), '') AS JSON)) AS doc FROM r)"""
+
+
+@query(JSON_SQL + rf""",
+e AS (SELECT id, unnest(CAST(doc -> '$.entities' AS JSON[])) AS raw FROM j WHERE doc IS NOT NULL),
+n AS (SELECT id, json_type(raw) AS kind, raw, trim(CASE WHEN json_type(raw) = 'VARCHAR' THEN raw ->> '$' ELSE coalesce(nullif(raw ->> '$.name', ''), raw ->> '$.value', '') END) AS name FROM e WHERE json_type(raw) IN ('VARCHAR', 'OBJECT')),
+k AS (SELECT *, replace(trim(lower(coalesce(nullif(raw ->> '$.entity_type', ''), nullif(raw ->> '$.category', ''), raw ->> '$.type', ''))), ' ', '_') AS declared FROM n WHERE name <> '')
+SELECT id, name, CASE WHEN kind = 'VARCHAR' OR declared NOT IN ({', '.join(map(quoted, DOMAIN.entity_types))}) OR (declared = 'form' AND NOT regexp_matches(name, {quoted(FORM_RE)})) THEN {type_sql('name')} ELSE declared END AS type,
+  CASE WHEN kind = 'VARCHAR' THEN '' ELSE coalesce(raw ->> '$.description', '') END AS description FROM k""")
+def json_entities(spark, d):
+    rows = spark.createDataFrame(RESPONSES, "id int, text string")
+    return rows.select("id", F.explode(T.json_entities(F.col("text"))).alias("e")).select("id", F.col("e.name").alias("name"), F.col("e.entity_type").alias("type"), F.col("e.description").alias("description"))
+
+
+@query(JSON_SQL + rf""",
+x AS (SELECT id, unnest(CAST(doc -> '$.relations' AS JSON[])) AS raw FROM j WHERE doc IS NOT NULL),
+f AS (SELECT id, trim(coalesce(nullif(raw ->> '$.subject', ''), raw ->> '$.source', '')) AS subject, trim(lower(coalesce(nullif(raw ->> '$.predicate', ''), raw ->> '$.relation', ''))) AS predicate,
+  trim(coalesce(nullif(raw ->> '$.object', ''), raw ->> '$.target', '')) AS object, coalesce(raw ->> '$.evidence', '') AS evidence FROM x WHERE json_type(raw) = 'OBJECT')
+SELECT * FROM f WHERE predicate IN ({', '.join(map(quoted, DOMAIN.predicates))}) AND subject <> '' AND object <> '' AND subject <> object""")
+def json_relations(spark, d):
+    rows = spark.createDataFrame(RESPONSES, "id int, text string")
+    return rows.select("id", F.explode(T.json_relations(F.col("text"))).alias("r")).select("id", "r.*")
+
+
+@query("SELECT event_type, CAST(sum(CAST(props ->> '$.k' AS INTEGER)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY event_type")
+def event_props(spark, d):
+    parsed = t(spark, d, "events").select("event_type", F.from_json("props", "k int").alias("p"))
+    return parsed.groupBy("event_type").agg(F.sum("p.k").cast("long").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH k AS (SELECT doc_id, md5(source || '::' || text) AS key FROM documents), c AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 = 0)
+SELECT doc_id, k.key, c.key IS NOT NULL AS hit FROM k LEFT JOIN c ON k.key = c.key""")
+def cache_probe(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", F.col("source").alias("context"), F.col("text").alias("content"))
+    cache = docs.where("doc_id % 3 = 0").select(T.cache_key(F.col("context"), F.col("content")).alias("key"), F.lit("{}").alias("answer")).dropDuplicates(["key"])
+    hits, misses = extract.cache_split(docs, cache)
+    return hits.select("doc_id", "key", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", "key", F.lit(False).alias("hit")))
+
+
+# ── graph over the star schema ─────────────────────────────────────────────────────────────────────────────────────
+# customer -placed-> order -contains-> part, customer -located_in-> nation -part_of-> region, supplier -supplies-> part.
+
+ENTITIES_SQL = """
+  SELECT 'customer:' || c_custkey AS id, c_name AS name, 'customer' AS type FROM customer
+  UNION ALL SELECT 'order:' || o_orderkey, 'Order ' || o_orderkey, 'order' FROM orders
+  UNION ALL SELECT 'part:' || p_partkey, p_name, 'part' FROM part
+  UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'nation' FROM nation
+  UNION ALL SELECT 'region:' || r_regionkey, r_name, 'region' FROM region"""
+EDGES_SQL = """
+  SELECT 'customer:' || o_custkey AS src, 'placed' AS predicate, 'order:' || o_orderkey AS dst, CAST(1 AS DOUBLE) AS weight FROM orders
+  UNION ALL SELECT 'order:' || l_orderkey, 'contains', 'part:' || l_partkey, CAST(count(*) AS DOUBLE) FROM lineitem GROUP BY l_orderkey, l_partkey
+  UNION ALL SELECT 'customer:' || c_custkey, 'located_in', 'nation:' || c_nationkey, 1 FROM customer
+  UNION ALL SELECT 'nation:' || n_nationkey, 'part_of', 'region:' || n_regionkey, 1 FROM nation"""
+SUPPLIES_SQL = """SELECT 'supplier:' || l_suppkey AS src, 'supplies' AS predicate, 'part:' || l_partkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem GROUP BY l_suppkey, l_partkey"""
+MENTIONS_SQL = "SELECT DISTINCT l_orderkey AS chunk_id, 'part:' || l_partkey AS entity_id FROM lineitem UNION SELECT l_orderkey, 'supplier:' || l_suppkey FROM lineitem UNION SELECT o_orderkey, 'customer:' || o_custkey FROM orders"
+
+
+def _id(kind: str, column: str):
+    return F.concat(F.lit(kind + ":"), F.col(column).cast("string"))
+
+
+def star_entities(spark, d) -> DataFrame:
+    parts = [("customer", "c_custkey", F.col("c_name"), "customer"), ("order", "o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), "orders"), ("part", "p_partkey", F.col("p_name"), "part"),
+             ("nation", "n_nationkey", F.col("n_name"), "nation"), ("region", "r_regionkey", F.col("r_name"), "region")]
+    out = None
+    for kind, key, name, source in parts:
+        one = t(spark, d, source).select(_id(kind, key).alias("id"), name.alias("name"), F.lit(kind).alias("type"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("aliases", F.array().cast("array<string>"))
+
+
+def _edges(df: DataFrame, a: tuple, predicate: str, b: tuple) -> DataFrame:
+    return df.select(_id(*a).alias("src"), F.lit(predicate).alias("predicate"), _id(*b).alias("dst"))
+
+
+def star_relates(spark, d) -> DataFrame:
+    lines = _edges(t(spark, d, "lineitem"), ("order", "l_orderkey"), "contains", ("part", "l_partkey")).groupBy("src", "predicate", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    single = [_edges(t(spark, d, "orders"), ("customer", "o_custkey"), "placed", ("order", "o_orderkey")), _edges(t(spark, d, "customer"), ("customer", "c_custkey"), "located_in", ("nation", "c_nationkey")), _edges(t(spark, d, "nation"), ("nation", "n_nationkey"), "part_of", ("region", "n_regionkey"))]
+    for one in single:
+        lines = lines.unionByName(one.withColumn("weight", F.lit(1.0)))
+    return lines.withColumn("evidence", F.lit(""))
+
+
+def star_supplies(spark, d) -> DataFrame:
+    rows = t(spark, d, "lineitem").select(_id("supplier", "l_suppkey").alias("src"), F.lit("supplies").alias("predicate"), _id("part", "l_partkey").alias("dst"),
+        F.col("l_shipdate").cast("string").alias("evidence"), F.col("l_orderkey").alias("chunk_id"), F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("pos"))
+    return graph.relation_weights(rows)
+
+
+def star_mentions(spark, d) -> DataFrame:
+    lines = t(spark, d, "lineitem").select("l_orderkey", F.explode(F.array(_id("part", "l_partkey"), _id("supplier", "l_suppkey"))).alias("id"))
+    rows = lines.select(F.col("l_orderkey").alias("chunk_id"), "id").unionByName(t(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), _id("customer", "o_custkey").alias("id")))
+    return graph.mentions(rows)
+
+
+def star(spark, d) -> graph.Graph:
+    return graph.Graph(star_entities(spark, d), star_mentions(spark, d), star_relates(spark, d))
+
+
+@query("""
+WITH r AS (SELECT 'customer:' || o_custkey AS id, o_orderpriority AS description, o_orderkey AS seq FROM orders)
+SELECT id, arg_max(description, length(description) * 1000000000 - seq) AS description, arg_min(description, seq) AS first_seen, count(*) AS mention_count,
+  array_to_string(list_sort(list_distinct(list(description))), ',') AS aliases FROM r GROUP BY id""")
+def entity_registry(spark, d):
+    orders = t(spark, d, "orders").select(_id("customer", "o_custkey").alias("id"), F.col("o_orderpriority").alias("canon"), F.lit("customer").alias("type"), F.col("o_orderpriority").alias("description"), F.array("o_orderpriority").alias("aliases"), F.col("o_orderkey").alias("seq"), F.lit(0).alias("pos"))
+    return graph.entity_registry(orders).select("id", "description", F.col("name").alias("first_seen"), "mention_count", F.array_join(F.array_sort("aliases"), ",").alias("aliases"))
+
+
+@query("""
+SELECT 'supplier:' || l_suppkey AS src, 'supplies' AS predicate, 'part:' || l_partkey AS dst, strftime(arg_min(l_shipdate, l_orderkey * 100 + l_linenumber), '%Y-%m-%d %H:%M:%S') AS evidence,
+  arg_min(l_orderkey, l_orderkey * 100 + l_linenumber) AS source_chunk, CAST(count(*) AS DOUBLE) AS weight FROM lineitem GROUP BY l_suppkey, l_partkey""")
+def relation_weights(spark, d):
+    return star_supplies(spark, d)
+
+
+@query(f"SELECT chunk_id, entity_id FROM ({MENTIONS_SQL})")
+def mentions(spark, d):
+    return star_mentions(spark, d)
+
+
+@query(f"SELECT (SELECT count(*) FROM ({ENTITIES_SQL})) AS entities, (SELECT count(DISTINCT chunk_id) FROM ({MENTIONS_SQL})) AS chunks, (SELECT count(*) FROM ({MENTIONS_SQL})) AS mentions, (SELECT count(*) FROM ({EDGES_SQL})) AS relations")
+def graph_stats(spark, d):
+    return graph.stats(star(spark, d))
+
+
+@query(f"SELECT predicate, count(*) AS relations FROM ({EDGES_SQL}) GROUP BY predicate")
+def relations_by_predicate(spark, d):
+    return graph.relations_by_predicate(star_relates(spark, d))
+
+
+@query(f"SELECT src AS source, dst AS target, predicate, CASE WHEN weight IS NULL OR weight = 0 THEN 1.0 ELSE weight END AS weight FROM ({EDGES_SQL})")
+def full_graph(spark, d):
+    return graph.full_graph(star_relates(spark, d))
+
+
+@query(f"SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ({EDGES_SQL}) UNION ALL SELECT dst FROM ({EDGES_SQL})) GROUP BY node HAVING count(*) > 40")
+def node_degree_hubs(spark, d):
+    return graph.degrees(star_relates(spark, d)).where("degree > 40")
+
+
+@query(f"WITH e AS ({EDGES_SQL}) SELECT src AS node, dst AS other, predicate, src, dst, weight FROM e WHERE src IN ('customer:1', 'nation:3') UNION ALL SELECT dst, src, predicate, src, dst, weight FROM e WHERE dst IN ('customer:1', 'nation:3')")
+def incident_relations(spark, d):
+    ids = spark.createDataFrame([("customer:1",), ("nation:3",)], "id string")
+    return graph.incident(star_relates(spark, d), ids).select("node", "other", "predicate", "src", "dst", "weight")
+
+
+SEEDS = ["customer:7", "nobody", "customer:1", "customer:2", "customer:7"]
+
+
+def khop_sql(what: str, hops: int, max_nodes: int, fanout: int, hub: int) -> str:
+    """The hops one after the other as common table expressions."""
+    order = list(dict.fromkeys(SEEDS))
+    ctes = [f"e AS ({EDGES_SQL})", f"ent AS ({ENTITIES_SQL})", f"n0 AS (SELECT s.id, row_number() OVER (ORDER BY s.pos) - 1 AS pos FROM {values([(s, i) for i, s in enumerate(order)], 'id', 'pos')} s JOIN ent USING (id))", "f0 AS (SELECT id AS node, pos FROM n0)"]
+    edges = []
+    for h in range(hops):
+        ctes += [
+            f"t{h} AS (SELECT f.pos, e.src, e.predicate, e.dst, e.weight, e.dst AS other FROM f{h} f JOIN e ON e.src = f.node UNION ALL SELECT f.pos, e.src, e.predicate, e.dst, e.weight, e.src FROM f{h} f JOIN e ON e.dst = f.node)",
+            f"r{h} AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY weight DESC, src, predicate, dst) AS rn, count(*) OVER (PARTITION BY pos) AS deg FROM t{h})",
+            f"c{h} AS (SELECT other, min(pos * 1000000 + rn) AS k FROM r{h} WHERE deg <= {hub} AND rn <= {fanout} AND other NOT IN (SELECT id FROM n{h}) GROUP BY other)",
+            f"a{h} AS (SELECT other, k, row_number() OVER (ORDER BY k) AS nth FROM c{h} QUALIFY nth <= {max_nodes} - (SELECT count(*) FROM n{h}))",
+            f"x{h} AS (SELECT r.src, r.predicate, r.dst, r.weight FROM r{h} r LEFT JOIN a{h} a ON a.other = r.other WHERE (r.other IN (SELECT id FROM n{h}) OR a.k <= r.pos * 1000000 + r.rn) AND (SELECT count(*) FROM n{h}) < {max_nodes})",
+            f"n{h + 1} AS (SELECT id, pos FROM n{h} UNION ALL SELECT other, (SELECT count(*) FROM n{h}) + nth - 1 FROM a{h})",
+            f"f{h + 1} AS (SELECT other AS node, nth - 1 AS pos FROM a{h})",
+        ]
+        edges.append(f"SELECT * FROM x{h}")
+    last = f"SELECT id, name, type, CAST(pos AS BIGINT) AS pos FROM n{hops} JOIN ent USING (id)" if what == "nodes" else f"SELECT DISTINCT src AS source, dst AS target, predicate, weight FROM ({' UNION ALL '.join(edges)})"
+    return f"WITH {', '.join(ctes)} {last}"
+
+
+def _khop(what: str, **limits) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, d):
+        nodes, edges = graph.k_hop(star(spark, d), SEEDS, **limits)
+        return nodes.withColumn("pos", F.col("pos").cast("long")) if what == "nodes" else edges.select("source", "target", "predicate", "weight")
+
+    return run
+
+
+for _name, _what, _limits in (
+    ("khop_1", "nodes", (1, 60, 10, 40)), ("khop_2_nodes", "nodes", (2, 60, 10, 40)), ("khop_2_edges", "edges", (2, 60, 10, 40)), ("khop_capped", "nodes", (2, 12, 3, 15)), ("khop_capped_edges", "edges", (3, 25, 4, 15)),
+):
+    QUERIES[_name] = _khop(_what, **dict(zip(("hops", "max_nodes", "fanout", "hub_degree"), _limits)))
+    ORACLE[_name] = khop_sql(_what, *_limits)
+
+
+@query(f"SELECT id, name, type FROM ({ENTITIES_SQL}) WHERE id IN (SELECT min(id) FROM ({ENTITIES_SQL}) WHERE lower(name) IN ('asia', 'order 5') GROUP BY lower(name))")
+def entity_lookup(spark, d):
+    e = star_entities(spark, d)
+    return graph.entity_by_name(e, "ASIA").unionByName(graph.entity_by_name(e, "order 5")).select("id", "name", "type")
+
+
+@query(f"SELECT id, name FROM ({ENTITIES_SQL}) WHERE contains(lower(name), '00012') ORDER BY id LIMIT 10")
+def entity_search(spark, d):
+    return graph.search_entities(star_entities(spark, d), "00012").select("id", "name")
+
+
+@query(f"""
+WITH n AS ({ENTITIES_SQL}), e AS ({EDGES_SQL})
+SELECT a.name AS src_name, b.name AS dst_name, weight FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE predicate = 'contains' AND a.type = 'order' AND b.type = 'part' ORDER BY weight DESC, src, dst LIMIT 15""")
+def top_typed_edges(spark, d):
+    return graph.top_typed_edges(star_relates(spark, d), star_entities(spark, d), "contains", "order", "part")
+
+
+@query(f"""
+WITH n AS (SELECT id FROM ({ENTITIES_SQL}) WHERE type IN ('nation', 'region', 'customer')), e AS ({EDGES_SQL})
+SELECT src, predicate, dst, weight FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n) ORDER BY weight DESC, src, predicate, dst LIMIT 80""")
+def display_links(spark, d):
+    nodes = star_entities(spark, d).where(F.col("type").isin("nation", "region", "customer"))
+    return graph.display_links(star_relates(spark, d), nodes).select("src", "predicate", "dst", "weight")
+
+
+EXTRACTION = [
+    ("c1", 1, [("Form I-485", "form", "short", ["I-485"]), ("H-1B", "form", "", []), ("USCIS", "agency", "the agency", [])], [("Form I-485", "requires", "Form I-693", "must"), ("I-485", "filed_with", "uscis", "")]),
+    ("c2", 2, [("form i 485", "form", "a longer text", ["AOS", "I-485"]), ("Medical Exam", "evidence_or_document", "", [])], [("Medical Exam", "evidence_for", "I-485", "x"), ("Form I-485", "requires", "I-693", "again"), ("I 485", "references", "Form I-485", "")]),
+]
+
+
+def _extraction(spark) -> DataFrame:
+    from sparkweave.schema import EXTRACTION as DDL
+
+    return spark.createDataFrame(EXTRACTION, DDL)
+
+
+FLAT_ENTITIES = [(c, s, p, *e[:3]) for c, s, es, _ in EXTRACTION for p, e in enumerate(es)]
+CORRECTED_SQL = f"""
+SELECT *, {canonical_sql('name', 'type')} AS canon, {id_sql('name', 'type')} AS id FROM (
+  SELECT chunk_id, seq, pos, name, CASE WHEN declared = 'form' AND NOT regexp_matches({folded_sql('name')}, {quoted(FORM_RE)}) THEN {type_sql('name')} ELSE declared END AS type
+  FROM {values(FLAT_ENTITIES, 'chunk_id', 'seq', 'pos', 'name', 'declared', 'description')})"""
+
+
+@query(f"""
+WITH r AS ({CORRECTED_SQL}), k AS (SELECT lower(canon) AS key, id, seq * 1000 + pos * 10 AS place FROM r UNION ALL SELECT lower(trim(name)), id, seq * 1000 + pos * 10 + 1 FROM r)
+SELECT key, arg_max(id, place) AS id FROM k GROUP BY key""")
+def name_index(spark, d):
+    return graph.name_index(graph.typed_entities(_extraction(spark)))
+
+
+FLAT_RELATIONS = [(c, s, p, *r) for c, s, _, rs in EXTRACTION for p, r in enumerate(rs)]
+
+
+@query(f"""
+WITH r AS ({CORRECTED_SQL}), k AS (SELECT lower(canon) AS key, id, seq * 1000 + pos * 10 AS place FROM r UNION ALL SELECT lower(trim(name)), id, seq * 1000 + pos * 10 + 1 FROM r),
+ix AS (SELECT key, arg_max(id, place) AS id FROM k GROUP BY key), rel AS (SELECT * FROM {values(FLAT_RELATIONS, 'chunk_id', 'seq', 'pos', 'subject', 'predicate', 'object', 'evidence')}),
+ends AS (SELECT DISTINCT subject AS name FROM rel UNION SELECT object FROM rel), typed AS (SELECT name, {type_sql('name')} AS type FROM ends),
+canon AS (SELECT name, type, {canonical_sql('name', 'type')} AS canon, {id_sql('name', 'type')} AS made FROM typed),
+res AS (SELECT c.name, coalesce(a.id, b.id, c.made) AS id, c.canon FROM canon c LEFT JOIN ix a ON a.key = lower(c.name) LEFT JOIN ix b ON b.key = lower(c.canon)),
+nm AS (SELECT id, arg_min(canon, seq * 1000 + pos) AS name FROM r GROUP BY id UNION SELECT id, canon FROM res WHERE id NOT IN (SELECT id FROM r))
+SELECT s.name AS s, predicate, o.name AS o, CAST(count(*) AS DOUBLE) AS weight
+FROM rel JOIN res x ON x.name = subject JOIN res y ON y.name = object JOIN nm s ON s.id = x.id JOIN nm o ON o.id = y.id WHERE x.id <> y.id GROUP BY ALL""")
+def resolve_endpoints(spark, d):
+    g = graph.build(_extraction(spark))
+    names = g.entities.select("id", "name")
+    return g.relates.join(names.select(F.col("id").alias("src"), F.col("name").alias("s")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("o")), "dst").select("s", "predicate", "o", "weight")
+
+
+@query(f"""
+SELECT count(*) AS entities, (SELECT count(*) FROM {values(FLAT_RELATIONS, 'chunk_id', 'seq', 'pos', 'subject', 'predicate', 'object', 'evidence')}) AS relations, count(DISTINCT lower(trim(name))) AS names
+FROM {values(FLAT_ENTITIES, 'chunk_id', 'seq', 'pos', 'name', 'declared', 'description')}""")
+def extraction_totals(spark, d):
+    return extract.extraction_totals(_extraction(spark))
+
+
+# ── retrieval and evaluation ───────────────────────────────────────────────────────────────────────────────────────
+
+def _query_vector(spark, d, vec_id: int = 0) -> list[float]:
+    row = t(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
+    return list(row["embedding"])
+
+
+DISTANCE_SQL = "list_distance(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
+KNN_SQL = f"SELECT vec_id, {DISTANCE_SQL} AS distance FROM embeddings e ORDER BY distance, vec_id LIMIT 10"
+
+
+@query(f"SELECT vec_id, round(distance, 6) AS distance, '[' || row_number() OVER (ORDER BY distance, vec_id) || ']' AS citation_id FROM ({KNN_SQL})")
+def knn_topk(spark, d):
+    near = vector.knn(t(spark, d, "embeddings"), _query_vector(spark, d), 10, "vec_id")
+    rank = F.row_number().over(Window.orderBy("distance", "vec_id"))
+    return near.select("vec_id", F.round("distance", 6).alias("distance"), F.concat(F.lit("["), rank.cast("string"), F.lit("]")).alias("citation_id"))
+
+
+@query(f"SELECT k.vec_id, label, round(distance, 6) AS distance FROM ({KNN_SQL}) k JOIN embeddings USING (vec_id)")
+def knn_join_labels(spark, d):
+    e = t(spark, d, "embeddings")
+    return vector.knn_join(e, _query_vector(spark, d), e.select("vec_id", "label"), 10, "vec_id").select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+@query("""
+WITH c AS (SELECT lower(text) AS low FROM documents WHERE doc_id <= 40), n AS (SELECT DISTINCT word AS name FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' ')) AS word FROM documents WHERE doc_id BETWEEN 41 AND 60) WHERE length(word) >= 5)
+SELECT DISTINCT name FROM n JOIN c ON contains(low, name)""")
+def content_mentions_name(spark, d):
+    docs = t(spark, d, "documents")
+    contents = docs.where("doc_id <= 40").select(F.col("text").alias("content"))
+    found = docs.where("doc_id between 41 and 60").select(F.explode(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", " ")), " ")).alias("name")).distinct()
+    return retrieve.names_in_contents(contents, found.withColumn("type", F.lit("form")))
+
+
+GRAPH_CHUNKS_SQL = f"""
+WITH m AS ({MENTIONS_SQL}), k AS ({KNN_SQL}), n AS (SELECT id FROM ({khop_sql('nodes', 2, 60, 10, 40)}))
+SELECT chunk_id, count(DISTINCT CASE WHEN entity_id IN ('customer:7', 'customer:1', 'customer:2') THEN entity_id END) AS graph_score
+FROM m WHERE entity_id IN (SELECT id FROM n) AND chunk_id NOT IN (SELECT vec_id FROM k) GROUP BY chunk_id ORDER BY graph_score DESC, chunk_id LIMIT 10"""
+
+
+def _channels(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The nearest vectors as chunks (vec_id is the chunk id by convention), and the graph channel around the seeds."""
+    near = vector.knn(t(spark, d, "embeddings"), _query_vector(spark, d), 10, "vec_id").withColumnRenamed("vec_id", "chunk_id")
+    g = star(spark, d)
+    nodes, edges = graph.k_hop(g, SEEDS)
+    seeds = nodes.where(F.col("id").isin(*SEEDS))
+    return near, retrieve.graph_chunks(g.mentions, nodes, seeds, near), nodes, edges
+
+
+@query(GRAPH_CHUNKS_SQL)
+def graph_chunks_scored(spark, d):
+    return _channels(spark, d)[1]
+
+
+@query(f"""
+WITH v AS (SELECT vec_id AS chunk_id, 'vector' AS retrieval_source, 0 AS channel, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM ({KNN_SQL})),
+g AS (SELECT chunk_id, 'graph' AS retrieval_source, 1 AS channel, row_number() OVER (ORDER BY graph_score DESC, chunk_id) AS rank FROM ({GRAPH_CHUNKS_SQL})),
+u AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY channel, rank) AS nth FROM (SELECT * FROM v UNION ALL SELECT * FROM g))
+SELECT chunk_id, retrieval_source, '[' || row_number() OVER (ORDER BY channel, rank, chunk_id) || ']' AS citation_id FROM u WHERE nth = 1""")
+def hybrid_merge(spark, d):
+    near, found, _, _ = _channels(spark, d)
+    v = near.select("chunk_id", F.row_number().over(Window.orderBy("distance", "chunk_id")).alias("rank"))
+    g = found.select("chunk_id", F.row_number().over(Window.orderBy(F.desc("graph_score"), "chunk_id")).alias("rank"))
+    return retrieve.merged(v, g).select("chunk_id", "retrieval_source", "citation_id")
+
+
+@query("""
+SELECT doc_id AS chunk_id, '[' || row_number() OVER (ORDER BY doc_id) || ']' AS citation_id, '/data/' || source || '.pdf' AS filepath, lang AS heading_path, 'unknown' AS retrieval_source,
+  left(text, 200) || '...' AS preview, 'https://www.uscis.gov/sites/default/files/document/forms/' || source || '.pdf' AS source_url FROM documents WHERE doc_id < 30""")
+def citations(spark, d):
+    docs = t(spark, d, "documents").where("doc_id < 30")
+    n = F.row_number().over(Window.orderBy("doc_id")).cast("string")
+    rows = docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("["), n, F.lit("]")).alias("citation_id"), F.concat(F.lit("/data/"), "source", F.lit(".pdf")).alias("filepath"), F.col("lang").alias("heading_path"), F.col("text").alias("content"), F.lit(None).cast("string").alias("retrieval_source"), F.expr("cast(map() as map<string,string>)").alias("metadata"))
+    return retrieve.citations(rows).drop("page", "source_url_with_page")
+
+
+@query(f"""
+WITH n AS ({khop_sql('nodes', 2, 60, 10, 40)}), x AS ({khop_sql('edges', 2, 60, 10, 40)}),
+o AS (SELECT *, row_number() OVER (ORDER BY weight DESC, source, predicate, target) AS n FROM x)
+SELECT o.n AS n, '  - ' || coalesce(a.name, source) || ' — ' || replace(predicate, '_', ' ') || ' → ' || coalesce(b.name, target) AS line FROM o LEFT JOIN n a ON a.id = source LEFT JOIN n b ON b.id = target WHERE o.n <= 20""")
+def graph_context(spark, d):
+    nodes, edges = graph.k_hop(star(spark, d), SEEDS)
+    return retrieve.edge_lines(edges, nodes).withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"WITH n AS ({khop_sql('nodes', 2, 60, 10, 40)}) SELECT type, string_agg(name, '|' ORDER BY pos) AS names FROM n GROUP BY type")
+def graph_context_nodes(spark, d):
+    nodes, _ = graph.k_hop(star(spark, d), SEEDS)
+    return retrieve.node_groups(nodes).select("type", F.array_join("names", "|").alias("names"))
+
+
+EVAL_SQL = """
+WITH q AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 20),
+s AS (SELECT q.vec_id AS question_id, q.label AS gold, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.v, CAST(e.embedding AS DOUBLE[])), 9), e.vec_id) AS rn FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
+h AS (SELECT question_id, CASE WHEN rn <= 8 THEN 'naive' ELSE 'hybrid' END AS mode, gold, label FROM s WHERE rn <= 24)"""
+
+
+def _eval_rows(spark, d) -> DataFrame:
+    """question_id, mode, gold, label: the next neighbours of twenty query vectors; the first eight stand for one mode, later ones for the other."""
+    e = t(spark, d, "embeddings")
+    q = F.broadcast(e.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), F.col("label").alias("gold"), F.col("embedding").cast("array<double>").alias("v")))
+    apart = F.round(F.sqrt(F.aggregate(F.zip_with("v", F.col("embedding").cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)), 9)
+    scored = e.join(q, F.col("vec_id") != F.col("question_id")).select("question_id", "gold", "label", "vec_id", apart.alias("apart"))
+    ranked = scored.withColumn("rn", F.row_number().over(Window.partitionBy("question_id").orderBy("apart", "vec_id"))).where("rn <= 24")
+    return ranked.select("question_id", F.when(F.col("rn") <= 8, "naive").otherwise("hybrid").alias("mode"), "gold", "label")
+
+
+@query(EVAL_SQL + " SELECT question_id, mode, CASE WHEN bool_or(label = gold) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS recall FROM h GROUP BY question_id, mode")
+def eval_recall(spark, d):
+    rows = _eval_rows(spark, d).groupBy("question_id", "mode").agg(F.array(F.first("gold")).alias("gold"), F.collect_set("label").alias("found"))
+    return rows.select("question_id", "mode", evaluate.recall(F.col("gold"), F.col("found")).alias("recall"))
+
+
+@query(EVAL_SQL + " SELECT question_id, mode, avg(CASE WHEN label = gold THEN 1.0 ELSE 0.0 END) AS precision FROM h GROUP BY question_id, mode")
+def eval_precision(spark, d):
+    return _eval_rows(spark, d).groupBy("question_id", "mode").agg(F.avg((F.col("label") == F.col("gold")).cast("double")).alias("precision"))
+
+
+@query(EVAL_SQL + """, p AS (SELECT question_id, mode, avg(CASE WHEN label = gold THEN 1.0 ELSE 0.0 END) AS v, CASE WHEN question_id % 2 = 0 THEN 'multi' ELSE 'single' END AS hops FROM h GROUP BY question_id, mode)
+SELECT mode, 'citation_precision' AS metric, round(avg(v), 9) AS value, round(avg(CASE WHEN hops = 'multi' THEN v END), 9) AS multi FROM p GROUP BY mode""")
+def eval_aggregate(spark, d):
+    p = _eval_rows(spark, d).groupBy("question_id", "mode").agg(F.avg((F.col("label") == F.col("gold")).cast("double")).alias("citation_precision"))
+    p = p.withColumn("hops", F.when(F.col("question_id") % 2 == 0, "multi").otherwise("single"))
+    return evaluate.aggregated(p).select("mode", "metric", F.round("value", 9).alias("value"), F.round("multi", 9).alias("multi"))
+
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+@query(f"SELECT avg(CASE WHEN coalesce(regexp_matches(said, {quoted(DOMAIN.refusal)}), false) THEN 1.0 ELSE 0.0 END) AS rate FROM {values(SAID, 'id', 'said')}")
+def refusal_rate(spark, d):
+    return evaluate.refusal_rate(spark.createDataFrame(SAID, "id int, answer string"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").orderBy("vec_id").limit(10)
+    """Hybrid retrieval: nearest vectors and graph neighbourhood, fused and cited."""
+    return hybrid_merge(spark, sf_dir)
