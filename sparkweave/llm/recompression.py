@@ -281,15 +281,22 @@ def kept(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
-def _repeated(found: DataFrame) -> DataFrame:
-    """Of rows (anchor, context, doc, low, high) those whose anchor occurs more than once."""
-    return found.join(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchor")
+def _repeated(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (anchor, context, doc, low, high) those whose anchor occurs more than once, and the table of these anchors.
+
+    The anchors are a table of their own, so the join reads two exchanges and a common anchor's rows can be split.
+    """
+    shared = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    release(found.sparkSession)
+    return found.join(shared, "anchor"), shared
 
 
 def repeated_ranges(docs: DataFrame, window: int = 20, levels: int = 2) -> DataFrame:
     """doc and ranges: array of (low, high), the windows of the document that also start earlier. ``docs``: doc, text; doc is unique."""
     spark = docs.sparkSession
-    rows = written(_repeated(occurrence_rows(docs, window, levels)), "repeated")
+    repeated, shared = _repeated(occurrence_rows(docs, window, levels))
+    rows = written(repeated, "repeated")
+    dropped(shared)
     release(spark)
     first = written(rows.groupBy("anchor", "context").agg(F.min(F.struct("doc", "low", "high")).alias("first"), F.count(F.lit(1)).alias("n")), "first")
     again = rows.join(first.where("n > 1").select("anchor", "context", "first"), ["anchor", "context"])
