@@ -87,7 +87,7 @@ def form_label(path: Column) -> Column:
 
 def form_of_path(path: Column) -> Column:
     """``P-N[S]`` from the beginning of a file name; null without one."""
-    name = F.lower(F.regexp_extract(path, r"([^\\/]*)$", 1))
+    name = F.regexp_replace(_stem(path), "instr$", "")
     part = lambda g: F.upper(F.regexp_extract(name, IN_FILE, g))
     return F.when(F.rlike(name, F.lit(IN_FILE)), F.concat(part(1), F.lit("-"), part(2), part(3)))
 
@@ -101,9 +101,9 @@ def parse_score(text: Column) -> Column:
     """A score of 0 to 1 from a judge's answer: a score field or else the first number; scales of ten and a hundred are recognised."""
     named = F.regexp_extract(text, r'(?i)"?score"?\s*[:=]\s*(-?\d+(?:\.\d+)?)', 1)
     first = F.regexp_extract(text, r"(?:score\D*)?(-?\d+(?:\.\d+)?)", 1)
-    value = F.coalesce(F.when(named != "", named.cast("double")), F.when(first != "", first.cast("double")))
+    value = F.coalesce(F.when(named != "", named.cast("double")), F.when(first != "", first.cast("double")), F.lit(0.0))
     scaled = F.when((value > 1) & (value <= 10), value / 10).when(value > 10, value / 100).otherwise(value)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))
 
 
 def is_refusal(text: Column, domain: DomainSchema = DOMAIN) -> Column:

@@ -84,7 +84,8 @@ class Engine:
 
     def query(self, question: str, top_k: int | None = None, hops: int | None = None, use_graph: bool = True) -> Answer:
         s = self.settings
-        found = self.retriever().retrieve(question.strip(), top_k or s.top_k_vector, top_k or s.top_k_graph, hops or s.graph_hops, use_graph)
+        question = question.strip()
+        found = self.retriever().retrieve(question, top_k or s.top_k_vector, top_k or s.top_k_graph, hops or s.graph_hops, use_graph)
         cited = [r.asDict() for r in retrieve.citations(found.merged).collect()]
         if not cited:
             return Answer(NOTHING_FOUND)

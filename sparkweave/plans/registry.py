@@ -225,7 +225,7 @@ def form_labels(spark, d):
 
 
 @query(rf"""
-WITH s AS (SELECT id, lower(regexp_extract(path, '([^\\/]*)$', 1)) AS name FROM {values(PATHS, 'id', 'path')})
+WITH s AS (SELECT id, regexp_replace(regexp_replace(lower(regexp_extract(path, '([^\\/]*)$', 1)), '\.[^.]*$', ''), 'instr$', '') AS name FROM {values(PATHS, 'id', 'path')})
 SELECT id, CASE WHEN regexp_matches(name, '^([a-z]{{1,3}})-?(\d{{2,4}})([a-z]?)') THEN upper(regexp_extract(name, '^([a-z]{{1,3}})-?(\d{{2,4}})([a-z]?)', 1)) || '-'
   || regexp_extract(name, '^([a-z]{{1,3}})-?(\d{{2,4}})([a-z]?)', 2) || upper(regexp_extract(name, '^([a-z]{{1,3}})-?(\d{{2,4}})([a-z]?)', 3)) END AS form FROM s""")
 def form_of_path(spark, d):
@@ -244,7 +244,7 @@ def forms_in_text(spark, d):
 
 
 @query(rf"""
-WITH s AS (SELECT id, CAST(coalesce(nullif(regexp_extract(said, '(?i)"?score"?\s*[:=]\s*(-?\d+(?:\.\d+)?)', 1), ''), nullif(regexp_extract(said, '(?:score\D*)?(-?\d+(?:\.\d+)?)', 1), '')) AS DOUBLE) AS v FROM {values(SAID, 'id', 'said')})
+WITH s AS (SELECT id, CAST(coalesce(nullif(regexp_extract(said, '(?i)"?score"?\s*[:=]\s*(-?\d+(?:\.\d+)?)', 1), ''), nullif(regexp_extract(said, '(?:score\D*)?(-?\d+(?:\.\d+)?)', 1), ''), '0') AS DOUBLE) AS v FROM {values(SAID, 'id', 'said')})
 SELECT id, coalesce(greatest(0.0, least(1.0, CASE WHEN v > 1 AND v <= 10 THEN v / 10 WHEN v > 10 THEN v / 100 ELSE v END)), CAST(0 AS DOUBLE)) AS score FROM s""")
 def parse_score(spark, d):
     return spark.createDataFrame(SAID, "id int, said string").select("id", T.parse_score(F.col("said")).alias("score"))
