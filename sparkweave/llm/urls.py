@@ -2,8 +2,8 @@
 
 Rules name a host suffix and a path prefix; the longest rule that fits a URL decides. URLs without a rule are judged by
 gradient-boosted trees whose features are lexical: lengths, depth, digit ratio, entropy, parameter counts, words of
-the host and statistics of its suffix. The trees are trained on labelled URLs: those that a rule decides and those whose host has a
-word of a seed list. At most ``SAMPLE`` of them (chosen by a hash of the URL) are used, and they reach the driver as counts
+the host and statistics of its suffix. The trees are trained on labelled URLs: those whose host has a word of a seed list
+count as bad, those without one that no rule blocks as good. At most ``SAMPLE`` of them (chosen by a hash of the URL) are used, and they reach the driver as counts
 of equal feature vectors. The finished trees are one column expression of nested conditions, so judging is a projection of the scan.
 
 Cases: a null URL or one without ``://`` has an empty host and path, no rule, and is judged by its features; repeated
@@ -172,9 +172,9 @@ def boost(rows: list[tuple[dict, int, int]], rounds: int = 30, depth: int = 3, r
 
 
 def label_of(host: Column, verdict: Column, spam_words=SPAM_WORDS) -> Column:
-    """1 block, 0 allow, null unlabelled: a seed word in the host, else the rule's verdict."""
+    """1: a seed word in the host. 0: no seed word, and no rule that blocks. Null: blocked by a rule, which says nothing about the URL itself."""
     spam = sum((F.contains(host, F.lit(w)).cast("int") for w in spam_words), F.lit(0)) > 0
-    return F.when(spam, 1).when(verdict == "block", 1).when(verdict == "allow", 0)
+    return F.when(spam, 1).when(F.coalesce(verdict, F.lit("")) != "block", 0)
 
 
 def train(pages: DataFrame, rules=RULES, spam_words=SPAM_WORDS, sample: int = SAMPLE) -> Trees:
