@@ -4,7 +4,8 @@
 2. Spans that look disguised - letters mixed with digits or signs, single letters with gaps, letters repeated three
    times or more - become lattices: each character may stand for the letters that leetspeak writes with it, a
    run for one or two letters, a gap for nothing. Viterbi decoding under the language model picks the reading.
-3. The words of the restored text, with their beginnings and ends, are hashed into buckets. Buckets that
+3. The words of the restored text, with their beginnings and ends, are hashed into buckets. A feature is a bucket
+   that at least one, two or four different words of a text have. Features that
    speak for label 1 are selected from a sample of labelled documents, and logistic regression weighs them.
 
 The sample is bounded (``sample``, half of it for each label; rows are chosen by a hash of their id and weigh what they stand
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -163,31 +165,42 @@ def buckets_of(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
 
 
+#: How many different words of a text must have a bucket, for each level.
+LEVELS = (1, 2, 4)
+
+
+def features_of(counts: Counter) -> list[int]:
+    """The features of a text: a number for each bucket and level, from how many different words have the bucket."""
+    return [b * len(LEVELS) + i for b, n in counts.items() for i, least in enumerate(LEVELS) if n >= least]
+
+
 class Scorer:
-    """The selected buckets' weights; words are looked up once."""
+    """The selected features' weights; tokens are looked up once."""
 
     CACHE = 400_000
 
     def __init__(self, model: dict) -> None:
         self.restore = Restorer(model["letters"])
         self.weights, self.bias = model["weights"], model["bias"]
+        self.buckets = {f // len(LEVELS) for f in self.weights}
         self.seen: dict[str, tuple] = {}
 
-    def found(self, text: str | None) -> set[int]:
-        """The selected buckets that a text has."""
-        seen, out = self.seen, set()
+    def found(self, text: str | None) -> list[int]:
+        """The selected features that a text has."""
+        seen, words = self.seen, {}
         if len(seen) > self.CACHE:
             seen.clear()
         for token in self.restore.tokens(text):
             hit = seen.get(token)
             if hit is None:
-                hit = seen[token] = tuple(b for w in _WORD.findall(self.restore.token(token)) for b in buckets_of(w) if b in self.weights)
+                each = ((w, tuple(b for b in buckets_of(w) if b in self.buckets)) for w in _WORD.findall(self.restore.token(token)))
+                hit = seen[token] = tuple(x for x in each if x[1])
             if hit:
-                out.update(hit)
-        return out
+                words.update(hit)
+        return sorted(f for f in features_of(Counter(b for buckets in words.values() for b in buckets)) if f in self.weights)
 
     def score(self, text: str | None) -> float:
-        total = self.bias + sum(self.weights[b] for b in sorted(self.found(text)))
+        total = self.bias + sum(self.weights[f] for f in self.found(text))
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
@@ -214,21 +227,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y", "weight"), count[1] / total
 
 
-def _bucket_counts(rows: DataFrame, letters) -> DataFrame:
-    """bucket, with1, with0: how many documents of each label have the bucket."""
+def _feature_counts(rows: DataFrame, letters) -> DataFrame:
+    """feature, with1, with0: how many documents of each label have the feature."""
 
     def run(batches):
-        restore, counts = Restorer(letters.value), np.zeros((2, BUCKETS), np.int32)
+        restore, counts = Restorer(letters.value), np.zeros((2, BUCKETS * len(LEVELS)), np.int32)
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                counts[y, list({b for w in restore.words(text) for b in buckets_of(w)})] += 1
+                counts[y, features_of(Counter(b for w in restore.words(text) for b in buckets_of(w)))] += 1
         seen = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[1, seen]), pa.array(counts[0, seen])], names=["bucket", "with1", "with0"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[1, seen]), pa.array(counts[0, seen])], names=["feature", "with1", "with0"])
 
-    return rows.select("text", "y").mapInArrow(run, "bucket int, with1 int, with0 int").groupBy("bucket").agg(F.sum("with1").alias("with1"), F.sum("with0").alias("with0"))
+    return rows.select("text", "y").mapInArrow(run, "feature int, with1 int, with0 int").groupBy("feature").agg(F.sum("with1").alias("with1"), F.sum("with0").alias("with0"))
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, penalty: float = 0.02, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse 0/1 features, by full gradients with momentum. ``penalty``: of squared weights."""
     w, bias, v, vb = np.zeros(width), 0.0, np.zeros(width), 0.0
     weight = weight / weight.sum() * len(y)
@@ -243,7 +256,7 @@ def logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, weight: np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", sample: int = SAMPLE) -> dict:
-    """The model: letters (language model), weights by bucket, bias."""
+    """The model: letters (language model), weights by feature, bias."""
     spark = docs.sparkSession
     letters = language_model(letter_counts(docs))
     rows, prior = labelled_sample(docs, labels, label, allowed, sample)
@@ -254,15 +267,15 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = spark.sparkContext.broadcast(letters)
     ratio = F.log((F.col("with1") + 0.5) / (n.get(1, 0) + 1) / ((F.col("with0") + 0.5) / (n.get(0, 0) + 1)))
-    speaking = _bucket_counts(rows, shared).withColumn("ratio", ratio).where("with1 >= 3 and ratio > 1.5")
-    chosen = [r["bucket"] for r in speaking.orderBy(F.desc(F.col("ratio") * F.col("with1")), "bucket").limit(SELECTED).collect()]
+    speaking = _feature_counts(rows, shared).withColumn("ratio", ratio).where("with1 >= 3 and ratio > 2")
+    chosen = [r["feature"] for r in speaking.orderBy(F.desc(F.col("ratio") * F.col("with1")), "feature").limit(SELECTED).collect()]
     place = {b: i for i, b in enumerate(chosen)}
     model = spark.sparkContext.broadcast({"letters": letters, "weights": dict.fromkeys(chosen, 1.0), "bias": 0.0})
 
     def features(batches):
         scorer = Scorer(model.value)
         for batch in batches:
-            found = [sorted(scorer.found(t)) for t in batch.column("text").to_pylist()]
+            found = [scorer.found(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("y"), batch.column("weight")], names=["found", "y", "weight"])
 
     data = rows.mapInArrow(features, "found array<int>, y int, weight double").collect()
