@@ -190,12 +190,12 @@ def k_hop(graph: Graph, seeds: list, hops: int = 2, max_nodes: int = 60, fanout:
             break
         front = F.broadcast(spark.createDataFrame([(n, i) for i, n in enumerate(frontier)], f"node {key_type}, pos int"))
         known = F.broadcast(spark.createDataFrame([(n,) for n in nodes], f"other {key_type}"))
-        touching = graph.relates.select(*columns)
-        out = touching.join(front, F.col("src") == F.col("node")).withColumn("other", F.col("dst"))
-        back = touching.join(front, F.col("dst") == F.col("node")).withColumn("other", F.col("src"))
+        # Both directions from one scan of the edges; what touches the frontier is kept for the two steps that read it.
+        ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"))))
+        touching = graph.relates.select(*columns, ends.alias("end")).select(*columns, "end.node", "end.other").join(front, "node")
         by = Window.partitionBy("pos")
         heavy = by.orderBy(F.desc(F.coalesce("weight", F.lit(0.0))), "src", "predicate", "dst")
-        ranked = out.unionByName(back).withColumns({"rn": F.row_number().over(heavy), "deg": F.count(F.lit(1)).over(by)})
+        ranked = touching.withColumns({"rn": F.row_number().over(heavy), "deg": F.count(F.lit(1)).over(by)}).persist()
         fresh = ranked.where((F.col("deg") <= hub_degree) & (F.col("rn") <= fanout)).join(known, "other", "left_anti")
         admitted = fresh.groupBy("other").agg(F.min(F.struct("pos", "rn")).alias("k")).orderBy("k").limit(max_nodes - len(nodes)).collect()
         admission = spark.createDataFrame([(n, -1, -1) for n in nodes] + [(r["other"], r["k"]["pos"], r["k"]["rn"]) for r in admitted], f"other {key_type}, at int, nth int")
