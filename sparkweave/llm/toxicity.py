@@ -286,20 +286,20 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
     return {"letters": letters, "weights": {b: float(x) for b, x in zip(chosen, w)}, "bias": bias}
 
 
-def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` and score, which replaces a column of that name."""
-    spark, names = docs.sparkSession, [c for c in docs.columns if c != "score"]
+def scored(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and, as ``name``, the score."""
+    spark, names = docs.sparkSession, [c for c in docs.columns if c != name]
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         scorer = _scorer(shared.value)
         for batch in batches:
             scores = pa.array([scorer.score(t) for t in batch.column("__text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), scores], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), scores], names=[*names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([docs.schema[n] for n in names] + [StructField("score", DoubleType())])
+    schema = StructType([docs.schema[n] for n in names] + [StructField(name, DoubleType())])
     return docs.select(*(F.col(f"`{n}`") for n in names), F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
