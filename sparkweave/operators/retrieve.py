@@ -81,7 +81,7 @@ def channel_counts(merged_chunks: DataFrame) -> DataFrame:
 
 
 def context_text(chunks: DataFrame) -> DataFrame:
-    """One row, context: the chunks' texts under their citations, in order. Chunks are the merged ones, at most twenty."""
+    """One row, context: the chunks' texts under their citations, in order. Chunks are the merged ones, at most twenty. The format is fixed."""
     part = F.concat(
         F.lit("--- Source "), F.col("citation_id"), F.lit(" ["), F.coalesce("retrieval_source", F.lit("unknown")), F.lit("] ---\nDocument: "), F.coalesce("filepath", F.lit("")),
         F.lit("\nSection: "), F.coalesce("heading_path", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")), F.lit("\n"),
