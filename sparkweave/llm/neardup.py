@@ -3,11 +3,11 @@
 Texts are compared by their lower-case (A-Z) words. Equal word sequences are one text. Every text gets four 64-bit fingerprints, the
 bitwise majority of the hashes of its different words: substituting a few words moves few bits, however common
 they are. Covering masks of radius 4 give 31 tables for each fingerprint, in which all pairs within the radius meet.
-In each bucket that holds several texts a pivot is chosen by a hash, and every other text is compared with the
-pivot: first by the distance of all 256 bits, then by the Jaccard similarity of the sets of five-word shingles, which must
-reach 0.8. So a bucket costs as much as it has texts, and a large group of copies collapses onto few texts. Further rounds
-with other pivots do the same with one text for each class found so far. Classes are connected components
-of verified links; no link, class or fingerprint comes to the driver.
+In each bucket that holds several texts a pivot is chosen by a hash. A text is compared with the two pivots of each
+fingerprint that it meets in most tables: first by the distance of all 256 bits, then by the Jaccard similarity of the sets of
+five-word shingles, which must reach 0.8. So the work grows with the texts, not with the pairs of a group. Further
+rounds with other pivots go on with all texts of small classes and one of each large class, and compare texts of different
+classes only. Classes are connected components of verified links; no link, class or fingerprint comes to the driver.
 
 Recall of verified pairs is not complete: a pair must lie within the radius in one fingerprint, and be linked by some round (figures in the README).
 
@@ -32,6 +32,8 @@ from sparkweave.llm.simhash import covering_masks
 
 WIDTH, SIMILARITY = 5, 0.8
 FINGERPRINTS, RADIUS, ROUNDS = 4, 4, 4
+#: Pivots that a text is compared with, by fingerprint and round; classes up to SMALL stay whole in later rounds.
+PIVOTS, SMALL = 2, 8
 #: Differing bits, of all fingerprints together, beyond which a pair is not looked at: far more than pairs of the wanted similarity have.
 FAR = 56
 
@@ -93,8 +95,10 @@ def _with_pivots(texts: DataFrame, k: int, turn: int) -> DataFrame:
     order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id"))
     buckets = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
     buckets = written(buckets.select("mask", "key", F.col("first.doc_id").alias("a")), "buckets")
-    pairs = rows.join(buckets, ["mask", "key"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    out = written(pairs, "pairs")
+    # A text shares most tables with what is really near; there are at most as many pivots as tables.
+    met = rows.join(buckets, ["mask", "key"]).where("a <> doc_id").groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("n"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("a", F.lit(turn)).alias("h"), "a")), asc=False), 1, PIVOTS)
+    out = written(met.groupBy("doc_id").agg(best.alias("best")).select(F.explode("best.a").alias("a"), F.col("doc_id").alias("b")), "pairs")
     dropped(buckets)
     release(texts.sparkSession)
     return out
@@ -139,17 +143,20 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     near = written(_near(reduce(DataFrame.unionByName, pairs), texts), "near")
     dropped(*pairs)
     met = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(_shingle_table(docs.join(met, "doc_id", "left_semi").join(texts.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))), "shingles")
-    links = written(_similar(near, sets, similarity), "links")
     active = written(texts.join(met, "doc_id"), "active")
+    sets = written(_shingle_table(docs.join(active.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))), "shingles")
+    links = written(_similar(near, sets, similarity), "links")
     for turn in range(1, ROUNDS):
-        # Goes on with one text for each class found so far, among those that met another one.
+        # Goes on with small classes and one text of each large class, among the texts that met another one.
         labels = components(links)
-        still = active.join(labels, active["doc_id"] == labels["node"], "left").where("label is null or label = doc_id").select("doc_id", "f")
-        still = written(still, "still")
+        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        classed = active.join(labels, active["doc_id"] == labels["node"], "left").select("doc_id", "f", F.coalesce("label", "doc_id").alias("label"))
+        still = classed.join(sizes, "label", "left").where((F.coalesce("size", F.lit(1)) <= SMALL) | (F.col("label") == F.col("doc_id")))
+        still = written(still.select("doc_id", "f", "label"), "still")
         pairs = [_with_pivots(still, k, turn) for k in range(FINGERPRINTS)]
-        more = _near(reduce(DataFrame.unionByName, pairs), still).join(near, ["a", "b"], "left_anti")
-        more = written(more, "more")
+        mine, other = still.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), still.select(F.col("doc_id").alias("b"), F.col("label").alias("lb"))
+        apart = _near(reduce(DataFrame.unionByName, pairs), still).join(mine, "a").join(other, "b").where("la <> lb").select("a", "b")
+        more = written(apart.join(near, ["a", "b"], "left_anti"), "more")
         found = written(_similar(more, sets, similarity), "links")
         dropped(*pairs, still)
         if not found.limit(1).count():
