@@ -68,7 +68,8 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, stretch: int = STRE
     if seeds.count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
     found = windows(docs.select("dk", token_hashes(F.col("text")).alias("doc_tokens")), ["dk"], "doc_tokens", masks)
-    hits = found.join(seeds, "seed").select("dk", "ik", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
+    # Few documents have hits. As a table their size is known, so Spark can broadcast them while they are small and need not move all texts.
+    hits = written(found.join(seeds, "seed").select("dk", "ik", (F.col("pos") - F.col("item_pos")).alias("start")).distinct(), "hits")
     aligned = hits.join(docs, "dk").select("doc_id", "ik", "start", token_hashes(F.col("text")).alias("doc_tokens")).join(tested, "ik")
     a, b = F.col("doc_tokens"), F.col("item_tokens")
     flags = F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda j: F.coalesce(F.get(a, F.col("start") + j) == b[j], F.lit(False)).cast("int"))
