@@ -1,115 +1,156 @@
-"""Near-duplicate documents: SimHash candidates by covering hashing, verified on word shingles.
+"""Near-duplicate documents: candidates by prefix filtering on word shingles, verified by Jaccard similarity.
 
-Texts are compared by their lower-case (A-Z) words. Equal word sequences are one text. Every text gets four 64-bit fingerprints, the
-bitwise majority of the hashes of its different words: substituting a few words moves few bits, however common
-they are. Covering masks of radius 4 give 31 tables for each fingerprint, in which all pairs within the radius meet.
-In each bucket that holds several texts a pivot is chosen by a hash. A text is compared with the two pivots of each
-fingerprint that it meets in most tables: first by the distance of all 256 bits, then by the Jaccard similarity of the sets of
-five-word shingles, which must reach 0.8. So the work grows with the texts, not with the pairs of a group. Further
-rounds with other pivots go on with all texts of small classes and one of each large class, and compare texts of different
-classes only. Classes are connected components of verified links; no link, class or fingerprint comes to the driver.
+Texts are compared by their lower-case (A-Z) words. Equal word sequences are one text. Two texts are linked if the sets of their
+five-word shingles have a Jaccard similarity of at least 0.8. All links count: the classes are those of brute force, but for
+collisions of 64-bit hashes.
 
-Recall of verified pairs is not complete: a pair must lie within the radius in one fingerprint, and be linked by some round (figures in the README).
+The shingles of each text are put into one order for all texts, rare ones first; how rare is read from counts under
+``COUNTERS`` hash values, and any order would give the same classes. Of two linked texts with x <= y shingles, the first one that both
+have is among the first x - ceil(8/9 x) + 1 of the smaller text (its index part) and the first y - ceil(0.8 y) + 1 of the larger one. So the texts
+that have a shingle in these parts are a bucket, and pairs of an index part and another part are compared, as far as sizes and
+places allow the similarity.
+
+A bucket goes on until nothing in it is open: in each turn some texts of its index part, the pivots, are compared with all others
+of other classes and leave the bucket; it ends with its last index part, or when all its texts are one class. The first turn has one
+pivot for a bucket, which gathers groups of copies; later turns take all of a small bucket, and 16 times as many of a large one
+each time. Classes are connected components of verified links; no link, class or shingle comes to the driver, only the counts.
 
 Cases: null, empty and blank texts are one text without words; texts of fewer than five words are one shingle; rows with
-one doc_id count as one document with the smaller text's words; a null doc_id is a document of its own that is never dropped; an empty table
+one doc_id count as one document with the words of one of them; a null doc_id is a document of its own that is never dropped; an empty table
 gives no rows; other columns stay as they are; texts are read whole.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.llm.common import dropped, release, written
 from sparkweave.llm.components import components
-from sparkweave.llm.simhash import covering_masks
 
 WIDTH, SIMILARITY = 5, 0.8
-FINGERPRINTS, RADIUS, ROUNDS = 4, 4, 4
-#: Pivots that a text is compared with, by fingerprint and round; classes up to SMALL stay whole in later rounds.
-PIVOTS, SMALL = 2, 8
-#: Differing bits, of all fingerprints together, beyond which a pair is not looked at: far more than pairs of the wanted similarity have.
-FAR = 56
-
-
-def word_fingerprints(words: list[bytes], many: int = FINGERPRINTS) -> list[int]:
-    """Signed fingerprints of the set of words."""
-    if not words:
-        return [0] * many
-    distinct = list(set(words))
-    ones = np.zeros(64 * many, np.int64)
-    for low in range(0, len(distinct), 1 << 14):
-        part = distinct[low : low + (1 << 14)]
-        hashes = np.array([[xxhash.xxh64_intdigest(w, seed) for seed in range(many)] for w in part], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(distinct), bitorder="little").view("<i8").tolist()
+#: Hash values under which shingles are counted; buckets up to SMALL are compared whole after the first turn.
+COUNTERS, SMALL = 1 << 18, 64
+#: Odd factors of the places in a shingle.
+_FACTORS = np.array([xxhash.xxh64_intdigest(b"place", i) | 1 for i in range(WIDTH)], np.uint64)
 
 
 def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles."""
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))], np.uint64))
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    n = max(1, len(words) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(width, len(words))):
+        out += hashes[i : i + n] * _FACTORS[i]
+    return np.unique(out ^ (out >> np.uint64(29)))
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id, t0, t1 (a 128-bit hash of the word sequence) and the fingerprints f for every document."""
+def _identity(words: list[bytes]) -> tuple[int, int]:
+    t = xxhash.xxh3_128_digest(b" ".join(words))
+    return int.from_bytes(t[:8], "little", signed=True), int.from_bytes(t[8:], "little", signed=True)
+
+
+def _least(share: float, n: int) -> int:
+    """The least whole number that is at least the share of n; rounding errors never make it greater."""
+    return math.ceil(share * n - 1e-6)
+
+
+def _counts(docs: DataFrame) -> np.ndarray:
+    """How many texts have a shingle of each hash value."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                total += np.bincount((shingles(_words(text)) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) if text else 0
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["h", "n"])
+
+    found = docs.select("text").mapInArrow(run, "h int, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found.column("h").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _texts(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, t0, t1 (a 128-bit hash of the word sequence), size (distinct shingles) and the first shingles for every row."""
+    counts = docs.sparkSession.sparkContext.broadcast(_counts(docs))
 
     def run(batches):
+        order = counts.value
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for text in batch.column("text").to_pylist():
                 words = _words(text)
-                t = xxhash.xxh3_128_digest(b" ".join(words))
-                for column, value in zip(out, (int.from_bytes(t[:8], "little", signed=True), int.from_bytes(t[8:], "little", signed=True), word_fingerprints(words))):
+                s = shingles(words)
+                first = s[np.lexsort((s, order[(s % np.uint64(COUNTERS)).astype(np.int64)]))][: len(s) - _least(similarity, len(s)) + 1]
+                for column, value in zip(out, (*_identity(words), len(s), first.view(np.int64))):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["doc_id", "t0", "t1", "f"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types))], names=["doc_id", "t0", "t1", "size", "first"])
 
-    return docs.mapInArrow(run, "doc_id long, t0 long, t1 long, f array<long>")
+    return docs.mapInArrow(run, "doc_id long, t0 long, t1 long, size int, first array<long>")
 
 
 def _shingle_table(docs: DataFrame) -> DataFrame:
+    """doc_id, shingles of the rows whose words have the hash t0, t1."""
+
     def run(batches):
         for batch in batches:
-            packed = [shingles(_words(t)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
-
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
-
-
-def _with_pivots(texts: DataFrame, k: int, turn: int) -> DataFrame:
-    """a, b: the pivot and another text of each shared bucket in the tables of fingerprint k."""
-    masks = F.array(*(F.lit(m).cast("long") for m in covering_masks(RADIUS)))
-    rows = texts.select("doc_id", F.col("f")[k].alias("fp"), F.explode(masks).alias("mask"))
-    rows = rows.select("doc_id", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id"))
-    buckets = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
-    buckets = written(buckets.select("mask", "key", F.col("first.doc_id").alias("a")), "buckets")
-    # A text shares most tables with what is really near; there are at most as many pivots as tables.
-    met = rows.join(buckets, ["mask", "key"]).where("a <> doc_id").groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("n"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("a", F.lit(turn)).alias("h"), "a")), asc=False), 1, PIVOTS)
-    out = written(met.groupBy("doc_id").agg(best.alias("best")).select(F.explode("best.a").alias("a"), F.col("doc_id").alias("b")), "pairs")
-    dropped(buckets)
-    release(texts.sparkSession)
-    return out
+            ids, packed = [], []
+            for i, text, t0, t1 in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "t0", "t1"))):
+                words = _words(text)
+                if _identity(words) == (t0, t1):
+                    ids.append(i)
+                    packed.append(shingles(words).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text", "t0", "t1").mapInArrow(run, "doc_id long, shingles binary")
+
 
+def _members(texts: DataFrame, similarity: float) -> DataFrame:
+    """key, doc_id, size, place, index: the first shingles that several texts have, with their places; index: in the index part."""
+    rows = texts.select("doc_id", "size", F.posexplode("first").alias("place", "key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    part = F.col("size") - F.ceil(2 * similarity / (1 + similarity) * F.col("size") - 1e-6) + 1
+    return rows.join(shared, "key").select("key", "doc_id", "size", "place", (F.col("place") < part).alias("index"))
 
-def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs a, b those whose fingerprints are not far apart."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("f").alias("fa"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("f").alias("fb"))
-    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(FINGERPRINTS)))
-    return pairs.distinct().join(left, "a").join(right, "b").where(apart <= FAR).select("a", "b")
+
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The members of buckets that have texts of several classes and an index part, with label and the bucket's n."""
+    if labels is None:
+        rows = members.withColumn("label", F.col("doc_id"))
+    else:
+        rows = members.drop("label", "n").join(labels, members["doc_id"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "doc_id"))
+    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("index").alias("any"))
+    return rows.join(stats.where("low <> high and any").select("key", "n"), "key")
+
+
+def _chosen(members: DataFrame, turn: int) -> DataFrame:
+    """key, doc_id, size, place, label of the turn's pivots."""
+    index = members.where("index")
+    order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "size", "place", "label")
+    slot = F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(16**turn))
+    some = index.where(F.col("n") > SMALL if turn else F.lit(True)).groupBy("key", slot.alias("slot")).agg(F.min(order).alias("p")).select("key", "p.doc_id", "p.size", "p.place", "p.label")
+    return some.unionByName(index.where(F.col("n") <= SMALL).select(*some.columns)) if turn else some
+
+
+def _possible(similarity: float) -> Column:
+    """Whether sizes and places leave room for the similarity, if the shingle is the first one that both texts have."""
+    small, large = F.least("p.size", "m.size"), F.greatest("p.size", "m.size")
+    rest = F.least(F.col("p.size") - F.col("p.place"), F.col("m.size") - F.col("m.place"))
+    return (small >= similarity * large - 1e-6) & (rest >= similarity / (1 + similarity) * (small + large) - 1e-6)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -135,39 +176,42 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class, for every different doc_id that is not null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    every = written(_texts(docs), "texts")
-    one = every.groupBy("doc_id").agg(F.min(F.struct("t0", "t1", "f")).alias("x")).select("doc_id", "x.*")
-    equal = written(one.groupBy("t0", "t1").agg(F.min("doc_id").alias("doc_id"), F.first("f").alias("f")), "equal")
-    texts = equal.select("doc_id", "f")
-    pairs = [_with_pivots(texts, k, 0) for k in range(FINGERPRINTS)]
-    near = written(_near(reduce(DataFrame.unionByName, pairs), texts), "near")
-    dropped(*pairs)
-    met = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    active = written(texts.join(met, "doc_id"), "active")
-    sets = written(_shingle_table(docs.join(active.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))), "shingles")
-    links = written(_similar(near, sets, similarity), "links")
-    for turn in range(1, ROUNDS):
-        # Goes on with small classes and one text of each large class, among the texts that met another one.
-        labels = components(links)
-        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-        classed = active.join(labels, active["doc_id"] == labels["node"], "left").select("doc_id", "f", F.coalesce("label", "doc_id").alias("label"))
-        still = classed.join(sizes, "label", "left").where((F.coalesce("size", F.lit(1)) <= SMALL) | (F.col("label") == F.col("doc_id")))
-        still = written(still.select("doc_id", "f", "label"), "still")
-        pairs = [_with_pivots(still, k, turn) for k in range(FINGERPRINTS)]
-        mine, other = still.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), still.select(F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-        apart = _near(reduce(DataFrame.unionByName, pairs), still).join(mine, "a").join(other, "b").where("la <> lb").select("a", "b")
-        more = written(apart.join(near, ["a", "b"], "left_anti"), "more")
-        found = written(_similar(more, sets, similarity), "links")
-        dropped(*pairs, still)
-        if not found.limit(1).count():
-            dropped(more, found)
+    every = written(_texts(docs, similarity), "texts")
+    one = every.groupBy("doc_id").agg(F.min(F.struct("t0", "t1")).alias("x")).select("doc_id", "x.*")
+    equal = written(one.groupBy("t0", "t1").agg(F.min("doc_id").alias("doc_id")), "equal")
+    texts = every.join(equal, ["doc_id", "t0", "t1"])
+    repeats = every.count() > one.count()
+    if repeats:
+        texts = texts.dropDuplicates(["doc_id"])
+    members = written(_members(texts, similarity), "members")
+    met = members.select("doc_id").distinct().join(equal, "doc_id")
+    sets = _shingle_table(docs.join(met, "doc_id"))
+    sets = written(sets.dropDuplicates(["doc_id"]) if repeats else sets, "shingles")
+    links = labels = tried = None
+    turn = 0
+    while True:
+        rows = written(_open(members, labels), "members")
+        dropped(members)
+        members = rows
+        if not members.limit(1).count():
             break
-        links = written(links.unionByName(found), "links")
-        near = written(near.unionByName(more), "near")
-    labels = components(links)
+        pivots = written(_chosen(members, turn), "pivots")
+        pairs = pivots.alias("p").join(members.alias("m"), "key").where((F.col("p.label") != F.col("m.label")) & _possible(similarity))
+        pairs = pairs.select(F.least("p.doc_id", "m.doc_id").alias("a"), F.greatest("p.doc_id", "m.doc_id").alias("b")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = written(_similar(pairs, sets, similarity), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        members = written(members.join(pivots.select("key", "doc_id"), ["key", "doc_id"], "left_anti"), "members")
+        dropped(rows, pivots)
+        release(docs.sparkSession)
+        turn += 1
+    if labels is None:
+        labels = equal.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).limit(0)
     roots = equal.join(labels, equal["doc_id"] == labels["node"], "left").select("t0", "t1", F.coalesce("label", "doc_id").alias("class_id"))
     out = written(one.join(roots, ["t0", "t1"]).select("doc_id", "class_id"), "classes")
-    dropped(every, equal, sets, active)
+    dropped(every, equal, sets, members)
     release(docs.sparkSession)
     return out
 
