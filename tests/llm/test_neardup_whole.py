@@ -51,3 +51,23 @@ def test_pairs_within_a_hot_group(spark):
     want = brute(texts)
     assert len(set(want)) >= 100
     assert found(spark, texts) == want
+
+
+def test_groups_with_drift(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(6):
+        now = words(rng, 200)
+        for _ in range(25):
+            texts.append(" ".join(now))
+            now = edited(rng, now, 3)
+    # Large classes whose members have copies of their own that are not similar to the root.
+    for _ in range(6):
+        base = words(rng, 200)
+        for _ in range(12):
+            near = edited(rng, base, 3)
+            texts += [" ".join(near), " ".join(edited(rng, near, 3))]
+    rng.shuffle(texts)
+    want = brute(texts)
+    assert max(want.count(c) for c in set(want)) > 20
+    assert found(spark, texts) == want
