@@ -71,3 +71,17 @@ def test_groups_with_drift(spark):
     want = brute(texts)
     assert max(want.count(c) for c in set(want)) > 20
     assert found(spark, texts) == want
+
+
+def test_appended_and_cut_copies(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):
+        base = words(rng, 200, 600)
+        texts += [" ".join(base), " ".join(base + words(rng, 40, 600))]
+        base = words(rng, 240, 600)
+        texts += [" ".join(base), " ".join(base[40:])]
+    rng.shuffle(texts)
+    want = brute(texts)
+    assert len(set(want)) == 120
+    assert found(spark, texts) == want
