@@ -2,14 +2,15 @@
 
 Base spans are emails, IP addresses, card numbers and telephone numbers, found by pattern and check (parts of at most 255, the Luhn
 sum, 8 to 15 digits). Then the corpus decides which terms reveal a protected value: for a value e and a term t
-in the words around it (at most ``REACH`` characters to either side), the disclosure of e by t is their pointwise
+of the same documents, wherever in them, the disclosure of e by t is their pointwise
 mutual information over all documents, as a share of the information of e itself:
 
     log2(N * n(t,e) / (n(t) * n(e))) / log2(N / n(e))
 
-A share of one means that whoever reads t knows e. Terms with at least ``SUPPORT`` different contexts of e (copies of
-a context count once) and a share of at least ``DISCLOSURE`` become spans of the kind ``term``, wherever they stand
-around e. Sanitising replaces base spans by their kind and generalises terms: numbers to ``[NUMBER]``, other terms are removed.
+A share of one means that whoever reads t knows e. Terms that disclose at least ``DISCLOSURE`` of e become spans of the kind ``term`` wherever
+they stand, in all documents, if they have support: ``SUPPORT`` documents that hold both, or as many places of e with t among the
+``CONTEXT_WORDS`` words to either side. Documents or places count once if the ``REACH`` characters around e are the same, so
+copies give no support. Sanitising replaces base spans by their kind and generalises terms: numbers to ``[NUMBER]``, other terms are removed.
 
 All of it is DataFrame functions. Patterns are written without backtracking over runs, so long texts take linear time.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import table, written
+from sparkweave.llm.common import BREAK, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -42,9 +43,10 @@ SUPPORT, DISCLOSURE = 3, 0.9
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def find_all(text: Column, pattern: str, kind: str) -> Column:
+def find_all(text: Column, pattern: str | Column, kind: str) -> Column:
     """Array of (kind, start, end, value) for all matches, in code points. Matches are marked, and the text is cut at the marks."""
-    marked = F.regexp_replace(F.translate(text, "\x01", "\x02"), f"({pattern})", "\x01$1\x01")
+    pattern = F.lit(f"({pattern})") if isinstance(pattern, str) else F.concat(F.lit("("), pattern, F.lit(")"))
+    marked = F.regexp_replace(F.translate(text, "\x01", "\x02"), pattern, F.lit("\x01$1\x01"))
     parts = F.split(marked, "\x01", -1)
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_SPAN).alias("out"))
 
@@ -99,24 +101,44 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return one.select("key", F.xxhash64("s.kind", "s.value").alias("entity"), F.xxhash64(left, right).alias("context"), plain.alias("terms"))
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """entity, term with enough support and disclosure. ``docs``: text of all documents; ``contexts``: key, entity, context, terms."""
+def _terms(text: Column, spans: Column) -> Column:
+    """The different lower-case words of a text that hold no part of a base span."""
+    marks = F.transform(spans, lambda s: F.struct(F.lit("\x01").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    left = F.split(F.lower(sanitised(F.translate(text, "\x01", "\x02"), marks)), BREAK)
+    return F.array_distinct(F.filter(left, lambda w: (w != "") & ~F.contains(w, F.lit("\x01"))))
+
+
+def disclosing_terms(docs: DataFrame, protected: DataFrame) -> DataFrame:
+    """h: hashes of the terms with enough support and disclosure. ``docs``: text of all documents; ``protected``: key, text, spans."""
     n = docs.count()
-    pairs = contexts.select("key", "entity", "context", F.explode(F.array_distinct(F.transform("terms", lambda w: w["term"]))).alias("term"))
-    support = pairs.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT)
-    together = pairs.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    known = written(support.join(together, ["entity", "term"]).select("entity", "term", "n_te"), "candidates")
-    if not known.limit(1).count():
-        return known.select("entity", "term")
-    # All terms are counted under a hash and summed before the shuffle; the candidates meet the sums, not the occurrences.
-    found = docs.select(F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))).alias("h"))
-    in_docs = found.groupBy("h").agg(F.count(F.lit(1)).alias("n_t"))
-    known = known.withColumn("h", F.xxhash64("term"))
-    entities = contexts.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    scored = known.join(in_docs, "h").join(entities, "entity")
+    protected = protected.dropDuplicates(["key"])
+    contexts = _contexts(protected)
+    places = contexts.select("entity", "key", "context")
+    # An entity with fewer places that differ can have no term.
+    entities = places.groupBy("entity").agg(F.count_distinct("context").alias("c"), F.count_distinct("key").alias("n_e")).where(F.col("c") >= SUPPORT)
+    entities = written(entities.select("entity", "n_e"), "entities")
+    held = written(places.join(entities, "entity").groupBy("entity", "key", "n_e").agg(F.min("context").alias("context")), "held")
+    words = protected.join(held.select("key").distinct(), "key").select("key", F.explode(F.transform(_terms(F.col("text"), F.col("spans")), lambda w: F.xxhash64(w))).alias("h"))
+    # Terms and entities are distinct in a document, so the rows are summed before the shuffle.
+    together = words.join(held, "key").groupBy("entity", "n_e", "h").agg(F.count(F.lit(1)).alias("n_te"))
+    together = written(together, "together")
+    if not together.limit(1).count():
+        return together.select("h")
+    found = docs.select(F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), BREAK), lambda w: F.xxhash64(w)))).alias("h"))
+    scored = together.join(found.groupBy("h").agg(F.count(F.lit(1)).alias("n_t")), "h")
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     share = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / information
-    return scored.where((information > 0) & (share >= DISCLOSURE)).select("entity", "term")
+    known = written(scored.where((information > 0) & (share >= DISCLOSURE)).select("entity", "h"), "candidates")
+    in_docs = words.join(held, "key").select("entity", "h", "context")
+    near = contexts.select("entity", F.explode(F.array_distinct(F.transform("terms", lambda w: F.xxhash64(w["term"])))).alias("h"), "context")
+    kept = (x.join(known, ["entity", "h"]).distinct().groupBy("entity", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT).select("h") for x in (in_docs, near))
+    return next(kept).unionByName(next(kept)).distinct()
+
+
+def _any_of(words: Column) -> Column:
+    """A pattern of the words where they stand as whole words."""
+    quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
 
 
 def with_spans(docs: DataFrame, name: str = "pii_spans") -> DataFrame:
@@ -127,16 +149,17 @@ def with_spans(docs: DataFrame, name: str = "pii_spans") -> DataFrame:
     protected = docs.select(key.alias("key"), text.alias("text"), base_spans(text).alias("spans")).where(F.size("spans") > 0)
     protected = written(protected, "protected")
     # Rows with equal id and text are one document here.
-    found = protected.select("key", "spans").dropDuplicates(["key"])
-    contexts = _contexts(protected)
-    terms = disclosing_terms(docs.select(text.alias("text")), contexts)
-    around = contexts.select("key", "entity", F.explode("terms").alias("w")).select("key", "entity", "w.term", "w.start", "w.end")
-    added = around.join(terms, ["entity", "term"]).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "term"))).alias("added"))
-    added = added.select("key", F.transform("added", lambda w: F.struct(F.lit("term").alias("kind"), w["start"].alias("start"), w["end"].alias("end"), w["term"].alias("value"))).alias("added"))
+    found = protected.select(F.col("key").alias("__found"), F.col("spans").alias("__spans")).dropDuplicates(["__found"])
+    terms = written(disclosing_terms(docs.select(text.alias("text")), protected), "terms")
+    each = docs.select(key.alias("__holds"), F.explode(F.array_distinct(F.split(F.translate(text, "\x01", "\x02"), BREAK))).alias("w")).withColumn("h", F.xxhash64(F.lower("w")))
+    holds = written(each.join(terms, "h").groupBy("__holds").agg(F.sort_array(F.collect_set("w")).alias("__words")), "holds")
+    out = docs.select(*(F.col(f"`{c}`") for c in names), key.alias("__key")).join(found, F.col("__key") == F.col("__found"), "left").join(holds, F.col("__key") == F.col("__holds"), "left")
     none = F.array().cast(_SPAN)
-    all_spans = found.join(added, "key", "left").select(F.col("key").alias("__found"), F.concat("spans", F.coalesce("added", none)).alias("__spans"))
-    out = docs.select(*(F.col(f"`{c}`") for c in names), key.alias("__key")).join(all_spans, F.col("__key") == F.col("__found"), "left")
-    return out.select(*(F.col(f"`{c}`") for c in names), F.coalesce("__spans", none).alias(name))
+    base = F.coalesce("__spans", none)
+    # Words that hold protected data themselves are covered already.
+    plain = F.filter(find_all(text, _any_of(F.col("__words")), "term"), lambda w: ~F.exists(base, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+    added = F.transform(plain, lambda w: F.struct(w["kind"].alias("kind"), w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value")))
+    return out.select(*(F.col(f"`{c}`") for c in names), F.concat(base, F.when(F.col("__words").isNotNull(), added).otherwise(none)).alias(name))
 
 
 def written_as(spans: Column) -> Column:
