@@ -7,15 +7,17 @@ of this window, at the same place: it is an interior symbol.
 
 1. For every window of ``window`` words one interior symbol of the last round is its anchor (windows without one are their own
    anchor). Neighbouring windows that share an anchor are one row: anchor, context, document, first and last window; the
-   context is a hash of all words of these windows.
+   context is a digest of all words of these windows.
 2. Anchors that occur once belong to no repeated window. Occurrences of the others with equal context repeat each other
    window by window: all but the first are removed.
-3. Where an anchor has several contexts, the first occurrence of each gives its windows one by one, named by
-   128-bit hashes; all but the first of equal windows are removed.
+3. Where an anchor has several contexts, the first occurrence of each gives its windows one by one, named by digests of
+   their words; all but the first of equal windows are removed.
 4. The words of removed windows leave their documents.
 
 No pairs are formed and no group is gathered: occurrences meet through sums and minima that are combined before
-each shuffle. Equality is judged on 128 bits of independent hashes (anchor and context, or two window hashes).
+each shuffle. Names of symbols only bring occurrences together, so a collision of names costs a comparison and no
+words. What is removed is equal by a 128-bit cryptographic digest (BLAKE2) of the words themselves, which verifies the repeat
+without moving the texts to each other.
 
 Cases: null, empty and blank texts have no words and stay as they are (zero words, the hash of the empty string); documents shorter
 than the window lose nothing; repeated rows and equal ``doc_id``: rows with one ``doc_id`` are numbered by
@@ -29,15 +31,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.llm.common import dropped, release, table, written
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-#: Bytes of text that are parsed at once, and of those that are hashed at once.
-BLOCK, CHUNK = 1 << 21, 1 << 20
+#: Bytes of text that are parsed at once.
+BLOCK = 1 << 21
 #: Symbols of so many words are preferred.
 ENOUGH = 4
 
@@ -51,80 +53,48 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _breaks = np.zeros(256, bool)
 _breaks[[0x20, *range(0x09, 0x0E)]] = True
-_bytes = mix(np.arange(1, 257, dtype=np.uint64) * MIX[0])
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, one after the other, and how many words each text has."""
-    out, sizes = [], np.zeros(len(texts), np.int64)
-    for data in _chunks(texts):
-        codes = np.frombuffer(b" ".join(data[1]) + b" ", np.uint8)
-        gap = _breaks[codes]
-        starts = np.flatnonzero(np.r_[True, gap[:-1]] & ~gap)
-        ends = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
-        total, down = _prefix(_bytes[codes], 0)
-        out.append(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * MIX[2]))
-        edge = np.cumsum([0, *(len(t) + 1 for t in data[1])])
-        sizes[data[0] : data[0] + len(data[1])] += np.diff(np.searchsorted(starts, edge))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), sizes
-
-
-def _chunks(texts: list[bytes]):
-    """(number of the first text, texts) of about CHUNK bytes; longer texts come alone, in parts cut at a space."""
-    first, part, size = 0, [], 0
-    for i, text in enumerate(texts):
-        if len(text) > CHUNK:
-            if part:
-                yield first, part
-            at = 0
-            while at < len(text):
-                to = len(text) if len(text) - at <= CHUNK else max(text.rfind(b" ", at, at + CHUNK), text.rfind(b"\n", at, at + CHUNK))
-                to = to if to > at else len(text)
-                yield i, [text[at:to]]
-                at = to
-            first, part, size = i + 1, [], 0
-        else:
-            if not part:
-                first = i
-            part.append(text)
-            size += len(text)
-            if size > CHUNK:
-                yield first, part
-                part, size = [], 0
-    if part:
-        yield first, part
-
-
-def powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_powers: dict = {}
-
+class Words:
+    """The words of some texts, one after the other: ``text`` has one space after each, word i begins at ``begin[i]``."""
 
-def _prefix(values: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of value * base**i and the powers of the inverse base: any substring's hash in two steps."""
-    n = len(values)
-    if which not in _powers or len(_powers[which][0]) <= n:
-        base = BASES[which]
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        _powers[which] = powers(2 * n, base), powers(2 * n, inverse)
-    up, down = _powers[which]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * up[:n], out=total[1:])
-    return total, down
-
-
-def sums(hashes: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """For ``substring_hash``: two independent hashes of word sequences."""
-    return _prefix(mix(hashes + MIX[0]) if which else hashes, which)
-
-
-def substring_hash(prefix: tuple[np.ndarray, np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    total, down = prefix
-    return mix((total[high] - total[low]) * down[low] + (high - low).astype(np.uint64))
+    def __init__(self, texts: list[bytes]) -> None:
+        codes = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        gap = _breaks[codes]
+        last = gap & np.r_[False, ~gap[:-1]]  # the break after a word
+        flat = codes.copy()
+        flat[last] = 0x20
+        self.text = flat[~gap | last].tobytes()
+        edge = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        #: How many words each text has.
+        self.sizes = np.diff(np.searchsorted(np.flatnonzero(last), edge))
+        self.begin = np.r_[0, np.flatnonzero(np.frombuffer(self.text, np.uint8) == 0x20) + 1]
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the words; each different word is hashed once."""
+        offsets = pa.py_buffer(self.begin.astype(np.int64))
+        cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.begin) - 1, [None, offsets, pa.py_buffer(self.text)]).dictionary_encode()
+        known = np.array([xxhash.xxh3_64_intdigest(w) for w in cells.dictionary.to_pylist()], np.uint64)
+        return known[cells.indices.to_numpy()] if len(known) else known
+
+    def digests(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """128-bit digests of the words from ``low`` to before ``high``, as two columns."""
+        text, blake = self.text, hashlib.blake2b
+        ranges = zip(self.begin[low].tolist(), (self.begin[high] - 1).tolist())
+        return np.frombuffer(b"".join([blake(text[a:b], digest_size=16).digest() for a, b in ranges]), "<u8").reshape(-1, 2)
+
+
+def names(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Names of the word sequences from ``low`` to before ``high``, from the names of two runs of 2**k words that cover each."""
+    size = high - low
+    out = np.zeros(len(low), np.uint64)
+    run, width = hashes, 1
+    while len(size) and width <= size.max():
+        at = np.flatnonzero((size >= width) & (size < 2 * width))
+        out[at] = mix(run[low[at]] * MIX[1] + mix(run[high[at] - width] + size[at].astype(np.uint64) * MIX[0]))
+        run = mix(run[: max(0, len(run) - width)] * MIX[1] + mix(run[width:] + MIX[2]))
+        width *= 2
+    return out
 
 
 def rounds(hashes: np.ndarray, doc: np.ndarray, levels: int):
@@ -167,15 +137,17 @@ def rounds(hashes: np.ndarray, doc: np.ndarray, levels: int):
         yield name, starts, ends, lo, hi, own
 
 
-def anchors(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, window: int, levels: int):
+def anchors(words: Words, window: int, levels: int):
     """Rows (anchor, context, document, first window, last window): document is an index, windows are word numbers in it."""
+    hashes, sizes = words.hashes(), words.sizes
+    doc = np.repeat(np.arange(len(sizes)), sizes)
     offset = np.r_[0, np.cumsum(sizes)][:-1]
     n = len(hashes)
     whole = np.arange(n) + window <= (offset + sizes)[doc] if n else np.zeros(0, bool)
     start = np.flatnonzero(whole)
     if not len(start):
         empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), empty, empty, empty
+        return np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64), empty, empty, empty
     *_, (symbol, first, end, lo, hi, _) = rounds(hashes, doc, levels)
     inside = np.flatnonzero((hi - lo <= window) & (lo >= 0) & (hi <= n))
     symbol, size, lo, hi = symbol[inside], (end - first)[inside], lo[inside], hi[inside]
@@ -198,9 +170,10 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, sizes: np.ndarray, window: int,
     cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (start[1:] != start[:-1] + 1)])
     low, high, a, b = start[cut], start[np.r_[cut[1:], len(start)] - 1], a[cut], b[cut]
     own = doc[low]
-    name = substring_hash(sums(hashes, 0), a, b)
+    context = words.digests(low, high + window).copy()
     # The anchor's place in its first window is part of the context: equal contexts then hold equal windows in step.
-    context = mix(substring_hash(sums(hashes, 1), low, high + window) + (a - low).astype(np.uint64) * MIX[0])
+    context[:, 0] ^= mix((a - low).astype(np.uint64) * MIX[0])
+    name = names(hashes, a, b)
     return name, context, own, low - offset[own], high - offset[own]
 
 
@@ -221,36 +194,36 @@ def _blocks(batches):
 
 
 def _signed(a: np.ndarray) -> pa.Array:
-    return pa.array(a.astype(np.uint64).view(np.int64))
+    return pa.array(np.ascontiguousarray(a, np.uint64).view(np.int64))
 
 
 def occurrence_rows(docs: DataFrame, window: int, levels: int) -> DataFrame:
-    """anchor, context, doc, low, high for every document, where doc is its order key."""
+    """anchor, c0, c1 (the context), doc, low, high for every document, where doc is its order key."""
 
     def run(batches):
         for rows in _blocks(batches):
-            hashes, sizes = word_hashes([r[1] for r in rows])
-            name, context, own, low, high = anchors(hashes, np.repeat(np.arange(len(rows)), sizes), sizes, window, levels)
+            name, context, own, low, high = anchors(Words([r[1] for r in rows]), window, levels)
             keys = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([_signed(name), _signed(context), keys, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["anchor", "context", "doc", "low", "high"])
+            columns = [_signed(name), _signed(context[:, 0]), _signed(context[:, 1]), keys, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "c0", "c1", "doc", "low", "high"])
 
-    return docs.mapInArrow(run, "anchor long, context long, doc long, low int, high int")
+    return docs.mapInArrow(run, "anchor long, c0 long, c1 long, doc long, low int, high int")
 
 
 def window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """h1, h2, doc, start for the windows in the ranges of each document: columns doc, text, ranges."""
+    """h1, h2 (a digest of the words), doc, start for the windows in the ranges of each document: columns doc, text, ranges."""
 
     def run(batches):
         for rows in _blocks(batches):
-            hashes, sizes = word_hashes([r[1] for r in rows])
-            offset = np.cumsum(sizes) - sizes
+            words = Words([r[1] for r in rows])
+            offset = np.cumsum(words.sizes) - words.sizes
             low = np.concatenate([[r["low"] + o for r in row[2]] for row, o in zip(rows, offset)])
             many = np.concatenate([[r["high"] - r["low"] + 1 for r in row[2]] for row in rows])
             start = np.unique(np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum()))
             own = np.searchsorted(offset, start, side="right") - 1
-            h1, h2 = (substring_hash(sums(hashes, k), start, start + window) for k in (0, 1))
+            digest = words.digests(start, start + window)
             keys = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), keys, pa.array((start - offset[own]).astype(np.int32))], names=["h1", "h2", "doc", "start"])
+            yield pa.RecordBatch.from_arrays([_signed(digest[:, 0]), _signed(digest[:, 1]), keys, pa.array((start - offset[own]).astype(np.int32))], names=["h1", "h2", "doc", "start"])
 
     return docs.mapInArrow(run, "h1 long, h2 long, doc long, start int")
 
@@ -282,7 +255,7 @@ def kept(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
 
 
 def _repeated(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (anchor, context, doc, low, high) those whose anchor occurs more than once, and the table of these anchors.
+    """Of rows (anchor, c0, c1, doc, low, high) those whose anchor occurs more than once, and the table of these anchors.
 
     The anchors are a table of their own, so the join reads two exchanges and a common anchor's rows can be split.
     """
@@ -298,8 +271,8 @@ def repeated_ranges(docs: DataFrame, window: int = 20, levels: int = 2) -> DataF
     rows = written(repeated, "repeated")
     dropped(shared)
     release(spark)
-    first = written(rows.groupBy("anchor", "context").agg(F.min(F.struct("doc", "low", "high")).alias("first"), F.count(F.lit(1)).alias("n")), "first")
-    again = rows.join(first.where("n > 1").select("anchor", "context", "first"), ["anchor", "context"])
+    first = written(rows.groupBy("anchor", "c0", "c1").agg(F.min(F.struct("doc", "low", "high")).alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    again = rows.join(first.where("n > 1").select("anchor", "c0", "c1", "first"), ["anchor", "c0", "c1"])
     again = written(again.where("doc <> first.doc or low <> first.low").select("doc", "low", "high"), "again")
     mixed = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     high = first.join(mixed, "anchor").select("first.*")

@@ -72,6 +72,36 @@ def test_against_brute_force(spark):
             assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == want[2]
 
 
+def test_words_and_names():
+    rng = random.Random(4)
+    texts = [b"", b" \t", b"one", b"  two  words\n", *(" ".join(rng.choice(["a", "bb", "", "\r\x0b", "\u00e9"]) for _ in range(50)).encode() for _ in range(30))]
+    words = R.Words(texts)
+    flat = [w for t in texts for w in t.split()]
+    assert words.sizes.tolist() == [len(t.split()) for t in texts]
+    assert [words.text[a : b - 1] for a, b in zip(words.begin[:-1], words.begin[1:])] == flat
+    hashes = words.hashes()
+    assert len(set(hashes.tolist())) == len(set(flat)) and all((hashes[i] == hashes[j]) == (flat[i] == flat[j]) for i in range(40) for j in range(40))
+    low = np.array([rng.randrange(len(flat) - 60) for _ in range(2000)])
+    high = low + np.array([rng.choice([1, 2, 3, 7, 8, 20]) for _ in low])
+    for named in (R.names(hashes, low, high).tolist(), list(map(tuple, words.digests(low, high).tolist()))):
+        by = {}
+        for name, a, b in zip(named, low, high):
+            assert by.setdefault(name, tuple(flat[a:b])) == tuple(flat[a:b])
+        assert len(by) == len({tuple(flat[a:b]) for a, b in zip(low, high)})
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Words of 2048 letters that are each other's complement in the Thue-Morse sequence: every polynomial hash modulo 2**64 takes them for equal."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(30)]
+    text = lambda w: " ".join([*rest[:15], w, *rest[15:]])
+    docs = [(1, text(word)), (2, text(other)), (3, text(word)), (4, " ".join([word, other] * 40)), (5, " ".join([other, word] * 40))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in R.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = dict(zip((i for i, _ in docs), brute([t for _, t in docs])))
+    assert got == want and got[2][1] == 0 and got[3][1] == 31
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(1, text), (1, text), (None, text), (0, "z " + text), (None, None)]
