@@ -7,24 +7,30 @@ added by carry-save adders into the slices of the sum. From the most significant
 narrowed down; the bits left out bound each sum's error, and all rows that this bound leaves open
 are resolved exactly. Blocks are independent; their best rows are merged.
 
-Cases: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id; of rows
-with the same id one takes part (the least vector, compared by components); shorter vectors count as filled up with zeros; ties
-go to the smaller id; fewer rows than k: all of them; an empty table gives no rows; other columns are ignored.
-Components are taken as integers below 2**31.
+Blocks are packed where their rows lie, after the rows were dealt out evenly. Vectors whose components are too large for
+sums of 64 bits stand beside the index and are scored with whole numbers of any size.
+
+Cases: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id; rows
+with a repeated id all take part, but none is a candidate for a query of this id, and queries of one id have one list of results;
+shorter vectors count as filled up with zeros, also beside a very long one; ties go to the smaller id; fewer rows than k: all of them; scores beyond 64
+bits count as the last number of that side; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkweave.llm.common import table, written
 
-#: Rows of a block of the index, and queries that meet a block at once.
-BLOCK_ROWS, BLOCK_QUERIES = 16384, 256
+#: Most rows of a block of the index, most queries that meet a block at once, and most components of either.
+BLOCK_ROWS, BLOCK_QUERIES, AREA = 65536, 256, 1 << 22
 #: Lowest bits of the values that the index leaves out.
 LEFT_OUT = 1
 
@@ -89,9 +95,8 @@ class Block:
                         columns.setdefault(bit + b, []).append(part[:, b])
         sums = _add(columns)
         usable = self.all.copy()
-        at = np.searchsorted(self.ids, own)
-        if at < len(self.ids) and self.ids[at] == own:
-            usable[at // 64] &= ~np.uint64(1 << int(at % 64))
+        for at in range(*np.searchsorted(self.ids, [own, own + 1])):
+            usable[at // 64] &= ~np.uint64(1 << (at % 64))
         # Downward from the highest slice: sure rows, rows still level with the boundary, and the boundary's value.
         sure, level, value = np.zeros_like(usable), usable, 0
         for s in reversed(sums):
@@ -126,65 +131,122 @@ class Block:
         return above | level
 
 
-def quantised(vectors: DataFrame, key: str, vector: str, scale: int = 64) -> DataFrame:
-    """id, v: floor(scale * x) of every usable vector, one row for each id."""
+def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """id, x: the vectors whose components are all finite numbers."""
     x = F.col(vector).cast("array<double>")
-    usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.where(x.isNotNull() & F.col(key).isNotNull()).where(usable)
-    return rows.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("v"))
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return vectors.where(x.isNotNull() & F.col(key).isNotNull()).where(finite).select(F.col(key).cast("long").alias("id"), x.alias("x"))
+
+
+def _limit(dims: int) -> int:
+    """Components below it have inner products below 2**62."""
+    return 1 << min(30, (62 - max(1, dims).bit_length()) // 2)
+
+
+def _packed(rows: DataFrame, parts: int, most: int, scale: int) -> DataFrame:
+    """block, part, wide, ids, dims, v: the rows in ``parts`` even blocks, as binary columns of whole numbers (wide: of the unscaled numbers)."""
+    names = ["block", "part", "wide", "ids", "dims", "v"]
+
+    def pack(batches):
+        block, part = TaskContext.get().partitionId(), 0
+        waiting: dict[bool, list] = {False: [], True: []}
+
+        def full(wide: bool) -> pa.RecordBatch:
+            nonlocal part
+            ids, vectors = zip(*waiting[wide])
+            waiting[wide] = []
+            values = np.zeros((len(ids), max(map(len, vectors))), "<f8" if wide else "<i4")
+            for n, v in enumerate(vectors):
+                values[n, : len(v)] = v
+            part += 1
+            row = (block, part, wide, np.array(ids, "<i8").tobytes(), values.shape[1], values.tobytes())
+            types = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=names)
+
+        for batch in batches:
+            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
+            with np.errstate(over="ignore"):
+                whole = np.floor(flat * scale)
+            end = 0
+            for key, n in zip(batch.column("id").to_pylist(), batch.column("x").value_lengths().to_pylist()):
+                begin, end = end, end + n
+                wide = bool(n and np.abs(whole[begin:end]).max() >= _limit(n))
+                group = waiting[wide]
+                if group and (len(group) >= most or (len(group) + 1) * max(n, max(len(v) for _, v in group[:1])) > AREA):
+                    yield full(wide)
+                    group = waiting[wide]
+                # The longest vector stands first, so that the size of the matrix is known.
+                group.append((key, (flat if wide else whole)[begin:end]))
+                if len(group[0][1]) < n:
+                    group[0], group[-1] = group[-1], group[0]
+        for wide, group in waiting.items():
+            if group:
+                yield full(wide)
+
+    return rows.repartition(parts).mapInArrow(pack, "block int, part int, wide boolean, ids binary, dims int, v binary")
+
+
+def _whole(values: np.ndarray, wide: bool, scale: int) -> np.ndarray:
+    """The components as whole numbers of any size."""
+    if not wide:
+        return values.astype(object)
+    flat = [math.floor(x * scale) if math.isfinite(x * scale) else int(x) * scale for x in values.ravel().tolist()]
+    out = np.empty(values.size, object)
+    out[:] = flat
+    return out.reshape(values.shape)
 
 
-def _packed(rows: DataFrame, blocks: int) -> DataFrame:
-    """block, ids, dims, v: a block's rows as binary columns. Rows of one id meet in one block; one of them stays."""
+def _exact_top(ids: np.ndarray, values: np.ndarray, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best rows but the query's own, from whole numbers of any size."""
+    last = (1 << 63) - 1
+    scores = np.array([min(max(sum(a * b for a, b in zip(row, query)), -last - 1), last) for row in values.tolist()], np.int64)
+    good = np.flatnonzero(ids != own)
+    best = good[np.lexsort((ids[good], ~scores[good]))[:k]]  # ~: the order of -x without its overflow
+    return ids[best], scores[best]
 
-    def gather(key, group):
-        ids, lists = group.column("id").to_numpy(), group.column("v").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], lists[i]))
-        order = [i for n, i in enumerate(order) if not n or ids[order[n - 1]] != ids[i]]
-        dims = max((len(x) for x in lists), default=0)
-        values = np.zeros((len(order), dims), "<i4")
-        for n, i in enumerate(order):
-            values[n, : len(lists[i])] = lists[i]
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": [ids[order].astype("<i8").tobytes()], "dims": pa.array([dims], pa.int32()), "v": [values.tobytes()]})
 
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    return rows.select("id", "v", block.alias("block")).groupBy("block").applyInArrow(gather, "block int, ids binary, dims int, v binary")
+def _matrix(row: dict, side: str = "") -> tuple[np.ndarray, np.ndarray]:
+    keys = np.frombuffer(row[side + "ids"], "<i8")
+    return keys, np.frombuffer(row[side + "v"], "<f8" if row[side + "wide"] else "<i4").reshape(len(keys), row[side + "dims"])
 
 
-def _matrix(ids: bytes, dims: int, values: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(ids, "<i8")
-    out = np.zeros((len(keys), width), np.int64)
-    out[:, :dims] = np.frombuffer(values, "<i4").reshape(len(keys), dims)
-    return keys, out
+def _as_long_as(vector: np.ndarray, dims: int) -> np.ndarray:
+    return np.r_[vector[:dims], np.zeros(max(0, dims - len(vector)), vector.dtype)]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score. ``is_query``: a condition on the column id. Every query meets every block of the index."""
-    rows = written(quantised(vectors, key, vector, scale), "quantised")
+    rows = written(usable(vectors, key, vector), "usable")
     n = rows.count()
     blocks = max(4, -(-n // BLOCK_ROWS)) if n else 1
     asked = rows.where(is_query)
     groups = max(1, -(-asked.count() // BLOCK_QUERIES))
-    index = written(_packed(rows, blocks), "index")
-    queries = _packed(asked, groups).select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("v").alias("q_v"))
-    queries = written(queries, "queries").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    index = written(_packed(rows, blocks, BLOCK_ROWS, scale), "index")
+    queries = written(_packed(asked, groups, BLOCK_QUERIES, scale), "queries")
+    queries = queries.select(*(F.col(c).alias("q_" + c) for c in ("wide", "ids", "dims", "v")), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def search(batches):
-        last: tuple = (None, None)
+        known: dict = {}
         for batch in batches:
             for row in batch.to_pylist():
-                width = max(row["dims"], row["q_dims"])
-                if last[0] != (row["block"], width):
-                    last = (row["block"], width), Block(*_matrix(row["ids"], row["dims"], row["v"], width))
-                out: list[list] = [[], [], []]
-                for own, query in zip(*_matrix(row["q_ids"], row["q_dims"], row["q_v"], width)):
-                    ids, scores = last[1].top(query, k, int(own))
+                at = row["block"], row["part"]
+                exact = row["wide"] or row["q_wide"]
+                if (at, exact) not in known:
+                    if len(known) > 3:
+                        known.clear()
+                    ids, values = _matrix(row)
+                    known[at, exact] = (ids, _whole(values, row["wide"], scale)) if exact else Block(ids, values.astype(np.int64))
+                one, out = known[at, exact], [[], [], []]
+                asked_ids, asked_values = _matrix(row, "q_")
+                asked_values = _whole(asked_values, row["q_wide"], scale) if exact else asked_values.astype(np.int64)
+                for own, query in zip(asked_ids.tolist(), asked_values):
+                    query = _as_long_as(query, row["dims"])
+                    ids, scores = _exact_top(*one, query.tolist(), k, own) if exact else one.top(query, k, own)
                     for column, values in zip(out, (np.full(len(ids), own), ids, scores)):
                         column.append(values)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
-    found = queries.join(index, "block").mapInArrow(search, "query_id long, vec_id long, score long")
+    found = index.join(queries, "block").mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
