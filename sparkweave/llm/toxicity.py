@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation and a hashed linear scorer.
 
 1. A character trigram model is counted over all documents (28 symbols, so at most 28**3 sums reach the driver).
-2. Spans that look disguised - letters mixed with digits or signs, single letters with gaps, letters repeated three
+2. Spans that look disguised - letters mixed with digits or signs, single letters (or signs among them) with gaps, letters repeated three
    times or more - become lattices: each character may stand for the letters that leetspeak writes with it, a
    run for one or two letters, a gap for nothing. Viterbi decoding under the language model picks the reading.
 3. The words of the restored text, with their beginnings and ends, are hashed into buckets. A feature is a bucket
@@ -12,9 +12,10 @@ The sample is bounded (``sample``, half of it for each label; rows are chosen by
 for), so the broadcast of its ids is bounded too. Nothing but the text enters a score.
 
 Cases: null and empty texts get the score of a text without evidence; rows are scored one by one, so repeated rows
-and null ids come back as they are; labels that are null are unused, of several labels for one id the greatest counts;
+and null ids come back as they are; labels that are null are unused, of several labels for one id the greatest counts, of several texts the least;
 without labels of both kinds every score is the share of label 1 (0 without any); empty tables give no rows;
-other columns are ignored; texts are read whole.
+other columns are ignored; texts are read whole, in time that grows
+with their length.
 """
 
 from __future__ import annotations
@@ -38,15 +39,21 @@ THRESHOLD = 0.7
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 
 _LETTER = r"[^\W\d_]"
-_GAPPED = re.compile(rf"(?<!\w){_LETTER}(?:[ .*_~-]{{1,2}}{_LETTER}){{2,}}(?!\w)")  # single letters with gaps
-_SUSPECT = re.compile(
-    rf"(?<!\w)(?=[\w@$!|+]*{_LETTER})(?=[\w@$!|+]*[0-9@$|+]|[\w@$!|+]*!{_LETTER})[\w@$!|+]*\w"  # letters with digits or signs
-    rf"|\w*({_LETTER})\1\1\w*"  # runs
-)
+_MARK = rf"(?:{_LETTER}|[0-9@$!|+])"
+_GAPPED = re.compile(rf"(?<!\w){_MARK}(?:[ .*_~-]{{1,2}}{_MARK}){{2,}}(?!\w)")  # single letters, or what may stand for them, with gaps
+_PART = re.compile(r"[\w@$!|+]+")
+_SIGN = re.compile(rf"[0-9@$|+]|!{_LETTER}")
+_ANY_LETTER = re.compile(_LETTER)
+_LETTER_RUN = re.compile(rf"({_LETTER})\1\1")
 _WORD = re.compile(_LETTER + "+")
 _GAPS = str.maketrans("", "", " .*_~-")
 
 
+def suspicious(part: str) -> bool:
+    """Letters with digits or signs, or a letter three times in a row. Each test passes the text once."""
+    return bool(_ANY_LETTER.search(part) and _SIGN.search(part) or _LETTER_RUN.search(part))
+
+
 def symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
@@ -85,31 +92,48 @@ def language_model(counts: DataFrame) -> np.ndarray:
 class Restorer:
     """Replaces disguised spans by their likeliest readings."""
 
-    #: Readings that are kept before they are forgotten.
-    CACHE = 100_000
+    #: Readings that are kept before they are forgotten, and the longest span that is.
+    CACHE, SHORT = 100_000, 64
 
     def __init__(self, model: np.ndarray) -> None:
-        self.model = model.tolist()
+        #: For each pair of symbols the third one's log probabilities.
+        self.model = model.reshape(-1, SYMBOLS).tolist()
         self.seen: dict[str, str] = {}
+        self.runs: dict[tuple, list] = {}
+        self.steps: dict[tuple, dict] = {}
 
     def __call__(self, text: str) -> str:
         """The lower-case text with its disguised spans restored."""
-        return _TOKEN.sub(lambda m: self.token(m[0]), _GAPPED.sub(self._span, text.lower()))
+        return _TOKEN.sub(lambda m: self.token(m[0]), self._joined(text))
 
     def tokens(self, text: str | None) -> set[str]:
         """The different tokens of a text, after letters with gaps were joined; ``token`` restores them."""
-        return set(_GAPPED.sub(self._span, (text or "").lower()).split())
+        return set(self._joined(text or "").split())
 
     def token(self, token: str) -> str:
         """A restored token; it is looked at only when met for the first time."""
-        return token if token.isalpha() and not _RUN3.search(token) else _SUSPECT.sub(self._span, token)
+        return token if token.isalpha() and not _RUN3.search(token) else _PART.sub(self._part, token)
 
     def words(self, text: str | None) -> set[str]:
         """The different words of the restored text."""
         return {w for t in self.tokens(text) for w in _WORD.findall(self.token(t))}
 
-    def _span(self, match: re.Match) -> str:
-        span = match[0]
+    def _joined(self, text: str) -> str:
+        return _GAPPED.sub(self._gapped, text.lower())
+
+    def _gapped(self, match: re.Match) -> str:
+        """Letters with gaps, and signs among them if most are letters."""
+        span = match[0].translate(_GAPS)
+        return self.read(span) if 2 * sum(map(str.isalpha, span)) > len(span) else match[0]
+
+    def _part(self, match: re.Match) -> str:
+        """Exclamation marks at the end are no letters."""
+        part = match[0].rstrip("!")
+        return self.read(part) + match[0][len(part) :] if suspicious(part) else match[0]
+
+    def read(self, span: str) -> str:
+        if len(span) > self.SHORT:
+            return self.decode(span)
         if span not in self.seen:
             if len(self.seen) >= self.CACHE:
                 self.seen.clear()
@@ -118,42 +142,52 @@ class Restorer:
 
     def lattice(self, span: str) -> list[list[tuple[str, float]]]:
         """For every run of a character its readings with their channel costs."""
-        if _LETTER_GAPS.fullmatch(span):
-            span = span.translate(_GAPS)
-        out = []
-        for run in _RUNS.finditer(span):
-            c, n = run[1], len(run[0])
+        return [[(letters, cost) for letters, _, cost in self._readings(m[1], min(3, m.end() - m.start()))] for m in _RUNS.finditer(span)]
+
+    def _readings(self, c: str, n: int) -> list[tuple[str, list[int], float]]:
+        """Letters, their symbols and the cost for a character that stands n times (3: or more)."""
+        if (c, n) not in self.runs:
             letters = [(c, 0.0)] if c.isalpha() else [(x, -0.5) for x in LEET.get(c, "")] + [(c, -4.0)]
-            readings = [(x, cost) for x, cost in letters]
             if n > 1:
-                readings = [(x * k, cost - (0.2 if n > 2 else abs(n - k) * 1.0)) for x, cost in letters for k in (1, 2)]
-            out.append(readings)
+                letters = [(x * k, cost - (0.2 if n > 2 else abs(n - k) * 1.0)) for x, cost in letters for k in (1, 2)]
+            self.runs[c, n] = [(x, [symbol(y) for y in x], cost) for x, cost in letters]
+        return self.runs[c, n]
+
+    def _steps(self, c: str, n: int, state: int) -> list[tuple[int, float, str]]:
+        """From a state, the pair of the last two symbols: the states after a run's readings, with costs and letters."""
+        out = []
+        for letters, symbols, total in self._readings(c, n):
+            at = state
+            for s in symbols:
+                total += self.model[at][s]
+                at = at % SYMBOLS * SYMBOLS + s
+            out.append((at, total, letters))
         return out
 
     def decode(self, span: str) -> str:
-        """Viterbi: of the paths that end in the same two symbols only the best goes on."""
-        model, best = self.model, {(0, 0): (0.0, None)}
-        for readings in self.lattice(span):
+        """Viterbi: of the paths that end in the same state only the best goes on."""
+        best: dict = {0: (0.0, "", None)}  # by state: score, letters, the path before them
+        for m in _RUNS.finditer(span):
+            run = m[1], min(3, m.end() - m.start())
+            steps = self.steps.setdefault(run, {})
             after: dict = {}
-            for (a, b), (score, path) in best.items():
-                for letters, cost in readings:
-                    x, y, total = a, b, score + cost
-                    for c in letters:
-                        s = symbol(c)
-                        total += model[x][y][s]
-                        x, y = y, s
-                    if (x, y) not in after or after[(x, y)][0] < total:
-                        after[(x, y)] = total, (letters, path)
+            get = after.get
+            for state, path in best.items():
+                if state not in steps:
+                    steps[state] = self._steps(*run, state)
+                for at, cost, letters in steps[state]:
+                    total, old = path[0] + cost, get(at)
+                    if old is None or old[0] < total:
+                        after[at] = total, letters, path
             best = after
-        _, path = max(((score + model[a][b][0], path) for (a, b), (score, path) in best.items()), key=lambda p: p[0])
+        _, path = max(((path[0] + self.model[state][0], path) for state, path in best.items()), key=lambda p: p[0])
         out = []
         while path:
-            out.append(path[0])
-            path = path[1]
+            out.append(path[1])
+            path = path[2]
         return "".join(reversed(out))
 
 
-_LETTER_GAPS = re.compile(rf"{_LETTER}(?:[ .*_~-]{{1,2}}{_LETTER})+")
 _RUNS = re.compile(r"(.)\1*", re.S)
 _RUN3 = re.compile(r"(.)\1\1")
 _TOKEN = re.compile(r"\S+")
@@ -177,7 +211,7 @@ def features_of(counts: Counter) -> list[int]:
 class Scorer:
     """The selected features' weights; tokens are looked up once."""
 
-    CACHE = 400_000
+    CACHE = 100_000
 
     def __init__(self, model: dict) -> None:
         self.restore = Restorer(model["letters"])
@@ -224,7 +258,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     part = {y: min(1.0, sample / 2 / n) for y, n in count.items()}
     share = F.when(F.col("y") == 1, F.lit(part[1])).otherwise(F.lit(part[0]))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20)).withColumn("weight", 1 / share)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y", "weight"), count[1] / total
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One text for each id, so the sample stays as large as it was meant to be.
+    return found.groupBy("doc_id", "y", "weight").agg(F.min("text").alias("text")).select("text", "y", "weight"), count[1] / total
 
 
 def _feature_counts(rows: DataFrame, letters) -> DataFrame:
