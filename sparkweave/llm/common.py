@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define a word break: space and U+0009 to U+000D.
 BREAK = r"[\x20\x09-\x0D]+"
+#: Spark's setting to delete a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Where it is unset: a temporary one on a single machine, an error on a cluster."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jvm_dir.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = jvm_dir.get() if jvm_dir.isDefined() else tempfile.mkdtemp(prefix="sparkweave-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
@@ -34,11 +38,16 @@ def _filesystem(spark: SparkSession, path: str):
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it cuts the lineage and outlives a lost executor.
 
-    The files go when the application ends, or earlier through ``dropped``.
+    The files go when the application ends, or earlier through ``dropped``; the shuffle files of the plan go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     fs, target = _filesystem(spark, path)
     fs.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
@@ -53,12 +62,6 @@ def dropped(*tables: DataFrame) -> None:
         fs.delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
