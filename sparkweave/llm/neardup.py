@@ -10,14 +10,18 @@ have is among the first x - ceil(8/9 x) + 1 of the smaller text (its index part)
 that have a shingle in these parts are a bucket, and pairs of an index part and another part are compared, as far as sizes and
 places allow the similarity.
 
+Every text has a sketch: how often each of ``BITS`` hash values occurs among its shingles, modulo 2. A shingle that only one of
+two texts has changes one bit, so sketches that differ in more bits than similar texts can differ in shingles exclude the
+pair. Only texts of pairs that remain are read again, for their whole sets.
+
 A bucket goes on until nothing in it is open: in each turn some texts of its index part, the pivots, are compared with all others
 of other classes and leave the bucket; it ends with its last index part, or when all its texts are one class. The first turn has one
 pivot for a bucket, which gathers groups of copies; later turns take all of a small bucket, and 16 times as many of a large one
 each time. Classes are connected components of verified links; no link, class or shingle comes to the driver, only the counts.
 
 Cases: null, empty and blank texts are one text without words; texts of fewer than five words are one shingle; rows with
-one doc_id count as one document with the words of one of them; a null doc_id is a document of its own that is never dropped; an empty table
-gives no rows; other columns stay as they are; texts are read whole.
+one doc_id and different texts are documents of their own, equal ones are copies; of rows with the least doc_id of a class one stays; a
+null doc_id is a document of its own that is never dropped; an empty table gives no rows; other columns stay as they are; texts are read whole.
 """
 
 from __future__ import annotations
@@ -29,13 +33,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from sparkweave.llm.common import dropped, release, written
+from sparkweave.llm.common import dropped, written
 from sparkweave.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Hash values under which shingles are counted; buckets up to SMALL are compared whole after the first turn.
 COUNTERS, SMALL = 1 << 18, 64
+#: Bits of a sketch, held as whole numbers of 64.
+BITS = 512
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
 #: Odd factors of the places in a shingle.
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"place", i) | 1 for i in range(WIDTH)], np.uint64)
 
@@ -52,6 +60,12 @@ def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
+def sketch(shingle_set: np.ndarray) -> np.ndarray:
+    """For each hash value whether an odd number of shingles has it."""
+    odd = np.bincount((shingle_set >> np.uint64(24)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -84,65 +98,67 @@ def _counts(docs: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, t0, t1 (a 128-bit hash of the word sequence), size (distinct shingles) and the first shingles for every row."""
+    """doc_id, t0, t1 (a 128-bit hash of the word sequence), size (distinct shingles), the first shingles and the sketch for every row."""
     counts = docs.sparkSession.sparkContext.broadcast(_counts(docs))
 
     def run(batches):
         order = counts.value
         for batch in batches:
             out: list[list] = [[], [], [], []]
+            sketches = []
             for text in batch.column("text").to_pylist():
                 words = _words(text)
                 s = shingles(words)
                 first = s[np.lexsort((s, order[(s % np.uint64(COUNTERS)).astype(np.int64)]))][: len(s) - _least(similarity, len(s)) + 1]
                 for column, value in zip(out, (*_identity(words), len(s), first.view(np.int64))):
                     column.append(value)
+                sketches.append(sketch(s))
             types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types))], names=["doc_id", "t0", "t1", "size", "first"])
+            bits = np.array(sketches, np.int64).reshape(-1, len(SKETCH)).T
+            columns = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types)), *(pa.array(np.ascontiguousarray(b)) for b in bits)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "size", "first", *SKETCH])
 
-    return docs.mapInArrow(run, "doc_id long, t0 long, t1 long, size int, first array<long>")
+    return docs.mapInArrow(run, "doc_id long, t0 long, t1 long, size int, first array<long>, " + ", ".join(f"{b} long" for b in SKETCH))
 
 
 def _shingle_table(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles of the rows whose words have the hash t0, t1."""
+    """node, shingles of the rows whose words have the hash t0, t1. Columns: node, text, t0, t1."""
 
     def run(batches):
         for batch in batches:
-            ids, packed = [], []
-            for i, text, t0, t1 in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "t0", "t1"))):
-                words = _words(text)
-                if _identity(words) == (t0, t1):
-                    ids.append(i)
-                    packed.append(shingles(words).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
+            for i, text, t0, t1 in zip(*(batch.column(c) for c in ("node", "text", "t0", "t1"))):
+                words = _words(text.as_py())
+                if _identity(words) == (t0.as_py(), t1.as_py()):
+                    found = pa.array([shingles(words).view(np.int64)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), found], names=["node", "shingles"])
 
-    return docs.select("doc_id", "text", "t0", "t1").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("node", "text", "t0", "t1").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _members(texts: DataFrame, similarity: float) -> DataFrame:
-    """key, doc_id, size, place, index: the first shingles that several texts have, with their places; index: in the index part."""
-    rows = texts.select("doc_id", "size", F.posexplode("first").alias("place", "key"))
+    """key, node, size, place, index: the first shingles that several texts have, with their places; index: in the index part."""
+    rows = texts.select("node", "size", F.posexplode("first").alias("place", "key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     part = F.col("size") - F.ceil(2 * similarity / (1 + similarity) * F.col("size") - 1e-6) + 1
-    return rows.join(shared, "key").select("key", "doc_id", "size", "place", (F.col("place") < part).alias("index"))
+    return rows.join(shared, "key").select("key", "node", "size", "place", (F.col("place") < part).alias("index"))
 
 
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The members of buckets that have texts of several classes and an index part, with label and the bucket's n."""
     if labels is None:
-        rows = members.withColumn("label", F.col("doc_id"))
+        rows = members.withColumn("label", F.col("node"))
     else:
-        rows = members.drop("label", "n").join(labels, members["doc_id"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "doc_id"))
+        rows = members.drop("label", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("index").alias("any"))
     return rows.join(stats.where("low <> high and any").select("key", "n"), "key")
 
 
 def _chosen(members: DataFrame, turn: int) -> DataFrame:
-    """key, doc_id, size, place, label of the turn's pivots."""
+    """key, node, size, place, label of the turn's pivots."""
     index = members.where("index")
-    order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "size", "place", "label")
-    slot = F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(16**turn))
-    some = index.where(F.col("n") > SMALL if turn else F.lit(True)).groupBy("key", slot.alias("slot")).agg(F.min(order).alias("p")).select("key", "p.doc_id", "p.size", "p.place", "p.label")
+    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "place", "label")
+    slot = F.pmod(F.xxhash64("node", F.lit("slot")), F.lit(16**turn))
+    some = index.where(F.col("n") > SMALL if turn else F.lit(True)).groupBy("key", slot.alias("slot")).agg(F.min(order).alias("p")).select("key", "p.node", "p.size", "p.place", "p.label")
     return some.unionByName(index.where(F.col("n") <= SMALL).select(*some.columns)) if turn else some
 
 
@@ -153,41 +169,50 @@ def _possible(similarity: float) -> Column:
     return (small >= similarity * large - 1e-6) & (rest >= similarity / (1 + similarity) * (small + large) - 1e-6)
 
 
+def _likely(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches do not exclude the similarity."""
+    side = lambda x: texts.select(F.col("node").alias(x), *(F.col(c).alias(x + c) for c in ("size", *SKETCH)))
+    apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in SKETCH), F.lit(0))
+    sizes = F.col("asize") + F.col("bsize")
+    most = sizes - 2 * F.ceil(similarity / (1 + similarity) * sizes - 1e-6)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of at least ``similarity``."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").where((F.size("sa") > 0) & (both >= similarity * (F.size("sa") + F.size("sb") - both))).select("a", "b")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with t0 and t1, a 128-bit hash of the words of the column text."""
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)) or not len(x):
-                    good.append(False)
-                else:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            found = [_identity(_words(text)) for text in batch.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))], names=[*names, "__t0", "__t1"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    schema = StructType([*docs.schema.fields, StructField("__t0", LongType()), StructField("__t1", LongType())])
+    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id, the least doc_id of its class, for every different doc_id that is not null."""
+    """doc_id, t0, t1, label (a number for the class) and class_id, its least doc_id, for every different text (t0, t1) of a doc_id that is not null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     every = written(_texts(docs, similarity), "texts")
-    one = every.groupBy("doc_id").agg(F.min(F.struct("t0", "t1")).alias("x")).select("doc_id", "x.*")
-    equal = written(one.groupBy("t0", "t1").agg(F.min("doc_id").alias("doc_id")), "equal")
+    # One number for each different text, and one document that has it.
+    equal = every.groupBy("t0", "t1").agg(F.min("doc_id").alias("doc_id"))
+    equal = written(equal.withColumn("node", F.monotonically_increasing_id()), "equal")
     texts = every.join(equal, ["doc_id", "t0", "t1"])
-    repeats = every.count() > one.count()
+    repeats = every.count() > every.select("doc_id").distinct().count()
     if repeats:
-        texts = texts.dropDuplicates(["doc_id"])
+        texts = texts.dropDuplicates(["node"])
+    texts = written(texts.drop("doc_id", "t0", "t1"), "nodes")
     members = written(_members(texts, similarity), "members")
-    met = members.select("doc_id").distinct().join(equal, "doc_id")
-    sets = _shingle_table(docs.join(met, "doc_id"))
-    sets = written(sets.dropDuplicates(["doc_id"]) if repeats else sets, "shingles")
-    links = labels = tried = None
+    links = labels = tried = sets = None
     turn = 0
     while True:
         rows = written(_open(members, labels), "members")
@@ -197,29 +222,38 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             break
         pivots = written(_chosen(members, turn), "pivots")
         pairs = pivots.alias("p").join(members.alias("m"), "key").where((F.col("p.label") != F.col("m.label")) & _possible(similarity))
-        pairs = pairs.select(F.least("p.doc_id", "m.doc_id").alias("a"), F.greatest("p.doc_id", "m.doc_id").alias("b")).distinct()
+        pairs = pairs.select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = written(_similar(pairs, sets, similarity), "links")
+        likely = written(_likely(pairs, texts, similarity), "likely")
+        need = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        need = written((need if sets is None else need.join(sets.select("node"), "node", "left_anti")).join(equal, "node"), "need")
+        more = _shingle_table(docs.join(need, "doc_id"))
+        more = written(more.dropDuplicates(["node"]) if repeats else more, "shingles")
+        sets = more if sets is None else sets.unionByName(more)
+        found = written(_similar(likely, sets, similarity), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        members = written(members.join(pivots.select("key", "doc_id"), ["key", "doc_id"], "left_anti"), "members")
-        dropped(rows, pivots)
-        release(docs.sparkSession)
+        members = written(members.join(pivots.select("key", "node"), ["key", "node"], "left_anti"), "members")
+        dropped(rows, pivots, likely, need)
         turn += 1
     if labels is None:
-        labels = equal.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).limit(0)
-    roots = equal.join(labels, equal["doc_id"] == labels["node"], "left").select("t0", "t1", F.coalesce("label", "doc_id").alias("class_id"))
-    out = written(one.join(roots, ["t0", "t1"]).select("doc_id", "class_id"), "classes")
-    dropped(every, equal, sets, members)
-    release(docs.sparkSession)
+        labels = equal.select("node", F.col("node").alias("label")).limit(0)
+    labelled = equal.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    roots = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = labelled.join(roots, "label").select("t0", "t1", "label", "class_id")
+    out = written(every.select("doc_id", "t0", "t1").distinct().join(named, ["t0", "t1"]).select("doc_id", "t0", "t1", "label", "class_id"), "classes")
+    dropped(every, equal, texts, members)
     return out
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose document has the least doc_id of its class, and all rows without a doc_id; one row for each doc_id."""
-    gone = classes(docs, similarity).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """Of the rows of ``docs`` one for each class, one with its least doc_id, and all rows without a doc_id."""
+    found = classes(docs, similarity)
     if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+        least = found.where("class_id = doc_id").groupBy("label", "class_id").agg(F.min(F.struct("t0", "t1")).alias("t"))
+        least = written(least.select(F.col("class_id").alias("__kept"), F.col("t.t0").alias("__t0"), F.col("t.t1").alias("__t1")), "kept")
+        one = identified(docs).withColumn("__kept", F.col("doc_id").cast("long")).join(least, ["__kept", "__t0", "__t1"]).dropDuplicates(["__kept", "__t0", "__t1"])
+        return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
