@@ -12,7 +12,8 @@ they stand, in all documents, if they have support: ``SUPPORT`` documents that h
 ``CONTEXT_WORDS`` words to either side. Documents or places count once if the ``REACH`` characters around e are the same, so
 copies give no support. Sanitising replaces base spans by their kind and generalises terms: numbers to ``[NUMBER]``, other terms are removed.
 
-All of it is DataFrame functions. Patterns are written without backtracking over runs, so long texts take linear time.
+All of it is DataFrame functions. Patterns are written without backtracking over runs, and what is gathered along a text is
+gathered in blocks, so that no array or string is copied for each match; a text with 200,000 matches takes seconds.
 
 Cases: null texts count as empty; empty texts have no spans; overlapping spans of different kinds all count, and sanitising
 replaces their union once, by the first kind; repeated rows come back as often as they occur; null ids come back as null; an empty table gives
@@ -28,35 +29,82 @@ from sparkweave.llm.common import BREAK, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
-#: The base patterns, with possessive repeats, which match the same spans.
+#: The base patterns, with possessive repeats, which match the same spans. Cards: whole runs of as many digits as can pass.
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text without a span of the kind lacks: a quick test.
-QUICK = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+QUICK = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){15}[0-9]", "phone": r"\+[0-9]"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 REACH, CONTEXT_WORDS = 120, 5
+#: Matches that are gathered at once.
+BLOCK = 512
+#: The first and the last part of a text up to a break.
+FIRST, LAST = r"^[^\x20\x09-\x0D]*+", r"[^\x20\x09-\x0D]++$"
+#: Stands for characters of base spans.
+_COVER = "\x03"
 SUPPORT, DISCLOSURE = 3, 0.9
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def find_all(text: Column, pattern: str | Column, kind: str) -> Column:
-    """Array of (kind, start, end, value) for all matches, in code points. Matches are marked, and the text is cut at the marks."""
+def _once(value: Column, f) -> Column:
+    """f(value), where value is computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """An array (a variable, not an expression) cut into arrays of BLOCK items, which are taken by place, as ``slice`` copies the whole array."""
+    block = lambda i: F.transform(F.sequence(i, F.least(i + BLOCK, F.size(items)) - 1), lambda j: F.get(items, j))
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.size(items) - 1, F.lit(BLOCK)), block)).otherwise(F.array())
+
+
+def find_all(text: Column, pattern: str | Column, kind: str, good=None) -> Column:
+    """Array of (kind, start, end, value) for all matches that are ``good``, in code points. Matches are marked, and the text is cut at the marks."""
     pattern = F.lit(f"({pattern})") if isinstance(pattern, str) else F.concat(F.lit("("), pattern, F.lit(")"))
     marked = F.regexp_replace(F.translate(text, "\x01", "\x02"), pattern, F.lit("\x01$1\x01"))
-    parts = F.split(marked, "\x01", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_SPAN).alias("out"))
+    none = F.array().cast(_SPAN)
 
     def step(state: Column, part: Column) -> Column:
         end = state["at"] + F.length(part)
         span = F.struct(F.lit(kind).alias("kind"), state["at"].alias("start"), end.alias("end"), part.alias("value"))
-        out = F.when(state["inside"], F.concat(state["out"], F.array(span))).otherwise(state["out"])
-        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), out.alias("out"))
+        taken = state["inside"] if good is None else F.when(state["inside"], good(span)).otherwise(F.lit(False))
+        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), F.when(taken, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+
+    def block(state: Column, parts: Column) -> Column:
+        first = F.struct(state["at"].alias("at"), state["inside"].alias("inside"), none.alias("out"))
+        return F.aggregate(parts, first, step, lambda end: F.struct(end["at"].alias("at"), end["inside"].alias("inside"), F.concat(state["out"], F.array(end["out"])).alias("out")))
 
-    return F.aggregate(parts, start, step, lambda state: state["out"])
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.flatten(_once(F.split(marked, "\x01", -1), lambda parts: F.aggregate(_blocks(parts), start, block, lambda state: state["out"])))
+
+
+def replaced(text: Column, spans: Column, shown, rest=None) -> Column:
+    """The text with ``shown(span)`` for each span, from left to right; of a span that an earlier one covers in part, ``rest(span, length)`` stays."""
+
+    def step(state: Column, s: Column, piece: Column, base: Column) -> Column:
+        between = F.substring(piece, state["at"] - base + 1, s["start"] - state["at"])
+        tail = F.lit("") if rest is None else rest(s, F.greatest(s["end"] - state["at"], F.lit(0)))
+        added = F.when(s["start"] >= state["at"], F.concat(between, shown(s))).otherwise(tail)
+        return F.struct(F.concat(state["out"], added).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
+
+    def block(state: Column, part: Column, text: Column) -> Column:
+        base = state["at"]
+        to = F.greatest(F.coalesce(F.array_max(F.transform(part, lambda s: s["end"])), base), base)
+        first = F.struct(F.lit("").alias("out"), base.alias("at"))
+        done = lambda end: F.struct(end["at"].alias("at"), F.concat(state["out"], F.array(end["out"])).alias("out"))
+        return _once(F.substring(text, base + 1, to - base), lambda piece: F.aggregate(part, first, lambda x, s: step(x, s, piece, base), done))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def run(x: Column) -> Column:
+        last = lambda state: F.concat(F.array_join(state["out"], ""), F.substring(x["text"], state["at"] + 1, F.length(x["text"])))
+        return _once(x["spans"], lambda items: F.aggregate(_blocks(items), start, lambda state, part: block(state, part, x["text"]), last))
+
+    return _once(F.struct(text.alias("text"), ordered.alias("spans")), run)
 
 
 def _valid(span: Column) -> Column:
@@ -70,10 +118,8 @@ def base_spans(text: Column) -> Column:
     """Array of all base spans, by kind as listed, then by start."""
     out = []
     for kind in KINDS:
-        spans = F.when(F.rlike(text, F.lit(QUICK[kind])), find_all(text, PATTERNS[kind], kind)).otherwise(F.array().cast(_SPAN))
-        if kind != "email":
-            spans = F.filter(spans, _check(kind))
-        out.append(spans)
+        found = find_all(text, PATTERNS[kind], kind, None if kind == "email" else _check(kind))
+        out.append(F.when(F.rlike(text, F.lit(QUICK[kind])), found).otherwise(F.array().cast(_SPAN)))
     return F.concat(*out)
 
 
@@ -81,35 +127,53 @@ def _check(kind: str):
     return lambda span: _valid(span)[kind]
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
-    """key, entity, context, terms: for every base span the words around it with their places in the text."""
-    before = F.greatest(F.col("s.start") - REACH, F.lit(0))
-    left = F.substring(F.col("text"), before + 1, F.col("s.start") - before)
-    right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(REACH))
-    word = r"[^\x20\x09-\x0D]++"
+def _plain(text: Column) -> Column:
+    """The text without the characters that serve as marks."""
+    return F.translate(text, "\x01" + _COVER, "\x02\x02")
 
-    def shifted(found: Column, by: Column) -> Column:
-        return F.transform(found, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("term")))
 
-    near = F.concat(
-        shifted(F.slice(F.reverse(find_all(left, word, "term")), 1, CONTEXT_WORDS), before),
-        shifted(F.slice(find_all(right, word, "term"), 1, CONTEXT_WORDS), F.col("s.end")),
-    )
-    # Words that hold protected data themselves are covered already.
-    plain = F.filter(near, lambda w: ~F.exists(F.col("spans"), lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
-    one = rows.select("key", "text", "spans", F.explode("spans").alias("s"))
-    return one.select("key", F.xxhash64("s.kind", "s.value").alias("entity"), F.xxhash64(left, right).alias("context"), plain.alias("terms"))
+def covered(text: Column, spans: Column) -> Column:
+    """The text with a mark for each character of a span; all places stay."""
+    fill = lambda n: F.repeat(F.lit(_COVER), n)
+    return replaced(_plain(text), spans, lambda s: fill(s["end"] - s["start"]), lambda s, n: fill(n))
 
 
-def _terms(text: Column, spans: Column) -> Column:
-    """The different lower-case words of a text that hold no part of a base span."""
-    marks = F.transform(spans, lambda s: F.struct(F.lit("\x01").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    left = F.split(F.lower(sanitised(F.translate(text, "\x01", "\x02"), marks)), BREAK)
-    return F.array_distinct(F.filter(left, lambda w: (w != "") & ~F.contains(w, F.lit("\x01"))))
+def _contexts(rows: DataFrame) -> DataFrame:
+    """key, entity, context, terms: for every base span the words around it. Columns: key, text, covered, spans."""
+
+    def one(s: Column, low: Column, piece: Column, plain: Column) -> Column:
+        before = F.greatest(s["start"] - REACH, F.lit(0))
+        left = lambda t: F.substring(t, before - low + 1, s["start"] - before)
+        right = lambda t: F.substring(t, s["end"] - low + 1, F.lit(REACH))
+        # What touches the end of the reach may be a part of a word.
+        whole = F.when(before > 0, F.regexp_replace(left(plain), FIRST, "")).otherwise(left(plain))
+        rest = F.when(F.length(right(plain)) == REACH, F.regexp_replace(right(plain), LAST, "")).otherwise(right(plain))
+        words = lambda t: F.filter(F.split(F.lower(t), BREAK), lambda w: w != "")
+        near = F.concat(F.slice(F.reverse(words(whole)), 1, CONTEXT_WORDS), F.slice(words(rest), 1, CONTEXT_WORDS))
+        return F.struct(
+            F.xxhash64(s["kind"], s["value"]).alias("entity"),
+            F.xxhash64(left(piece), right(piece)).alias("context"),
+            F.array_distinct(F.filter(near, lambda w: ~F.contains(w, F.lit(_COVER)))).alias("terms"),
+        )
+
+    def block(part: Column) -> Column:
+        low = F.greatest(F.array_min(F.transform(part, lambda s: s["start"])) - REACH, F.lit(0))
+        size = F.array_max(F.transform(part, lambda s: s["end"])) + REACH - low
+        cut = lambda t: F.substring(t, low + 1, size)
+        return _once(F.struct(low.alias("low"), cut(F.col("text")).alias("piece"), cut(F.col("covered")).alias("plain")), lambda c: F.transform(part, lambda s: one(s, c["low"], c["piece"], c["plain"])))
+
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
+    found = F.flatten(_once(ordered, lambda items: F.transform(_blocks(items), block)))
+    return rows.select("key", F.explode(found).alias("c")).select("key", "c.*")
+
+
+def _terms(text: Column) -> Column:
+    """The different lower-case words of a covered text that hold no part of a base span."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), BREAK), lambda w: (w != "") & ~F.contains(w, F.lit(_COVER))))
 
 
 def disclosing_terms(docs: DataFrame, protected: DataFrame) -> DataFrame:
-    """h: hashes of the terms with enough support and disclosure. ``docs``: text of all documents; ``protected``: key, text, spans."""
+    """h: hashes of the terms with enough support and disclosure. ``docs``: text of all documents; ``protected``: key, text, covered, spans."""
     n = docs.count()
     protected = protected.dropDuplicates(["key"])
     contexts = _contexts(protected)
@@ -118,19 +182,19 @@ def disclosing_terms(docs: DataFrame, protected: DataFrame) -> DataFrame:
     entities = places.groupBy("entity").agg(F.count_distinct("context").alias("c"), F.count_distinct("key").alias("n_e")).where(F.col("c") >= SUPPORT)
     entities = written(entities.select("entity", "n_e"), "entities")
     held = written(places.join(entities, "entity").groupBy("entity", "key", "n_e").agg(F.min("context").alias("context")), "held")
-    words = protected.join(held.select("key").distinct(), "key").select("key", F.explode(F.transform(_terms(F.col("text"), F.col("spans")), lambda w: F.xxhash64(w))).alias("h"))
+    words = protected.join(held.select("key").distinct(), "key").select("key", F.explode(F.transform(_terms(F.col("covered")), lambda w: F.xxhash64(w))).alias("h"))
     # Terms and entities are distinct in a document, so the rows are summed before the shuffle.
     together = words.join(held, "key").groupBy("entity", "n_e", "h").agg(F.count(F.lit(1)).alias("n_te"))
     together = written(together, "together")
     if not together.limit(1).count():
         return together.select("h")
-    found = docs.select(F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), BREAK), lambda w: F.xxhash64(w)))).alias("h"))
+    found = docs.select(F.explode(F.transform(F.array_distinct(F.split(F.lower(_plain(F.col("text"))), BREAK)), lambda w: F.xxhash64(w))).alias("h"))
     scored = together.join(found.groupBy("h").agg(F.count(F.lit(1)).alias("n_t")), "h")
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     share = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / information
     known = written(scored.where((information > 0) & (share >= DISCLOSURE)).select("entity", "h"), "candidates")
     in_docs = words.join(held, "key").select("entity", "h", "context")
-    near = contexts.select("entity", F.explode(F.array_distinct(F.transform("terms", lambda w: F.xxhash64(w["term"])))).alias("h"), "context")
+    near = contexts.select("entity", F.explode(F.transform("terms", lambda w: F.xxhash64(w))).alias("h"), "context")
     kept = (x.join(known, ["entity", "h"]).distinct().groupBy("entity", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT).select("h") for x in (in_docs, near))
     return next(kept).unionByName(next(kept)).distinct()
 
@@ -146,20 +210,17 @@ def with_spans(docs: DataFrame, name: str = "pii_spans") -> DataFrame:
     names = [c for c in docs.columns if c != name]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64(F.col("doc_id"), text)
+    none = F.array().cast(_SPAN)
     protected = docs.select(key.alias("key"), text.alias("text"), base_spans(text).alias("spans")).where(F.size("spans") > 0)
-    protected = written(protected, "protected")
-    # Rows with equal id and text are one document here.
-    found = protected.select(F.col("key").alias("__found"), F.col("spans").alias("__spans")).dropDuplicates(["__found"])
+    protected = written(protected.withColumn("covered", covered(F.col("text"), F.col("spans"))), "protected")
     terms = written(disclosing_terms(docs.select(text.alias("text")), protected), "terms")
-    each = docs.select(key.alias("__holds"), F.explode(F.array_distinct(F.split(F.translate(text, "\x01", "\x02"), BREAK))).alias("w")).withColumn("h", F.xxhash64(F.lower("w")))
+    each = docs.select(key.alias("__holds"), F.explode(F.array_distinct(F.split(_plain(text), BREAK))).alias("w")).withColumn("h", F.xxhash64(F.lower("w")))
+    # Few documents hold a term. As a table their size is known, so texts move only if it is too large to broadcast.
     holds = written(each.join(terms, "h").groupBy("__holds").agg(F.sort_array(F.collect_set("w")).alias("__words")), "holds")
-    out = docs.select(*(F.col(f"`{c}`") for c in names), key.alias("__key")).join(found, F.col("__key") == F.col("__found"), "left").join(holds, F.col("__key") == F.col("__holds"), "left")
-    none = F.array().cast(_SPAN)
-    base = F.coalesce("__spans", none)
-    # Words that hold protected data themselves are covered already.
-    plain = F.filter(find_all(text, _any_of(F.col("__words")), "term"), lambda w: ~F.exists(base, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
-    added = F.transform(plain, lambda w: F.struct(w["kind"].alias("kind"), w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value")))
-    return out.select(*(F.col(f"`{c}`") for c in names), F.concat(base, F.when(F.col("__words").isNotNull(), added).otherwise(none)).alias(name))
+    out = docs.select(*(F.col(f"`{c}`") for c in names), key.alias("__key"), base_spans(text).alias("__spans")).join(holds, F.col("__key") == F.col("__holds"), "left")
+    found = find_all(covered(text, F.col("__spans")), _any_of(F.col("__words")), "term")
+    added = F.transform(found, lambda w: F.struct(w["kind"].alias("kind"), w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value")))
+    return out.select(*(F.col(f"`{c}`") for c in names), F.concat("__spans", F.when(F.col("__words").isNotNull(), added).otherwise(none)).alias(name))
 
 
 def written_as(spans: Column) -> Column:
@@ -169,15 +230,8 @@ def written_as(spans: Column) -> Column:
 
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with its spans replaced, from left to right; parts of a span that an earlier one covers are gone already."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(state: Column, s: Column) -> Column:
-        general = F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(F.rlike(s["value"], F.lit("[0-9]")), F.lit("[NUMBER]")).otherwise(F.lit(""))
-        fresh = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), general)
-        return F.struct(F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
-
-    return F.aggregate(ordered, start, step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
+    general = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(F.rlike(s["value"], F.lit("[0-9]")), F.lit("[NUMBER]")).otherwise(F.lit(""))
+    return replaced(text, spans, general)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

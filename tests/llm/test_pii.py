@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,20 @@ def test_base_spans_equal_the_plain_patterns(spark, texts):
         assert [x for x in r["s"].split(",") if x] == plain(texts[r["doc_id"]]), texts[r["doc_id"]][:200]
 
 
+@pytest.mark.parametrize("piece, n", [("{} ", 200_000), ("{:04}-{:04} ", 100_000), ("10.{}.1.2 ", 40_000), ("a{}@b.co, +1 555 {:07} 4111 1111 1111 1111\n", 10_000)])
+def test_many_matches_take_linear_time(spark, piece, n):
+    text = "".join(piece.format(*[i % 256 if "10." in piece else i] * 2) for i in range(n))
+    want = plain(text)
+    docs = spark.createDataFrame([(1, text), (2, "a@b.co " + text[:5000])], "doc_id long, text string").repartition(1)
+    began = time.time()
+    got = {r["doc_id"]: r for r in P.with_spans(docs).select("doc_id", P.written_as("pii_spans").alias("s"), P.sanitised(F.col("text"), F.col("pii_spans")).alias("clean")).collect()}
+    took = time.time() - began
+    assert [x for x in got[1]["s"].split(",") if x and not x.startswith("term")] == want
+    assert took < 60, took  # most of it for counting; the spans take less than 10 s
+    for kind in ("email", "ip", "card", "phone"):
+        assert got[1]["clean"].count(f"[{kind.upper()}]") == sum(x.startswith(kind) for x in want)
+
+
 def test_disclosing_terms_against_counting(spark):
     rng = random.Random(2)
     filler = [f"w{i}" for i in range(40)]
