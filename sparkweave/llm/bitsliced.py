@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkweave.llm.common import table, written
+from sparkweave.llm.common import in_arrow, table, written
 
 #: Most rows of a block of the index, most queries that meet a block at once, and most components of either.
 BLOCK_ROWS, BLOCK_QUERIES, AREA = 65536, 256, 1 << 22
@@ -183,7 +183,7 @@ def _packed(rows: DataFrame, parts: int, most: int, scale: int) -> DataFrame:
             if group:
                 yield full(wide)
 
-    return rows.repartition(parts).mapInArrow(pack, "block int, part int, wide boolean, ids binary, dims int, v binary")
+    return rows.repartition(parts).transform(in_arrow, pack, "block int, part int, wide boolean, ids binary, dims int, v binary")
 
 
 def _whole(values: np.ndarray, wide: bool, scale: int) -> np.ndarray:
@@ -246,7 +246,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
                         column.append(values)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
-    found = index.join(queries, "block").mapInArrow(search, "query_id long, vec_id long, score long")
+    found = index.join(queries, "block").transform(in_arrow, search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

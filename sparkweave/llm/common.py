@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define a word break: space and U+0009 to U+000D.
 BREAK = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch of texts, and Spark's setting for it.
+BATCH, _BATCH_BYTES = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Spark's setting to delete a query's shuffle files when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,6 +64,15 @@ def dropped(*tables: DataFrame) -> None:
         fs.delete(target, True)
 
 
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow(function, schema)``. Batches are large by default, and several copies of one are in memory at once;
+    where the session leaves their size at Spark's default, it is set to ``BATCH``."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES, "") in ("67108864b", "64m", "64MB"):
+        conf.set(_BATCH_BYTES, BATCH)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import table
+from sparkweave.llm.common import in_arrow, table
 
 GAP = 40
 
@@ -156,8 +156,8 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) ->
             rows = [(key, *m) for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for m in recogniser.matches(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, rule string, license string, kind string, n_sentences int, start int, end int"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(
+        in_arrow, run, "doc_id long, rule string, license string, kind string, n_sentences int, start int, end int"
     )
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sparkweave.llm.common import dropped, written
+from sparkweave.llm.common import dropped, in_arrow, written
 from sparkweave.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -91,7 +91,7 @@ def _counts(docs: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["h", "n"])
 
-    found = docs.select("text").mapInArrow(run, "h int, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("text").transform(in_arrow, run, "h int, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
     out[found.column("h").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -118,7 +118,7 @@ def _texts(docs: DataFrame, similarity: float) -> DataFrame:
             columns = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types)), *(pa.array(np.ascontiguousarray(b)) for b in bits)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "size", "first", *SKETCH])
 
-    return docs.mapInArrow(run, "doc_id long, t0 long, t1 long, size int, first array<long>, " + ", ".join(f"{b} long" for b in SKETCH))
+    return docs.transform(in_arrow, run, "doc_id long, t0 long, t1 long, size int, first array<long>, " + ", ".join(f"{b} long" for b in SKETCH))
 
 
 def _shingle_table(docs: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _shingle_table(docs: DataFrame) -> DataFrame:
                     found = pa.array([shingles(words).view(np.int64)], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), found], names=["node", "shingles"])
 
-    return docs.select("node", "text", "t0", "t1").mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("node", "text", "t0", "t1").transform(in_arrow, run, "node long, shingles array<long>")
 
 
 def _members(texts: DataFrame, similarity: float) -> DataFrame:
@@ -196,7 +196,7 @@ def identified(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))], names=[*names, "__t0", "__t1"])
 
     schema = StructType([*docs.schema.fields, StructField("__t0", LongType()), StructField("__t1", LongType())])
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.withColumn("__text", F.col("text").cast("string")).transform(in_arrow, run, schema)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

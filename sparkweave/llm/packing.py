@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkweave.llm.common import dropped, table, written
+from sparkweave.llm.common import dropped, in_arrow, table, written
 
 #: The fast encoder is used for texts of these characters only; for them it was tested to give equal ids.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\u00a0-\u024f\u2010-\u2027\u20ac]")
@@ -106,7 +106,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None,
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "part_rank"] + ["ids"] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_arrow, run, schema)
 
 
 @dataclass
@@ -307,7 +307,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
                 offset[rows] = run[:, 3] + at % run[:, 2] * w
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return placed.select(*names, "part_rank", "base").mapInArrow(place, schema)
+    return placed.select(*names, "part_rank", "base").transform(in_arrow, place, schema)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

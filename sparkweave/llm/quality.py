@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import dropped, table, written
+from sparkweave.llm.common import dropped, in_arrow, table, written
 
 SAMPLE, DIMS = 4_000, 1 << 15
 
@@ -126,7 +126,7 @@ def voted(docs: DataFrame) -> DataFrame:
             out = ["".join("-01"[v + 1] for v in votes(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "pattern"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, pattern string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_arrow, run, "doc_id long, pattern string")
 
 
 def posteriors(counts: DataFrame) -> dict[str, float]:
@@ -155,7 +155,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             y = [shared.value["".join("-01"[v + 1] for v in votes(t))] for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary()), pa.array(y, pa.float64())], names=["at", "value", "y"])
 
-    data = chosen.mapInArrow(packed, "at binary, value binary, y double").collect()
+    data = chosen.transform(in_arrow, packed, "at binary, value binary, y double").collect()
     at = [np.frombuffer(r["at"], np.int32) for r in data]
     if data:
         flat, values = np.concatenate(at), np.concatenate([np.frombuffer(r["value"], np.float32) for r in data]).astype(float)
@@ -178,7 +178,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             types = [pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types))], names=["doc_id", "pattern", "posterior", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, pattern string, posterior double, score double").withColumn("keep", F.col("score") >= 0.5)
+    return docs.transform(in_arrow, run, "doc_id long, pattern string, posterior double, score double").withColumn("keep", F.col("score") >= 0.5)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import dropped, table, written
+from sparkweave.llm.common import dropped, in_arrow, table, written
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Bytes of text that are parsed at once.
@@ -207,7 +207,7 @@ def occurrence_rows(docs: DataFrame, window: int, levels: int) -> DataFrame:
             columns = [_signed(name), _signed(context[:, 0]), _signed(context[:, 1]), keys, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "c0", "c1", "doc", "low", "high"])
 
-    return docs.mapInArrow(run, "anchor long, c0 long, c1 long, doc long, low int, high int")
+    return docs.transform(in_arrow, run, "anchor long, c0 long, c1 long, doc long, low int, high int")
 
 
 def window_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -225,7 +225,7 @@ def window_rows(docs: DataFrame, window: int) -> DataFrame:
             keys = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(own))
             yield pa.RecordBatch.from_arrays([_signed(digest[:, 0]), _signed(digest[:, 1]), keys, pa.array((start - offset[own]).astype(np.int32))], names=["h1", "h2", "doc", "start"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, doc long, start int")
+    return docs.transform(in_arrow, run, "h1 long, h2 long, doc long, start int")
 
 
 def kept(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -251,7 +251,7 @@ def kept(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return docs.mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return docs.transform(in_arrow, run, "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def _repeated(found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import dropped, table, written
+from sparkweave.llm.common import dropped, in_arrow, table, written
 
 SYMBOLS = 28  # 0: no letter, 1 to 26: a to z, 27: any other letter
 SAMPLE, BUCKETS, SELECTED = 20_000, 1 << 20, 2048
@@ -75,7 +75,7 @@ def letter_counts(docs: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["gram", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).transform(in_arrow, run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def language_model(counts: DataFrame) -> np.ndarray:
@@ -274,7 +274,7 @@ def _feature_counts(rows: DataFrame, letters) -> DataFrame:
         seen = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[1, seen]), pa.array(counts[0, seen])], names=["feature", "with1", "with0"])
 
-    return rows.select("text", "y").mapInArrow(run, "feature int, with1 int, with0 int").groupBy("feature").agg(F.sum("with1").alias("with1"), F.sum("with0").alias("with0"))
+    return rows.select("text", "y").transform(in_arrow, run, "feature int, with1 int, with0 int").groupBy("feature").agg(F.sum("with1").alias("with1"), F.sum("with0").alias("with0"))
 
 
 def logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, penalty: float = 0.02, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -314,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
             found = [scorer.found(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("y"), batch.column("weight")], names=["found", "y", "weight"])
 
-    data = rows.mapInArrow(features, "found array<int>, y int, weight double").collect()
+    data = rows.transform(in_arrow, features, "found array<int>, y int, weight double").collect()
     counts = [len(r["found"]) for r in data]
     flat = np.array([place[b] for r in data for b in r["found"]], np.int64)
     w, bias = logistic(np.repeat(np.arange(len(data)), counts), flat, np.array([r["y"] for r in data], float), np.array([r["weight"] for r in data]), len(chosen))
@@ -336,7 +336,7 @@ def scored(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = StructType([docs.schema[n] for n in names] + [StructField(name, DoubleType())])
-    return docs.select(*(F.col(f"`{n}`") for n in names), F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{n}`") for n in names), F.col("text").cast("string").alias("__text")).transform(in_arrow, run, schema)
 
 
 def third(doc_id: Column) -> Column:
