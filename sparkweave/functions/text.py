@@ -158,10 +158,24 @@ def is_substantial(content: Column, min_chars: int = 200, domain: DomainSchema =
     return (F.length(text) >= min_chars) & ~F.rlike(text, F.lit(domain.footer)) & (letters(text) / F.greatest(F.length(text), F.lit(1)) > 0.5)
 
 
+def _paragraph_parts(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?s).+?(?:\n{2,}|$)"), F.lit(0))
+
+
 def paragraphs(text: Column) -> Column:
     """Stripped paragraphs that are not blank."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?s).+?(?:\n{2,}|$)"), F.lit(0))
-    return F.filter(F.transform(parts, strip), lambda p: p != "")
+    return F.filter(F.transform(_paragraph_parts(text), strip), lambda p: p != "")
+
+
+def first_paragraph(text: Column) -> Column:
+    """Where the part with the first paragraph begins: behind the blank parts before it."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("found"))
+
+    def step(state: Column, part: Column) -> Column:
+        found = state["found"] | (strip(part) != "")
+        return F.struct(F.when(found, state["at"]).otherwise(state["at"] + F.length(part)).alias("at"), found.alias("found"))
+
+    return F.aggregate(_paragraph_parts(text), start, step, lambda state: F.when(state["found"], state["at"]).otherwise(F.lit(0)))
 
 
 def sentences(text: Column) -> Column:

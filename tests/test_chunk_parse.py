@@ -47,12 +47,22 @@ def by_the_rules(text, most, least, overlap):
     return out
 
 
-def test_split_against_the_rules():
+def test_split_against_the_rules(spark):
     rng = random.Random(1)
-    for _ in range(3000):
-        text = "".join(rng.choice(["ab ", "c. ", "d! ", "\n", "\n\n", "xyzxyz", "? ", " "]) for _ in range(rng.randint(0, 120)))
-        most = rng.choice([20, 40, 60])
-        assert chunk.split_text(text, most, most // 3, 7) == by_the_rules(text, most, most // 3, 7)
+    texts = ["", " ", "\n\n \n\n" * 30, "\n\n" + "x" * 100, None]
+    texts += ["".join(rng.choice(["ab ", "c. ", "d! ", "\n", "\n\n", "xyzxyz", "? ", " "]) for _ in range(rng.randint(0, 120))) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for most in (20, 40, 60):
+        for r in chunk.chunked(rows, most, most // 3, 7).collect():
+            assert [tuple(p) for p in r["pieces"]] == by_the_rules(texts[r["id"]] or "", most, most // 3, 7), texts[r["id"]]
+
+
+def test_lookups_and_counts(spark):
+    chunks = spark.createDataFrame([("a", "f", "xy"), ("b", "f", None), ("c", "g", "z")], "chunk_id string, filepath string, content string")
+    ids = spark.createDataFrame([("c",), ("a",), ("a",), ("no",)], "chunk_id string")
+    assert [r["chunk_id"] for r in chunk.chunk_by_id(chunks, "b").collect()] == ["b"] and chunk.chunk_by_id(chunks, "no").count() == 0
+    assert sorted(r["chunk_id"] for r in chunk.chunks_by_ids(chunks, ids).collect()) == ["a", "c"] and chunk.chunks_by_ids(chunks, ids.limit(0)).count() == 0
+    assert {tuple(r) for r in chunk.stats_by_file(chunks).collect()} == {("f", 2, 2), ("g", 1, 1)}
 
 
 def test_chunks_of_sections(spark):
