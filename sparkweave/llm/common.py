@@ -68,7 +68,7 @@ def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow(function, schema)``. Batches are large by default, and several copies of one are in memory at once;
     where the session leaves their size at Spark's default, it is set to ``BATCH``."""
     conf = df.sparkSession.conf
-    if conf.get(_BATCH_BYTES, "") in ("67108864b", "64m", "64MB"):
+    if conf.get(_BATCH_BYTES, "64m") in ("67108864b", "64m"):
         conf.set(_BATCH_BYTES, BATCH)
     return df.mapInArrow(function, schema)
 
