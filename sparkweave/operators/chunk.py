@@ -80,13 +80,13 @@ def section_offsets(sections: DataFrame, by: list[str], order: list[str], text:
     return sections.withColumn(name, F.coalesce(F.sum(F.length(text) + F.lit(1)).over(earlier), F.lit(0)).cast("long"))
 
 
-def sections_to_chunks(sections: DataFrame) -> DataFrame:
+def sections_to_chunks(sections: DataFrame, max_chars: int = MAX_CHARS, min_chars: int = MIN_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Chunks from sections: doc_id, filepath, section_no, heading_path, text, metadata.
 
     A chunk's id is a hash of its document, section and ordinal, so a second run makes the same ids.
     """
     placed = section_offsets(sections, ["doc_id"], ["section_no"])
-    each = chunked(placed).select("*", F.posexplode("pieces").alias("ordinal", "piece"))
+    each = chunked(placed, max_chars, min_chars, overlap).select("*", F.posexplode("pieces").alias("ordinal", "piece"))
     key = F.concat_ws("|", F.col("doc_id"), F.col("section_no").cast("string"), F.col("ordinal").cast("string"))
     return each.select(
         F.substring(F.sha2(key, 256), 1, 16).alias("chunk_id"),

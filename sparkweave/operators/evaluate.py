@@ -23,7 +23,7 @@ def question_metrics(chunks: DataFrame, questions: DataFrame, answers: DataFrame
     """
     rows = chunks.withColumns({"doc": T.form_of_path(F.coalesce("filepath", F.lit(""))), "forms": T.forms_in_text(F.coalesce("content", F.lit("")))})
     gold = questions.select("question_id", "hops", F.transform("gold", F.upper).alias("gold"))
-    joined = rows.join(F.broadcast(gold), "question_id")
+    joined = rows.join(gold, "question_id")
     out = joined.groupBy("question_id", "mode").agg(
         F.first("gold").alias("gold"),
         F.first("hops").alias("hops"),

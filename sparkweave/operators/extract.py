@@ -9,6 +9,7 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkweave.functions import text as T
 from sparkweave.schema import DOMAIN, DomainSchema
@@ -59,22 +60,31 @@ def cache_split(chunks: DataFrame, cache: DataFrame, context: str = "context", c
     return keyed.join(cache.select("key", "answer"), "key"), keyed.join(cache.select("key"), "key", "left_anti")
 
 
-def answered(chunks: DataFrame, extractor: Extractor) -> DataFrame:
-    """chunk_id, seq, key, answer, error for chunks with chunk_id, seq, key, content, heading_path, context. A failure leaves no answer, so it is not cached."""
+def answered(chunks: DataFrame, extractor: Extractor, concurrency: int = 8, calls=None) -> DataFrame:
+    """All columns of ``chunks`` (content, heading_path, context among them), answer and error. A failure leaves no answer, so it is not cached.
+
+    A task has at most ``concurrency`` calls in flight. ``calls``: an accumulator that counts finished calls as they come.
+    """
+    names = chunks.columns
 
     def run(batches):
-        for batch in batches:
-            answers, errors = [], []
-            for content, heading, context in zip(*(batch.column(n).to_pylist() for n in ("content", "heading_path", "context"))):
-                try:
-                    answers.append(extractor(content or "", heading or "", context or ""))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  a failed call concerns its chunk only
-                    answers.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("chunk_id", "seq", "key")), pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=["chunk_id", "seq", "key", "answer", "error"])
-
-    return chunks.select("chunk_id", "seq", "key", "content", "heading_path", "context").mapInArrow(run, "chunk_id string, seq long, key string, answer string, error string")
+        from concurrent.futures import ThreadPoolExecutor
+
+        def ask(row) -> tuple:
+            try:
+                return extractor(*(x or "" for x in row)), None
+            except Exception as e:  # noqa: BLE001  a failed call concerns its chunk only
+                return None, f"{type(e).__name__}: {e}"
+            finally:
+                if calls is not None:
+                    calls.add(1)
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                found = list(pool.map(ask, zip(*(batch.column(n).to_pylist() for n in ("content", "heading_path", "context")))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[k] for f in found], pa.string()) for k in (0, 1))], names=[*names, "answer", "error"])
+
+    return chunks.mapInArrow(run, StructType([*chunks.schema.fields, *StructType.fromDDL("answer string, error string").fields]))
 
 
 def extraction_totals(extraction: DataFrame) -> DataFrame:

@@ -34,20 +34,23 @@ def _place() -> Column:
 
 
 def entity_registry(rows: DataFrame) -> DataFrame:
-    """Entities from rows id, canon, type, description, aliases, seq, pos.
+    """Entities from rows id, canon, type, description, aliases, seq (of any type with an order), pos.
 
     The first name and type; the longest description, the first of equal ones; aliases in the order in which they were seen; mentions.
+    Aliases are made distinct before they are gathered, so what comes together for an entity does not grow with its mentions.
     """
     text = F.coalesce("description", F.lit(""))
-    longest = F.max_by(text, F.struct(F.length(text), -F.col("seq"), -F.col("pos")))
-    listed = F.array_sort(F.collect_list(F.struct("seq", "pos", "aliases")))
-    return rows.groupBy("id").agg(
+    main = rows.groupBy("id").agg(
         F.min_by("canon", _place()).alias("name"),
         F.min_by("type", _place()).alias("type"),
-        longest.alias("description"),
-        F.array_distinct(F.flatten(F.transform(listed, lambda x: F.coalesce(x["aliases"], F.array().cast("array<string>"))))).alias("aliases"),
+        F.min_by(text, F.struct(-F.length(text), "seq", "pos")).alias("description"),
         F.count(F.lit(1)).alias("mention_count"),
     )
+    each = rows.select("id", "seq", "pos", F.posexplode("aliases").alias("k", "alias"))
+    seen = each.groupBy("id", "alias").agg(F.min(F.struct("seq", "pos", "k")).alias("at"))
+    listed = seen.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    out = main.join(listed, "id", "left")
+    return out.select("id", "name", "type", "description", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "mention_count")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -140,6 +143,11 @@ def entity_by_name(entities: DataFrame, name: str) -> DataFrame:
     return entities.where(F.lower("name") == name.lower()).orderBy("id").limit(1)
 
 
+def entity_by_id(entities: DataFrame, entity_id: str) -> DataFrame:
+    """The entity with the id, or no row."""
+    return entities.where(F.col("id") == F.lit(entity_id))
+
+
 def search_entities(entities: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Entities whose name or an alias contains the query, by id."""
     q = F.lit(query.lower())
@@ -175,7 +183,8 @@ def k_hop(graph: Graph, seeds: list, hops: int = 2, max_nodes: int = 60, fanout:
     of more than ``hub_degree`` edges admit no neighbour, others at most those among their first ``fanout`` edges, until ``max_nodes``
     are reached. Edges to known nodes are kept for hubs too. The last frontier is not expanded.
 
-    What is collected is bounded by ``max_nodes`` and the seeds: node ids with their positions. Edges stay tables.
+    What is collected is bounded by ``max_nodes`` and the seeds: their degrees, the edges that nodes other than hubs are ranked by, and
+    the edges among known nodes. A hub's edges are counted and joined with known nodes, but never ranked or gathered.
     """
     spark = graph.entities.sparkSession
     key_type = graph.entities.schema["id"].dataType.simpleString()
@@ -183,32 +192,39 @@ def k_hop(graph: Graph, seeds: list, hops: int = 2, max_nodes: int = 60, fanout:
     wanted = spark.createDataFrame([(s, i) for i, s in enumerate(order)], f"id {key_type}, pos int")
     found = {r["id"] for r in graph.entities.join(F.broadcast(wanted), "id", "left_semi").select("id").collect()}
     nodes = [s for s in order if s in found]
-    frontier, edges = list(nodes), None
+    frontier, seen = list(nodes), {}
     columns = ["src", "predicate", "dst", "weight", "evidence"]
+    heavy = Window.partitionBy("pos").orderBy(F.desc(F.coalesce("weight", F.lit(0.0))), "src", "predicate", "dst")
+    # Both directions from one scan of the edges.
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"))))
     for _ in range(max(1, hops)):
         if len(nodes) >= max_nodes or not frontier:
             break
-        front = F.broadcast(spark.createDataFrame([(n, i) for i, n in enumerate(frontier)], f"node {key_type}, pos int"))
-        known = F.broadcast(spark.createDataFrame([(n,) for n in nodes], f"other {key_type}"))
-        # Both directions from one scan of the edges; what touches the frontier is kept for the two steps that read it.
-        ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"))))
-        touching = graph.relates.select(*columns, ends.alias("end")).select(*columns, "end.node", "end.other").join(front, "node")
-        by = Window.partitionBy("pos")
-        heavy = by.orderBy(F.desc(F.coalesce("weight", F.lit(0.0))), "src", "predicate", "dst")
-        ranked = touching.withColumns({"rn": F.row_number().over(heavy), "deg": F.count(F.lit(1)).over(by)}).persist()
-        fresh = ranked.where((F.col("deg") <= hub_degree) & (F.col("rn") <= fanout)).join(known, "other", "left_anti")
-        admitted = fresh.groupBy("other").agg(F.min(F.struct("pos", "rn")).alias("k")).orderBy("k").limit(max_nodes - len(nodes)).collect()
-        admission = spark.createDataFrame([(n, -1, -1) for n in nodes] + [(r["other"], r["k"]["pos"], r["k"]["rn"]) for r in admitted], f"other {key_type}, at int, nth int")
-        seen = ranked.join(F.broadcast(admission), "other").where(F.struct("at", "nth") <= F.struct("pos", "rn")).select(*columns)
-        edges = seen if edges is None else edges.unionByName(seen)
-        frontier = [r["other"] for r in admitted]
+
+        def touching(some: list) -> DataFrame:
+            front = spark.createDataFrame([(n, frontier.index(n)) for n in some], f"node {key_type}, pos int")
+            return graph.relates.select(*columns, ends.alias("end")).select(*columns, "end.node", "end.other").join(F.broadcast(front), "node")
+
+        degree = {r["node"]: r["n"] for r in touching(frontier).groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
+        small, hubs = ([n for n in frontier if n in degree and (degree[n] > hub_degree) == hub] for hub in (False, True))
+        ranked = touching(small).withColumn("rn", F.row_number().over(heavy)).select(*columns, "other", "pos", "rn").collect() if small else []
+        places = {n: (-1, -1) for n in nodes}
+        for r in sorted((r for r in ranked if r["rn"] <= fanout), key=lambda r: (r["pos"], r["rn"])):
+            if r["other"] not in places and len(places) < max_nodes:
+                places[r["other"]] = r["pos"], r["rn"]
+        rows = [r for r in ranked if r["other"] in places]
+        if hubs:
+            known = spark.createDataFrame([(n,) for n in places], f"other {key_type}")
+            rows += touching(hubs).join(F.broadcast(known), "other", "left_semi").select(*columns, "other", "pos", F.lit(0).alias("rn")).collect()
+        for r in rows:
+            if places[r["other"]] <= (r["pos"], r["rn"]):
+                seen[r["src"], r["predicate"], r["dst"]] = tuple(r[c] for c in columns)
+        frontier = [n for n in places if places[n] != (-1, -1)]
         nodes += frontier
     places = F.broadcast(spark.createDataFrame([(n, i) for i, n in enumerate(nodes)], f"id {key_type}, pos int"))
     out_nodes = graph.entities.join(places, "id").select("id", "name", "type", "pos")
-    if edges is None:
-        edges = graph.relates.select(*columns).limit(0)
-    edges = edges.dropDuplicates(["src", "predicate", "dst"])
-    return out_nodes, edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "predicate", "weight", "evidence")
+    edges = spark.createDataFrame(list(seen.values()), f"source {key_type}, predicate string, target {key_type}, weight double, evidence string")
+    return out_nodes, edges.select("source", "target", "predicate", "weight", "evidence")
 
 
 def display_links(relates: DataFrame, nodes: DataFrame, limit: int = 80) -> DataFrame:

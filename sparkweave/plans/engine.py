@@ -1,9 +1,16 @@
-"""The engine as one object: ingest, query, graph, stats. Tables live in a directory as Parquet; a second ingest of a document replaces it."""
+"""The engine as one object: ingest, query, graph, stats.
+
+Every ingest is a batch with tables of its own, and counts only when its last table, ``commit``, is written; so a failure
+half-way changes nothing. A document belongs to the last batch that has it: earlier rows are left out when tables are read. The graph
+is built from all rows that count and written with the batch. Answers of the extractor are kept by a key of context and content, also of
+batches that failed, so no chunk is asked about twice.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +18,8 @@ from sparkweave.operators import chunk, extract, graph, retrieve, vector
 from sparkweave.schema import DOMAIN, DomainSchema
 from sparkweave.functions import text as T
 
-NOTHING_FOUND = "I couldn't find any relevant information in the loaded documents."
+NOTHING_FOUND = "No passage of the documents matches this question."
+GRAPH = ("entities", "mentions", "relates", "chunks")
 
 
 @dataclass
@@ -26,6 +34,7 @@ class Settings:
     overlap: int = 100
     clean: bool = True
     min_substantial: int = 200
+    concurrency: int = 8
 
 
 @dataclass
@@ -43,31 +52,81 @@ class Engine:
         self.spark, self.path, self.embedder, self.extractor, self.generator = spark, path.rstrip("/"), embedder, extractor, generator
         self.query_entities, self.domain, self.settings = query_entities, domain, settings or Settings()
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    def _read(self, path: str) -> DataFrame | None:
+        """A table, or null before it is written."""
+        try:
+            return self.spark.read.parquet(f"{self.path}/{path}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def batches(self) -> list[int]:
+        """Numbers of the batches that count."""
+        found = self._read("batch-*/commit")
+        return [] if found is None else sorted(r["batch"] for r in found.collect())
+
+    def _place(self, batch: int, name: str) -> str:
+        return f"{self.path}/batch-{batch:06}/{name}"
+
+    def _table(self, name: str, batches: list[int] | None = None) -> DataFrame:
+        """The rows that count: of each document those of its last batch."""
+        batches = self.batches() if batches is None else batches
+        if not batches:
+            raise RuntimeError("nothing was ingested yet")
+        read = lambda n: self.spark.read.parquet(*(self._place(b, n) for b in batches))
+        rows = read(name)
+        if len(batches) > 1:
+            last = read("documents").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+            rows = rows.join(last, ["doc_id", "batch"], "left_semi")
+        return rows.drop("batch")
+
+    def _answers(self, asked: DataFrame) -> DataFrame:
+        """key, answer for what is asked: kept answers, and new ones, which are kept."""
+        one = asked.select("key", "content", "heading_path", "context").dropDuplicates(["key"])
+        kept = self._read("answers")
+        if kept is not None:
+            one = one.join(kept.where("answer is not null").select("key"), "key", "left_anti")
+        extract.answered(one, self.extractor, self.settings.concurrency).select("key", "answer", "error").write.mode("append").parquet(f"{self.path}/answers")
+        return self._read("answers").where("answer is not null").select("key", "answer").dropDuplicates(["key"])
 
     def ingest(self, sections: DataFrame) -> DataFrame:
-        """Sections (doc_id, filepath, section_no, heading_path, text, metadata) to all tables; returns the stats."""
+        """Adds sections (doc_id, filepath, section_no, heading_path, text, metadata) to all tables, in place of earlier ones of their documents; returns the stats."""
         if self.embedder is None or self.extractor is None:
             raise RuntimeError("ingest needs an embedder and an extractor")
-        chunks = chunk.sections_to_chunks(sections)
-        if self.settings.clean:
-            chunks = chunks.where(T.is_substantial(F.col("content"), self.settings.min_substantial, self.domain))
-        chunks.write.mode("overwrite").parquet(f"{self.path}/chunks")
-        chunks = self._table("chunks")
-        vector.embedded(chunks, self.embedder).write.mode("overwrite").parquet(f"{self.path}/embeddings")
+        s, before = self.settings, self.batches()
+        batch = max(before, default=0) + 1
+
+        def write(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(self._place(batch, name))
+            return self.spark.read.parquet(self._place(batch, name))
+
+        write(sections.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().withColumn("batch", F.lit(batch)), "documents")
+        chunks = chunk.sections_to_chunks(sections, s.max_chars, s.min_chars, s.overlap)
+        if s.clean:
+            chunks = chunks.where(T.is_substantial(F.col("content"), s.min_substantial, self.domain))
+        chunks = write(chunks.withColumn("batch", F.lit(batch)), "chunks")
+        vectors = vector.embedded(chunks, self.embedder).join(chunks.select("chunk_id", "doc_id", "batch"), "chunk_id")
+        write(vectors, "embeddings")
         context = F.coalesce(T.form_label(F.coalesce("filepath", F.lit(""))), F.lit(""))
-        asked = chunks.withColumns({"context": context, "seq": F.xxhash64("doc_id", "section_no", "ordinal")})
+        # The order in which chunks were read decides what comes first in the graph.
+        asked = chunks.withColumns({"context": context, "seq": F.struct("batch", "doc_id", "section_no", "ordinal")})
         asked = asked.withColumn("key", T.cache_key(F.col("context"), F.col("content")))
-        answers = extract.answered(asked, self.extractor)
-        extract.parsed(answers.where("answer is not null")).select("chunk_id", "seq", "entities", "relations").write.mode("overwrite").parquet(f"{self.path}/extraction")
-        built = graph.build(self._table("extraction"), chunks, self.domain)
-        for name in ("entities", "mentions", "relates", "chunks"):
-            getattr(built, name).write.mode("overwrite").parquet(f"{self.path}/graph_{name}")
+        found = extract.parsed(asked.join(self._answers(asked), "key"), self.domain)
+        write(found.select("chunk_id", "doc_id", "batch", "seq", "entities", "relations"), "extraction")
+        every = [*before, batch]
+        built = graph.build(self._table("extraction", every), self._table("chunks", every), self.domain)
+        for name in GRAPH:
+            write(getattr(built, name), f"graph_{name}")
+        write(self.spark.createDataFrame([(batch,)], "batch int"), "commit")
         return self.stats()
 
     def load_graph(self) -> graph.Graph:
-        return graph.Graph(*(self._table(f"graph_{n}") for n in ("entities", "mentions", "relates", "chunks")))
+        """The graph of the last batch, which has all documents."""
+        last = max(self.batches(), default=None)
+        if last is None:
+            raise RuntimeError("nothing was ingested yet")
+        return graph.Graph(*(self.spark.read.parquet(self._place(last, f"graph_{n}")) for n in GRAPH))
 
     def stats(self) -> DataFrame:
         return graph.stats(self.load_graph())

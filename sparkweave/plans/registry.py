@@ -146,7 +146,7 @@ def pdf_heading_levels(spark, d):
     spans = spark.createDataFrame(SPANS, SPAN_TYPES).where(F.trim("text") != "")
     medians = spans.groupBy("doc_id").agg(F.median("size").alias("median"))
     level = parse.pdf_heading_level(F.col("size"), F.col("flags").bitwiseAND(16) != 0, F.col("median"))
-    return spans.join(F.broadcast(medians), "doc_id").select("doc_id", F.col("page").cast("long").alias("page"), F.col("block").cast("long").alias("block"), "text", level.alias("level"))
+    return spans.join(medians, "doc_id").select("doc_id", F.col("page").cast("long").alias("page"), F.col("block").cast("long").alias("block"), "text", level.alias("level"))
 
 
 @query(f"""SELECT * FROM {values([
@@ -442,9 +442,19 @@ def khop_sql(what: str, hops: int, max_nodes: int, fanout: int, hub: int) -> str
     return f"WITH {', '.join(ctes)} {last}"
 
 
+def _around_seeds(spark, d, **limits) -> tuple[DataFrame, DataFrame]:
+    """The traversal reads the edges several times, so they are kept for as long as it takes."""
+    g = star(spark, d)
+    g.relates.persist()
+    try:
+        return graph.k_hop(g, SEEDS, **limits)
+    finally:
+        g.relates.unpersist()
+
+
 def _khop(what: str, **limits) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, d):
-        nodes, edges = graph.k_hop(star(spark, d), SEEDS, **limits)
+        nodes, edges = _around_seeds(spark, d, **limits)
         return nodes.withColumn("pos", F.col("pos").cast("long")) if what == "nodes" else edges.select("source", "target", "predicate", "weight")
 
     return run
@@ -558,13 +568,16 @@ def knn_join_labels(spark, d):
     return vector.knn_join(e, _query_vector(spark, d), e.select("vec_id", "label"), 10, "vec_id").select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
-@query("""
-WITH c AS (SELECT lower(text) AS low FROM documents WHERE doc_id <= 40), n AS (SELECT DISTINCT word AS name FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' ')) AS word FROM documents WHERE doc_id BETWEEN 41 AND 60) WHERE length(word) >= 5)
+@query(f"""
+WITH k AS (SELECT vec_id FROM ({KNN_SQL}) ORDER BY distance, vec_id LIMIT 5), c AS (SELECT lower(text) AS low FROM documents WHERE doc_id IN (SELECT vec_id FROM k)),
+n AS (SELECT DISTINCT word AS name FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' ')) AS word FROM documents) WHERE length(word) >= 5)
 SELECT DISTINCT name FROM n JOIN c ON contains(low, name)""")
 def content_mentions_name(spark, d):
+    """The words of all documents that the documents of the five nearest vectors contain."""
     docs = t(spark, d, "documents")
-    contents = docs.where("doc_id <= 40").select(F.col("text").alias("content"))
-    found = docs.where("doc_id between 41 and 60").select(F.explode(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", " ")), " ")).alias("name")).distinct()
+    near = vector.knn(t(spark, d, "embeddings"), _query_vector(spark, d), retrieve.SCANNED, "vec_id").select(F.col("vec_id").alias("doc_id"))
+    contents = docs.join(F.broadcast(near), "doc_id", "left_semi").select(F.col("text").alias("content"))
+    found = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", " ")), " "))).alias("name")).distinct()
     return retrieve.names_in_contents(contents, found.withColumn("type", F.lit("form")))
 
 
@@ -578,7 +591,7 @@ def _channels(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The nearest vectors as chunks (vec_id is the chunk id by convention), and the graph channel around the seeds."""
     near = vector.knn(t(spark, d, "embeddings"), _query_vector(spark, d), 10, "vec_id").withColumnRenamed("vec_id", "chunk_id")
     g = star(spark, d)
-    nodes, edges = graph.k_hop(g, SEEDS)
+    nodes, edges = _around_seeds(spark, d)
     seeds = nodes.where(F.col("id").isin(*SEEDS))
     return near, retrieve.graph_chunks(g.mentions, nodes, seeds, near), nodes, edges
 
@@ -601,12 +614,10 @@ def hybrid_merge(spark, d):
 
 
 @query("""
-SELECT doc_id AS chunk_id, '[' || row_number() OVER (ORDER BY doc_id) || ']' AS citation_id, '/data/' || source || '.pdf' AS filepath, lang AS heading_path, 'unknown' AS retrieval_source,
-  left(text, 200) || '...' AS preview, 'https://www.uscis.gov/sites/default/files/document/forms/' || source || '.pdf' AS source_url FROM documents WHERE doc_id < 30""")
+SELECT doc_id AS chunk_id, '[' || doc_id || ']' AS citation_id, '/data/' || source || '.pdf' AS filepath, lang AS heading_path, 'unknown' AS retrieval_source,
+  left(text, 200) || '...' AS preview, 'https://www.uscis.gov/sites/default/files/document/forms/' || source || '.pdf' AS source_url FROM documents""")
 def citations(spark, d):
-    docs = t(spark, d, "documents").where("doc_id < 30")
-    n = F.row_number().over(Window.orderBy("doc_id")).cast("string")
-    rows = docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("["), n, F.lit("]")).alias("citation_id"), F.concat(F.lit("/data/"), "source", F.lit(".pdf")).alias("filepath"), F.col("lang").alias("heading_path"), F.col("text").alias("content"), F.lit(None).cast("string").alias("retrieval_source"), F.expr("cast(map() as map<string,string>)").alias("metadata"))
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]")).alias("citation_id"), F.concat(F.lit("/data/"), "source", F.lit(".pdf")).alias("filepath"), F.col("lang").alias("heading_path"), F.col("text").alias("content"), F.lit(None).cast("string").alias("retrieval_source"), F.expr("cast(map() as map<string,string>)").alias("metadata"))
     return retrieve.citations(rows).drop("page", "source_url_with_page")
 
 
@@ -615,30 +626,29 @@ WITH n AS ({khop_sql('nodes', 2, 60, 10, 40)}), x AS ({khop_sql('edges', 2, 60,
 o AS (SELECT *, row_number() OVER (ORDER BY weight DESC, source, predicate, target) AS n FROM x)
 SELECT o.n AS n, '  - ' || coalesce(a.name, source) || ' — ' || replace(predicate, '_', ' ') || ' → ' || coalesce(b.name, target) AS line FROM o LEFT JOIN n a ON a.id = source LEFT JOIN n b ON b.id = target WHERE o.n <= 20""")
 def graph_context(spark, d):
-    nodes, edges = graph.k_hop(star(spark, d), SEEDS)
+    nodes, edges = _around_seeds(spark, d)
     return retrieve.edge_lines(edges, nodes).withColumn("n", F.col("n").cast("long"))
 
 
 @query(f"WITH n AS ({khop_sql('nodes', 2, 60, 10, 40)}) SELECT type, string_agg(name, '|' ORDER BY pos) AS names FROM n GROUP BY type")
 def graph_context_nodes(spark, d):
-    nodes, _ = graph.k_hop(star(spark, d), SEEDS)
+    nodes, _ = _around_seeds(spark, d)
     return retrieve.node_groups(nodes).select("type", F.array_join("names", "|").alias("names"))
 
 
 EVAL_SQL = """
-WITH q AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 20),
+WITH q AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT q.vec_id AS question_id, q.label AS gold, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.v, CAST(e.embedding AS DOUBLE[])), 9), e.vec_id) AS rn FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
 h AS (SELECT question_id, CASE WHEN rn <= 8 THEN 'naive' ELSE 'hybrid' END AS mode, gold, label FROM s WHERE rn <= 24)"""
 
 
 def _eval_rows(spark, d) -> DataFrame:
-    """question_id, mode, gold, label: the next neighbours of twenty query vectors; the first eight stand for one mode, later ones for the other."""
+    """question_id, mode, gold, label: the next neighbours of every vector whose id is divisible by 100; the first eight stand for one mode, later ones for the other."""
     e = t(spark, d, "embeddings")
-    q = F.broadcast(e.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), F.col("label").alias("gold"), F.col("embedding").cast("array<double>").alias("v")))
-    apart = F.round(F.sqrt(F.aggregate(F.zip_with("v", F.col("embedding").cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)), 9)
-    scored = e.join(q, F.col("vec_id") != F.col("question_id")).select("question_id", "gold", "label", "vec_id", apart.alias("apart"))
-    ranked = scored.withColumn("rn", F.row_number().over(Window.partitionBy("question_id").orderBy("apart", "vec_id"))).where("rn <= 24")
-    return ranked.select("question_id", F.when(F.col("rn") <= 8, "naive").otherwise("hybrid").alias("mode"), "gold", "label")
+    near = vector.knn_many(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), 24)
+    labels = e.select("vec_id", "label")
+    ranked = near.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query"), F.col("label").alias("gold")), "query")
+    return ranked.select(F.col("query").alias("question_id"), F.when(F.col("rank") <= 8, "naive").otherwise("hybrid").alias("mode"), "gold", "label")
 
 
 @query(EVAL_SQL + " SELECT question_id, mode, CASE WHEN bool_or(label = gold) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS recall FROM h GROUP BY question_id, mode")
@@ -665,6 +675,103 @@ def refusal_rate(spark, d):
     return evaluate.refusal_rate(spark.createDataFrame(SAID, "id int, answer string"))
 
 
+@query("SELECT doc_id AS chunk_id, text AS content FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def chunks_by_ids(spark, d):
+    chunks = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return chunk.chunks_by_ids(chunks, t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id")))
+
+
+@query("SELECT doc_id AS chunk_id, lang FROM documents WHERE doc_id = 7")
+def chunk_by_id(spark, d):
+    return chunk.chunk_by_id(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang"), 7)
+
+
+@query(f"SELECT id, name, type FROM ({ENTITIES_SQL}) WHERE id = 'nation:3'")
+def entity_by_id(spark, d):
+    return graph.entity_by_id(star_entities(spark, d), "nation:3").select("id", "name", "type")
+
+
+@query("SELECT source AS filepath, count(*) AS chunks, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM documents GROUP BY source")
+def chunk_stats_by_file(spark, d):
+    return chunk.stats_by_file(t(spark, d, "documents").select(F.col("source").alias("filepath"), F.col("text").alias("content")))
+
+
+@query("SELECT count(*) AS n FROM documents")
+def chunk_count(spark, d):
+    return t(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"))
+
+
+ASKED = [("ASIA", "agency", 0), ("customer#000000001", "form", 1), ("order 7", "form", 2), ("no such name", "form", 3), ("ord", "statute", 4), ("germany", "agency", 5)]
+IN_CHUNKS = [("FRANCE",), ("Order 11",), ("nothing",)]
+
+
+@query(f"""
+WITH ent AS ({ENTITIES_SQL}), q AS (SELECT seq, type, lower(name) AS q FROM {values([(n, k, i) for n, k, i in ASKED], 'name', 'type', 'seq')}),
+exact AS (SELECT seq, min(id) AS id, 0 AS n FROM ent JOIN q ON lower(ent.name) = q GROUP BY seq),
+inside AS (SELECT seq, id, row_number() OVER (PARTITION BY seq ORDER BY id) AS n FROM ent JOIN q ON contains(lower(ent.name), q) WHERE q.type IN ('form', 'statute') AND length(q) >= 4 AND seq NOT IN (SELECT seq FROM exact)),
+named AS (SELECT c, min(id) AS id FROM ent JOIN {values(IN_CHUNKS, 'c')} x ON lower(ent.name) = lower(c) GROUP BY c),
+u AS (SELECT id, seq, n FROM exact UNION ALL SELECT id, seq, n FROM inside WHERE n <= 2 UNION ALL SELECT id, 1000000, row_number() OVER (ORDER BY c) FROM named),
+f AS (SELECT id, min(seq * 1000 + n) AS k FROM u GROUP BY id)
+SELECT id, CAST(row_number() OVER (ORDER BY k, id) - 1 AS BIGINT) AS pos FROM f""")
+def matched_entities(spark, d):
+    asked = spark.createDataFrame(ASKED, "name string, type string, seq int")
+    found = retrieve.matched_entities(star_entities(spark, d), asked, spark.createDataFrame(IN_CHUNKS, "name string"))
+    return found.select("id", F.col("pos").cast("long").alias("pos"))
+
+
+class _Stored:
+    """An embedder that knows one vector."""
+
+    def __init__(self, v: list[float]) -> None:
+        self.v = v
+
+    def embed_one(self, text: str) -> list[float]:
+        return self.v
+
+
+@query(f"""
+WITH v AS (SELECT vec_id AS chunk_id, 'vector' AS retrieval_source, 0 AS channel, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM ({KNN_SQL})),
+g AS (SELECT chunk_id, 'graph' AS retrieval_source, 1 AS channel, row_number() OVER (ORDER BY graph_score DESC, chunk_id) AS rank FROM ({GRAPH_CHUNKS_SQL})),
+u AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY channel, rank) AS nth FROM (SELECT * FROM v UNION ALL SELECT * FROM g)),
+m AS (SELECT chunk_id, retrieval_source, '[' || row_number() OVER (ORDER BY channel, rank, chunk_id) || ']' AS citation_id FROM u WHERE nth = 1)
+SELECT m.*, o_orderpriority AS content FROM m JOIN orders ON o_orderkey = chunk_id""")
+def retrieve_hybrid(spark, d):
+    """The retriever as a user calls it: embedding, matching, traversal, both channels and their fusion, with orders as chunks."""
+    g = star(spark, d)
+    chunks = t(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.lit("/data/orders").alias("filepath"), F.lit("").alias("heading_path"), F.col("o_orderpriority").alias("content"), F.expr("cast(map() as map<string,string>)").alias("metadata"))
+    vectors = t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    names = dict(g.entities.where(F.col("id").isin(*SEEDS)).select("id", "name").collect())
+    asked = [(names[s], "agency") for s in dict.fromkeys(SEEDS) if s in names]
+    found = retrieve.Retriever(chunks, vectors, g, _Stored(_query_vector(spark, d)), lambda q: asked).retrieve("which orders?")
+    return found.merged.select("chunk_id", "retrieval_source", "citation_id", "content")
+
+
+METRIC_ROWS_SQL = """
+WITH c AS (SELECT doc_id % 97 AS question_id, CASE WHEN doc_id % 2 = 0 THEN 'naive' ELSE 'hybrid' END AS mode, 'see I-' || (480 + doc_id % 7) || ' and N-' || (400 + doc_id % 5) AS content,
+  'I-' || (480 + doc_id % 4) AS doc, CASE WHEN doc_id % 3 = 0 THEN 'graph' ELSE 'vector' END AS source FROM documents),
+q AS (SELECT DISTINCT question_id, ['I-' || (480 + question_id % 9), 'N-401'] AS gold, CASE WHEN question_id % 2 = 0 THEN 'multi' ELSE 'single' END AS hops FROM c),
+f AS (SELECT question_id, mode, unnest(regexp_extract_all(content, '[IN]-[0-9]+')) AS form FROM c)"""
+
+
+@query(METRIC_ROWS_SQL + """,
+r AS (SELECT f.question_id, mode, count(DISTINCT CASE WHEN list_contains(gold, form) THEN form END) / 2.0 AS retrieval_recall FROM f JOIN q USING (question_id) GROUP BY f.question_id, mode),
+p AS (SELECT c.question_id, mode, any_value(hops) AS hops, count(DISTINCT CASE WHEN list_contains(gold, doc) THEN doc END) / 2.0 AS doc_recall, avg(CASE WHEN list_contains(gold, doc) THEN 1.0 ELSE 0.0 END) AS citation_precision,
+  avg(CASE WHEN source = 'graph' THEN 1.0 ELSE 0.0 END) AS graph_share FROM c JOIN q USING (question_id) GROUP BY c.question_id, mode)
+SELECT p.question_id, p.mode, hops, round(retrieval_recall, 9) AS retrieval_recall, round(doc_recall, 9) AS doc_recall, round(citation_precision, 9) AS citation_precision, round(graph_share, 9) AS graph_share FROM p JOIN r USING (question_id, mode)""")
+def question_metrics(spark, d):
+    """Retrieval metrics of rows made from all documents."""
+    n = F.col("doc_id")
+    number = lambda first, k: (F.lit(first) + n % k).cast("string")
+    chunks = t(spark, d, "documents").select(
+        (n % 97).alias("question_id"), F.when(n % 2 == 0, "naive").otherwise("hybrid").alias("mode"), F.concat(F.lit("see I-"), number(480, 7), F.lit(" and N-"), number(400, 5)).alias("content"),
+        F.concat(F.lit("/x/i-"), number(480, 4), F.lit("instr.pdf")).alias("filepath"), F.when(n % 3 == 0, "graph").otherwise("vector").alias("retrieval_source"),
+    )
+    q = F.col("question_id")
+    questions = chunks.select("question_id").distinct().select("question_id", F.array(F.concat(F.lit("I-"), (F.lit(480) + q % 9).cast("string")), F.lit("N-401")).alias("gold"), F.when(q % 2 == 0, "multi").otherwise("single").alias("hops"))
+    out = evaluate.question_metrics(chunks, questions)
+    return out.select("question_id", "mode", "hops", *(F.round(c, 9).alias(c) for c in ("retrieval_recall", "doc_recall", "citation_precision", "graph_share")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval: nearest vectors and graph neighbourhood, fused and cited."""
     return hybrid_merge(spark, sf_dir)

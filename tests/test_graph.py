@@ -111,6 +111,55 @@ def test_engine_end_to_end(spark, tmp_path):
     assert NOTHING_FOUND
 
 
+def test_batches_add_up(spark, tmp_path):
+    """A second batch adds to the first, replaces its documents, and asks about new texts only."""
+    ddl = "doc_id string, filepath string, section_no int, heading_path string, text string, metadata map<string,string>"
+    text = lambda a, b: f"Form {a} requires Form {b} for every applicant in the country. " * 6
+    section = lambda doc, t: (doc, "/x/notes.pdf", 0, "A", t, {})
+    calls = str(tmp_path / "calls")
+
+    def asked(content, heading, context):
+        if "BROKEN" in content:
+            raise ValueError("no answer")
+        with open(calls, "a") as f:
+            f.write(content[:40] + "\n")
+        return extract.RuleExtractor()(content, heading, context)
+
+    engine = Engine(spark, str(tmp_path / "e"), vector.HashingEmbedder(), asked)
+    with pytest.raises(RuntimeError):
+        engine.stats()
+    engine.ingest(spark.createDataFrame([section("d1", text("I-485", "I-693")), section("d2", text("I-90", "I-131"))], ddl))
+    assert engine.stats().first().asDict() == {"entities": 4, "chunks": 2, "mentions": 4, "relations": 2}
+    second = engine.ingest(spark.createDataFrame([section("d3", text("I-485", "I-693")), section("d2", text("N-400", "I-131"))], ddl)).first().asDict()
+    assert second == {"entities": 4, "chunks": 3, "mentions": 6, "relations": 2}
+    g = engine.load_graph()
+    names = {r["id"]: r["name"] for r in g.entities.collect()}
+    weights = {(names[r["src"]], names[r["dst"]]): r["weight"] for r in g.relates.collect()}
+    assert weights == {("Form I-485", "Form I-693"): 12.0, ("Form N-400", "Form I-131"): 6.0}
+    assert {r["doc_id"] for r in engine._table("chunks").collect()} == {"d1", "d2", "d3"} and engine._table("embeddings").count() == 3
+    assert len((tmp_path / "calls").read_text().splitlines()) == 3  # d3 has the text of d1 and no label of its own
+    # A batch that fails changes nothing; an answer that fails is asked for again.
+    bad = Engine(spark, str(tmp_path / "e"), None, asked)
+    with pytest.raises(RuntimeError):
+        bad.ingest(spark.createDataFrame([], ddl))
+    engine.ingest(spark.createDataFrame([section("d4", "BROKEN words of some length. " * 20), section("d1", "short")], ddl))
+    assert engine.batches() == [1, 2, 3] and {r["doc_id"] for r in engine._table("chunks").collect()} == {"d2", "d3", "d4"}
+    assert spark.read.parquet(str(tmp_path / "e" / "answers")).where("error is not null").count() == 1
+
+
+def test_hubs_and_aliases(spark):
+    edges = [("hub", "p", f"n{i}", float(i)) for i in range(100)] + [("n1", "p", "a", 1.0), ("a", "q", "hub", 1.0)]
+    ids = {x for e in edges for x in (e[0], e[2])}
+    g = graph.Graph(spark.createDataFrame([(i, i, "t") for i in ids], "id string, name string, type string"), None, spark.createDataFrame([(*e, "") for e in edges], "src string, predicate string, dst string, weight double, evidence string"))
+    nodes, found = graph.k_hop(g, ["a"], 3, 60, 10, 40)
+    want_nodes, want = one_by_one(ids, edges, ["a"], 3, 60, 10, 40)
+    assert [r["id"] for r in nodes.orderBy("pos").collect()] == want_nodes and {(r["source"], r["predicate"], r["target"]): r["weight"] for r in found.collect()} == want
+    rows = [("x", "c", "t", "d", ["b", "a"], 2, 0), ("x", "c", "t", "dd", ["a"], 1, 0), ("x", "c", "t", "ee", None, 3, 0), ("y", "c", "t", None, None, 1, 1)]
+    got = {r["id"]: r for r in graph.entity_registry(spark.createDataFrame(rows, "id string, canon string, type string, description string, aliases array<string>, seq long, pos int")).collect()}
+    assert got["x"]["aliases"] == ["a", "b"] and got["x"]["description"] == "dd" and got["x"]["mention_count"] == 3 and got["y"]["aliases"] == []
+    assert graph.entity_by_id(g.entities, "a").count() == 1
+
+
 def test_metrics(spark):
     chunks = spark.createDataFrame([("q1", "hybrid", "see I-485 and I-693", "/x/i-485instr.pdf", "vector"), ("q1", "hybrid", "", None, "graph"), ("q1", "naive", "I-90", "/x/i-90.pdf", None)], "question_id string, mode string, content string, filepath string, retrieval_source string")
     questions = spark.createDataFrame([("q1", ["i-485", "I-693"], "multi")], "question_id string, gold array<string>, hops string")
