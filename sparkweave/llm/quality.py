@@ -6,7 +6,8 @@ combinations, whatever the corpus. Expectation-maximisation on these counts esti
 good documents. The posterior of a combination labels its documents. A linear scorer on hashed features - words, and
 shapes of words such as ``Aa.`` - is then trained on posterior labels, so that it also judges where the heuristics abstain.
 
-The scorer is fitted on at most about ``SAMPLE`` documents, chosen by a hash of the text; votes and posteriors cover all documents.
+The scorer is fitted on at most about ``SAMPLE`` different texts, chosen by their hash and weighted by their copies; votes and posteriors
+cover all documents.
 
 Cases: null and empty texts have no words, so they are bad by definition (score 0, not kept); repeated rows are scored each; null
 ids come back as they are; an empty table gives no rows; other columns are ignored; texts are read whole.
@@ -34,14 +35,61 @@ COMMON = frozenset(
     " der die und den das von zu mit sich auf für ist im dem nicht ein eine als auch es"
     " el los y del las por con para como más su al lo no si".split()
 )
-_SIGNS = re.compile(r"[#$%&*|{}<>=~^@\\_]")
+_SIGNS = frozenset("#$%&*|{}<>=~^@\\_")
 _ENDS = re.compile(r"[.!?:;\"')\]]$")
 
 
+class Memo(dict):
+    """A function's values, kept for words that a worker meets again; forgotten when there are too many."""
+
+    MOST = 100_000
+
+    def __init__(self, function) -> None:
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, word: str):
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = out = self.function(word)
+        return out
+
+
+def _kind(word: str) -> tuple[bool, bool]:
+    """Whether a lower-case word is a common one, and whether it has signs in it."""
+    return word.strip(".,;:!?") in COMMON, not word.strip(".,;:!?'\"()-").replace("-", "").replace("'", "").isalnum()
+
+
+def _buckets(word: str) -> tuple[int, int]:
+    """The hashed shape and the hashed word."""
+    shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
+    return zlib.crc32(b"s" + shape.encode()) % DIMS, zlib.crc32(b"w" + word.lower().encode()) % DIMS
+
+
+_kinds, _places = Memo(_kind), Memo(_buckets)
+
+
 def _bad(hit: bool) -> int:
     return 0 if hit else -1
 
 
+#: Whether a character below LAST is a capital, a letter, a sign.
+LAST = 0x3000
+_classes = np.array([[chr(i).isupper(), chr(i).isalpha(), chr(i) in _SIGNS] for i in range(LAST)], np.int64)
+
+
+def _characters(text: str) -> tuple[int, int, int]:
+    """How many capitals, letters and signs a text has."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    most = int(codes.max(initial=0)) + 1
+    found = np.bincount(codes if most <= LAST else codes[codes < LAST], minlength=1)
+    upper, letters, signs = (found @ _classes[: len(found)]).tolist()
+    if most > LAST:
+        rest = [chr(c) for c in codes[codes >= LAST].tolist()]
+        upper, letters = upper + sum(map(str.isupper, rest)), letters + sum(map(str.isalpha, rest))
+    return upper, letters, signs
+
+
 def votes(text: str | None) -> list[int]:
     """The heuristics' votes on a text."""
     text = text or ""
@@ -49,17 +97,17 @@ def votes(text: str | None) -> list[int]:
     n = len(words)
     if not n:
         return [0] * 10
-    capitals = sum(map(str.isupper, text)) / max(1, sum(map(str.isalpha, text)))
-    shouts = text.count("!") / n
+    upper, letters, signs = _characters(text)
+    capitals, shouts, signs = upper / max(1, letters), text.count("!") / n, signs / n
     lines = [x for x in text.split("\n") if x.strip()]
-    low = [w.lower() for w in words]
+    low = text.lower().split()
     counts = Counter(low)
     triples_again = 1 - len(set(zip(low, low[1:], low[2:]))) / (n - 2) if n > 2 else 0.0
-    common = sum(counts[w] for w in counts if w.strip(".,;:!?") in COMMON) / n
-    odd = sum(c for w, c in counts.items() if not w.strip(".,;:!?'\"()-").replace("-", "").replace("'", "").isalnum()) / n
+    common = sum(k for w, k in counts.items() if _kinds[w][0]) / n
+    odd = sum(k for w, k in counts.items() if _kinds[w][1]) / n
     ends = sum(1 for x in lines if _ENDS.search(x)) / len(lines)
     return [
-        _bad(len(_SIGNS.findall(text)) / n > 0.1),  # signs
+        _bad(signs > 0.1),  # signs
         _bad(odd > 0.2),  # words with signs in them
         _bad(capitals > 0.5),  # capitals
         _bad(shouts > 0.2),  # exclamation marks
@@ -98,20 +146,21 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").split()
     counts: Counter = Counter()
     for word, n in Counter(words).items():
-        shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
-        counts[zlib.crc32(b"s" + shape.encode()) % DIMS] += n
-        counts[zlib.crc32(b"w" + word.lower().encode()) % DIMS] += n
+        shape, place = _places[word]
+        counts[shape] += n
+        counts[place] += n
     if not counts:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     return np.fromiter(counts, np.int32), np.sqrt(np.fromiter(counts.values(), np.float32) / len(words))
 
 
-def fit_linear(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, penalty: float = 1e-4, steps: int = 200, rate: float = 20.0) -> tuple[np.ndarray, float]:
+def fit_linear(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray | None = None, penalty: float = 1e-4, steps: int = 200, rate: float = 20.0) -> tuple[np.ndarray, float]:
     """Logistic regression with soft labels, by gradients of the mean loss with momentum."""
-    w, bias, v, vb, n = np.zeros(width), 0.0, np.zeros(width), 0.0, max(1, len(y))
+    w, bias, v, vb = np.zeros(width), 0.0, np.zeros(width), 0.0
+    share = np.full(len(y), 1 / max(1, len(y))) if weight is None else weight / max(1e-9, weight.sum())
     for _ in range(steps):
         z = np.bincount(rows, w[columns] * values, minlength=len(y)) + bias
-        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
         v = 0.9 * v - rate * 0.1 * (np.bincount(columns, gap[rows] * values, minlength=width) + penalty * w)
         vb = 0.9 * vb - 0.1 * gap.sum()
         w, bias = w + v, bias + vb
@@ -147,19 +196,20 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     shared = spark.sparkContext.broadcast(by_pattern)
     share = min(1.0, sample / total) if total else 1.0
     chosen = docs.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20)).where(F.trim("text") != "")
+    chosen = chosen.groupBy("text").agg(F.count(F.lit(1)).alias("n"))  # copies of a text meet before they are moved
 
     def packed(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = [features(t) for t in texts]
             y = [shared.value["".join("-01"[v + 1] for v in votes(t))] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary()), pa.array(y, pa.float64())], names=["at", "value", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary()), pa.array(y, pa.float64()), batch.column("n")], names=["at", "value", "y", "n"])
 
-    data = chosen.transform(in_arrow, packed, "at binary, value binary, y double").collect()
+    data = chosen.transform(in_arrow, packed, "at binary, value binary, y double, n long").collect()
     at = [np.frombuffer(r["at"], np.int32) for r in data]
     if data:
         flat, values = np.concatenate(at), np.concatenate([np.frombuffer(r["value"], np.float32) for r in data]).astype(float)
-        w, bias = fit_linear(np.repeat(np.arange(len(data)), [len(a) for a in at]), flat, values, np.array([r["y"] for r in data]), DIMS)
+        w, bias = fit_linear(np.repeat(np.arange(len(data)), [len(a) for a in at]), flat, values, np.array([r["y"] for r in data]), DIMS, np.array([r["n"] for r in data], float))
     else:
         w, bias = np.zeros(DIMS), 0.0
     model = spark.sparkContext.broadcast((w, bias))

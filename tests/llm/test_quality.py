@@ -55,3 +55,30 @@ def test_votes_have_ten_entries():
     for text in ("", "a", "a b", "x\n" * 50, "UP! " * 30):
         assert len(Q.votes(text)) == 10 and set(Q.votes(text)) <= {-1, 0, 1}
     assert len(list(itertools.product(range(3), repeat=2))) == 9
+
+
+def test_copies_of_one_text_come_to_the_driver_once(spark):
+    """A text that most rows have is sampled as one row with a weight, and ties do not change its scores."""
+    rows = [(i, t, 0) for i, t, _ in corpus()] + [(1000 + i, corpus()[3][1], 1) for i in range(2000)] + [(7, corpus()[7][1], 2)] * 5
+    got = Q.classify(spark.createDataFrame(rows, "doc_id long, text string, keep int")).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    assert len({r["score"] for r in got if r["doc_id"] >= 1000 or r["doc_id"] == 3}) == 1
+    assert sum(by[i]["keep"] != good for i, _, good in corpus()) <= 4
+
+
+def test_votes_against_counting_characters():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["the ", "Of ", "#", "WORD ", "a-b ", "x_y ", "! ", "\n", "don't ", ". "]) for _ in range(rng.randint(0, 80)))
+        words = text.split()
+        if not words:
+            assert Q.votes(text) == [0] * 10
+            continue
+        n, letters = len(words), sum(c.isalpha() for c in text)
+        v = Q.votes(text)
+        assert v[0] == (0 if sum(c in "#$%&*|{}<>=~^@\\_" for c in text) / n > 0.1 else -1)
+        assert v[2] == (0 if sum(c.isupper() for c in text) / max(1, letters) > 0.5 else -1)
+        assert v[3] == (0 if text.count("!") / n > 0.2 else -1)
+        odd = sum(not w.lower().strip(".,;:!?'\"()-").replace("-", "").replace("'", "").isalnum() for w in words)
+        assert v[1] == (0 if odd / n > 0.2 else -1)
