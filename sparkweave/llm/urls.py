@@ -3,8 +3,10 @@
 Rules name a host suffix and a path prefix; the longest rule that fits a URL decides. URLs without a rule are judged by
 gradient-boosted trees whose features are lexical: lengths, depth, digit ratio, entropy, parameter counts, words of
 the host and statistics of its suffix. The trees are trained on labelled URLs: those whose host has a word of a seed list
-count as bad, those without one that no rule blocks as good. At most ``SAMPLE`` of them (chosen by a hash of the URL) are used, and they reach the driver as counts
-of equal feature vectors. The finished trees are one column expression of nested conditions, so judging is a projection of the scan.
+count as bad, those without one that no rule blocks as good. The words themselves are no features. Hosts are dealt by their hash: trees are
+fitted on four fifths, and ``held_out`` measures them on the hosts of the last fifth, which they never saw. At most ``SAMPLE`` URLs (chosen by a hash of the URL) are used for fitting, and they reach the driver as counts
+of equal feature vectors; suffix statistics cover all labelled URLs of the fitting hosts and stay a table, for any number of suffixes. The finished trees
+are one column expression of nested conditions, so judging is a projection of the scan, joined with the suffixes.
 
 Cases: a null URL or one without ``://`` has an empty host and path, no rule, and is judged by its features; repeated
 rows are judged each; an empty table gives no rows; without labels of both kinds every verdict is allow, or block if
@@ -15,20 +17,20 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import LOWER, UPPER, table
+from sparkweave.llm.common import LOWER, UPPER, table, written
 
 #: Fixed values: (host suffix, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Words of hosts that label a URL as spam.
 SPAM_WORDS = ("spam", "cheap", "pills", "casino", "viagra", "porn", "xxx", "bet", "loan", "warez")
 SAMPLE = 20_000
-#: Suffixes with at least ten labelled URLs, at most so many, that have a statistic of their own.
-SUFFIXES = 500
+#: Labelled URLs that a suffix needs for a statistic of its own, and the share of hosts that are held out (one in so many).
+SUFFIX_URLS, HELD_OUT = 10, 5
 _CHARS = "abcdefghijklmnopqrstuvwxyz0123456789-._~/?#&=%:"
 
 
@@ -54,8 +56,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def features(url: Column, host: Column, path: Column, suffixes: dict[str, int]) -> dict[str, Column]:
-    """Lexical features as whole numbers; ratios and entropies are in hundredths. ``suffixes``: how often a suffix was blocked, in hundredths."""
+def features(url: Column, host: Column, path: Column, suffix_blocked: Column) -> dict[str, Column]:
+    """Lexical features as whole numbers; ratios and entropies are in hundredths. ``suffix_blocked``: how often the host's suffix was blocked, in hundredths, or null."""
     url = F.coalesce(url, F.lit(""))
     low = F.lower(url)
     size = F.length(low)
@@ -90,22 +92,28 @@ def features(url: Column, host: Column, path: Column, suffixes: dict[str, int])
         "fragment": (F.instr(low, "#") > 0).cast("int"),
         "extension": F.length(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)),
         "suffix_length": F.length(F.element_at(labels, -1)),
-        "suffix_blocked": F.coalesce(F.element_at(_suffix_map(suffixes), F.element_at(labels, -1)), F.lit(50)),
+        "suffix_blocked": F.coalesce(suffix_blocked, F.lit(50)),
     }
     return {k: v.cast("int") for k, v in out.items()}
 
 
-def _suffix_map(suffixes: dict[str, int]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in sorted(suffixes.items()) or [("", 50)] for x in pair))
+def suffix_of(host: Column) -> Column:
+    """The last label of a host."""
+    return F.element_at(F.split(host, r"\."), -1)
+
+
+def held_out_host(host: Column) -> Column:
+    """Whether a host is one of those that trees are not fitted on."""
+    return F.crc32(host) % HELD_OUT == 0
 
 
 @dataclass
 class Trees:
-    """Boosted trees: a tree is (feature, cut, left, right) with value <= cut to the left, or a number."""
+    """Boosted trees: a tree is (feature, cut, left, right) with value <= cut to the left, or a number. ``suffixes``: a table suffix, blocked."""
 
     start: float
     trees: list
-    suffixes: dict = field(default_factory=dict)
+    suffixes: DataFrame | None = None
 
     def column(self, columns: dict[str, Column]) -> Column:
         def one(tree) -> Column:
@@ -177,17 +185,32 @@ def label_of(host: Column, verdict: Column, spam_words=SPAM_WORDS) -> Column:
     return F.when(spam, 1).when(F.coalesce(verdict, F.lit("")) != "block", 0)
 
 
-def train(pages: DataFrame, rules=RULES, spam_words=SPAM_WORDS, sample: int = SAMPLE) -> Trees:
-    """Trees from the labelled URLs of ``pages``; at most about ``sample`` URLs are used."""
+def labelled(pages: DataFrame, rules=RULES, spam_words=SPAM_WORDS) -> DataFrame:
+    """url, host, path, suffix, y of the URLs that have a label."""
     host, path = host_and_path(F.col("url"))
-    named = pages.select("url", host.alias("host"), path.alias("path"))
-    known = named.withColumn("y", label_of(F.col("host"), rule_of(F.col("host"), F.col("path"), rules)[1], spam_words)).where("y is not null")
+    named = pages.select(F.col("url").cast("string").alias("url")).select("url", host.alias("host"), path.alias("path"))
+    known = named.withColumns({"y": label_of(F.col("host"), rule_of(F.col("host"), F.col("path"), rules)[1], spam_words), "suffix": suffix_of(F.col("host"))})
+    return known.where("y is not null")
+
+
+def _with_features(rows: DataFrame, suffixes: DataFrame | None) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows url, host, path, suffix with their suffix's statistic, and the features. Spark knows the table's size and broadcasts it while it is small."""
+    if suffixes is None:
+        rows = rows.withColumn("blocked", F.lit(None).cast("int"))
+    else:
+        rows = rows.join(suffixes, "suffix", "left")
+    return rows, features(F.col("url"), F.col("host"), F.col("path"), F.col("blocked"))
+
+
+def train(pages: DataFrame, rules=RULES, spam_words=SPAM_WORDS, sample: int = SAMPLE) -> Trees:
+    """Trees from the labelled URLs of ``pages`` on hosts that are not held out; at most about ``sample`` URLs are used."""
+    known = labelled(pages, rules, spam_words).where(~held_out_host(F.col("host")))
+    ends = known.groupBy("suffix").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUFFIX_URLS)
+    suffixes = written(ends.select("suffix", F.round(100 * F.col("ones") / F.col("n")).cast("int").alias("blocked")), "suffixes")
     n = known.count()
     share = min(1.0, sample / n) if n else 1.0
     chosen = known.where(F.pmod(F.xxhash64("url", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
-    ends = chosen.groupBy(F.element_at(F.split("host", r"\."), -1).alias("suffix")).agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n")).where("n >= 10")
-    suffixes = {r["suffix"]: round(100 * r["ones"] / r["n"]) for r in ends.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()}
-    columns = features(F.col("url"), F.col("host"), F.col("path"), suffixes)
+    chosen, columns = _with_features(chosen, suffixes)
     binned = chosen.select("y", *(v.alias(k) for k, v in columns.items())).groupBy(*columns).agg(F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"))
     rows = [({k: r[k] for k in columns}, r["ones"], r["zeros"]) for r in sorted(binned.collect())]
     trees = boost(rows)
@@ -195,22 +218,35 @@ def train(pages: DataFrame, rules=RULES, spam_words=SPAM_WORDS, sample: int = SA
     return trees
 
 
+def _scored(rows: DataFrame, trees: Trees) -> DataFrame:
+    """Rows url, host, path, suffix with a column score, the trees' probability of block."""
+    if math.isinf(trees.start):
+        return rows.withColumn("score", F.lit(1.0 if trees.start > 0 else 0.0))
+    names = rows.columns
+    rows, columns = _with_features(rows, trees.suffixes)
+    used = sorted({f for t in trees.trees for f in _used(t)})
+    rows = rows.withColumns({f"f_{k}": columns[k] for k in used})
+    return rows.select(*names, (1 / (1 + F.exp(-trees.column({k: F.col(f"f_{k}") for k in used})))).alias("score"))
+
+
 def judged(pages: DataFrame, trees: Trees, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score (the trees' probability of block)."""
     host, path = host_and_path(F.col("url"))
-    named = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    named = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("suffix", suffix_of(F.col("host")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    if math.isinf(trees.start):
-        score = F.lit(1.0 if trees.start > 0 else 0.0)
-    else:
-        columns = features(F.col("url"), F.col("host"), F.col("path"), trees.suffixes)
-        used = sorted({f for t in trees.trees for f in _used(t)})
-        named = named.withColumns({f"f_{k}": columns[k] for k in used})
-        score = 1 / (1 + F.exp(-trees.column({k: F.col(f"f_{k}") for k in used})))
-    out = named.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), score.alias("score"))
+    out = _scored(named, trees).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), "score")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
 
 
+def held_out(pages: DataFrame, trees: Trees, rules=RULES, spam_words=SPAM_WORDS) -> dict[str, float]:
+    """How the trees judge labelled URLs on hosts that they were not fitted on: urls, bad, precision, recall."""
+    rows = _scored(labelled(pages, rules, spam_words).where(held_out_host(F.col("host"))), trees)
+    hit = (F.col("score") >= 0.5).cast("int")
+    r = rows.agg(F.count(F.lit(1)).alias("urls"), F.sum("y").alias("bad"), F.sum(hit).alias("blocked"), F.sum(hit * F.col("y")).alias("both")).first()
+    part = lambda a, b: a / b if b else 0.0
+    return {"urls": r["urls"], "bad": r["bad"] or 0, "precision": part(r["both"], r["blocked"]), "recall": part(r["both"], r["bad"])}
+
+
 def _used(tree) -> set[str]:
     return set() if isinstance(tree, float) else {tree[0]} | _used(tree[2]) | _used(tree[3])
 

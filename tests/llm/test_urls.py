@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from sparkweave.llm import urls as U
 
@@ -37,10 +36,29 @@ def test_trees_learn_and_column_equals_python(spark, seed):
     trees = U.train(pages)
     unseen = spark.createDataFrame([(1, "http://hot-offer-now.example.com/12?a=5&b=6"), (2, f"https://{name()}.org/en/3")], "page_id long, url string")
     assert {r["page_id"]: r["verdict"] for r in U.judged(unseen, trees).collect()} == {1: "block", 2: "allow"}
-    host, path = U.host_and_path(F.col("url"))
-    columns = U.features(F.col("url"), host, path, trees.suffixes)
-    for r in pages.limit(50).select(*(c.alias(k) for k, c in columns.items()), trees.column(columns).alias("z")).collect():
+    rows, columns = U._with_features(U.labelled(pages), trees.suffixes)
+    for r in rows.limit(50).select(*(c.alias(k) for k, c in columns.items()), trees.column(columns).alias("z")).collect():
         assert abs(trees.value(r.asDict()) - r["z"]) < 1e-9
+    # Hosts that the trees never saw, without the seed words.
+    measured = U.held_out(pages, trees)
+    assert measured["urls"] > 30 and measured["bad"] > 5 and measured["precision"] > 0.9 and measured["recall"] > 0.9
+
+
+def test_suffixes_cover_all_rows(spark):
+    """Statistics do not depend on the sample, and rare suffixes have none. Ties and repeated rows count."""
+    rows = [(i, f"http://{'cheap-' if i % 4 == 0 else ''}h{i}.aa/") for i in range(400)] + [(i, f"http://h{i}.bb/") for i in range(9)] + [(1, None)] * 5
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    few, all_ = (U.train(pages, sample=n) for n in (20, 1000))
+    assert few.suffixes.collect() == all_.suffixes.collect()
+    assert {r["suffix"] for r in all_.suffixes.collect()} <= {"aa"} and abs(all_.suffixes.first()["blocked"] - 25) <= 4
+    assert U.judged(pages, few).count() == len(rows)
+
+
+def test_only_nulls_and_a_very_long_url(spark):
+    for rows in ([(1, None), (2, None)], [(1, "http://a.com/" + "x/" * 200_000), (2, "http://cheap.com/")]):
+        pages = spark.createDataFrame(rows, "page_id long, url string")
+        got = {r["page_id"]: r["verdict"] for r in U.judged(pages, U.train(pages)).collect()}
+        assert set(got) == {1, 2} and set(got.values()) <= {"allow", "block"}
 
 
 def test_empty_table(spark):
