@@ -106,16 +106,24 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, stretch: int = STRE
         found = windows(docs.select("dk", tokens.alias("doc_tokens")), ["dk"], "doc_tokens", masks, n)
         return found.withColumn("pos", F.col("pos") - more)
 
-    seeds = reduce(DataFrame.unionByName, (of_items(*s) for s in searches)).select("seed", "ik", F.col("pos").alias("item_pos")).distinct()
+    seeds = reduce(DataFrame.unionByName, (of_items(*s) for s in searches)).join(tested.select("ik", F.size("item_tokens").alias("n")), "ik").select("seed", "ik", "n", F.col("pos").alias("item_pos")).distinct()
     if seeds.count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
     found = reduce(DataFrame.unionByName, (of_docs(*s) for s in searches))
     # Few documents have hits. As a table their size is known, so Spark can broadcast them while they are small and need not move all texts.
-    hits = written(found.join(seeds, "seed").select("dk", "ik", (F.col("pos") - F.col("item_pos")).alias("start")).distinct(), "hits")
-    aligned = hits.join(docs, "dk").select("doc_id", "ik", "start", token_hashes(F.col("text")).alias("doc_tokens")).join(tested, "ik")
-    a, b = F.col("doc_tokens"), F.col("item_tokens")
-    flags = F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda j: F.coalesce(F.get(a, F.col("start") + j) == b[j], F.lit(False)).cast("int"))
-    aligned = aligned.select("doc_id", "item_id", "start", F.size(b).alias("n_tokens"), flags.alias("flags"))
+    # A document's hits are one row, bounded by its own length, so that its text is split once and only aligned tokens go on.
+    hits = found.join(seeds, "seed").select("dk", "ik", "n", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
+    hits = written(hits.groupBy("dk").agg(F.collect_list(F.struct("ik", "start", "n")).alias("hits")), "hits")
+
+    def facing(tokens: Column) -> Column:
+        """For each hit the document's tokens that face the item's, null beyond the document."""
+        return F.transform("hits", lambda h: F.struct(h["ik"].alias("ik"), h["start"].alias("start"), F.transform(F.sequence(F.lit(0), h["n"] - 1), lambda j: F.get(tokens, h["start"] + j)).alias("a")))
+
+    # The array of one array is a variable of the transformation, so tokens are computed once for all hits.
+    each = F.explode(F.flatten(F.transform(F.array(token_hashes(F.col("text"))), facing)))
+    aligned = docs.join(hits, "dk").select("doc_id", each.alias("h")).select("doc_id", "h.*").join(tested, "ik")
+    flags = F.transform(F.zip_with("a", "item_tokens", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda same: same.cast("int"))
+    aligned = aligned.select("doc_id", "item_id", "start", F.size("item_tokens").alias("n_tokens"), flags.alias("flags"))
     long = F.least(F.lit(stretch), F.col("n_tokens"))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("n_tokens") - long), lambda i: F.aggregate(F.slice("flags", i + 1, long), F.lit(0), lambda s, x: s + x)))
     judged = aligned.withColumns({"best": best, "matched": F.aggregate("flags", F.lit(0), lambda s, x: s + x), "least": F.when(F.col("n_tokens") < (SPAN if whole else 0), F.col("n_tokens")).otherwise(F.ceil(long * share))}).where("best >= least")

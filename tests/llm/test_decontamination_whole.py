@@ -42,3 +42,17 @@ def test_items_of_all_lengths(spark):
     got = {tuple(r)[:5] for r in D.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = brute(docs, items)
     assert got == want and len({i for _, i, *_ in want}) >= 8
+
+
+def test_many_hits_in_one_long_document(spark):
+    """A document with thousands of hits is split once, and repeated items and rows count as one."""
+    import time
+
+    item = " ".join(f"t{i}" for i in range(30))
+    long = " ".join(f"{item} x{i}" for i in range(4000))
+    docs = spark.createDataFrame([(1, long, 0), (2, "t1 t2 t3 other words", 1), (None, item, 2), (3, None, 3), (3, "", 4)], "doc_id long, text string, hits int")
+    items = spark.createDataFrame([(7, item, 1), (7, item, 1), (8, item, 2), (9, None, 3)], "item_id long, text string, n int")
+    began = time.time()
+    got = sorted((r["doc_id"] or 0, r["item_id"], r["matched"], r["start"]) for r in D.contaminations(docs, items).collect())
+    assert got == [(0, 7, 30, 0), (0, 8, 30, 0), (1, 7, 30, 0), (1, 8, 30, 0)]
+    assert time.time() - began < 60
