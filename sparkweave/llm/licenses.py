@@ -6,7 +6,7 @@ punctuation within a sentence do not matter. What remains of a document is the s
 name sequences in order; at every place of the sequence the longest rule that fits is taken, and the scan goes on after it.
 Between two sentences of a rule other text may stand, up to ``GAP`` words.
 
-Cases: null and empty texts match nothing; repeated rows match each; null ids come back as they are; an empty table gives no
+Cases: of rules that fit at one place with equally many sentences the first by name is taken; null and empty texts match nothing; repeated rows match each; null ids come back as they are; an empty table gives no
 rows; other columns are ignored; texts are read whole.
 """
 
@@ -55,6 +55,35 @@ SENTENCES = {
     "cc-by-sa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc-by-nc-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "unlicense-domain": "This is free and unencumbered software released into the public domain",
+    "cc-by-nc-sa-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "cc-by-nd-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "isc-liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "apache-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gnu-verbatim": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    "gpl-copy": "You should have received a copy of the GNU General Public License along with this program",
+    "lgpl-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "lgpl-details": "See the GNU Lesser General Public License for more details",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-details": "See the GNU Affero General Public License for more details",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "epl-made": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "zlib-origin": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software",
+    "zlib-altered": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",
+    "zlib-notice": "This notice may not be removed or altered from any source distribution",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "unlicense-free": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
     "cc0-waiver": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
 }
 
@@ -85,8 +114,38 @@ RULES = (
     ("cc-by-sa-long", "CC-BY-SA-4.0", "notice", ("cc-by-sa-work",)),
     ("unlicense", "Unlicense", "notice", ("unlicense-domain",)),
     ("cc0", "CC0-1.0", "notice", ("cc0-waiver",)),
+    ("cc-by-nc-sa-long", "CC-BY-NC-SA-4.0", "notice", ("cc-by-nc-sa-work",)),
+    ("cc-by-nd-long", "CC-BY-ND-4.0", "notice", ("cc-by-nd-work",)),
+    ("isc-full", "ISC", "text", ("isc-grant", "isc-warranty", "isc-liability")),
+    ("bsd-2-full", "BSD-2-Clause", "text", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability")),
+    ("bsd-3-full", "BSD-3-Clause", "text", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-warranty", "bsd-liability")),
+    ("apache-text", "Apache-2.0", "text", ("apache-title", "apache-terms")),
+    ("gpl-3-text", "GPL-3.0-only", "text", ("gpl3-title", "gnu-verbatim")),
+    ("gpl-2-text", "GPL-2.0-only", "text", ("gpl2-title", "gnu-verbatim")),
+    ("lgpl-3-text", "LGPL-3.0-only", "text", ("lgpl3-title", "gnu-verbatim")),
+    ("agpl-3-text", "AGPL-3.0-only", "text", ("agpl3-title", "gnu-verbatim")),
+    ("gpl-3-header-copy", "GPL-3.0-or-later", "notice", ("gpl-free", "gpl-hope", "gpl-details", "gpl-copy")),
+    ("gpl-2-header-copy", "GPL-2.0-or-later", "notice", ("gpl2-free", "gpl-hope", "gpl-details", "gpl-copy")),
+    ("lgpl-header", "LGPL-2.1-or-later", "notice", ("lgpl-free", "lgpl-hope", "lgpl-details")),
+    ("lgpl-short", "LGPL-2.1-or-later", "notice", ("lgpl-free",)),
+    ("agpl-header", "AGPL-3.0-or-later", "notice", ("agpl-free", "gpl-hope", "agpl-details")),
+    ("agpl-short", "AGPL-3.0-or-later", "notice", ("agpl-free",)),
+    ("mpl-header", "MPL-2.0", "notice", ("mpl-notice", "mpl-copy")),
+    ("epl", "EPL-2.0", "notice", ("epl-made",)),
+    ("zlib-full", "Zlib", "text", ("zlib-warranty", "zlib-liability", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice")),
+    ("zlib-short", "Zlib", "notice", ("zlib-warranty", "zlib-liability", "zlib-grant")),
+    ("boost", "BSL-1.0", "notice", ("boost-grant",)),
+    ("unlicense-full", "Unlicense", "text", ("unlicense-domain", "unlicense-free")),
 )
 
+#: Identifiers of licences in one-line tags.
+TAGS = (
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+SENTENCES |= {f"tag-{t.lower()}": f"SPDX-License-Identifier: {t}" for t in TAGS}
+RULES += tuple((f"tag-{t.lower()}", t, "tag", (f"tag-{t.lower()}",)) for t in TAGS)
+
 _WORD = re.compile(r"[^\W_]+")
 #: Between two words: the end of a line or a sentence, after which a sentence may begin.
 _START = re.compile(r"[\n.!?:;,(\"*#/-]")

@@ -1,4 +1,5 @@
 import random
+import re
 import textwrap
 
 from sparkweave.llm import licenses as L
@@ -38,3 +39,54 @@ def test_every_sentence_is_recognised_alone():
 
 def test_tables_are_consistent():
     assert {n for *_, names in L.RULES for n in names} == set(L.SENTENCES)
+
+
+def by_trying_all(text):
+    """Every sentence at every place, and every rule at every place of the sequence."""
+    low = text.lower()
+    found = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\W_]+", low)]
+    words = [w for w, _, _ in found]
+    known = {name: re.findall(r"[^\W_]+", x.lower()) for name, x in L.SENTENCES.items()}
+    seen, i = [], 0
+    while i < len(words):
+        fits = [n for n, k in known.items() if words[i : i + len(k)] == k and (i == 0 or re.search(r"[\n.!?:;,(\"*#/-]", low[found[i - 1][2] : found[i][1]]))]
+        if fits:
+            name = min(fits, key=lambda n: (-len(known[n]), n))
+            seen.append((name, i, i + len(known[name])))
+            i += len(known[name])
+        else:
+            i += 1
+    out, i = [], 0
+    while i < len(seen):
+        fits = [r for r in L.RULES if tuple(x[0] for x in seen[i : i + len(r[3])]) == r[3] and all(b[1] - a[2] <= L.GAP for a, b in zip(seen[i : i + len(r[3])], seen[i + 1 : i + len(r[3])]))]
+        best = min(fits, key=lambda r: (-len(r[3]), r[0]), default=None)
+        if best:
+            out.append((best[0], best[1], len(best[3])))
+        i += len(best[3]) if best else 1
+    return out
+
+
+def test_against_trying_all():
+    rng = random.Random(8)
+    names, sequences = list(L.SENTENCES), [r[3] for r in L.RULES if len(r[3]) > 1]
+    recogniser, many = L.Recogniser(L.SENTENCES, L.RULES), 0
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            parts += rng.choice(sequences) if rng.random() < 0.5 else [rng.choice(names)]
+            if rng.random() < 0.3:
+                parts.pop(rng.randrange(len(parts)))
+        text = ""
+        for n in parts:
+            text += rng.choice(["\n", ". ", " ", "; ", " word. ", "\n" + "x " * rng.choice([3, 39, 41]) + "\n"]) + rng.choice([str, str.upper, str.lower])(L.SENTENCES[n])
+        got = [(m[0], m[1], m[3]) for m in recogniser.matches(text)]
+        assert got == by_trying_all(text), text
+        many += sum(n > 1 for *_, n in got)
+    assert many > 100
+
+
+def test_every_rule_and_every_tag():
+    recogniser = L.Recogniser(L.SENTENCES, L.RULES)
+    for rule, licence, kind, names in L.RULES:
+        assert [(m[0], m[1]) for m in recogniser.matches(".\n".join(L.SENTENCES[n] for n in names))] == [(rule, licence)]
+    assert [m[1] for m in recogniser.matches("// SPDX-License-Identifier: GPL-2.0-or-later\n# SPDX-License-Identifier: Apache-2.0\n")] == ["GPL-2.0-or-later", "Apache-2.0"]
