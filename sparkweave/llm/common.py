@@ -77,6 +77,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores after each as it takes that no column is called so."""
+    taken, end = {c.lower() for c in columns}, ""
+    while any((n + end).lower() in taken for n in names):
+        end += "_"
+    return [n + end for n in names]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case for A-Z only."""
     return F.translate(text, UPPER, LOWER)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sparkweave.llm.common import dropped, in_arrow, written
+from sparkweave.llm.common import dropped, free_names, in_arrow, written
 from sparkweave.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -186,17 +186,18 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where((F.size("sa") > 0) & (both >= similarity * (F.size("sa") + F.size("sb") - both))).select("a", "b")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with t0 and t1, a 128-bit hash of the words of the column text."""
+def identified(docs: DataFrame, t0: str, t1: str) -> DataFrame:
+    """``docs`` with a 128-bit hash of the words of the column text in the new columns t0 and t1."""
     names = docs.columns
+    (whole,) = free_names(names, "__text")
 
     def run(batches):
         for batch in batches:
-            found = [_identity(_words(text)) for text in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))], names=[*names, "__t0", "__t1"])
+            found = [_identity(_words(text)) for text in batch.column(whole).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))], names=[*names, t0, t1])
 
-    schema = StructType([*docs.schema.fields, StructField("__t0", LongType()), StructField("__t1", LongType())])
-    return docs.withColumn("__text", F.col("text").cast("string")).transform(in_arrow, run, schema)
+    schema = StructType([*docs.schema.fields, StructField(t0, LongType()), StructField(t1, LongType())])
+    return docs.withColumn(whole, F.col("text").cast("string")).transform(in_arrow, run, schema)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -250,10 +251,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Of the rows of ``docs`` one for each class, one with its least doc_id, and all rows without a doc_id."""
     found = classes(docs, similarity)
+    gone, kept, t0, t1 = free_names(docs.columns, "__gone", "__kept", "__t0", "__t1")
     if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         least = found.where("class_id = doc_id").groupBy("label", "class_id").agg(F.min(F.struct("t0", "t1")).alias("t"))
-        least = written(least.select(F.col("class_id").alias("__kept"), F.col("t.t0").alias("__t0"), F.col("t.t1").alias("__t1")), "kept")
-        one = identified(docs).withColumn("__kept", F.col("doc_id").cast("long")).join(least, ["__kept", "__t0", "__t1"]).dropDuplicates(["__kept", "__t0", "__t1"])
+        least = written(least.select(F.col("class_id").alias(kept), F.col("t.t0").alias(t0), F.col("t.t1").alias(t1)), "kept")
+        one = identified(docs, t0, t1).withColumn(kept, F.col("doc_id").cast("long")).join(least, [kept, t0, t1]).dropDuplicates([kept, t0, t1])
         return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
-    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    others = found.where("class_id <> doc_id").select(F.col("doc_id").alias(gone))
+    return docs.join(others, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

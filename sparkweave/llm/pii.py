@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import BREAK, table, written
+from sparkweave.llm.common import BREAK, free_names, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -208,19 +208,20 @@ def _any_of(words: Column) -> Column:
 def with_spans(docs: DataFrame, name: str = "pii_spans") -> DataFrame:
     """All columns of ``docs`` and, as ``name``, base spans by kind and start, then the spans of disclosing terms by start."""
     names = [c for c in docs.columns if c != name]
+    mine, holder, held, base = free_names(docs.columns, "__key", "__holds", "__words", "__spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64(F.col("doc_id"), text)
     none = F.array().cast(_SPAN)
     protected = docs.select(key.alias("key"), text.alias("text"), base_spans(text).alias("spans")).where(F.size("spans") > 0)
     protected = written(protected.withColumn("covered", covered(F.col("text"), F.col("spans"))), "protected")
     terms = written(disclosing_terms(docs.select(text.alias("text")), protected), "terms")
-    each = docs.select(key.alias("__holds"), F.explode(F.array_distinct(F.split(_plain(text), BREAK))).alias("w")).withColumn("h", F.xxhash64(F.lower("w")))
+    each = docs.select(key.alias(holder), F.explode(F.array_distinct(F.split(_plain(text), BREAK))).alias("w")).withColumn("h", F.xxhash64(F.lower("w")))
     # Few documents hold a term. As a table their size is known, so texts move only if it is too large to broadcast.
-    holds = written(each.join(terms, "h").groupBy("__holds").agg(F.sort_array(F.collect_set("w")).alias("__words")), "holds")
-    out = docs.select(*(F.col(f"`{c}`") for c in names), key.alias("__key"), base_spans(text).alias("__spans")).join(holds, F.col("__key") == F.col("__holds"), "left")
-    found = find_all(covered(text, F.col("__spans")), _any_of(F.col("__words")), "term")
+    holds = written(each.join(terms, "h").groupBy(holder).agg(F.sort_array(F.collect_set("w")).alias(held)), "holds")
+    out = docs.select(*(F.col(f"`{c}`") for c in names), key.alias(mine), base_spans(text).alias(base)).join(holds, F.col(mine) == F.col(holder), "left")
+    found = find_all(covered(text, F.col(base)), _any_of(F.col(held)), "term")
     added = F.transform(found, lambda w: F.struct(w["kind"].alias("kind"), w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value")))
-    return out.select(*(F.col(f"`{c}`") for c in names), F.concat("__spans", F.when(F.col("__words").isNotNull(), added).otherwise(none)).alias(name))
+    return out.select(*(F.col(f"`{c}`") for c in names), F.concat(base, F.when(F.col(held).isNotNull(), added).otherwise(none)).alias(name))
 
 
 def written_as(spans: Column) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import dropped, in_arrow, table, written
+from sparkweave.llm.common import dropped, free_names, in_arrow, table, written
 
 SYMBOLS = 28  # 0: no letter, 1 to 26: a to z, 27: any other letter
 SAMPLE, BUCKETS, SELECTED = 20_000, 1 << 20, 2048
@@ -325,18 +325,19 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
 def scored(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and, as ``name``, the score."""
     spark, names = docs.sparkSession, [c for c in docs.columns if c != name]
+    (text,) = free_names(docs.columns, "__text")
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         scorer = _scorer(shared.value)
         for batch in batches:
-            scores = pa.array([scorer.score(t) for t in batch.column("__text").to_pylist()], pa.float64())
+            scores = pa.array([scorer.score(t) for t in batch.column(text).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), scores], names=[*names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = StructType([docs.schema[n] for n in names] + [StructField(name, DoubleType())])
-    return docs.select(*(F.col(f"`{n}`") for n in names), F.col("text").cast("string").alias("__text")).transform(in_arrow, run, schema)
+    return docs.select(*(F.col(f"`{n}`") for n in names), F.col("text").cast("string").alias(text)).transform(in_arrow, run, schema)
 
 
 def third(doc_id: Column) -> Column:
