@@ -3,10 +3,10 @@
 Rules name a host suffix and a path prefix; the longest rule that fits a URL decides. URLs without a rule are judged by
 gradient-boosted trees whose features are lexical: lengths, depth, digit ratio, entropy, parameter counts, words of
 the host and statistics of its suffix. The trees are trained on labelled URLs: those whose host has a word of a seed list
-count as bad, those without one that no rule blocks as good. The words themselves are no features. Hosts are dealt by their hash: trees are
-fitted on four fifths, and ``held_out`` measures them on the hosts of the last fifth, which they never saw. At most ``SAMPLE`` URLs (chosen by a hash of the URL) are used for fitting, and they reach the driver as counts
-of equal feature vectors; suffix statistics cover all labelled URLs of the fitting hosts and stay a table, for any number of suffixes. The finished trees
-are one column expression of nested conditions, so judging is a projection of the scan, joined with the suffixes.
+count as bad, those without one that no rule blocks as good. The words themselves are no features. ``held_out`` deals hosts into folds and
+measures each fold with trees of the other folds, which never saw its hosts. At most ``SAMPLE`` URLs (chosen by a hash of the URL) are used for fitting, and they reach
+the driver as counts of equal feature vectors; suffix statistics cover all labelled URLs and stay a table, for any number of
+suffixes. The finished trees are one column expression of nested conditions, so judging is a projection of the scan, joined with the suffixes.
 
 Cases: a null URL or one without ``://`` has an empty host and path, no rule, and is judged by its features; repeated
 rows are judged each; an empty table gives no rows; without labels of both kinds every verdict is allow, or block if
@@ -29,8 +29,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Words of hosts that label a URL as spam.
 SPAM_WORDS = ("spam", "cheap", "pills", "casino", "viagra", "porn", "xxx", "bet", "loan", "warez")
 SAMPLE = 20_000
-#: Labelled URLs that a suffix needs for a statistic of its own, and the share of hosts that are held out (one in so many).
-SUFFIX_URLS, HELD_OUT = 10, 5
+#: Labelled URLs that a suffix needs for a statistic of its own, and folds of hosts.
+SUFFIX_URLS, FOLDS = 10, 5
 _CHARS = "abcdefghijklmnopqrstuvwxyz0123456789-._~/?#&=%:"
 
 
@@ -102,9 +102,8 @@ def suffix_of(host: Column) -> Column:
     return F.element_at(F.split(host, r"\."), -1)
 
 
-def held_out_host(host: Column) -> Column:
-    """Whether a host is one of those that trees are not fitted on."""
-    return F.crc32(host) % HELD_OUT == 0
+def fold_of(host: Column) -> Column:
+    return F.crc32(host) % FOLDS
 
 
 @dataclass
@@ -202,9 +201,11 @@ def _with_features(rows: DataFrame, suffixes: DataFrame | None) -> tuple[DataFra
     return rows, features(F.col("url"), F.col("host"), F.col("path"), F.col("blocked"))
 
 
-def train(pages: DataFrame, rules=RULES, spam_words=SPAM_WORDS, sample: int = SAMPLE) -> Trees:
-    """Trees from the labelled URLs of ``pages`` on hosts that are not held out; at most about ``sample`` URLs are used."""
-    known = labelled(pages, rules, spam_words).where(~held_out_host(F.col("host")))
+def train(pages: DataFrame, rules=RULES, spam_words=SPAM_WORDS, sample: int = SAMPLE, without: int | None = None) -> Trees:
+    """Trees from the labelled URLs of ``pages``, but for the hosts of a fold; at most about ``sample`` URLs are used."""
+    known = labelled(pages, rules, spam_words)
+    if without is not None:
+        known = known.where(fold_of(F.col("host")) != without)
     ends = known.groupBy("suffix").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUFFIX_URLS)
     suffixes = written(ends.select("suffix", F.round(100 * F.col("ones") / F.col("n")).cast("int").alias("blocked")), "suffixes")
     n = known.count()
@@ -238,13 +239,17 @@ def judged(pages: DataFrame, trees: Trees, rules=RULES) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
 
 
-def held_out(pages: DataFrame, trees: Trees, rules=RULES, spam_words=SPAM_WORDS) -> dict[str, float]:
-    """How the trees judge labelled URLs on hosts that they were not fitted on: urls, bad, precision, recall."""
-    rows = _scored(labelled(pages, rules, spam_words).where(held_out_host(F.col("host"))), trees)
-    hit = (F.col("score") >= 0.5).cast("int")
-    r = rows.agg(F.count(F.lit(1)).alias("urls"), F.sum("y").alias("bad"), F.sum(hit).alias("blocked"), F.sum(hit * F.col("y")).alias("both")).first()
+def held_out(pages: DataFrame, rules=RULES, spam_words=SPAM_WORDS) -> dict[str, float]:
+    """How trees judge labelled URLs on hosts that they were not fitted on, over all folds: urls, bad, precision, recall."""
+    sums = {"urls": 0, "bad": 0, "blocked": 0, "both": 0}
+    for fold in range(FOLDS):
+        trees = train(pages, rules, spam_words, without=fold)
+        rows = _scored(labelled(pages, rules, spam_words).where(fold_of(F.col("host")) == fold), trees)
+        hit = (F.col("score") >= 0.5).cast("int")
+        found = rows.agg(F.count(F.lit(1)).alias("urls"), F.sum("y").alias("bad"), F.sum(hit).alias("blocked"), F.sum(hit * F.col("y")).alias("both")).first()
+        sums = {k: n + (found[k] or 0) for k, n in sums.items()}
     part = lambda a, b: a / b if b else 0.0
-    return {"urls": r["urls"], "bad": r["bad"] or 0, "precision": part(r["both"], r["blocked"]), "recall": part(r["both"], r["bad"])}
+    return {"urls": sums["urls"], "bad": sums["bad"], "precision": part(sums["both"], sums["blocked"]), "recall": part(sums["both"], sums["bad"])}
 
 
 def _used(tree) -> set[str]:

@@ -40,8 +40,8 @@ def test_trees_learn_and_column_equals_python(spark, seed):
     for r in rows.limit(50).select(*(c.alias(k) for k, c in columns.items()), trees.column(columns).alias("z")).collect():
         assert abs(trees.value(r.asDict()) - r["z"]) < 1e-9
     # Hosts that the trees never saw, without the seed words.
-    measured = U.held_out(pages, trees)
-    assert measured["urls"] > 30 and measured["bad"] > 5 and measured["precision"] > 0.9 and measured["recall"] > 0.9
+    measured = U.held_out(pages)
+    assert measured["urls"] > 200 and measured["bad"] == 100 and measured["precision"] > 0.9 and measured["recall"] > 0.9
 
 
 def test_suffixes_cover_all_rows(spark):
