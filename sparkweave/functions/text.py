@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkweave.schema import DOMAIN, DomainSchema
+from sparkweave.schema import DOMAIN, FORM_TITLES, OTHER_TITLE, REFERENCE, DomainSchema
 
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2212"
 IN_TEXT = r"\b([A-Z]{1,3}-\d{2,4}[A-Z]?)\b"
 IN_FILE = r"^([a-z]{1,3})-?(\d{2,4})([a-z]?)"
 FILE_SLUG = r"^([a-z]+)-?(\d+)([a-z]?)$"
+IN_URL = r"([a-z]+)-?(\d+)([a-z]?)"
 FORMS_URL = "https://www.uscis.gov/sites/default/files/document/forms/"
 
 
@@ -131,6 +132,17 @@ def page_url(path: Column, page: Column) -> Column:
     return F.when(page.isNotNull() & (url != ""), F.concat(url, F.lit("#page="), page.cast("string")))
 
 
+def reference(path: Column, titles: dict[str, str] | None = None) -> Column:
+    """A source's reference: the title of its form, or a general one, and the form's number if the path has one."""
+    titles = FORM_TITLES if titles is None else titles
+    base = F.replace(F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"([^\\/]*)$", 1)), F.lit("instr"), F.lit(""))
+    part = lambda g: F.upper(F.regexp_extract(base, IN_URL, g))
+    form = F.when(F.rlike(base, F.lit(IN_URL)), F.concat(part(1), F.lit("-"), part(2), part(3)))
+    known = F.create_map(*(F.lit(x) for pair in titles.items() for x in pair))
+    title = F.coalesce(F.try_element_at(known, form), F.lit(OTHER_TITLE))
+    return F.concat(F.lit(REFERENCE[0]), title, F.coalesce(F.concat(F.lit(" (Form "), form, F.lit(")")), F.lit("")), F.lit(REFERENCE[1]))
+
+
 def preview(content: Column) -> Column:
     return F.concat(F.left(F.coalesce(content, F.lit("")), F.lit(200)), F.lit("..."))
 

@@ -115,3 +115,8 @@ def chunks_by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
 def stats_by_file(chunks: DataFrame) -> DataFrame:
     """filepath, chunks, chars."""
     return chunks.groupBy("filepath").agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("long").alias("chars"))
+
+
+def first_chunks(chunks: DataFrame, limit: int = 0) -> DataFrame:
+    """The first chunks in the order of files, sections and places; all of them for 0."""
+    return chunks.orderBy("filepath", "doc_id", "section_no", "ordinal").limit(limit) if limit else chunks

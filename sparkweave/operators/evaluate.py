@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sparkweave.functions import text as T
 
@@ -51,6 +53,43 @@ def refusal_rate(answers: DataFrame) -> DataFrame:
     return answers.agg(F.coalesce(F.avg(T.is_refusal(F.col("answer")).cast("double")), F.lit(0.0)).alias("rate"))
 
 
+def judged(answers: DataFrame, judge, concurrency: int = 8) -> DataFrame:
+    """Adds judgement to rows question, gold (array), answer: what an injected judge says, as text; a failing judge gives none, which counts as 0.
+
+    A task has at most ``concurrency`` calls in flight.
+    """
+    names = answers.columns
+
+    def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
+        def ask(row) -> str | None:
+            try:
+                return judge(*row)
+            except Exception:  # noqa: BLE001  a failing judge must not end an evaluation
+                return None
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                rows = zip(*(batch.column(n).to_pylist() for n in ("question", "gold", "answer")))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(pool.map(ask, rows)), pa.string())], names=[*names, "judgement"])
+
+    return answers.mapInArrow(run, StructType([*answers.schema.fields, StructField("judgement", StringType())]))
+
+
+def refusal_run(spark: SparkSession, probes: list[str], ask) -> DataFrame:
+    """question, answer, refused for questions that the corpus does not cover; ``ask`` answers one question, as ``Engine.query`` does."""
+    rows = spark.createDataFrame([(q, ask(q)) for q in probes], "question string, answer string")
+    return rows.withColumn("refused", T.is_refusal(F.col("answer")))
+
+
+def write_results(metrics: DataFrame, path: str, top_k: int, hops: int) -> None:
+    """The metrics of each question as JSON lines, and the report as Markdown, below ``path``."""
+    metrics.write.mode("overwrite").json(f"{path}/results.json")
+    text = metrics.sparkSession.createDataFrame([(report(metrics, top_k, hops),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{path}/results.md")
+
+
 def report(metrics: DataFrame, top_k: int, hops: int) -> str:
     """The aggregate as a Markdown table; two numbers a metric come to the driver."""
     values = {(r["metric"], r["mode"]): r for r in aggregated(metrics).collect()}

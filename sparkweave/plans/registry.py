@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from sparkweave.functions import text as T
 from sparkweave.operators import chunk, evaluate, extract, graph, retrieve, vector
-from sparkweave.schema import DOMAIN
+from sparkweave.schema import DOMAIN, FORM_TITLES, OTHER_TITLE, REFERENCE
 from sparkweave.sources import parse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,6 +263,14 @@ def citation_urls(spark, d):
     return spark.createDataFrame(PATHS, "id int, path string").select("id", T.source_url(F.col("path")).alias("url"), T.page_url(F.col("path"), F.lit(3)).alias("page_url"))
 
 
+@query(rf"""
+WITH b AS (SELECT id, replace(lower(regexp_extract(path, '([^\\/]*)$', 1)), 'instr', '') AS base FROM {values(PATHS, 'id', 'path')}),
+f AS (SELECT id, CASE WHEN regexp_matches(base, '{T.IN_URL}') THEN upper(regexp_extract(base, '{T.IN_URL}', 1)) || '-' || regexp_extract(base, '{T.IN_URL}', 2) || upper(regexp_extract(base, '{T.IN_URL}', 3)) END AS form FROM b)
+SELECT id, {quoted(REFERENCE[0])} || coalesce(title, {quoted(OTHER_TITLE)}) || coalesce(' (Form ' || form || ')', '') || {quoted(REFERENCE[1])} AS reference FROM f LEFT JOIN {values(list(FORM_TITLES.items()), 'k', 'title')} ON k = form""")
+def form_references(spark, d):
+    return spark.createDataFrame(PATHS, "id int, path string").select("id", T.reference(F.col("path")).alias("reference"))
+
+
 RESPONSES = numbered([
     '{"entities": ["Form I-485", {"name": "H-1B", "entity_type": "form"}, {"value": "USCIS", "category": "Agency"}], "relations": [{"subject": "Form I-485", "predicate": "Requires", "object": "I-693", "evidence": "must"}]}',
     '```json\n{"entities": [{"name": "filing fee", "type": "nonsense", "description": "cost", "aliases": ["fee"]}], "relations": []}\n```',

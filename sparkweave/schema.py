@@ -30,6 +30,23 @@ def _keywords() -> dict[str, tuple[str, ...]]:
     }
 
 
+#: Titles of forms in references.
+FORM_TITLES = {
+    "I-129": "Instructions for Petition for a Nonimmigrant Worker",
+    "I-130": "Instructions for Petition for Alien Relative",
+    "I-130A": "Supplemental Information for Spouse Beneficiary",
+    "I-131": "Instructions for Application for Travel Document",
+    "I-140": "Instructions for Immigrant Petition for Alien Worker",
+    "I-485": "Instructions for Application to Register Permanent Residence or Adjust Status",
+    "I-693": "Instructions for Report of Immigration Medical Examination and Vaccination Record",
+    "I-765": "Instructions for Application for Employment Authorization",
+    "I-864": "Instructions for Affidavit of Support Under Section 213A of the INA",
+    "I-907": "Instructions for Request for Premium Processing Service",
+}
+OTHER_TITLE = "USCIS form instructions"
+REFERENCE = ("U.S. Citizenship and Immigration Services. (n.d.). ", ". U.S. Department of Homeland Security.")
+
+
 @dataclass(frozen=True)
 class DomainSchema:
     """Types, predicates, patterns and keyword lists of a domain."""

@@ -6,10 +6,13 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkweave.functions import text as T
+
 HTML_EXTENSIONS, PDF_EXTENSIONS = (".html", ".htm", ".xhtml"), (".pdf",)
 SEPARATOR = " > "
 DROPPED = frozenset({"script", "style", "nav", "header", "footer"})
@@ -162,11 +165,11 @@ def pdf_lines(spans: DataFrame) -> DataFrame:
 
     Blank spans count for nothing; a line's level is the least of its spans, and a page's last line is followed by an empty one.
     """
-    shown = spans.where(F.trim("text") != "")
+    shown = spans.where(T.strip(F.col("text")) != "")
     medians = shown.groupBy("doc_id").agg(F.median("size").alias("median"))
     leveled = shown.join(medians, "doc_id").withColumn("level", pdf_heading_level(F.col("size"), F.col("flags").bitwiseAND(16) != 0, F.col("median")))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda s: s["text"])
-    lines = leveled.groupBy("doc_id", "page", "block", "line").agg(F.trim(F.array_join(ordered, " ")).alias("text"), F.min("level").alias("level"))
+    lines = leveled.groupBy("doc_id", "page", "block", "line").agg(T.strip(F.array_join(ordered, " ")).alias("text"), F.min("level").alias("level"))
     ends = lines.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(1 << 30).alias("block"), F.lit(0).alias("line"), F.lit("").alias("text"), F.lit(None).cast("int").alias("level"))
     return lines.unionByName(ends)
 
@@ -196,7 +199,7 @@ def pdf_sections(spans: DataFrame) -> DataFrame:
     parts = marked.groupBy("doc_id", "part").agg(
         F.max("heading_path").alias("heading_path"),
         F.max("open_level").alias("level"),
-        F.regexp_replace(F.array_join(F.transform(body, lambda x: x["text"]), "\n"), r"^\s+|\s+$", "").alias("text"),
+        T.strip(F.array_join(F.transform(body, lambda x: x["text"]), "\n")).alias("text"),
         F.min(F.when(head | (F.col("text") != ""), F.col("page"))).alias("page"),
     )
     kept = parts.where("text <> ''")
@@ -205,14 +208,25 @@ def pdf_sections(spans: DataFrame) -> DataFrame:
 
 
 def read_directory(spark: SparkSession, path: str, extensions: tuple[str, ...] = HTML_EXTENSIONS, glob: str | None = None) -> DataFrame:
-    """path, content of the files below a directory with one of the extensions (any case)."""
+    """path, content of the files below a directory with one of the extensions (any case). A missing path and a file are errors."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        raise FileNotFoundError(f"no such directory: {path}")
+    if not system.getFileStatus(place).isDirectory():
+        raise NotADirectoryError(f"not a directory: {path}")
     files = reader.load(path)
     return files.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*extensions)).select("path", "content")
 
 
+def list_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = HTML_EXTENSIONS + PDF_EXTENSIONS, glob: str | None = None) -> DataFrame:
+    """path of the supported files below a directory, in order; contents are not read."""
+    return read_directory(spark, path, extensions, glob).select("path").orderBy("path")
+
+
 def ingest_directory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Sections of all HTML files below a directory; files that cannot be parsed leave a row with their error."""
     return pages_to_sections(read_directory(spark, path, glob=glob), "path", "content", "path")
@@ -222,4 +236,8 @@ def ingest_file(spark: SparkSession, path: str) -> DataFrame:
     """Sections of one file. PDF files need their spans extracted first; see ``pdf_sections``."""
     if not path.lower().endswith(HTML_EXTENSIONS):
         raise ValueError(f"unsupported file type: {path}")
-    return pages_to_sections(spark.read.format("binaryFile").load(path).select("path", "content"), "path", "content", "path")
+    try:
+        file = spark.read.format("binaryFile").load(path).select("path", "content")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no such file: {path}") from e
+    return pages_to_sections(file, "path", "content", "path")

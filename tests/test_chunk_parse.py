@@ -103,3 +103,13 @@ def test_pages_and_directories(spark, tmp_path):
     assert set(got) == {"a.HTML", "b.htm"} and got["a.HTML"]["heading_path"] == "Über" and got["b.htm"]["error"] is None
     with pytest.raises(ValueError):
         parse.ingest_file(spark, str(tmp_path / "c.txt"))
+    with pytest.raises(FileNotFoundError):
+        parse.ingest_file(spark, str(tmp_path / "none.html"))
+    with pytest.raises(FileNotFoundError):
+        parse.ingest_directory(spark, str(tmp_path / "none"))
+    with pytest.raises(NotADirectoryError):
+        parse.ingest_directory(spark, str(tmp_path / "a.HTML"))
+    (tmp_path / "Z.pdf").write_bytes(b"%PDF")
+    assert [r["path"].rsplit("/", 1)[1] for r in parse.list_files(spark, str(tmp_path)).collect()] == ["Z.pdf", "a.HTML", "b.htm"]
+    chunks = spark.createDataFrame([("f", "d", 1, 0), ("f", "d", 0, 1), ("e", "d", 9, 9)], "filepath string, doc_id string, section_no int, ordinal int")
+    assert [r["section_no"] for r in chunk.first_chunks(chunks, 2).collect()] == [9, 0] and chunk.first_chunks(chunks).count() == 3

@@ -171,6 +171,22 @@ def test_metrics(spark):
     assert "| retrieval_recall | 0.000 | 1.000 | +1.000 |" in report
 
 
+def test_judge_refusals_and_sinks(spark, tmp_path):
+    rows = [("q1", "naive", "which?", ["I-485"], "File I-485."), ("q1", "hybrid", "which?", ["I-485"], None)]
+
+    def judge(question, gold, answer):
+        return f'{{"score": {int(gold[0] in answer)}}}'
+
+    got = {r["mode"]: r["judgement"] for r in evaluate.judged(spark.createDataFrame(rows, "question_id string, mode string, question string, gold array<string>, answer string"), judge).collect()}
+    assert got == {"naive": '{"score": 1}', "hybrid": None}
+    refused = evaluate.refusal_run(spark, ["a", "b"], lambda q: "The sources do not cover this." if q == "a" else "Yes.")
+    assert {r["question"]: r["refused"] for r in refused.collect()} == {"a": True, "b": False} and evaluate.refusal_rate(refused).first()["rate"] == 0.5
+    metrics = spark.createDataFrame([("q1", m, "multi", v) for m, v in (("naive", 0.0), ("hybrid", 1.0))], "question_id string, mode string, hops string, retrieval_recall double")
+    evaluate.write_results(metrics, str(tmp_path), 8, 2)
+    assert spark.read.json(str(tmp_path / "results.json")).count() == 2
+    assert "| retrieval_recall | 0.000 | 1.000 | +1.000 |" in [r["value"] for r in spark.read.text(str(tmp_path / "results.md")).collect()]
+
+
 def test_streaming_ingest(spark, tmp_path):
     from sparkweave.streaming.ingest import SECTIONS, stream_chunks
 
