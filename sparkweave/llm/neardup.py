@@ -227,16 +227,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         likely = written(_likely(pairs, texts, similarity), "likely")
-        need = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        need = written((need if sets is None else need.join(sets.select("node"), "node", "left_anti")).join(equal, "node"), "need")
-        more = _shingle_table(docs.join(need, "doc_id"))
-        more = written(more.dropDuplicates(["node"]) if repeats else more, "shingles")
-        sets = more if sets is None else sets.unionByName(more)
-        found = written(_similar(likely, sets, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        if likely.limit(1).count():
+            need = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            need = written((need if sets is None else need.join(sets.select("node"), "node", "left_anti")).join(equal, "node"), "need")
+            more = _shingle_table(docs.join(need, "doc_id"))
+            more = written(more.dropDuplicates(["node"]) if repeats else more, "shingles")
+            sets = more if sets is None else sets.unionByName(more)
+            found = written(_similar(likely, sets, similarity), "links")
+            dropped(need)
+            if found.limit(1).count():
+                links = found if links is None else links.unionByName(found)
+                labels = components(links)
         members = written(members.join(pivots.select("key", "node"), ["key", "node"], "left_anti"), "members")
-        dropped(rows, pivots, likely, need)
+        dropped(rows, pivots, likely)
         turn += 1
     if labels is None:
         labels = equal.select("node", F.col("node").alias("label")).limit(0)
