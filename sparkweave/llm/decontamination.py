@@ -79,14 +79,27 @@ def windows(rows: DataFrame, keys: list[str], tokens: str, masks=MASKS, span: in
     return each.select(*keys, "pos", F.explode(F.array(*(F.col("s").getField(f"s{n}") for n in range(len(seeds))))).alias("seed"))
 
 
+def document_key() -> Column:
+    """Tells the documents (doc_id, text) apart, also those with one id or none."""
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
+
+
 def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, stretch: int = STRETCH, share: float = SHARE, whole: bool = False) -> DataFrame:
     """doc_id, item_id, matched, best, start, n_tokens for every contaminated pair.
 
     matched: agreeing tokens on the best alignment; best: agreeing tokens in its best stretch; start: the document's token
     that is aligned with the item's first (it can be negative); n_tokens: the item's tokens. ``whole``: items shorter than ``stretch`` are searched with masks of their length, and windows may reach beyond a document.
     """
-    doc_key, item_key = F.xxhash64("doc_id", "text"), F.xxhash64("item_id", "text")
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("dk", doc_key)
+    judged = _judged(docs, items, masks, stretch, share, whole)
+    top = F.max(F.struct("matched", "best", (-F.col("start")).alias("early"), "n_tokens")).alias("t")
+    out = judged.groupBy("doc_id", "item_id").agg(top)
+    return out.select("doc_id", "item_id", F.col("t.matched").cast("long").alias("matched"), F.col("t.best").cast("long").alias("best"), (-F.col("t.early")).cast("long").alias("start"), F.col("t.n_tokens").cast("long").alias("n_tokens"))
+
+
+def _judged(docs: DataFrame, items: DataFrame, masks, stretch: int, share: float, whole: bool) -> DataFrame:
+    """dk, doc_id, item_id, matched, best, start, n_tokens for every alignment that makes a document contaminated."""
+    item_key = F.xxhash64("item_id", "text")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("dk", document_key())
     items = items.select("item_id", F.col("text").cast("string").alias("text")).withColumn("ik", item_key)
     span = 1 if whole else 1 + max(p for m in masks for p in m)
     tested = written(items.select("ik", "item_id", token_hashes(F.col("text")).alias("item_tokens")).where(F.size("item_tokens") >= span).dropDuplicates(["ik"]), "items")
@@ -121,15 +134,12 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, stretch: int = STRE
 
     # The array of one array is a variable of the transformation, so tokens are computed once for all hits.
     each = F.explode(F.flatten(F.transform(F.array(token_hashes(F.col("text"))), facing)))
-    aligned = docs.join(hits, "dk").select("doc_id", each.alias("h")).select("doc_id", "h.*").join(tested, "ik")
+    aligned = docs.join(hits, "dk").select("dk", "doc_id", each.alias("h")).select("dk", "doc_id", "h.*").join(tested, "ik")
     flags = F.transform(F.zip_with("a", "item_tokens", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda same: same.cast("int"))
-    aligned = aligned.select("doc_id", "item_id", "start", F.size("item_tokens").alias("n_tokens"), flags.alias("flags"))
+    aligned = aligned.select("dk", "doc_id", "item_id", "start", F.size("item_tokens").alias("n_tokens"), flags.alias("flags"))
     long = F.least(F.lit(stretch), F.col("n_tokens"))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("n_tokens") - long), lambda i: F.aggregate(F.slice("flags", i + 1, long), F.lit(0), lambda s, x: s + x)))
-    judged = aligned.withColumns({"best": best, "matched": F.aggregate("flags", F.lit(0), lambda s, x: s + x), "least": F.when(F.col("n_tokens") < (SPAN if whole else 0), F.col("n_tokens")).otherwise(F.ceil(long * share))}).where("best >= least")
-    top = F.max(F.struct("matched", "best", (-F.col("start")).alias("early"), "n_tokens")).alias("t")
-    out = judged.groupBy("doc_id", "item_id").agg(top)
-    return out.select("doc_id", "item_id", F.col("t.matched").cast("long").alias("matched"), F.col("t.best").cast("long").alias("best"), (-F.col("t.early")).cast("long").alias("start"), F.col("t.n_tokens").cast("long").alias("n_tokens"))
+    return aligned.withColumns({"best": best, "matched": F.aggregate("flags", F.lit(0), lambda s, x: s + x), "least": F.when(F.col("n_tokens") < (SPAN if whole else 0), F.col("n_tokens")).otherwise(F.ceil(long * share))}).where("best >= least")
 
 
 def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -137,5 +147,10 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
     return overlaps(docs, items, whole=True)
 
 
+def contaminated_keys(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """dk: the ``document_key`` of every contaminated document."""
+    return _judged(docs, items, MASKS, STRETCH, SHARE, True).select("dk").distinct()
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -146,7 +146,7 @@ def _members(texts: DataFrame, similarity: float) -> DataFrame:
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The members of buckets that have texts of several classes and an index part, with label and the bucket's n."""
     if labels is None:
-        rows = members.withColumn("label", F.col("node"))
+        rows = members.drop("n").withColumn("label", F.col("node"))
     else:
         rows = members.drop("label", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("index").alias("any"))

@@ -40,13 +40,15 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 
 _LETTER = r"[^\W\d_]"
 _MARK = rf"(?:{_LETTER}|[0-9@$!|+])"
-_GAPPED = re.compile(rf"(?<!\w){_MARK}(?:[ .*_~-]{{1,2}}{_MARK}){{2,}}(?!\w)")  # single letters, or what may stand for them, with gaps
+_KNOT = re.compile(r"[^\W_]")
+_GAPPED = re.compile(rf"(?<![^\W_]){_MARK}(?:[ .*_~-]{{1,2}}+{_MARK}){{2,}}+")  # single letters, or what may stand for them, with gaps; a run is read once
 _PART = re.compile(r"[\w@$!|+]+")
 _SIGN = re.compile(rf"[0-9@$|+]|!{_LETTER}")
 _ANY_LETTER = re.compile(_LETTER)
 _LETTER_RUN = re.compile(rf"({_LETTER})\1\1")
 _WORD = re.compile(_LETTER + "+")
-_GAPS = str.maketrans("", "", " .*_~-")
+_GAP = " .*_~-"
+_GAPS = str.maketrans("", "", _GAP)
 
 
 def suspicious(part: str) -> bool:
@@ -122,9 +124,13 @@ class Restorer:
         return _GAPPED.sub(self._gapped, text.lower())
 
     def _gapped(self, match: re.Match) -> str:
-        """Letters with gaps, and signs among them if most are letters."""
-        span = match[0].translate(_GAPS)
-        return self.read(span) if 2 * sum(map(str.isalpha, span)) > len(span) else match[0]
+        """Letters with gaps, and signs among them if most are letters. A last one that begins a longer word does not belong to them."""
+        whole, rest = match[0], ""
+        if _KNOT.match(match.string, match.end()):
+            gap = len(whole) - 1 - len(whole[:-1].rstrip(_GAP))
+            whole, rest = whole[: -1 - gap], whole[-1 - gap :]
+        span = whole.translate(_GAPS)
+        return self.read(span) + rest if len(span) > 2 and 2 * sum(map(str.isalpha, span)) > len(span) else match[0]
 
     def _part(self, match: re.Match) -> str:
         """Exclamation marks at the end are no letters."""
@@ -257,7 +263,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
         return None, count.get(1, 0) / total if total else 0.0
     part = {y: min(1.0, sample / 2 / n) for y, n in count.items()}
     share = F.when(F.col("y") == 1, F.lit(part[1])).otherwise(F.lit(part[0]))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20)).withColumn("weight", 1 / share)
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 62)) < share * (1 << 62)).withColumn("weight", 1 / share)
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     # One text for each id, so the sample stays as large as it was meant to be.
     return found.groupBy("doc_id", "y", "weight").agg(F.min("text").alias("text")).select("text", "y", "weight"), count[1] / total

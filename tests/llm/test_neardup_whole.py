@@ -85,3 +85,12 @@ def test_appended_and_cut_copies(spark):
     want = brute(texts)
     assert len(set(want)) == 120
     assert found(spark, texts) == want
+
+
+def test_open_buckets_without_a_link(spark):
+    """Texts of shuffled sentences share many shingles, but no two are similar."""
+    rng = random.Random(5)
+    sentences = [[f"s{k}w{i}" for i in range(12)] for k in range(8)]
+    texts = [" ".join(w for s in rng.sample(sentences, 4) for w in s) for _ in range(20)]
+    texts = list(dict.fromkeys(texts))
+    assert found(spark, texts) == brute(texts)

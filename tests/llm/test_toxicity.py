@@ -52,11 +52,12 @@ def test_disguises_together(model):
     restore = T.Restorer(model["letters"])
     for hidden in ("1 d 1 o t", "1.d.i.0.t", "i d 1 o +", "i-d-i-o-o-o-t", "1d1oooot", "1d1000t", "idi0+", "1diot!"):
         assert restore(f"the {hidden} runs").startswith("the idiot"), hidden
+    assert restore("i d i o t head") == "idiot head" and restore("see a b head") == "see a b head" and restore("i_d_i_o_t_") == "idiot_"
     for plain in ("1 2 3 4", "see 3 - 4 - 5", "great!", "12:30", "5 + 6 = 11"):
         assert restore(plain) == plain
 
 
-@pytest.mark.parametrize("token", ["1234567890" * 100_000, "_1" * 500_000, "a1" * 500_000, "a b " * 250_000, "1 " * 500_000, "a_" * 500_000 + "ab", "!" * 1_000_000, "a" * 1_000_000 + "1", "ab!" * 333_000])
+@pytest.mark.parametrize("token", ["1234567890" * 100_000, "_1" * 500_000, "a1" * 500_000, "a b " * 250_000, "1 " * 500_000, "a_" * 500_000 + "ab", "!" * 1_000_000, "a" * 1_000_000 + "1", "ab!" * 333_000, "a_*" * 333_000 + "zz", "a* " * 333_000, "a_*" * 333_000, "a.-_" * 250_000])
 def test_long_tokens_take_linear_time(model, token):
     import time
 
