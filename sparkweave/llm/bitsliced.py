@@ -131,11 +131,11 @@ class Block:
         return above | level
 
 
-def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """id, x: the vectors whose components are all finite numbers."""
+def usable(vectors: DataFrame, key: str, vector: str, *extra: str) -> DataFrame:
+    """id, x and ``extra``: the vectors whose components are all finite numbers."""
     x = F.col(vector).cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(x.isNotNull() & F.col(key).isNotNull()).where(finite).select(F.col(key).cast("long").alias("id"), x.alias("x"))
+    return vectors.where(x.isNotNull() & F.col(key).isNotNull()).where(finite).select(F.col(key).cast("long").alias("id"), x.alias("x"), *extra)
 
 
 def _limit(dims: int) -> int:

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their oracles."""
 
-from sparkweave.llm import bitsliced, decontamination, licenses, merkle, packing, pii, quality, recompression, simhash, toxicity, urls
+from sparkweave.llm import bitsliced, decontamination, hardneg, licenses, merkle, packing, pii, quality, recompression, simhash, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pii": pii.op9_pii,
     "op10_recompression": recompression.op10_recompression,
+    "op12_hard_negatives": hardneg.op12_hard_negatives,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLE: dict[str, str] = {
     "op2_bit_sliced_top_k": bitsliced.OP2_SQL,
+    "op12_hard_negatives": hardneg.OP12_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
