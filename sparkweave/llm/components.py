@@ -14,7 +14,7 @@ from sparkweave.llm.common import dropped, written
 
 
 def components(links: DataFrame, node_type: str = "long") -> DataFrame:
-    """``links``: columns a, b, in either direction and with repeats. Returns node, label: the least node of its component.
+    """``links``: columns a, b, in either direction and with repeats. Returns node, label (the least node of its component), a written table.
 
     Nodes without links don't appear. Null ends and self links are dropped. Needs distinct values per node, so a hub is
     as large as the number of different neighbours it has.
@@ -32,4 +32,6 @@ def components(links: DataFrame, node_type: str = "long") -> DataFrame:
         now = after
         if not changed:
             dropped(both)
-            return now.select("node", "label")
+            out = now.select("node", "label")
+            out._written_path = now._written_path
+            return out

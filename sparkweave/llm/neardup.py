@@ -5,19 +5,9 @@ five-word shingles have a Jaccard similarity of at least 0.8. All links count: t
 collisions of 64-bit hashes.
 
 The shingles of each text are put into one order for all texts, rare ones first; how rare is read from counts under
-``COUNTERS`` hash values, and any order would give the same classes. Of two linked texts with x <= y shingles, the first one that both
-have is among the first x - ceil(8/9 x) + 1 of the smaller text (its index part) and the first y - ceil(0.8 y) + 1 of the larger one. So the texts
-that have a shingle in these parts are a bucket, and pairs of an index part and another part are compared, as far as sizes and
-places allow the similarity.
-
-Every text has a sketch: how often each of ``BITS`` hash values occurs among its shingles, modulo 2. A shingle that only one of
-two texts has changes one bit, so sketches that differ in more bits than similar texts can differ in shingles exclude the
-pair. Only texts of pairs that remain are read again, for their whole sets.
-
-A bucket goes on until nothing in it is open: in each turn some texts of its index part, the pivots, are compared with all others
-of other classes and leave the bucket; it ends with its last index part, or when all its texts are one class. The first turn has one
-pivot for a bucket, which gathers groups of copies; later turns take all of a small bucket, and 16 times as many of a large one
-each time. Classes are connected components of verified links; no link, class or shingle comes to the driver, only the counts.
+``COUNTERS`` hash values, and any order would give the same classes. ``buckets`` finds the pairs that share one of their first shingles, excludes
+pairs by their sketches, and turns verified links into classes. Only texts of pairs that remain are read again, for their whole sets; no
+shingle comes to the driver, only the counts.
 
 Cases: null, empty and blank texts are one text without words; texts of fewer than five words are one shingle; rows with
 one doc_id and different texts are documents of their own, equal ones are copies; of rows with the least doc_id of a class one stays; a
@@ -26,24 +16,22 @@ null doc_id is a document of its own that is never dropped; an empty table gives
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from sparkweave.llm import buckets
+from sparkweave.llm.buckets import SKETCH, prefix, sketch
 from sparkweave.llm.common import dropped, free_names, in_arrow, written
-from sparkweave.llm.components import components
-
-WIDTH, SIMILARITY = 5, 0.8
-#: Hash values under which shingles are counted; buckets up to SMALL are compared whole after the first turn.
-COUNTERS, SMALL = 1 << 18, 64
-#: Bits of a sketch, held as whole numbers of 64.
-BITS = 512
-SKETCH = [f"s{i}" for i in range(BITS // 64)]
+
+WIDTH, PERCENT = 5, 80
+#: Hash values under which shingles are counted.
+COUNTERS = 1 << 18
 #: Odd factors of the places in a shingle.
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"place", i) | 1 for i in range(WIDTH)], np.uint64)
 
@@ -60,12 +48,6 @@ def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def sketch(shingle_set: np.ndarray) -> np.ndarray:
-    """For each hash value whether an odd number of shingles has it."""
-    odd = np.bincount((shingle_set >> np.uint64(24)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
-
-
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -75,19 +57,14 @@ def _identity(words: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(t[:8], "little", signed=True), int.from_bytes(t[8:], "little", signed=True)
 
 
-def _least(share: float, n: int) -> int:
-    """The least whole number that is at least the share of n; rounding errors never make it greater."""
-    return math.ceil(share * n - 1e-6)
-
-
-def _counts(docs: DataFrame) -> np.ndarray:
+def shingle_counts(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     """How many texts have a shingle of each hash value."""
 
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                total += np.bincount((shingles(_words(text)) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) if text else 0
+                total += np.bincount((shingles(_words(text), width) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) if text else 0
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["h", "n"])
 
@@ -97,9 +74,13 @@ def _counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _texts(docs: DataFrame, similarity: float) -> DataFrame:
+def rare_first(shingle_set: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return shingle_set[np.lexsort((shingle_set, counts[(shingle_set % np.uint64(COUNTERS)).astype(np.int64)]))]
+
+
+def _texts(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, t0, t1 (a 128-bit hash of the word sequence), size (distinct shingles), the first shingles and the sketch for every row."""
-    counts = docs.sparkSession.sparkContext.broadcast(_counts(docs))
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
 
     def run(batches):
         order = counts.value
@@ -109,7 +90,7 @@ def _texts(docs: DataFrame, similarity: float) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 words = _words(text)
                 s = shingles(words)
-                first = s[np.lexsort((s, order[(s % np.uint64(COUNTERS)).astype(np.int64)]))][: len(s) - _least(similarity, len(s)) + 1]
+                first = rare_first(s, order)[: prefix(percent, len(s))]
                 for column, value in zip(out, (*_identity(words), len(s), first.view(np.int64))):
                     column.append(value)
                 sketches.append(sketch(s))
@@ -121,69 +102,49 @@ def _texts(docs: DataFrame, similarity: float) -> DataFrame:
     return docs.transform(in_arrow, run, "doc_id long, t0 long, t1 long, size int, first array<long>, " + ", ".join(f"{b} long" for b in SKETCH))
 
 
-def _shingle_table(docs: DataFrame) -> DataFrame:
-    """node, shingles of the rows whose words have the hash t0, t1. Columns: node, text, t0, t1."""
+def shingle_sets(docs: DataFrame, identity=_identity, width: int = WIDTH) -> DataFrame:
+    """node, shingles of the rows whose words have the identity t0, t1. Columns: node, text, t0, t1."""
 
     def run(batches):
         for batch in batches:
-            for i, text, t0, t1 in zip(*(batch.column(c) for c in ("node", "text", "t0", "t1"))):
+            nodes, found = [], []
+            for node, text, t0, t1 in zip(*(batch.column(c) for c in ("node", "text", "t0", "t1"))):
                 words = _words(text.as_py())
-                if _identity(words) == (t0.as_py(), t1.as_py()):
-                    found = pa.array([shingles(words).view(np.int64)], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), found], names=["node", "shingles"])
+                if identity(words) == (t0.as_py(), t1.as_py()):
+                    nodes.append(node.as_py())
+                    found.append(shingles(words, width).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return docs.select("node", "text", "t0", "t1").transform(in_arrow, run, "node long, shingles array<long>")
 
 
-def _members(texts: DataFrame, similarity: float) -> DataFrame:
-    """key, node, size, place, index: the first shingles that several texts have, with their places; index: in the index part."""
-    rows = texts.select("node", "size", F.posexplode("first").alias("place", "key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    part = F.col("size") - F.ceil(2 * similarity / (1 + similarity) * F.col("size") - 1e-6) + 1
-    return rows.join(shared, "key").select("key", "node", "size", "place", (F.col("place") < part).alias("index"))
-
-
-def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The members of buckets that have texts of several classes and an index part, with label and the bucket's n."""
-    if labels is None:
-        rows = members.drop("n").withColumn("label", F.col("node"))
-    else:
-        rows = members.drop("label", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("index").alias("any"))
-    return rows.join(stats.where("low <> high and any").select("key", "n"), "key")
-
-
-def _chosen(members: DataFrame, turn: int) -> DataFrame:
-    """key, node, size, place, label of the turn's pivots."""
-    index = members.where("index")
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "place", "label")
-    slot = F.pmod(F.xxhash64("node", F.lit("slot")), F.lit(16**turn))
-    some = index.where(F.col("n") > SMALL if turn else F.lit(True)).groupBy("key", slot.alias("slot")).agg(F.min(order).alias("p")).select("key", "p.node", "p.size", "p.place", "p.label")
-    return some.unionByName(index.where(F.col("n") <= SMALL).select(*some.columns)) if turn else some
-
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of at least ``percent`` in a hundred."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").where((F.size("sa") > 0) & (100 * both >= percent * (F.size("sa") + F.size("sb") - both))).select("a", "b")
 
-def _possible(similarity: float) -> Column:
-    """Whether sizes and places leave room for the similarity, if the shingle is the first one that both texts have."""
-    small, large = F.least("p.size", "m.size"), F.greatest("p.size", "m.size")
-    rest = F.least(F.col("p.size") - F.col("p.place"), F.col("m.size") - F.col("m.place"))
-    return (small >= similarity * large - 1e-6) & (rest >= similarity / (1 + similarity) * (small + large) - 1e-6)
 
+class Sets:
+    """Verifies pairs by their whole sets, which are read once for each node. ``docs``: doc_id, text; ``owners``: node, doc_id, t0, t1, one document for each node."""
 
-def _likely(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sketches do not exclude the similarity."""
-    side = lambda x: texts.select(F.col("node").alias(x), *(F.col(c).alias(x + c) for c in ("size", *SKETCH)))
-    apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in SKETCH), F.lit(0))
-    sizes = F.col("asize") + F.col("bsize")
-    most = sizes - 2 * F.ceil(similarity / (1 + similarity) * sizes - 1e-6)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b")
+    def __init__(self, docs: DataFrame, owners: DataFrame, percent: int, repeats: bool, identity=_identity, width: int = WIDTH) -> None:
+        self.docs, self.owners, self.percent, self.repeats, self.identity, self.width = docs, owners, percent, repeats, identity, width
+        self.tables: list[DataFrame] = []
 
+    def verified(self, pairs: DataFrame, turn: int) -> DataFrame:
+        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        for known in self.tables:
+            need = need.join(known.select("node"), "node", "left_anti")
+        need = written(need.join(self.owners.select("node", "doc_id", "t0", "t1"), "node"), "need")
+        more = shingle_sets(self.docs.join(need, "doc_id"), self.identity, self.width)
+        self.tables.append(written(more.dropDuplicates(["node"]) if self.repeats else more, "shingles"))
+        dropped(need)
+        return similar(pairs, reduce(DataFrame.unionByName, self.tables), self.percent)
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of at least ``similarity``."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where((F.size("sa") > 0) & (both >= similarity * (F.size("sa") + F.size("sb") - both))).select("a", "b")
+    def drop(self) -> None:
+        dropped(*self.tables)
 
 
 def identified(docs: DataFrame, t0: str, t1: str) -> DataFrame:
@@ -200,10 +161,10 @@ def identified(docs: DataFrame, t0: str, t1: str) -> DataFrame:
     return docs.withColumn(whole, F.col("text").cast("string")).transform(in_arrow, run, schema)
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, t0, t1, label (a number for the class) and class_id, its least doc_id, for every different text (t0, t1) of a doc_id that is not null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    every = written(_texts(docs, similarity), "texts")
+    every = written(_texts(docs, percent), "texts")
     # One number for each different text, and one document that has it.
     equal = every.groupBy("t0", "t1").agg(F.min("doc_id").alias("doc_id"))
     equal = written(equal.withColumn("node", F.monotonically_increasing_id()), "equal")
@@ -212,48 +173,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     if repeats:
         texts = texts.dropDuplicates(["node"])
     texts = written(texts.drop("doc_id", "t0", "t1"), "nodes")
-    members = written(_members(texts, similarity), "members")
-    links = labels = tried = sets = None
-    turn = 0
-    while True:
-        rows = written(_open(members, labels), "members")
-        dropped(members)
-        members = rows
-        if not members.limit(1).count():
-            break
-        pivots = written(_chosen(members, turn), "pivots")
-        pairs = pivots.alias("p").join(members.alias("m"), "key").where((F.col("p.label") != F.col("m.label")) & _possible(similarity))
-        pairs = pairs.select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        likely = written(_likely(pairs, texts, similarity), "likely")
-        if likely.limit(1).count():
-            need = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            need = written((need if sets is None else need.join(sets.select("node"), "node", "left_anti")).join(equal, "node"), "need")
-            more = _shingle_table(docs.join(need, "doc_id"))
-            more = written(more.dropDuplicates(["node"]) if repeats else more, "shingles")
-            sets = more if sets is None else sets.unionByName(more)
-            found = written(_similar(likely, sets, similarity), "links")
-            dropped(need)
-            if found.limit(1).count():
-                links = found if links is None else links.unionByName(found)
-                labels = components(links)
-        members = written(members.join(pivots.select("key", "node"), ["key", "node"], "left_anti"), "members")
-        dropped(rows, pivots, likely)
-        turn += 1
-    if labels is None:
-        labels = equal.select("node", F.col("node").alias("label")).limit(0)
-    labelled = equal.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ids = written(every.select("doc_id", "t0", "t1"), "ids")
+    dropped(every)
+    sets = Sets(docs, equal, percent, repeats)
+    labels = buckets.classes(texts, percent, sets.verified)
+    sets.drop()
+    dropped(texts)
+    links = equal.select("node", F.col("node").alias("label")).limit(0) if labels is None else labels
+    labelled = equal.join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
     roots = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     named = labelled.join(roots, "label").select("t0", "t1", "label", "class_id")
-    out = written(every.select("doc_id", "t0", "t1").distinct().join(named, ["t0", "t1"]).select("doc_id", "t0", "t1", "label", "class_id"), "classes")
-    dropped(every, equal, texts, members)
+    out = written(ids.distinct().join(named, ["t0", "t1"]).select("doc_id", "t0", "t1", "label", "class_id"), "classes")
+    dropped(equal, ids, *([] if labels is None else [labels]))
     return out
 
 
-def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of the rows of ``docs`` one for each class, one with its least doc_id, and all rows without a doc_id."""
-    found = classes(docs, similarity)
+    found = classes(docs, percent)
     gone, kept, t0, t1 = free_names(docs.columns, "__gone", "__kept", "__t0", "__t1")
     if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         least = found.where("class_id = doc_id").groupBy("label", "class_id").agg(F.min(F.struct("t0", "t1")).alias("t"))

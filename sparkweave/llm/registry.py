@@ -1,6 +1,6 @@
 """The queries of this subpackage and their oracles."""
 
-from sparkweave.llm import bitsliced, decontamination, hardneg, licenses, merkle, packing, pii, quality, recompression, simhash, toxicity, urls
+from sparkweave.llm import bitsliced, decontamination, hardneg, jaccard, licenses, merkle, packing, pii, quality, recompression, simhash, toxicity, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pii": pii.op9_pii,
     "op10_recompression": recompression.op10_recompression,
+    "op11_ngram_jaccard_join": jaccard.op11_ngram_jaccard_join,
     "op12_hard_negatives": hardneg.op12_hard_negatives,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
