@@ -48,6 +48,15 @@ def aggregated(metrics: DataFrame) -> DataFrame:
     return long.groupBy("mode", "metric").agg(F.avg("v").alias("value"), F.avg(F.when(F.col("hops") == "multi", F.col("v"))).alias("multi"))
 
 
+def evaluated(retrieved: DataFrame, chunks: DataFrame, questions: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Metrics of each question and mode from what ``retrieve.retrieve_many`` found; ``aggregated`` and ``report`` go on from there.
+
+    ``chunks``: chunk_id, content, filepath; ``questions``: question_id, gold, hops. A question for which a mode found nothing has no row in it.
+    """
+    rows = retrieved.join(chunks.select("chunk_id", "content", "filepath"), "chunk_id")
+    return question_metrics(rows.select(F.col("question").alias("question_id"), "mode", "content", "filepath", "retrieval_source"), questions, answers)
+
+
 def refusal_rate(answers: DataFrame) -> DataFrame:
     """One row, rate: share of the answers that decline; 0 without answers."""
     return answers.agg(F.coalesce(F.avg(T.is_refusal(F.col("answer")).cast("double")), F.lit(0.0)).alias("rate"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from sparkweave.functions import text as T
 from sparkweave.schema import DOMAIN, DomainSchema
+from sparkweave.tables import written
 
 
 @dataclass
@@ -227,6 +228,56 @@ def k_hop(graph: Graph, seeds: list, hops: int = 2, max_nodes: int = 60, fanout:
     return out_nodes, edges.select("source", "target", "predicate", "weight", "evidence")
 
 
+def _ends(relates: DataFrame) -> DataFrame:
+    """node, other and the edge, once for each end, from one scan."""
+    columns = ["src", "predicate", "dst", "weight", "evidence"]
+    ends = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))
+    return relates.select(*columns, F.explode(ends).alias("end")).select("end.node", "end.other", "src", "predicate", "dst", "weight", "evidence")
+
+
+def k_hop_many(graph: Graph, seeds: DataFrame, hops: int = 2, max_nodes: int = 60, fanout: int = 10, hub_degree: int = 40) -> tuple[DataFrame, DataFrame]:
+    """``k_hop`` for all questions of ``seeds`` (question, id, pos) at once: nodes (question, id, name, type, pos) and edges (question, source, target, predicate, weight, evidence).
+
+    Nothing comes to the driver. A hop is one step for all questions: the frontier (question, node, place) meets the edges of its nodes,
+    which are ranked once for each node, however many questions have it; windows by question apply the budgets, over at most
+    ``max_nodes * fanout`` rows of each. Nodes beyond ``hub_degree`` are counted but never ranked or joined by themselves: their edges to known nodes are looked
+    up by both ends. The state after a hop, at most ``max_nodes`` nodes a question, is written, so the plan doesn't grow with the hops.
+
+    Null questions and ids take no part; of a seed that a question has several times the first place counts; without seeds there are no rows.
+    """
+    first = seeds.where("question is not null and id is not null").groupBy("question", "id").agg(F.min("pos").alias("at"))
+    first = first.join(graph.entities.select("id"), "id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("question").orderBy("at", "id")) - 1
+    nodes = written(first.select("question", "id", place.alias("pos"), F.lit(0).alias("hop")), "khop")
+    ends, found = _ends(graph.relates), None
+    for hop in range(max(1, hops)):
+        count = nodes.groupBy("question").agg(F.count(F.lit(1)).alias("known"))
+        front = nodes.where(F.col("hop") == hop).join(count.where(F.col("known") < max_nodes), "question").select("question", F.col("id").alias("node"), F.col("pos").alias("place"), "known")
+        asked = front.select("node").distinct()
+        mine = ends.join(asked, "node", "left_semi")
+        degree = mine.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        heavy = Window.partitionBy("node").orderBy(F.desc(F.coalesce("weight", F.lit(0.0))), "src", "predicate", "dst")
+        ranked = mine.join(degree.where(F.col("degree") <= hub_degree).select("node"), "node").withColumn("rn", F.row_number().over(heavy))
+        met = written(front.join(ranked, "node").join(nodes.select("question", F.col("id").alias("other"), F.lit(True).alias("old")), ["question", "other"], "left"), "khop")
+        order = F.struct("place", "rn")
+        new = met.where((F.col("rn") <= fanout) & F.col("old").isNull()).groupBy("question", "other").agg(F.min(order).alias("k"), F.first("known").alias("known"))
+        new = new.withColumn("nth", F.row_number().over(Window.partitionBy("question").orderBy("k"))).where(F.col("nth") <= max_nodes - F.col("known"))
+        new = written(new.select("question", "other", "k", (F.col("known") + F.col("nth") - 1).alias("pos")), "khop")
+        kept = met.join(new.select("question", "other", "k"), ["question", "other"], "left").where(F.coalesce(F.col("old"), F.lit(False)) | (F.col("k") <= order))
+        # Of a hub the edges to nodes that its question knows by its turn: looked up by both ends.
+        hubs = front.join(degree.where(F.col("degree") > hub_degree).select("node"), "node")
+        reach = nodes.select("question", F.col("id").alias("other"), F.lit(-1).alias("since")).unionByName(new.select("question", "other", F.col("k.place").alias("since")))
+        pairs = hubs.join(reach, "question").where(F.col("since") < F.col("place")).select("question", "node", "other")
+        columns = ["question", "src", "predicate", "dst", "weight", "evidence"]
+        step = kept.select(*columns).unionByName(pairs.join(mine, ["node", "other"]).select(*columns))
+        step = written(step.distinct(), "khop")
+        found = step if found is None else found.unionByName(step)
+        nodes = nodes.unionByName(new.select("question", F.col("other").alias("id"), "pos", F.lit(hop + 1).alias("hop")))
+    edges = found.groupBy("question", "src", "predicate", "dst").agg(F.first("weight").alias("weight"), F.first("evidence").alias("evidence"))
+    edges = edges.select("question", F.col("src").alias("source"), F.col("dst").alias("target"), "predicate", "weight", "evidence")
+    return nodes.drop("hop").join(graph.entities.select("id", "name", "type"), "id").select("question", "id", "name", "type", "pos"), edges
+
+
 def display_links(relates: DataFrame, nodes: DataFrame, limit: int = 80) -> DataFrame:
     """The heaviest links with both ends among the nodes."""
     ids = nodes.select("id")

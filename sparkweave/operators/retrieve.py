@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from sparkweave.functions import text as T
 from sparkweave.operators import graph as G
 from sparkweave.operators import vector as V
+from sparkweave.tables import written
 
 SCANNED, MIN_NAME, MIN_SUBSTRING, SUBSTRING_LIMIT = 5, 5, 4, 2
 
@@ -59,6 +60,46 @@ def merged(vector: DataFrame, graph: DataFrame) -> DataFrame:
     return first.select("chunk_id", F.col("k.retrieval_source").alias("retrieval_source"), pos.alias("pos")).withColumn("citation_id", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
 
 
+def graph_chunks_many(mentions: DataFrame, nodes: DataFrame, seeds: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """question, chunk_id, graph_score, rank: ``graph_chunks`` for all questions at once.
+
+    ``nodes`` and ``seeds``: question, id; ``vectors``: question, chunk_id. Scores are summed before the shuffle, and k rows a question leave each task.
+    """
+    ids = nodes.select("question", F.col("id").alias("entity_id"))
+    seed = seeds.select("question", F.col("id").alias("entity_id"), F.lit(1).alias("seed")).distinct()
+    marked = ids.join(seed, ["question", "entity_id"], "left")
+    reached = mentions.select("chunk_id", "entity_id").distinct().join(marked, "entity_id")
+    scores = reached.groupBy("question", "chunk_id").agg(F.count("seed").alias("graph_score"))
+    new = scores.join(vectors.select("question", "chunk_id"), ["question", "chunk_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("graph_score"), "chunk_id"))
+    return new.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def merged_many(vector: DataFrame, graph: DataFrame) -> DataFrame:
+    """question, chunk_id, retrieval_source, pos, citation_id: ``merged`` for all questions, from channels (question, chunk_id, rank)."""
+    both = vector.select("question", "chunk_id", "rank", F.lit("vector").alias("retrieval_source"), F.lit(0).alias("channel")).unionByName(
+        graph.select("question", "chunk_id", "rank", F.lit("graph").alias("retrieval_source"), F.lit(1).alias("channel"))
+    )
+    first = both.groupBy("question", "chunk_id").agg(F.min(F.struct("channel", "rank", "retrieval_source")).alias("k"))
+    pos = F.row_number().over(Window.partitionBy("question").orderBy("k.channel", "k.rank", "chunk_id"))
+    return first.select("question", "chunk_id", F.col("k.retrieval_source").alias("retrieval_source"), pos.alias("pos")).withColumn("citation_id", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+
+
+def retrieve_many(graph: G.Graph, vectors: DataFrame, questions: DataFrame, seeds: DataFrame, k_vector: int = 8, k_graph: int = 8, hops: int = 2, **limits) -> DataFrame:
+    """question, mode, chunk_id, retrieval_source, pos for all questions and both modes (naive: nearest chunks; hybrid: with the graph channel).
+
+    ``vectors``: chunk_id, embedding; ``questions``: question, embedding; ``seeds``: question, id, pos, the entities that each question names. A chunk
+    whose id is the question itself is not among its nearest.
+    """
+    near = V.knn_many(vectors, questions.select(F.col("question").alias("query"), F.col("embedding").alias("v")), k_vector, "chunk_id")
+    near = written(near.select(F.col("query").alias("question"), "chunk_id", "rank"), "near")
+    nodes, _ = G.k_hop_many(graph, seeds, hops, **limits)
+    known = nodes.join(seeds.select("question", "id").distinct(), ["question", "id"], "left_semi")
+    found = graph_chunks_many(graph.mentions, nodes, known, near, k_graph)
+    hybrid = merged_many(near, found).select("question", F.lit("hybrid").alias("mode"), "chunk_id", "retrieval_source", "pos")
+    return near.select("question", F.lit("naive").alias("mode"), "chunk_id", F.lit("vector").alias("retrieval_source"), F.col("rank").alias("pos")).unionByName(hybrid)
+
+
 def citations(chunks: DataFrame) -> DataFrame:
     """What an answer's sources show, from merged chunks with filepath, heading_path, content, retrieval_source, citation_id, metadata."""
     page = F.try_element_at(F.col("metadata"), F.lit("page_number"))

@@ -475,6 +475,64 @@ for _name, _what, _limits in (
     ORACLE[_name] = khop_sql(_what, *_limits)
 
 
+#: Questions for all at once: every customer whose key is divisible by 100, with seeds of its own.
+QUESTION_SEEDS_SQL = """
+  SELECT c_custkey AS question, 'customer:' || c_custkey AS id, 0 AS pos FROM customer WHERE c_custkey % 100 = 0
+  UNION ALL SELECT c_custkey, 'customer:' || (c_custkey - 93), 1 FROM customer WHERE c_custkey % 100 = 0
+  UNION ALL SELECT c_custkey, 'nobody', 2 FROM customer WHERE c_custkey % 100 = 0
+  UNION ALL SELECT c_custkey, 'nation:' || (c_custkey // 100 % 25), 3 FROM customer WHERE c_custkey % 200 = 0"""
+
+
+def question_seeds(spark, d) -> DataFrame:
+    key = F.col("question")
+    seeds = F.array(
+        F.struct(F.concat(F.lit("customer:"), key.cast("string")).alias("id"), F.lit(0).alias("pos")), F.struct(F.concat(F.lit("customer:"), (key - 93).cast("string")).alias("id"), F.lit(1).alias("pos")),
+        F.struct(F.lit("nobody").alias("id"), F.lit(2).alias("pos")), F.struct(F.when(key % 200 == 0, F.concat(F.lit("nation:"), F.expr("question div 100 % 25").cast("string"))).alias("id"), F.lit(3).alias("pos")),
+    )
+    questions = t(spark, d, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("question"))
+    return questions.select("question", F.explode(seeds).alias("s")).select("question", "s.id", "s.pos")
+
+
+def khop_many_sql(what: str, seeds: str, hops: int = 2, max_nodes: int = 60, fanout: int = 10, hub: int = 40) -> str:
+    """The hops of all questions; a recursive expression would not allow the budgets."""
+    ctes = [f"e AS MATERIALIZED ({EDGES_SQL})", f"ent AS ({ENTITIES_SQL})", "ends AS (SELECT src AS node, dst AS other, * FROM e UNION ALL SELECT dst, src, * FROM e)",
+            f"n0 AS (SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY pos, id) - 1 AS pos, 0 AS hop FROM (SELECT question, id, min(pos) AS pos FROM ({seeds}) GROUP BY question, id) JOIN ent USING (id))"]
+    edges = []
+    for h in range(hops):
+        ctes += [
+            f"k{h} AS (SELECT question, count(*) AS known FROM n{h} GROUP BY question HAVING count(*) < {max_nodes})",
+            f"t{h} AS (SELECT f.question, f.pos AS place, known, x.* FROM n{h} f JOIN k{h} USING (question) JOIN ends x ON x.node = f.id WHERE f.hop = {h})",
+            f"r{h} AS (SELECT *, row_number() OVER (PARTITION BY question, place ORDER BY weight DESC, src, predicate, dst) AS rn, count(*) OVER (PARTITION BY question, place) AS deg FROM t{h})",
+            f"c{h} AS (SELECT question, other, min(place * 1000000 + rn) AS k, any_value(known) AS known FROM r{h} WHERE deg <= {hub} AND rn <= {fanout} AND (question, other) NOT IN (SELECT (question, id) FROM n{h}) GROUP BY question, other)",
+            f"a{h} AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY k) AS nth FROM c{h} QUALIFY nth <= {max_nodes} - known)",
+            f"p{h} AS (SELECT question, id AS other, -1 AS k FROM n{h} UNION ALL SELECT question, other, k FROM a{h})",
+            f"x{h} AS (SELECT question, src, predicate, dst, weight FROM r{h} JOIN p{h} USING (question, other) WHERE k <= place * 1000000 + CASE WHEN deg <= {hub} THEN rn ELSE 0 END)",
+            f"n{h + 1} AS (SELECT * FROM n{h} UNION ALL SELECT question, other, known + nth - 1, {h + 1} FROM a{h})",
+        ]
+        edges.append(f"SELECT * FROM x{h}")
+    last = f"SELECT question, id, name, type, CAST(pos AS BIGINT) AS pos FROM n{hops} JOIN ent USING (id)" if what == "nodes" else f"SELECT DISTINCT question, src AS source, dst AS target, predicate, weight FROM ({' UNION ALL '.join(edges)})"
+    return f"WITH {', '.join(ctes)} {last}"
+
+
+def _around_questions(spark, d, **limits) -> tuple[DataFrame, DataFrame]:
+    g = star(spark, d)
+    g.relates.persist()
+    try:
+        return graph.k_hop_many(g, question_seeds(spark, d), **limits)
+    finally:
+        g.relates.unpersist()
+
+
+@query(khop_many_sql("nodes", QUESTION_SEEDS_SQL))
+def khop_many_nodes(spark, d):
+    return _around_questions(spark, d)[0].withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(khop_many_sql("edges", QUESTION_SEEDS_SQL, 3, 30, 4, 15))
+def khop_many_edges(spark, d):
+    return _around_questions(spark, d, hops=3, max_nodes=30, fanout=4, hub_degree=15)[1].drop("evidence")
+
+
 @query(f"SELECT id, name, type FROM ({ENTITIES_SQL}) WHERE id IN (SELECT min(id) FROM ({ENTITIES_SQL}) WHERE lower(name) IN ('asia', 'order 5') GROUP BY lower(name))")
 def entity_lookup(spark, d):
     e = star_entities(spark, d)
@@ -780,6 +838,56 @@ def question_metrics(spark, d):
     return out.select("question_id", "mode", "hops", *(F.round(c, 9).alias(c) for c in ("retrieval_recall", "doc_recall", "citation_precision", "graph_share")))
 
 
+# Questions are all vectors with an id divisible by 100; their gold are the nations of the customers that they name, as form numbers, and chunks are orders.
+RETRIEVED_SQL = f"""
+WITH seeds AS (SELECT vec_id AS question, 'customer:' || (vec_id % 997 + 1) AS id, 0 AS pos FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT vec_id, 'customer:' || (vec_id % 991 + 2), 1 FROM embeddings WHERE vec_id % 100 = 0),
+near AS (SELECT q.vec_id AS question, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9), e.vec_id) AS rank
+  FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id QUALIFY rank <= 8),
+nodes AS ({khop_many_sql("nodes", "SELECT * FROM seeds")}),
+score AS (SELECT n.question, m.chunk_id, count(DISTINCT s.id) AS graph_score FROM nodes n JOIN ({MENTIONS_SQL}) m ON m.entity_id = n.id LEFT JOIN seeds s ON s.question = n.question AND s.id = n.id GROUP BY n.question, m.chunk_id),
+g AS (SELECT question, chunk_id, row_number() OVER (PARTITION BY question ORDER BY graph_score DESC, chunk_id) AS rank FROM score WHERE (question, chunk_id) NOT IN (SELECT (question, chunk_id) FROM near) QUALIFY rank <= 8),
+found AS (SELECT question, 'naive' AS mode, chunk_id, 'vector' AS retrieval_source, rank AS pos FROM near UNION ALL SELECT question, 'hybrid', chunk_id, 'vector', rank FROM near
+  UNION ALL SELECT question, 'hybrid', chunk_id, 'graph', rank + (SELECT count(*) FROM near n WHERE n.question = g.question) FROM g)"""
+ORDER_FORM_SQL = "'I-' || (480 + o_custkey % 9)"
+EVALUATED_SQL = RETRIEVED_SQL + f""",
+rows AS (SELECT question, mode, retrieval_source, {ORDER_FORM_SQL} AS doc, 'N-' || (400 + o_orderkey % 7) AS form, ['I-' || (480 + (question // 100) % 9), 'N-' || (400 + question % 7)] AS gold FROM found JOIN orders ON o_orderkey = chunk_id),
+metrics AS (SELECT question, mode, CASE WHEN question % 200 = 0 THEN 'multi' ELSE 'single' END AS hops, count(DISTINCT CASE WHEN list_contains(gold, form) THEN form END) / 2.0 AS retrieval_recall,
+  count(DISTINCT CASE WHEN list_contains(gold, doc) THEN doc END) / 2.0 AS doc_recall, avg(CASE WHEN list_contains(gold, doc) THEN 1.0 ELSE 0.0 END) AS citation_precision, avg(CASE WHEN retrieval_source = 'graph' THEN 1.0 ELSE 0.0 END) AS graph_share
+  FROM rows GROUP BY question, mode),
+long AS (UNPIVOT metrics ON retrieval_recall, doc_recall, citation_precision, graph_share INTO NAME metric VALUE v)"""
+
+
+def _retrieved(spark, d) -> DataFrame:
+    e = t(spark, d, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question"), "embedding")
+    name = lambda k, n, pos: F.struct(F.concat(F.lit("customer:"), (F.col("question") % k + n).cast("string")).alias("id"), F.lit(pos).alias("pos"))
+    seeds = asked.select("question", F.explode(F.array(name(997, 1, 0), name(991, 2, 1))).alias("s")).select("question", "s.*")
+    g = star(spark, d)
+    g.relates.persist()
+    try:
+        return retrieve.retrieve_many(g, e.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, seeds)
+    finally:
+        g.relates.unpersist()
+
+
+@query(RETRIEVED_SQL + " SELECT question, mode, chunk_id, retrieval_source, pos FROM found")
+def retrieve_many(spark, d):
+    """Both modes for all questions: nearest chunks, traversal, graph channel and fusion in one plan."""
+    return _retrieved(spark, d).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(EVALUATED_SQL + " SELECT mode, metric, round(avg(v), 9) AS value, round(avg(CASE WHEN hops = 'multi' THEN v END), 9) AS multi FROM long GROUP BY mode, metric")
+def evaluate_both_modes(spark, d):
+    """The evaluation end to end: retrieval of both modes, metrics of each question, means over all and over those of several hops."""
+    number = lambda first, n: (F.lit(first) + n).cast("string")
+    orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.concat(F.lit("see N-"), number(400, F.col("o_orderkey") % 7)).alias("content"), F.concat(F.lit("/x/i-"), number(480, F.col("o_custkey") % 9), F.lit("instr.pdf")).alias("filepath"))
+    q = F.col("question_id")
+    gold = F.array(F.concat(F.lit("i-"), number(480, F.expr("question_id div 100 % 9"))), F.concat(F.lit("N-"), number(400, q % 7)))
+    questions = t(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id")).select("question_id", gold.alias("gold"), F.when(q % 200 == 0, "multi").otherwise("single").alias("hops"))
+    means = evaluate.aggregated(evaluate.evaluated(_retrieved(spark, d), orders, questions))
+    return means.select("mode", "metric", F.round("value", 9).alias("value"), F.round("multi", 9).alias("multi"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval: nearest vectors and graph neighbourhood, fused and cited."""
     return hybrid_merge(spark, sf_dir)

@@ -50,6 +50,47 @@ def test_k_hop_against_one_by_one(spark, seed):
     assert {(r["source"], r["predicate"], r["target"]): r["weight"] for r in got_edges.collect()} == want_edges
 
 
+@pytest.mark.parametrize("limits", [dict(hops=2, max_nodes=60, fanout=10, hub_degree=8), dict(hops=3, max_nodes=9, fanout=2, hub_degree=5), dict(hops=0, max_nodes=4, fanout=1, hub_degree=40)])
+def test_k_hop_of_many_questions(spark, limits):
+    """Every question as if it were alone; hubs, full budgets, missing and repeated seeds, weights that are null."""
+    rng = random.Random(limits["hops"])
+    nodes = [f"n{i:02}" for i in range(40)]
+    edges = {}
+    for _ in range(110):
+        a, b = rng.choice(nodes[:6]) if rng.random() < 0.3 else rng.choice(nodes), rng.choice(nodes)
+        if a != b:
+            edges[(a, rng.choice("pq"), b)] = rng.choice([None, 1.0, 2.0, 3.0])
+    g = graph.Graph(spark.createDataFrame([(n, n.upper(), "t") for n in nodes], "id string, name string, type string"), None, spark.createDataFrame([(*k, w, "") for k, w in edges.items()], "src string, predicate string, dst string, weight double, evidence string"))
+    asked = {q: [*rng.sample(nodes, rng.choice([1, 2, 5])), "missing", nodes[q]] for q in range(12)} | {20: ["missing"]}
+    rows = [(q, s, i) for q, seeds in asked.items() for i, s in enumerate(seeds)] + [(3, asked[3][0], 9), (None, nodes[0], 0), (21, None, 0)]
+    got_nodes, got_edges = graph.k_hop_many(g, spark.createDataFrame(rows, "question long, id string, pos int"), **limits)
+    found, links = {}, {}
+    for r in got_nodes.orderBy("question", "pos").collect():
+        found.setdefault(r["question"], []).append(r["id"])
+    for r in got_edges.collect():
+        links.setdefault(r["question"], set()).add((r["source"], r["predicate"], r["target"]))
+    plain = [(a, p, b, w or 0.0) for (a, p, b), w in edges.items()]
+    for q, seeds in asked.items():
+        want_nodes, want_edges = one_by_one(nodes, plain, seeds, limits["hops"], limits["max_nodes"], limits["fanout"], limits["hub_degree"])
+        assert found.get(q, []) == want_nodes and links.get(q, set()) == set(want_edges)
+
+
+def test_many_questions_are_evaluated(spark):
+    """Both modes, a question without seeds and one without vectors near it."""
+    g = graph.Graph(spark.createDataFrame([("a", "A", "t"), ("b", "B", "t")], "id string, name string, type string"), spark.createDataFrame([(10, "b"), (11, "b"), (11, "a"), (1, "a")], "chunk_id long, entity_id string"), spark.createDataFrame([("a", "requires", "b", 1.0, "")], "src string, predicate string, dst string, weight double, evidence string"))
+    vectors = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [5.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [1.0]), (7, [float("nan"), 0.0])], "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [0.0, 0.1]), (2, [0.0, 0.0]), (9, None)], "question long, embedding array<double>")
+    seeds = spark.createDataFrame([(1, "a", 0), (9, "b", 0)], "question long, id string, pos int")
+    got = sorted((r["question"], r["mode"], r["pos"], r["chunk_id"], r["retrieval_source"]) for r in retrieve.retrieve_many(g, vectors, asked, seeds, 2, 2).collect())
+    near = {1: [(1, 2, "vector"), (2, 3, "vector")], 2: [(1, 1, "vector"), (2, 3, "vector")], 9: []}
+    more = {1: [(3, 1, "graph"), (4, 11, "graph")], 2: [], 9: [(1, 10, "graph"), (2, 11, "graph")]}
+    assert got == sorted((q, m, *r) for q in near for m in ("naive", "hybrid") for r in near[q] + (more[q] if m == "hybrid" else []))
+    chunks = spark.createDataFrame([(i, f"Form I-{i}", f"/x/i-{i}0.pdf") for i in (1, 2, 3, 10, 11)], "chunk_id long, content string, filepath string")
+    questions = spark.createDataFrame([(1, ["I-110", "I-20"], "multi"), (2, ["I-10"], "single"), (9, ["I-10"], "multi")], "question_id long, gold array<string>, hops string")
+    metrics = {(r["question_id"], r["mode"]): r for r in evaluate.evaluated(retrieve.retrieve_many(g, vectors, asked, seeds, 2, 2), chunks, questions).collect()}
+    assert metrics[1, "naive"]["doc_recall"] == 0.5 and metrics[1, "hybrid"]["doc_recall"] == 1.0 and metrics[1, "hybrid"]["graph_share"] == 0.5 and (9, "naive") not in metrics
+
+
 def extraction(spark):
     rows = [
         ("c1", 1, [("Form I-485", "form", "d", ["AOS"]), ("H-1B", "form", "", [])], [("Form I-485", "requires", "Form I-693", "must file"), ("I-485", "requires", "I-693", "again"), ("I-485", "requires", "Form I-485", "self")]),
