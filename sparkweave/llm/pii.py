@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import BREAK, free_names, table, written
+from sparkweave.llm.common import BREAK, dropped, free_names, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -172,56 +172,93 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), BREAK), lambda w: (w != "") & ~F.contains(w, F.lit(_COVER))))
 
 
+def _signed(rows: DataFrame, by: list[str], names: tuple[str, str]) -> DataFrame:
+    """``by`` and two hashes of the set of documents (key) that the group's rows name; equal sets have equal hashes."""
+    return rows.groupBy(*by).agg(*(F.bit_xor(F.xxhash64("key", F.lit(n))).alias(name) for n, name in enumerate(names)))
+
+
 def disclosing_terms(docs: DataFrame, protected: DataFrame) -> DataFrame:
-    """h: hashes of the terms with enough support and disclosure. ``docs``: text of all documents; ``protected``: key, text, covered, spans."""
+    """h: hashes of the terms with enough support and disclosure, a written table. ``docs``: text of all documents; ``protected``: key, text, covered, spans.
+
+    Values that occur in the same documents are one class, and so are terms; only classes meet, so a directory that occurs several
+    times costs one pair and not one for each value and term. For the share, n(t) must not exceed n(e) (N / n(e)) ** (1 - DISCLOSURE), so the
+    classes of a document meet under this condition, and what is common beside a rare value is left out before any row is made.
+    """
     n = docs.count()
     protected = protected.dropDuplicates(["key"])
-    contexts = _contexts(protected)
+    contexts = written(_contexts(protected).withColumn("terms", F.transform("terms", lambda w: F.xxhash64(w))), "contexts")
     places = contexts.select("entity", "key", "context")
     # An entity with fewer places that differ can have no term.
     entities = places.groupBy("entity").agg(F.count_distinct("context").alias("c"), F.count_distinct("key").alias("n_e")).where(F.col("c") >= SUPPORT)
-    entities = written(entities.select("entity", "n_e"), "entities")
-    held = written(places.join(entities, "entity").groupBy("entity", "key", "n_e").agg(F.min("context").alias("context")), "held")
+    entities = written(entities.where(F.col("n_e") < n).select("entity", "n_e"), "entities")
+    held = places.join(entities, "entity").groupBy("entity", "key", "n_e").agg(F.min("context").alias("context"))
+    held = written(held, "held")
+    signed = _signed(held, ["entity", "n_e"], ("e0", "e1"))
+    classed = written(held.join(signed.drop("n_e"), "entity"), "classed")
+    # The documents of a class are those of any of its values.
+    chosen = signed.groupBy("e0", "e1").agg(F.min("entity").alias("entity"))
+    values = classed.join(chosen.select("entity"), "entity", "left_semi").select("key", "e0", "e1", "n_e")
+    values = values.withColumn("most", F.col("n_e") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - DISCLOSURE)) + 1e-6)
     words = protected.join(held.select("key").distinct(), "key").select("key", F.explode(F.transform(_terms(F.col("covered")), lambda w: F.xxhash64(w))).alias("h"))
-    # Terms and entities are distinct in a document, so the rows are summed before the shuffle.
-    together = words.join(held, "key").groupBy("entity", "n_e", "h").agg(F.count(F.lit(1)).alias("n_te"))
-    together = written(together, "together")
-    if not together.limit(1).count():
-        return together.select("h")
+    words = written(words, "words")
     found = docs.select(F.explode(F.transform(F.array_distinct(F.split(F.lower(_plain(F.col("text"))), BREAK)), lambda w: F.xxhash64(w))).alias("h"))
-    scored = together.join(found.groupBy("h").agg(F.count(F.lit(1)).alias("n_t")), "h")
+    terms = _signed(words, ["h"], ("t0", "t1")).join(found.groupBy("h").agg(F.count(F.lit(1)).alias("n_t")), "h")
+    terms = written(terms, "vocabulary")
+    some = terms.groupBy("t0", "t1", "n_t").agg(F.min("h").alias("h"))
+    spoken = words.join(some, "h").select("key", "t0", "t1", "n_t")
+    pairs = values.join(spoken, "key").where(F.col("n_t") <= F.col("most"))
+    together = pairs.groupBy("e0", "e1", "n_e", "t0", "t1", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     share = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / information
-    known = written(scored.where((information > 0) & (share >= DISCLOSURE)).select("entity", "h"), "candidates")
-    in_docs = words.join(held, "key").select("entity", "h", "context")
-    near = contexts.select("entity", F.explode(F.transform("terms", lambda w: F.xxhash64(w))).alias("h"), "context")
-    kept = (x.join(known, ["entity", "h"]).distinct().groupBy("entity", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT).select("h") for x in (in_docs, near))
-    return next(kept).unionByName(next(kept)).distinct()
-
-
-def _any_of(words: Column) -> Column:
-    """A pattern of the words where they stand as whole words."""
-    quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    return F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
+    known = written(together.where(share >= DISCLOSURE).select("e0", "e1", "t0", "t1", "n_t", "n_te"), "candidates")
+    pair = ["e0", "e1", "t0", "t1", "n_t"]
+    # Support by documents: places of one value that differ, over the documents that hold both.
+    shared = known.where(F.col("n_te") >= SUPPORT).select(*pair).join(spoken, ["t0", "t1", "n_t"])
+    in_docs = shared.join(classed, ["e0", "e1", "key"]).groupBy("entity", "t0", "t1", "n_t").agg(F.count_distinct("context").alias("c")).where(F.col("c") >= SUPPORT)
+    by_docs = terms.join(in_docs.select("t0", "t1", "n_t").distinct(), ["t0", "t1", "n_t"]).select("h")
+    # Support by places of one value with the term near them.
+    near = contexts.join(signed, "entity").select("entity", "e0", "e1", "context", F.explode("terms").alias("h")).distinct()
+    often = near.groupBy("entity", "e0", "e1", "h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SUPPORT)
+    by_places = often.join(terms, "h").join(known.select(*pair), pair, "left_semi").select("h")
+    out = written(by_docs.unionByName(by_places).distinct(), "terms")
+    dropped(contexts, entities, held, classed, words, terms, known)
+    return out
+
+
+def _marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, spans: where the terms stand in the texts that hold some, by start. ``docs``: key, text.
+
+    Words are looked up by their hashes, so a text costs its words, however many terms it holds.
+    """
+    each = docs.select("key", F.explode(F.array_distinct(F.split(F.lower(_plain(F.col("text"))), BREAK))).alias("w")).select("key", F.xxhash64("w").alias("h"))
+    # Few documents hold a term. As a table their size is known, so texts move only if it is too large to broadcast.
+    holders = written(each.join(terms, "h").select("key").distinct(), "holders")
+    texts = docs.join(holders, "key", "left_semi").dropDuplicates(["key"])
+    words = find_all(covered(F.col("text"), base_spans(F.col("text"))), r"[^\x20\x09-\x0D]++", "term")
+    words = F.filter(words, lambda w: ~F.contains(w["value"], F.lit(_COVER)))
+    rows = texts.select("key", F.explode(words).alias("w")).withColumn("value", F.lower("w.value"))
+    rows = rows.withColumn("h", F.xxhash64("value")).join(terms, "h")
+    span = F.struct(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "value")
+    found = rows.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    out = written(found.select("key", F.transform("spans", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias("spans")), "marked")
+    dropped(holders)
+    return out
 
 
 def with_spans(docs: DataFrame, name: str = "pii_spans") -> DataFrame:
     """All columns of ``docs`` and, as ``name``, base spans by kind and start, then the spans of disclosing terms by start."""
     names = [c for c in docs.columns if c != name]
-    mine, holder, held, base = free_names(docs.columns, "__key", "__holds", "__words", "__spans")
+    mine, holder, held = free_names(docs.columns, "__key", "__holds", "__spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64(F.col("doc_id"), text)
-    none = F.array().cast(_SPAN)
     protected = docs.select(key.alias("key"), text.alias("text"), base_spans(text).alias("spans")).where(F.size("spans") > 0)
     protected = written(protected.withColumn("covered", covered(F.col("text"), F.col("spans"))), "protected")
-    terms = written(disclosing_terms(docs.select(text.alias("text")), protected), "terms")
-    each = docs.select(key.alias(holder), F.explode(F.array_distinct(F.split(_plain(text), BREAK))).alias("w")).withColumn("h", F.xxhash64(F.lower("w")))
-    # Few documents hold a term. As a table their size is known, so texts move only if it is too large to broadcast.
-    holds = written(each.join(terms, "h").groupBy(holder).agg(F.sort_array(F.collect_set("w")).alias(held)), "holds")
-    out = docs.select(*(F.col(f"`{c}`") for c in names), key.alias(mine), base_spans(text).alias(base)).join(holds, F.col(mine) == F.col(holder), "left")
-    found = find_all(covered(text, F.col(base)), _any_of(F.col(held)), "term")
-    added = F.transform(found, lambda w: F.struct(w["kind"].alias("kind"), w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value")))
-    return out.select(*(F.col(f"`{c}`") for c in names), F.concat(base, F.when(F.col(held).isNotNull(), added).otherwise(none)).alias(name))
+    terms = disclosing_terms(docs.select(text.alias("text")), protected)
+    dropped(protected)
+    marked = _marked(docs.select(key.alias("key"), text.alias("text")), terms).select(F.col("key").alias(holder), F.col("spans").alias(held))
+    dropped(terms)
+    out = docs.withColumn(mine, key).join(marked, F.col(mine) == F.col(holder), "left")
+    return out.select(*(F.col(f"`{c}`") for c in names), F.concat(base_spans(text), F.coalesce(F.col(held), F.array().cast(_SPAN))).alias(name))
 
 
 def written_as(spans: Column) -> Column:
