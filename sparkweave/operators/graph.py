@@ -23,9 +23,9 @@ class Graph:
     chunks: DataFrame | None = None
 
 
-def typed_entities(extraction: DataFrame, domain: DomainSchema = DOMAIN) -> DataFrame:
-    """One row for each extracted entity, in order (seq, pos), with corrected type, canonical name and id."""
-    rows = extraction.select("chunk_id", "seq", F.posexplode("entities").alias("pos", "e")).select("chunk_id", "seq", "pos", "e.*")
+def typed_entities(extraction: DataFrame, domain: DomainSchema = DOMAIN, *extra: str) -> DataFrame:
+    """One row for each extracted entity, in order (seq, pos), with corrected type, canonical name and id; ``extra``: more columns of the extraction."""
+    rows = extraction.select("chunk_id", "seq", *extra, F.posexplode("entities").alias("pos", "e")).select("chunk_id", "seq", *extra, "pos", "e.*")
     rows = rows.withColumn("type", T.corrected_type(F.col("name"), F.col("entity_type"), domain))
     return rows.withColumns({"canon": T.canonical_name(F.col("name"), F.col("type"), domain), "id": T.entity_id(F.col("name"), F.col("type"), domain)})
 
@@ -54,44 +54,72 @@ def entity_registry(rows: DataFrame) -> DataFrame:
     return out.select("id", "name", "type", "description", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "mention_count")
 
 
-def upserted(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Rows of both tables with the last write for each key; ``order`` tells the writes apart."""
-    both = old.unionByName(new)
-    return both.groupBy(*key).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
+def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The last write for each key; ``order`` tells the writes apart."""
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def name_keys(rows: DataFrame, *extra: str) -> DataFrame:
+    """key, id, seq, pos, k: the canonical and the written name of each row, lower-cased."""
+    return rows.select("id", "seq", "pos", *extra, F.posexplode(F.array(F.lower("canon"), F.lower(T.strip(F.col("name"))))).alias("k", "key"))
+
+
+def last_ids(keys: DataFrame) -> DataFrame:
+    """key, id: the last writer of each key, and of one row the written name."""
+    return keys.groupBy("key").agg(F.max_by("id", F.struct("seq", "pos", "k")).alias("id"))
 
 
 def name_index(rows: DataFrame) -> DataFrame:
     """key, id: canonical and written names, lower-cased; the last writer wins, and of one row the written name."""
-    keys = rows.select("id", "seq", "pos", F.posexplode(F.array(F.lower("canon"), F.lower(T.strip(F.col("name"))))).alias("k", "key"))
-    return keys.groupBy("key").agg(F.max_by("id", F.struct("seq", "pos", "k")).alias("id"))
+    return last_ids(name_keys(rows))
 
 
 def mentions(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_id", F.col("id").alias("entity_id")).distinct()
 
 
-def resolved_relations(extraction: DataFrame, index: DataFrame, domain: DomainSchema = DOMAIN) -> tuple[DataFrame, DataFrame]:
-    """Relations with entity ids at their ends, and the entities that had to be made for unknown ends.
+def relation_rows(extraction: DataFrame, *extra: str) -> DataFrame:
+    """One row for each extracted relation, in order (seq, pos)."""
+    return extraction.select("chunk_id", "seq", *extra, F.posexplode("relations").alias("pos", "r")).select("chunk_id", "seq", *extra, "pos", "r.*")
 
-    An end is looked up as written, then under its canonical name; else it becomes an entity of inferred type.
-    """
-    each = extraction.select("chunk_id", "seq", F.posexplode("relations").alias("pos", "r")).select("chunk_id", "seq", "pos", "r.*")
-    ends = each.select(F.explode(F.array(F.struct("seq", "pos", F.lit(0).alias("end"), F.col("subject").alias("name")), F.struct("seq", "pos", F.lit(1).alias("end"), F.col("object").alias("name")))).alias("x")).select("x.*")
+
+def relation_ends(rows: DataFrame, domain: DomainSchema = DOMAIN, *extra: str) -> DataFrame:
+    """seq, pos, end (0: subject, 1: object), key and ckey (its written and canonical name), and what it is made of if it is unknown: made, canon, type."""
+    more = [F.col(c) for c in extra]
+    ends = rows.select(F.explode(F.array(F.struct("seq", "pos", *more, F.lit(0).alias("end"), F.col("subject").alias("name")), F.struct("seq", "pos", *more, F.lit(1).alias("end"), F.col("object").alias("name")))).alias("x")).select("x.*")
     ends = ends.withColumn("name", T.strip(F.col("name"))).where("name <> ''")
     ends = ends.withColumn("type", T.infer_type(F.col("name"), domain))
     ends = ends.withColumns({"canon": T.canonical_name(F.col("name"), F.col("type"), domain)})
-    ends = ends.withColumns({"key": F.lower("name"), "ckey": F.lower("canon"), "made": T.entity_id(F.col("canon"), F.col("type"), domain)})
+    return ends.withColumns({"key": F.lower("name"), "ckey": F.lower("canon"), "made": T.entity_id(F.col("canon"), F.col("type"), domain)}).drop("name")
+
+
+def resolved_ends(ends: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ends`` with id, and for each ckey of unknown ends the entity made for it: ckey, id, name, type.
+
+    An end is looked up as written, then under its canonical name. Unknown ends with one canonical key are one entity: that of the first of
+    them. So an end depends on the index at two keys, and on the other ends of its ckey.
+    """
     as_written = index.select(F.col("key"), F.col("id").alias("id1"))
     as_canon = index.select(F.col("key").alias("ckey"), F.col("id").alias("id2"))
     found = ends.join(as_written, "key", "left").join(as_canon, "ckey", "left")
-    # Unknown ends with one canonical key are one entity: that of the first of them.
     fresh = found.where("id1 is null and id2 is null")
     first = fresh.groupBy("ckey").agg(F.min_by(F.struct("made", "canon", "type"), F.struct("seq", "pos", "end")).alias("m"))
-    synthesised = first.select(F.col("m.made").alias("id"), F.col("m.canon").alias("name"), F.col("m.type").alias("type")).dropDuplicates(["id"])
-    ids = found.join(first.select("ckey", F.col("m.made").alias("id3")), "ckey", "left").select("seq", "pos", "end", F.coalesce("id1", "id2", "id3").alias("id"))
+    ids = found.join(first.select("ckey", F.col("m.made").alias("id3")), "ckey", "left").select(*ends.columns, F.coalesce("id1", "id2", "id3").alias("id"))
+    return ids, first.select("ckey", F.col("m.made").alias("id"), F.col("m.canon").alias("name"), F.col("m.type").alias("type"))
+
+
+def asserted_relations(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Relations with entity ids at both ends, which differ. ``ids``: seq, pos, end, id."""
     sides = ids.groupBy("seq", "pos").agg(F.max(F.when(F.col("end") == 0, F.col("id"))).alias("src"), F.max(F.when(F.col("end") == 1, F.col("id"))).alias("dst"))
-    out = each.join(sides, ["seq", "pos"]).where("src is not null and dst is not null and src <> dst")
-    return out.select("chunk_id", "seq", "pos", "src", "predicate", "dst", "evidence"), synthesised
+    out = rows.join(sides, ["seq", "pos"]).where("src is not null and dst is not null and src <> dst")
+    return out.select("chunk_id", "seq", "pos", "src", "predicate", "dst", "evidence")
+
+
+def resolved_relations(extraction: DataFrame, index: DataFrame, domain: DomainSchema = DOMAIN) -> tuple[DataFrame, DataFrame]:
+    """Relations with entity ids at their ends, and the entities that had to be made for unknown ends."""
+    each = relation_rows(extraction)
+    ids, made = resolved_ends(relation_ends(each, domain), index)
+    return asserted_relations(each, ids), made.select("id", "name", "type").dropDuplicates(["id"])
 
 
 def relation_weights(asserted: DataFrame) -> DataFrame:
@@ -110,13 +138,18 @@ def with_known_ends(relates: DataFrame, entities: DataFrame) -> DataFrame:
     return relates.join(ids, relates["src"] == ids["id"], "left_semi").join(ids, F.col("dst") == ids["id"], "left_semi")
 
 
+def with_made(entities: DataFrame, made: DataFrame) -> DataFrame:
+    """Extracted entities and, where no such entity was extracted, those made for unknown ends."""
+    extra = made.join(entities, "id", "left_anti").select("id", "name", "type", F.lit("").alias("description"), F.array().cast("array<string>").alias("aliases"), F.lit(0).cast("long").alias("mention_count"))
+    return entities.unionByName(extra)
+
+
 def build(extraction: DataFrame, chunks: DataFrame | None = None, domain: DomainSchema = DOMAIN) -> Graph:
     """The graph of an extraction table (chunk_id, seq, entities, relations). Made-up entities never override extracted ones."""
     rows = typed_entities(extraction, domain)
     entities = entity_registry(rows)
     asserted, made = resolved_relations(extraction, name_index(rows), domain)
-    extra = made.join(entities, "id", "left_anti").select("id", "name", "type", F.lit("").alias("description"), F.array().cast("array<string>").alias("aliases"), F.lit(0).cast("long").alias("mention_count"))
-    entities = entities.unionByName(extra)
+    entities = with_made(entities, made)
     nodes = None
     if chunks is not None:
         nodes = chunks.join(extraction.select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("id"), "heading_path", "filepath")

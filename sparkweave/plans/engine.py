@@ -1,25 +1,30 @@
-"""The engine as one object: ingest, query, graph, stats.
-
-Every ingest is a batch with tables of its own, and counts only when its last table, ``commit``, is written; so a failure
-half-way changes nothing. A document belongs to the last batch that has it: earlier rows are left out when tables are read. The graph
-is built from all rows that count and written with the batch. Answers of the extractor are kept by a key of context and content, also of
-batches that failed, so no chunk is asked about twice.
+"""The engine as one object: ingest, query, graph, stats, compaction.
+
+Every ingest is a batch with a folder of its own, and counts only when its commit is written; so a failure half-way changes nothing. Commits are
+numbered files that are created and never overwritten: of two ingests that began at the same state the second one to end gets an
+error and changes nothing. A document belongs to the last batch that has it: earlier rows are left out when tables are read. The graph is
+a log of writes by key (``increment``), to which a batch adds what its keys touch. ``compact`` writes the present state as one batch, after
+which reads touch that batch alone, and removes folders that no longer count. Answers of the extractor are kept by a key of context and
+content, also of batches that failed, so no chunk is asked about twice.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.operators import chunk, extract, graph, retrieve, vector
+from sparkweave.operators import chunk, extract, graph, increment, retrieve, vector
 from sparkweave.schema import DOMAIN, DomainSchema
 from sparkweave.functions import text as T
 
 NOTHING_FOUND = "No passage of the documents matches this question."
-GRAPH = ("entities", "mentions", "relates", "chunks")
+TABLES = ("documents", "chunks", "embeddings", "extraction")
 
 
 @dataclass
@@ -61,22 +66,47 @@ class Engine:
                 raise
             return None
 
+    def _commits(self) -> list[dict]:
+        """The commits that count, in order: number, batch, base (the first batch that counts since) and folder. One small row a batch comes to the driver."""
+        try:
+            found = self.spark.read.schema("number int, batch int, base int, folder string").json(f"{self.path}/commits")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        rows = sorted((r.asDict() for r in found.collect()), key=lambda r: r["number"])
+        return [r for r in rows if r["batch"] >= rows[-1]["base"]]
+
     def batches(self) -> list[int]:
         """Numbers of the batches that count."""
-        found = self._read("batch-*/commit")
-        return [] if found is None else sorted(r["batch"] for r in found.collect())
+        return [r["batch"] for r in self._commits()]
+
+    def _hadoop(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    def _place(self, batch: int, name: str) -> str:
-        return f"{self.path}/batch-{batch:06}/{name}"
+    def _commit(self, before: list[dict], row: dict) -> None:
+        row = {"number": max((r["number"] for r in before), default=0) + 1} | row
+        fs, target = self._hadoop(f"{self.path}/commits/{row['number']:08}.json")
+        try:
+            out = fs.create(target, False)
+        except Py4JJavaError as e:
+            raise RuntimeError("another ingest ended since this one began; nothing was changed") from e
+        out.write(bytearray(json.dumps(row).encode()))
+        out.close()
 
-    def _table(self, name: str, batches: list[int] | None = None) -> DataFrame:
+    def _reader(self, commits: list[dict]):
+        folders = {r["batch"]: r["folder"] for r in commits}
+        return lambda name, batch: self.spark.read.parquet(f"{self.path}/{folders[batch]}/{name}")
+
+    def _table(self, name: str, commits: list[dict] | None = None) -> DataFrame:
         """The rows that count: of each document those of its last batch."""
-        batches = self.batches() if batches is None else batches
-        if not batches:
+        commits = self._commits() if commits is None else commits
+        if not commits:
             raise RuntimeError("nothing was ingested yet")
-        read = lambda n: self.spark.read.parquet(*(self._place(b, n) for b in batches))
+        read = lambda n: self.spark.read.parquet(*(f"{self.path}/{r['folder']}/{n}" for r in commits))
         rows = read(name)
-        if len(batches) > 1:
+        if len(commits) > 1:
             last = read("documents").groupBy("doc_id").agg(F.max("batch").alias("batch"))
             rows = rows.join(last, ["doc_id", "batch"], "left_semi")
         return rows.drop("batch")
@@ -94,14 +124,15 @@ class Engine:
         """Adds sections (doc_id, filepath, section_no, heading_path, text, metadata) to all tables, in place of earlier ones of their documents; returns the stats."""
         if self.embedder is None or self.extractor is None:
             raise RuntimeError("ingest needs an embedder and an extractor")
-        s, before = self.settings, self.batches()
-        batch = max(before, default=0) + 1
+        s, before = self.settings, self._commits()
+        batch = max((r["batch"] for r in before), default=0) + 1
+        folder = f"batch-{batch:06}-{uuid.uuid4().hex[:8]}"
 
         def write(df: DataFrame, name: str) -> DataFrame:
-            df.write.mode("overwrite").parquet(self._place(batch, name))
-            return self.spark.read.parquet(self._place(batch, name))
+            df.write.parquet(f"{self.path}/{folder}/{name}")
+            return self.spark.read.parquet(f"{self.path}/{folder}/{name}")
 
-        write(sections.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().withColumn("batch", F.lit(batch)), "documents")
+        documents = write(sections.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().withColumn("batch", F.lit(batch)), "documents")
         chunks = chunk.sections_to_chunks(sections, s.max_chars, s.min_chars, s.overlap)
         if s.clean:
             chunks = chunks.where(T.is_substantial(F.col("content"), s.min_substantial, self.domain))
@@ -113,20 +144,43 @@ class Engine:
         asked = chunks.withColumns({"context": context, "seq": F.struct("batch", "doc_id", "section_no", "ordinal")})
         asked = asked.withColumn("key", T.cache_key(F.col("context"), F.col("content")))
         found = extract.parsed(asked.join(self._answers(asked), "key"), self.domain)
-        write(found.select("chunk_id", "doc_id", "batch", "seq", "entities", "relations"), "extraction")
-        every = [*before, batch]
-        built = graph.build(self._table("extraction", every), self._table("chunks", every), self.domain)
-        for name in GRAPH:
-            write(getattr(built, name), f"graph_{name}")
-        write(self.spark.createDataFrame([(batch,)], "batch int"), "commit")
+        found = write(found.select("chunk_id", "doc_id", "batch", "seq", "entities", "relations"), "extraction")
+        nodes = chunks.join(found.select("chunk_id"), "chunk_id", "left_semi").select("doc_id", F.col("chunk_id").alias("id"), "heading_path", "filepath")
+        row = {"batch": batch, "base": before[0]["batch"] if before else batch, "folder": folder}
+        log = increment.GraphLog(self._graph_reader([*before, row]), lambda df, name: write(df, f"graph_{name}"), [r["batch"] for r in before], self.domain)
+        log.add(found, documents, nodes)
+        self._commit(before, row)
         return self.stats()
 
+    def _graph_reader(self, commits: list[dict]):
+        read = self._reader(commits)
+        return lambda name, batch: read(f"graph_{name}", batch)
+
+    def compact(self) -> None:
+        """Writes the present state as one batch, and removes the folders and commits that no longer count; readers must read again."""
+        before = self._commits()
+        if len(before) < 2:
+            return
+        batch = before[-1]["batch"] + 1
+        folder = f"batch-{batch:06}-{uuid.uuid4().hex[:8]}"
+        for name in TABLES:
+            self._table(name, before).withColumn("batch", F.lit(batch)).write.parquet(f"{self.path}/{folder}/{name}")
+        log = increment.GraphLog(self._graph_reader(before), None, [r["batch"] for r in before], self.domain)
+        log.compacted(lambda df, name: df.write.parquet(f"{self.path}/{folder}/graph_{name}"))
+        self._commit(before, {"batch": batch, "base": batch, "folder": folder})
+        fs, root = self._hadoop(self.path)
+        for status in fs.listStatus(root):
+            if status.getPath().getName().startswith("batch-") and status.getPath().getName() != folder:
+                fs.delete(status.getPath(), True)
+        for r in before:
+            fs.delete(self._hadoop(f"{self.path}/commits/{r['number']:08}.json")[1], False)
+
     def load_graph(self) -> graph.Graph:
-        """The graph of the last batch, which has all documents."""
-        last = max(self.batches(), default=None)
-        if last is None:
+        """The graph of all documents."""
+        commits = self._commits()
+        if not commits:
             raise RuntimeError("nothing was ingested yet")
-        return graph.Graph(*(self.spark.read.parquet(self._place(last, f"graph_{n}")) for n in GRAPH))
+        return increment.GraphLog(self._graph_reader(commits), None, [r["batch"] for r in commits], self.domain).graph()
 
     def stats(self) -> DataFrame:
         return graph.stats(self.load_graph())

@@ -110,7 +110,7 @@ def test_build(spark):
     assert weights == {("requires", 2.0, "must file", "c1"), ("evidence_for", 1.0, "", "c2")}
     assert graph.stats(g).first().asDict() == {"entities": 4, "chunks": 2, "mentions": 3, "relations": 2}
     old = g.entities.select("id", "name", F.lit(1).alias("at"))
-    assert {r["name"] for r in graph.upserted(old, old.withColumns({"name": F.lit("new"), "at": F.lit(2)}), ["id"], "at").collect()} == {"new"}
+    assert {r["name"] for r in graph.latest(old.unionByName(old.withColumns({"name": F.lit("new"), "at": F.lit(2)})), ["id"], "at").collect()} == {"new"}
 
 
 def test_matching(spark):
@@ -186,6 +186,14 @@ def test_batches_add_up(spark, tmp_path):
     engine.ingest(spark.createDataFrame([section("d4", "BROKEN words of some length. " * 20), section("d1", "short")], ddl))
     assert engine.batches() == [1, 2, 3] and {r["doc_id"] for r in engine._table("chunks").collect()} == {"d2", "d3", "d4"}
     assert spark.read.parquet(str(tmp_path / "e" / "answers")).where("error is not null").count() == 1
+    # Compaction changes nothing but the number of batches; an ingest that began before it fails.
+    rows = lambda: [sorted(map(str, df.collect())) for g in [engine.load_graph()] for df in (g.entities, g.mentions, g.relates, g.chunks, engine._table("chunks"), engine._table("embeddings"))]
+    was, commits = rows(), engine._commits()
+    engine.compact()
+    assert engine.batches() == [4] and rows() == was and len([p for p in (tmp_path / "e").iterdir() if p.name.startswith("batch-")]) == 1
+    with pytest.raises(RuntimeError, match="another ingest"):
+        engine._commit(commits, {"batch": 4, "base": 1, "folder": "x"})
+    assert engine.ingest(spark.createDataFrame([section("d5", text("I-485", "I-693"))], ddl)).first()["chunks"] == was[3].__len__() + 1 and engine.batches() == [4, 5]
 
 
 def test_hubs_and_aliases(spark):
