@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkweave.llm.common import BREAK, dropped, free_names, table, written
 
@@ -234,11 +235,12 @@ def _marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
     # Few documents hold a term. As a table their size is known, so texts move only if it is too large to broadcast.
     holders = written(each.join(terms, "h").select("key").distinct(), "holders")
     texts = docs.join(holders, "key", "left_semi").dropDuplicates(["key"])
-    words = find_all(covered(F.col("text"), base_spans(F.col("text"))), r"[^\x20\x09-\x0D]++", "term")
-    words = F.filter(words, lambda w: ~F.contains(w["value"], F.lit(_COVER)))
-    rows = texts.select("key", F.explode(words).alias("w")).withColumn("value", F.lower("w.value"))
-    rows = rows.withColumn("h", F.xxhash64("value")).join(terms, "h")
-    span = F.struct(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "value")
+    # Places are sums of lengths, counted by a window along each text.
+    pieces = texts.select("key", F.posexplode(F.split(covered(F.col("text"), base_spans(F.col("text"))), r"[\x20\x09-\x0D]", -1)).alias("pos", "w"))
+    before = F.sum(F.length("w") + 1).over(Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    rows = pieces.withColumn("start", F.coalesce(before, F.lit(0)).cast("int")).where((F.col("w") != "") & ~F.contains("w", F.lit(_COVER)))
+    rows = rows.withColumn("value", F.lower("w")).withColumn("h", F.xxhash64("value")).join(terms, "h")
+    span = F.struct("start", (F.col("start") + F.length("w")).alias("end"), "value")
     found = rows.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     out = written(found.select("key", F.transform("spans", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias("spans")), "marked")
     dropped(holders)
