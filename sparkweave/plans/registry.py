@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkweave.functions import text as T
-from sparkweave.operators import chunk, evaluate, extract, graph, retrieve, vector
+from sparkweave.operators import chunk, evaluate, extract, graph, increment, retrieve, vector
 from sparkweave.schema import DOMAIN, FORM_TITLES, OTHER_TITLE, REFERENCE
 from sparkweave.sources import parse
 
@@ -32,6 +32,34 @@ def query(sql: str | None = None):
     return add
 
 
+#: Queries over one relation: its SQL with REL in its place, the relation, and the function of a DataFrame. Tests run them over fixed rows too.
+OVER: dict[str, tuple] = {}
+
+
+class Derived:
+    """A relation made from a table by expressions that Spark and the oracle read alike: ``key`` as id, and one row for each of the expressions."""
+
+    def __init__(self, table: str, key: str, name: str, expressions: list[str]) -> None:
+        self.table, self.key, self.name, self.expressions = table, key, name, expressions
+        self.sql = f"(SELECT {key} * {len(expressions)} + unnest({list(range(len(expressions)))}) AS id, unnest([{', '.join(expressions)}]) AS {name} FROM {table})"
+
+    def frame(self, spark, d) -> DataFrame:
+        rows = t(spark, d, self.table).select(self.key, F.posexplode(F.array(*map(F.expr, self.expressions))).alias("n", self.name))
+        return rows.select((F.col(self.key) * len(self.expressions) + F.col("n")).alias("id"), self.name)
+
+
+def query_over(relation, sql: str):
+    """Registers a function of the relation's DataFrame under its name."""
+
+    def add(f):
+        OVER[f.__name__] = sql, relation, f
+        QUERIES[f.__name__] = lambda spark, d: f(relation.frame(spark, d))
+        ORACLE[f.__name__] = sql.replace("REL", relation.sql)
+        return f
+
+    return add
+
+
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,8 +78,41 @@ def values(rows: list[tuple], *columns: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS v({', '.join(columns)}))"
 
 
-def numbered(texts: list) -> list[tuple]:
-    return [(i, *x) if isinstance(x, tuple) else (i, x) for i, x in enumerate(texts)]
+def picked(words, by: str = "doc_id") -> str:
+    """One of the words for each row, in turn."""
+    cases = " ".join(f"WHEN {i} THEN {quoted(w)}" for i, w in enumerate(words))
+    return f"CASE {by} % {len(words)} {cases} END"
+
+
+def digits(n: int, by: str = "doc_id") -> str:
+    return f"CAST({by} % {n} AS STRING)"
+
+
+FORM_LETTERS, FIRST_WORD = picked(("I", "N", "G", "DS", "ETA", "AR")), "split_part(text, ' ', 1)"
+#: Names in all the ways in which documents write them, with numbers and words of their own.
+NAMES = Derived("documents", "doc_id", "name", [
+    f"{FORM_LETTERS} || '-' || {digits(10000)}", f"'Form ' || {FORM_LETTERS} || ' ' || {digits(1000)} || {picked(('', 'a', 'B'))}", f"'form i‑' || {digits(997)}", f"upper(left(source, 1)) || '-' || {digits(10)} || 'B'",
+    f"{picked(('W-', '10', '9'))} || {digits(50)}", f"'section ' || {digits(300)} || ' of Form I-' || {digits(900)}", f"{FIRST_WORD} || ' ' || {picked([w for ws in DOMAIN.keywords.values() for w in ws])}",
+    f"'  ' || upper(source) || '   ' || lang || '  '", "text",
+])
+#: Paths of files.
+PATHS = Derived("documents", "doc_id", "path", [
+    f"'/x/' || lower({FORM_LETTERS}) || '-' || {digits(1000)} || 'instr.pdf'", f"'C:' || chr(92) || 'docs' || chr(92) || {FORM_LETTERS} || '-' || {digits(900)} || 'A.pdf'", f"lower({FORM_LETTERS}) || {digits(10000)} || '.tar.pdf'", "source || '.txt'",
+    f"'/a/b/' || lower({FORM_LETTERS}) || {digits(1000)}", f"{picked(('', '.pdf', '/x/i-485instr', '/y/'))}", f"'/data/' || lang || '/i-' || {digits(1000)} || {picked(('', 'a', 'ez'))} || '.html'",
+])
+#: What models answer.
+SAID = Derived("documents", "doc_id", "said", [
+    f"'File I-' || {digits(1000)} || ' with I‑' || {digits(997)} || ' and AB-1, or i-' || {digits(1000)} || '.'", f"{picked(('The sources do not cover this.', 'I could not find it', 'It does not include fees', 'Yes: file it.', 'No information is available', 'outside the scope'))} || ' ' || {FIRST_WORD}",
+    f"'score: 0.' || {digits(100)}", "'{\"score\": ' || " + digits(12) + " || '}'", f"'I rate this ' || {digits(101)} || ' of 100'", f"'-' || {digits(7)}", f"'about 0.' || {digits(100)} || ' then 9'", f"{picked(('', 'none', 'Score = 1.5'))}", "source || ' ' || left(text, 400)",
+])
+_JSON = (
+    "'{\"entities\": [\"Form I-' || " + digits(900) + " || '\", {\"name\": \"H-' || " + digits(10) + " || 'B\", \"entity_type\": \"form\"}, {\"value\": \"' || source || '\", \"category\": \"Agency\"}, {\"name\": \"  \"}, 5], "
+    "\"relations\": [{\"subject\": \"Form I-' || " + digits(900) + " || '\", \"predicate\": \"Requires\", \"object\": \"' || lang || '\", \"evidence\": \"must\"}, {\"source\": \"' || source || '\", \"relation\": \"references\", \"target\": \"a\"}, "
+    "{\"subject\": \"a\", \"predicate\": \"likes\", \"object\": \"b\"}, {\"subject\": \"x\", \"predicate\": \"requires\", \"object\": \"x\"}]}'"
+)
+#: Models' answers with JSON in them: alone, fenced, within words, cut off.
+RESPONSES = Derived("documents", "doc_id", "text", [_JSON, f"'```json' || chr(10) || {_JSON} || chr(10) || '```'", f"'Here it is: ' || {_JSON} || ' done'", f"left({_JSON}, 60)", "lang", "''"])
+PARAGRAPHS = Derived("documents", "doc_id", "text", [f"replace(text, '. ', '.' || chr(10) || chr(10))", f"lang || chr(10) || source || chr(10) || chr(10) || chr(10) || {FIRST_WORD} || '  ' || chr(10) || chr(10)"])
 
 
 # ── texts and filters ──────────────────────────────────────────────────────────────────────────────────────────────
@@ -82,15 +143,11 @@ def sentence_split(spark, d):
     return t(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
 
 
-PARAGRAPHS = numbered(["one", "one\n\ntwo", "one\ntwo\n\n\nthree  \n\n", "\n\n  lead\n\nlast", "", "a\n\n\n\nb\n\nc d\ne"])
-
-
-@query(rf"""
+@query_over(PARAGRAPHS, r"""
 SELECT id, CAST(i - 1 AS BIGINT) AS pos, p[i] AS paragraph FROM (
-  SELECT id, list_filter(list_transform(regexp_extract_all(text, '(?s).+?(?:\n{{2,}}|$)'), lambda x: trim(x, E' \t\n')), lambda x: x <> '') AS p
-  FROM {values(PARAGRAPHS, 'id', 'text')}), range(1, 20) r(i) WHERE i <= len(p)""")
-def paragraph_split(spark, d):
-    rows = spark.createDataFrame(PARAGRAPHS, "id int, text string")
+  SELECT id, list_filter(list_transform(regexp_extract_all(text, '(?s).+?(?:\n{2,}|$)'), lambda x: trim(x, E' \t\n')), lambda x: x <> '') AS p
+  FROM REL), range(1, 20000) r(i) WHERE i <= len(p)""")
+def paragraph_split(rows):
     return rows.select("id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "paragraph")).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -111,7 +168,33 @@ def _sections(spark, d) -> DataFrame:
     return docs.select(F.col("doc_id"), F.concat(F.lit("/data/"), F.col("source")).alias("filepath"), F.lit(0).alias("section_no"), F.col("lang").alias("heading_path"), "text", F.expr("cast(map() as map<string,string>)").alias("metadata"))
 
 
-@query()
+#: Units of long texts (paragraphs, sentences of long ones, windows of long sentences), then one unit a step: it goes into the open chunk, or opens the next one with the end of the last.
+CHUNKS_SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, '/data/' || source AS filepath, lang, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT doc_id, unnest(range(len(x))) AS p, unnest(x) AS part FROM (SELECT doc_id, regexp_extract_all(text, '(?s).+?(?:\n{2,}|$)') AS x FROM docs WHERE length(text) > 1500)),
+par AS (SELECT doc_id, p, trim(part, E' \t\n\r') AS para, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY p) - length(part) AS begins FROM parts QUALIFY para <> ''),
+sen AS (SELECT doc_id, p, unnest(range(1, len(x) + 1)) AS s, unnest(x) AS sentence FROM (SELECT doc_id, p, string_split(regexp_replace(para, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM par WHERE length(para) > 1500)),
+win AS (SELECT doc_id, p, s, unnest(range(1, (length(sentence) - 1) // 1400 + 2)) AS w, sentence FROM sen WHERE length(sentence) > 1500),
+units AS (
+  SELECT doc_id, p, 0 AS s, 0 AS w, CASE WHEN length(para) <= 1500 THEN para END AS text, length(para) AS size, 500 AS least FROM par
+  UNION ALL SELECT doc_id, p, s, 0, CASE WHEN length(sentence) <= 1500 THEN sentence END, length(sentence), 1 FROM sen
+  UNION ALL SELECT doc_id, p, s, w, substr(sentence, (w - 1) * 1400 + 1, 1500), length(substr(sentence, (w - 1) * 1400 + 1, 1500)), 1 FROM win),
+u AS MATERIALIZED (SELECT doc_id, text, coalesce(text, '') AS shown, size, least, row_number() OVER (PARTITION BY doc_id ORDER BY p, s, w) AS n FROM units),
+filled AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS n, 0 AS ordinal, CAST(min(begins) AS BIGINT) AS start, CAST(0 AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS acc, 0 AS taken FROM par GROUP BY doc_id
+  UNION ALL
+  SELECT doc_id, n, CASE WHEN opens THEN ordinal + 1 ELSE ordinal END, CASE WHEN opens THEN greatest(0, start + length(coalesce(acc, '')) - length(tail)) ELSE start END, CASE WHEN opens THEN length(tail) ELSE size END + length(shown),
+    CASE WHEN opens AND text IS NULL THEN tail WHEN opens THEN tail || E'\n\n' || text WHEN text IS NULL THEN acc WHEN acc IS NULL THEN text ELSE acc || E'\n\n' || text END, CASE WHEN opens THEN 1 ELSE taken + 1 END
+  FROM (SELECT f.doc_id, u.n, f.ordinal, f.start, f.size, f.acc, f.taken, u.text, u.shown, right(coalesce(f.acc, ''), 100) AS tail, f.taken > 0 AND NOT (f.size + u.size <= 1500 OR f.size < u.least) AS opens
+    FROM filled f JOIN u ON u.doc_id = f.doc_id AND u.n = f.n + 1)),
+pieces AS (
+  SELECT doc_id, ordinal, coalesce(arg_max(acc, n), '') AS content, min(start) AS start FROM filled WHERE n > 0 GROUP BY doc_id, ordinal
+  UNION ALL SELECT doc_id, 0, text, 0 FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM par))
+SELECT substr(sha256(doc_id || '|0|' || ordinal), 1, 16) AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, filepath, lang AS heading_path, 0 AS section_no, CAST(ordinal AS INTEGER) AS ordinal, content, CAST(start AS BIGINT) AS char_start, CAST(start + length(content) AS BIGINT) AS char_end
+FROM pieces JOIN docs USING (doc_id)"""
+
+
+@query(CHUNKS_SQL)
 def chunk_documents(spark, d):
     return chunk.sections_to_chunks(_sections(spark, d)).drop("metadata")
 
@@ -123,46 +206,77 @@ def html_title_h1(spark, d):
     return found.groupBy("doc_id").agg(F.min_by("heading_path", "section_no").alias("title")).select(F.col("doc_id").cast("long").alias("page_id"), F.regexp_replace("title", r"\s+", " ").alias("title"))
 
 
-@query()
+#: For pages as the tables have them: headings h1, no nesting of dropped tags. Without those, a page is comments, tags and texts in order.
+HTML_SQL = r"""
+WITH c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head[^>]*>.*?</head>', '', 'g'), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?is)<nav[^>]*>.*?(</nav>|$)', '<hr>', 'g'), '(?is)<(header|footer)[^>]*>.*?(</(header|footer)>|$)', '<hr>', 'g') AS html FROM pages),
+e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->|<[^>]*>|[^<]+')) AS event, unnest(range(len(regexp_extract_all(html, '(?s)<!--.*?-->|<[^>]*>|[^<]+')))) AS n FROM c),
+s AS (SELECT *, event LIKE '<!--%' AS comment, CASE WHEN event LIKE '<!--%' THEN substr(event, 5, length(event) - 7) WHEN event LIKE '<%' THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(event, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') END AS data,
+  count(CASE WHEN lower(event) LIKE '<h1%' THEN 1 END) OVER w AS opened, count(CASE WHEN lower(event) LIKE '</h1%' THEN 1 END) OVER w AS closed FROM e WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+d AS (SELECT page_id, n, opened, comment, opened > closed AS heading, trim(data, E' \t\n\r') AS data FROM s WHERE trim(data, E' \t\n\r') <> ''),
+b AS (SELECT page_id, opened AS part, string_agg(data, chr(10) ORDER BY n) AS text FROM d WHERE NOT heading GROUP BY page_id, opened),
+h AS (SELECT page_id, opened AS part, string_agg(data, ' ' ORDER BY n) AS title FROM d WHERE heading AND NOT comment GROUP BY page_id, opened)
+SELECT CAST(page_id AS VARCHAR) AS doc_id, CAST(NULL AS VARCHAR) AS filepath, CAST(row_number() OVER (PARTITION BY b.page_id ORDER BY b.part) - 1 AS INTEGER) AS section_no, coalesce(title, '') AS heading_path,
+  CAST(CASE WHEN title IS NULL THEN 0 ELSE 1 END AS INTEGER) AS level, text, CAST(NULL AS VARCHAR) AS error
+FROM b LEFT JOIN h USING (page_id, part)"""
+
+
+@query(HTML_SQL)
 def html_sections(spark, d):
     return parse.pages_to_sections(t(spark, d, "pages"), "page_id", "html").drop("metadata")
 
 
-SPANS = [
-    ("a", 1, 0, 0, 0, "The Guide", 20.0, 16), ("a", 1, 1, 0, 0, "Some", 10.0, 0), ("a", 1, 1, 0, 1, "text here.", 10.0, 0), ("a", 1, 1, 1, 0, "   ", 10.0, 0),
-    ("a", 1, 2, 0, 0, "Part One", 14.0, 0), ("a", 1, 3, 0, 0, "Body of one.", 10.0, 0), ("a", 2, 0, 0, 0, "A detail", 10.0, 16), ("a", 2, 1, 0, 0, "Body of the detail.", 10.0, 0),
-    ("a", 2, 2, 0, 0, "Part Two", 13.0, 16), ("a", 2, 3, 0, 0, "Body of two,", 10.0, 0), ("a", 3, 0, 0, 0, "and more.", 10.0, 0), ("b", 1, 0, 0, 0, "No headings", 9.0, 0), ("b", 1, 1, 0, 0, "at all", 9.0, 0),
+#: Spans as a PDF reader gives them, from conversations: every turn has a block of one line, whose size and weight vary, and a block of two lines.
+SPAN_PARTS = [
+    ("turn % 3 * 2", "0", "0", "upper(role)", f"CAST({picked((20, 14, 10, 10, 13, 10, 10, 16), 'turn')} AS DOUBLE)", "CASE WHEN role = 'assistant' THEN 16 ELSE 0 END"),
+    ("turn % 3 * 2", "0", "1", "'turn ' || CAST(turn AS STRING)", f"CAST({picked((20, 14, 10, 10, 13, 10, 10, 16), 'turn')} AS DOUBLE)", "0"),
+    ("turn % 3 * 2 + 1", "0", "0", "split_part(text, chr(10), 1)", "CAST(10 AS DOUBLE)", "0"), ("turn % 3 * 2 + 1", "0", "1", "'  and so on '", "CAST(10 AS DOUBLE)", "0"),
+    ("turn % 3 * 2 + 1", "1", "0", "CASE WHEN turn % 2 = 0 THEN split_part(text, ' ', 2) ELSE '   ' END", "CAST(10 AS DOUBLE)", "0"),
 ]
-SPAN_COLUMNS = ("doc_id", "page", "block", "line", "span", "text", "size", "flags")
-SPAN_TYPES = "doc_id string, page int, block int, line int, span int, text string, size double, flags int"
+SPANS_SQL = "(" + " UNION ALL ".join(f"SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn // 3 + 1 AS INTEGER) AS page, CAST({b} AS INTEGER) AS block, {l} AS line, {k} AS span, {x} AS text, {size} AS size, {flags} AS flags FROM conversations" for b, l, k, x, size, flags in SPAN_PARTS) + ")"  # noqa: E741
 
 
-@query(f"""
-WITH s AS (SELECT * FROM {values(SPANS, *(f'"{c}"' for c in SPAN_COLUMNS))} WHERE trim(text) <> ''),
-m AS (SELECT doc_id, median(CAST(size AS DOUBLE)) AS median FROM s GROUP BY doc_id)
-SELECT s.doc_id, CAST(page AS BIGINT) AS page, CAST(block AS BIGINT) AS block, text, CAST(CASE WHEN size / median >= 1.6 THEN 1 WHEN size / median >= 1.3 THEN 2 WHEN (flags & 16) <> 0 AND size / median >= 1.0 THEN 3 END AS INTEGER) AS level
-FROM s JOIN m USING (doc_id)""")
-def pdf_heading_levels(spark, d):
-    spans = spark.createDataFrame(SPANS, SPAN_TYPES).where(F.trim("text") != "")
+class Spans:
+    sql = SPANS_SQL
+
+    def frame(self, spark, d) -> DataFrame:
+        part = lambda b, l, k, x, size, flags: F.expr(f"struct(cast({b} as int) as block, {l} as line, {k} as span, {x} as text, {size} as size, {flags} as flags)")  # noqa: E731, E741
+        rows = t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.expr("cast(turn div 3 + 1 as int)").alias("page"), F.explode(F.array(*(part(*p) for p in SPAN_PARTS))).alias("s"))
+        return rows.select("doc_id", "page", "s.*")
+
+
+LEVEL_SQL = "CAST(CASE WHEN size / median >= 1.6 THEN 1 WHEN size / median >= 1.3 THEN 2 WHEN (flags & 16) <> 0 AND size / median >= 1.0 THEN 3 END AS INTEGER)"
+
+
+@query_over(Spans(), f"""
+WITH s AS (SELECT * FROM REL WHERE trim(text) <> ''), m AS (SELECT doc_id, median(CAST(size AS DOUBLE)) AS median FROM s GROUP BY doc_id)
+SELECT s.doc_id, CAST(page AS BIGINT) AS page, CAST(block AS BIGINT) AS block, text, {LEVEL_SQL} AS level FROM s JOIN m USING (doc_id)""")
+def pdf_heading_levels(spans):
+    spans = spans.where(F.trim("text") != "")
     medians = spans.groupBy("doc_id").agg(F.median("size").alias("median"))
     level = parse.pdf_heading_level(F.col("size"), F.col("flags").bitwiseAND(16) != 0, F.col("median"))
     return spans.join(medians, "doc_id").select("doc_id", F.col("page").cast("long").alias("page"), F.col("block").cast("long").alias("block"), "text", level.alias("level"))
 
 
-@query(f"""SELECT * FROM {values([
-    ('a', 0, 'The Guide', 1, 'Some text here.', '1'), ('a', 1, 'The Guide > Part One', 2, 'Body of one.', '1'), ('a', 2, 'The Guide > Part One > A detail', 3, 'Body of the detail.', '2'),
-    ('a', 3, 'The Guide > Part Two', 2, 'Body of two,' + chr(10) * 2 + 'and more.', '2'), ('b', 0, '', 0, 'No headings' + chr(10) + 'at all', '1')], 'doc_id', 'section_no', 'heading_path', 'level', 'text', 'page')}""")
-def pdf_sections(spark, d):
-    return parse.pdf_sections(spark.createDataFrame(SPANS, SPAN_TYPES)).select("doc_id", "section_no", "heading_path", "level", "text", F.col("metadata")["page_number"].alias("page"))
+def _open_title_sql(k: int) -> str:
+    """The title of the last heading of level k, unless one of a lower level came after it."""
+    return f"CASE WHEN coalesce(broken{k}, -1) < open{k} THEN (SELECT text FROM n h WHERE h.doc_id = o.doc_id AND h.place = open{k}) END"
+
+
+@query_over(Spans(), f"""
+WITH s AS (SELECT * FROM REL WHERE trim(text, E' \\t\\n\\r') <> ''), m AS (SELECT doc_id, median(CAST(size AS DOUBLE)) AS median FROM s GROUP BY doc_id),
+l AS (SELECT s.doc_id, page, block, line, trim(string_agg(text, ' ' ORDER BY span), E' \\t\\n\\r') AS text, min({LEVEL_SQL}) AS level FROM s JOIN m USING (doc_id) GROUP BY s.doc_id, page, block, line),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, block, line) AS place FROM (SELECT * FROM l UNION ALL SELECT DISTINCT doc_id, page, 1000000000, 0, '', NULL::INTEGER FROM l)),
+o AS (SELECT *, count(level) OVER w AS part, {', '.join(f"max(CASE WHEN level = {k} THEN place END) OVER w AS open{k}, max(CASE WHEN level < {k} THEN place END) OVER w AS broken{k}" for k in (1, 2, 3))}
+  FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+p AS (SELECT doc_id, part, max(level) AS level, max(CASE WHEN level IS NOT NULL THEN concat_ws(' > ', {', '.join(map(_open_title_sql, (1, 2, 3)))}) END) AS heading_path,
+  trim(string_agg(CASE WHEN level IS NULL THEN text END, chr(10) ORDER BY place), E' \\t\\n\\r') AS text, min(CASE WHEN level IS NOT NULL OR text <> '' THEN page END) AS page FROM o GROUP BY doc_id, part)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS section_no, coalesce(heading_path, '') AS heading_path, coalesce(level, 0) AS level, text, CAST(page AS VARCHAR) AS page FROM p WHERE text <> ''""")
+def pdf_sections(spans):
+    return parse.pdf_sections(spans).select("doc_id", "section_no", "heading_path", "level", "text", F.col("metadata")["page_number"].alias("page"))
 
 
 # ── names ──────────────────────────────────────────────────────────────────────────────────────────────────────────
 
-NAMES = numbered([
-    "I-485", "Form I-485", "Form I 485", "form i-485", "I 485", "i-130a", "Form I‑485", "  USCIS   National   Benefits  ", "H-1B", "TN", "W-2", "1040EZ", "941", "INA section 245",
-    "section 213A of Form I-864", "8 CFR 245.2", "Department of State", "filing fee", "coffee", "green card", "immediate relative", "approved petition", "birth certificate", "DS-260", "ETA-9089",
-    "Form I-864EZ", "something else", "G-28", "AR-11", "eb-1 preference", "h-1b",
-])
 FORM_RE, VISA_RE, TAX_RE = DOMAIN.form, DOMAIN.visa, DOMAIN.tax
 
 
@@ -192,115 +306,93 @@ def id_sql(x: str, kind: str) -> str:
     return f"substr(sha256({kind} || '::' || trim(lower({canonical_sql(x, kind)}))), 1, 16)"
 
 
-def _names(spark) -> DataFrame:
-    return spark.createDataFrame(NAMES, "id int, name string")
-
-
-@query(f"SELECT id, {canonical_sql('name', quoted('form'))} AS as_form, {canonical_sql('name', quoted('agency'))} AS as_agency FROM {values(NAMES, 'id', 'name')}")
-def canonicalize_names(spark, d):
-    return _names(spark).select("id", T.canonical_name(F.col("name"), F.lit("form")).alias("as_form"), T.canonical_name(F.col("name"), F.lit("agency")).alias("as_agency"))
-
+@query_over(NAMES, f"SELECT id, {canonical_sql('name', quoted('form'))} AS as_form, {canonical_sql('name', quoted('agency'))} AS as_agency FROM REL")
+def canonicalize_names(rows):
+    return rows.select("id", T.canonical_name(F.col("name"), F.lit("form")).alias("as_form"), T.canonical_name(F.col("name"), F.lit("agency")).alias("as_agency"))
 
-@query(f"SELECT id, {type_sql('name')} AS type FROM {values(NAMES, 'id', 'name')}")
-def infer_types(spark, d):
-    return _names(spark).select("id", T.infer_type(F.col("name")).alias("type"))
 
+@query_over(NAMES, f"SELECT id, {type_sql('name')} AS type FROM REL")
+def infer_types(rows):
+    return rows.select("id", T.infer_type(F.col("name")).alias("type"))
 
-@query(f"SELECT id, entity_id FROM (SELECT v.id, {id_sql('name', 'type')} AS entity_id FROM (SELECT id, name, {type_sql('name')} AS type FROM {values(NAMES, 'id', 'name')}) v)")
-def entity_ids(spark, d):
-    return _names(spark).withColumn("type", T.infer_type(F.col("name"))).select("id", T.entity_id(F.col("name"), F.col("type")).alias("entity_id"))
 
+@query_over(NAMES, f"SELECT id, entity_id FROM (SELECT v.id, {id_sql('name', 'type')} AS entity_id FROM (SELECT id, name, {type_sql('name')} AS type FROM REL) v)")
+def entity_ids(rows):
+    return rows.withColumn("type", T.infer_type(F.col("name"))).select("id", T.entity_id(F.col("name"), F.col("type")).alias("entity_id"))
 
-PATHS = numbered(["/x/i-485instr.pdf", "C:\\docs\\I-130A.pdf", "i-864ez.pdf", "n-400.tar.pdf", "notes.txt", "", "ds260.html", "/a/b/g28", "/x/i-485instr", ".pdf"])
 
-
-@query(rf"""
-WITH s AS (SELECT id, path, regexp_replace(lower(regexp_extract(path, '([^\\/]*)$', 1)), '\.[^.]*$', '') AS stem FROM {values(PATHS, 'id', 'path')}),
+@query_over(PATHS, rf"""
+WITH s AS (SELECT id, path, regexp_replace(lower(regexp_extract(path, '([^\\/]*)$', 1)), '\.[^.]*$', '') AS stem FROM REL),
 g AS (SELECT *, regexp_replace(stem, 'instr$', '') AS slug FROM s)
 SELECT id, CASE WHEN length(path) > 0 AND regexp_matches(slug, '^([a-z]+)-?(\d+)([a-z]?)$') THEN
   'Form ' || upper(regexp_extract(slug, '^([a-z]+)-?(\d+)([a-z]?)$', 1)) || '-' || regexp_extract(slug, '^([a-z]+)-?(\d+)([a-z]?)$', 2) || upper(regexp_extract(slug, '^([a-z]+)-?(\d+)([a-z]?)$', 3))
   || CASE WHEN ends_with(stem, 'instr') THEN ' (instructions)' ELSE '' END END AS label FROM g""")
-def form_labels(spark, d):
-    return spark.createDataFrame(PATHS, "id int, path string").select("id", T.form_label(F.col("path")).alias("label"))
+def form_labels(rows):
+    return rows.select("id", T.form_label(F.col("path")).alias("label"))
 
 
-@query(rf"""
-WITH s AS (SELECT id, regexp_replace(regexp_replace(lower(regexp_extract(path, '([^\\/]*)$', 1)), '\.[^.]*$', ''), 'instr$', '') AS name FROM {values(PATHS, 'id', 'path')})
+@query_over(PATHS, rf"""
+WITH s AS (SELECT id, regexp_replace(regexp_replace(lower(regexp_extract(path, '([^\\/]*)$', 1)), '\.[^.]*$', ''), 'instr$', '') AS name FROM REL)
 SELECT id, CASE WHEN regexp_matches(name, '^([a-z]{{1,3}})-?(\d{{2,4}})([a-z]?)') THEN upper(regexp_extract(name, '^([a-z]{{1,3}})-?(\d{{2,4}})([a-z]?)', 1)) || '-'
   || regexp_extract(name, '^([a-z]{{1,3}})-?(\d{{2,4}})([a-z]?)', 2) || upper(regexp_extract(name, '^([a-z]{{1,3}})-?(\d{{2,4}})([a-z]?)', 3)) END AS form FROM s""")
-def form_of_path(spark, d):
-    return spark.createDataFrame(PATHS, "id int, path string").select("id", T.form_of_path(F.col("path")).alias("form"))
-
-
-SAID = numbered([
-    "File I-485 with I‑693 and I-485.", "No forms here", "DS-260, N-400A and AB-1", "i-485 lower", "The sources do not cover this.", "I could not find it", "We couldn't find that", "It does not include fees",
-    "Yes: file it.", "No information is available", "outside the scope", "", "score: 0.8", '{"score": 7}', "I rate this 85 of 100", "-3", "Score = 1.5", "none", "about 0.25 then 9",
-])
+def form_of_path(rows):
+    return rows.select("id", T.form_of_path(F.col("path")).alias("form"))
 
 
-@query(rf"SELECT id, list_sort(list_distinct(regexp_extract_all({folded_sql('said')}, '\b([A-Z]{{1,3}}-\d{{2,4}}[A-Z]?)\b', 1))) AS forms FROM {values(SAID, 'id', 'said')}")
-def forms_in_text(spark, d):
-    return spark.createDataFrame(SAID, "id int, said string").select("id", F.array_sort(T.forms_in_text(F.col("said"))).alias("forms"))
+@query_over(SAID, rf"SELECT id, list_sort(list_distinct(regexp_extract_all({folded_sql('said')}, '\b([A-Z]{{1,3}}-\d{{2,4}}[A-Z]?)\b', 1))) AS forms FROM REL")
+def forms_in_text(rows):
+    return rows.select("id", F.array_sort(T.forms_in_text(F.col("said"))).alias("forms"))
 
 
-@query(rf"""
-WITH s AS (SELECT id, CAST(coalesce(nullif(regexp_extract(said, '(?i)"?score"?\s*[:=]\s*(-?\d+(?:\.\d+)?)', 1), ''), nullif(regexp_extract(said, '(?:score\D*)?(-?\d+(?:\.\d+)?)', 1), ''), '0') AS DOUBLE) AS v FROM {values(SAID, 'id', 'said')})
+@query_over(SAID, rf"""
+WITH s AS (SELECT id, CAST(coalesce(nullif(regexp_extract(said, '(?i)"?score"?\s*[:=]\s*(-?\d+(?:\.\d+)?)', 1), ''), nullif(regexp_extract(said, '(?:score\D*)?(-?\d+(?:\.\d+)?)', 1), ''), '0') AS DOUBLE) AS v FROM REL)
 SELECT id, coalesce(greatest(0.0, least(1.0, CASE WHEN v > 1 AND v <= 10 THEN v / 10 WHEN v > 10 THEN v / 100 ELSE v END)), CAST(0 AS DOUBLE)) AS score FROM s""")
-def parse_score(spark, d):
-    return spark.createDataFrame(SAID, "id int, said string").select("id", T.parse_score(F.col("said")).alias("score"))
+def parse_score(rows):
+    return rows.select("id", T.parse_score(F.col("said")).alias("score"))
 
 
-@query(f"SELECT id, coalesce(regexp_matches(said, {quoted(DOMAIN.refusal)}), false) AS refusal FROM {values([*SAID, (99, None)], 'id', 'said')}")
-def refusal_flag(spark, d):
-    return spark.createDataFrame([*SAID, (99, None)], "id int, said string").select("id", T.is_refusal(F.col("said")).alias("refusal"))
+@query_over(SAID, f"SELECT id, coalesce(regexp_matches(said, {quoted(DOMAIN.refusal)}), false) AS refusal FROM REL")
+def refusal_flag(rows):
+    return rows.select("id", T.is_refusal(F.col("said")).alias("refusal"))
 
 
-@query(rf"""
+@query_over(PATHS, rf"""
 SELECT id, CASE WHEN length(path) = 0 OR stem = '' THEN '' ELSE {quoted(T.FORMS_URL)} || stem || '.pdf' END AS url,
   CASE WHEN length(path) > 0 AND stem <> '' THEN {quoted(T.FORMS_URL)} || stem || '.pdf#page=3' END AS page_url
-FROM (SELECT id, path, regexp_replace(regexp_extract(path, '([^\\/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem FROM {values(PATHS, 'id', 'path')})""")
-def citation_urls(spark, d):
-    return spark.createDataFrame(PATHS, "id int, path string").select("id", T.source_url(F.col("path")).alias("url"), T.page_url(F.col("path"), F.lit(3)).alias("page_url"))
+FROM (SELECT id, path, regexp_replace(regexp_extract(path, '([^\\/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem FROM REL)""")
+def citation_urls(rows):
+    return rows.select("id", T.source_url(F.col("path")).alias("url"), T.page_url(F.col("path"), F.lit(3)).alias("page_url"))
 
 
-@query(rf"""
-WITH b AS (SELECT id, replace(lower(regexp_extract(path, '([^\\/]*)$', 1)), 'instr', '') AS base FROM {values(PATHS, 'id', 'path')}),
+@query_over(PATHS, rf"""
+WITH b AS (SELECT id, replace(lower(regexp_extract(path, '([^\\/]*)$', 1)), 'instr', '') AS base FROM REL),
 f AS (SELECT id, CASE WHEN regexp_matches(base, '{T.IN_URL}') THEN upper(regexp_extract(base, '{T.IN_URL}', 1)) || '-' || regexp_extract(base, '{T.IN_URL}', 2) || upper(regexp_extract(base, '{T.IN_URL}', 3)) END AS form FROM b)
 SELECT id, {quoted(REFERENCE[0])} || coalesce(title, {quoted(OTHER_TITLE)}) || coalesce(' (Form ' || form || ')', '') || {quoted(REFERENCE[1])} AS reference FROM f LEFT JOIN {values(list(FORM_TITLES.items()), 'k', 'title')} ON k = form""")
-def form_references(spark, d):
-    return spark.createDataFrame(PATHS, "id int, path string").select("id", T.reference(F.col("path")).alias("reference"))
+def form_references(rows):
+    return rows.select("id", T.reference(F.col("path")).alias("reference"))
 
 
-RESPONSES = numbered([
-    '{"entities": ["Form I-485", {"name": "H-1B", "entity_type": "form"}, {"value": "USCIS", "category": "Agency"}], "relations": [{"subject": "Form I-485", "predicate": "Requires", "object": "I-693", "evidence": "must"}]}',
-    '```json\n{"entities": [{"name": "filing fee", "type": "nonsense", "description": "cost", "aliases": ["fee"]}], "relations": []}\n```',
-    'Here it is: {"entities": [{"name": "  "}, 5, {"name": "Green Card", "entity_type": "benefit or status"}], "relations": [{"source": "a", "relation": "references", "target": "b"}, {"subject": "a", "predicate": "likes", "object": "b"}, {"subject": "x", "predicate": "requires", "object": "x"}]} done',
-    "garbage without braces", "", '{"relations": [{"subject": "", "predicate": "requires", "object": "b"}, "text"]}', "{broken",
-])
-
 JSON_SQL = rf"""
-WITH r AS (SELECT id, CASE WHEN starts_with(trim(text, E' \n'), '```') THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(trim(x), '```')), chr(10)) ELSE text END AS text FROM {values(RESPONSES, 'id', 'text')}),
+WITH r AS (SELECT id, CASE WHEN starts_with(trim(text, E' \n'), '```') THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(trim(x), '```')), chr(10)) ELSE text END AS text FROM REL),
 j AS (SELECT id, coalesce(TRY_CAST(nullif(text, '') AS JSON), TRY_CAST(nullif(regexp_extract(text, '(?s)\{{.*\}}'), '') AS JSON)) AS doc FROM r)"""
 
 
-@query(JSON_SQL + rf""",
+@query_over(RESPONSES, JSON_SQL + rf""",
 e AS (SELECT id, unnest(CAST(doc -> '$.entities' AS JSON[])) AS raw FROM j WHERE doc IS NOT NULL),
 n AS (SELECT id, json_type(raw) AS kind, raw, trim(CASE WHEN json_type(raw) = 'VARCHAR' THEN raw ->> '$' ELSE coalesce(nullif(raw ->> '$.name', ''), raw ->> '$.value', '') END) AS name FROM e WHERE json_type(raw) IN ('VARCHAR', 'OBJECT')),
 k AS (SELECT *, replace(trim(lower(coalesce(nullif(raw ->> '$.entity_type', ''), nullif(raw ->> '$.category', ''), raw ->> '$.type', ''))), ' ', '_') AS declared FROM n WHERE name <> '')
 SELECT id, name, CASE WHEN kind = 'VARCHAR' OR declared NOT IN ({', '.join(map(quoted, DOMAIN.entity_types))}) OR (declared = 'form' AND NOT regexp_matches(name, {quoted(FORM_RE)})) THEN {type_sql('name')} ELSE declared END AS type,
   CASE WHEN kind = 'VARCHAR' THEN '' ELSE coalesce(raw ->> '$.description', '') END AS description FROM k""")
-def json_entities(spark, d):
-    rows = spark.createDataFrame(RESPONSES, "id int, text string")
+def json_entities(rows):
     return rows.select("id", F.explode(T.json_entities(F.col("text"))).alias("e")).select("id", F.col("e.name").alias("name"), F.col("e.entity_type").alias("type"), F.col("e.description").alias("description"))
 
 
-@query(JSON_SQL + rf""",
+@query_over(RESPONSES, JSON_SQL + rf""",
 x AS (SELECT id, unnest(CAST(doc -> '$.relations' AS JSON[])) AS raw FROM j WHERE doc IS NOT NULL),
 f AS (SELECT id, trim(coalesce(nullif(raw ->> '$.subject', ''), raw ->> '$.source', '')) AS subject, trim(lower(coalesce(nullif(raw ->> '$.predicate', ''), raw ->> '$.relation', ''))) AS predicate,
   trim(coalesce(nullif(raw ->> '$.object', ''), raw ->> '$.target', '')) AS object, coalesce(raw ->> '$.evidence', '') AS evidence FROM x WHERE json_type(raw) = 'OBJECT')
 SELECT * FROM f WHERE predicate IN ({', '.join(map(quoted, DOMAIN.predicates))}) AND subject <> '' AND object <> '' AND subject <> object""")
-def json_relations(spark, d):
-    rows = spark.createDataFrame(RESPONSES, "id int, text string")
+def json_relations(rows):
     return rows.select("id", F.explode(T.json_relations(F.col("text"))).alias("r")).select("id", "r.*")
 
 
@@ -559,55 +651,108 @@ def display_links(spark, d):
     return graph.display_links(star_relates(spark, d), nodes).select("src", "predicate", "dst", "weight")
 
 
-EXTRACTION = [
-    ("c1", 1, [("Form I-485", "form", "short", ["I-485"]), ("H-1B", "form", "", []), ("USCIS", "agency", "the agency", [])], [("Form I-485", "requires", "Form I-693", "must"), ("I-485", "filed_with", "uscis", "")]),
-    ("c2", 2, [("form i 485", "form", "a longer text", ["AOS", "I-485"]), ("Medical Exam", "evidence_or_document", "", [])], [("Medical Exam", "evidence_for", "I-485", "x"), ("Form I-485", "requires", "I-693", "again"), ("I 485", "references", "Form I-485", "")]),
-]
+#: What an extractor answers for every document: names as documents write them, shared by some; ends of relations that are known, made, empty and equal.
+FORM_OF = f"'Form I-' || {digits(97)}"
+EXTRACTED_ENTITIES = [(FORM_OF, "'form'", "source"), (f"'H-' || {digits(9)} || 'B'", "'form'", "''"), (f"'i ' || {digits(89)}", "'form'", "lang"), (f"upper(lang) || ' fee ' || {digits(11)}", "'agency'", "source")]
+EXTRACTED_RELATIONS = [(FORM_OF, "'requires'", f"'form i-' || {digits(101)}", "lang"), (f"'I-' || {digits(97)}", "'references'", f"lang || ' fee ' || {digits(11)}", "source"), (f"'I ' || {digits(97)}", "'references'", FORM_OF, "''"), (f"'  '", "'requires'", FORM_OF, "''"), ("source || ' office'", "'filed_with'", FORM_OF, "''")]
+
 
+def _extracted_sql(parts: list[tuple], *names: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT 'c' || doc_id AS chunk_id, doc_id AS seq, {p} AS pos, " + ", ".join(f"{x} AS {n}" for n, x in zip(names, part)) + " FROM documents" for p, part in enumerate(parts))
+    return f"({rows})"
 
-def _extraction(spark) -> DataFrame:
-    from sparkweave.schema import EXTRACTION as DDL
 
-    return spark.createDataFrame(EXTRACTION, DDL)
+ENTITIES_OF_SQL, RELATIONS_OF_SQL = _extracted_sql(EXTRACTED_ENTITIES, "name", "declared", "description"), _extracted_sql(EXTRACTED_RELATIONS, "subject", "predicate", "object", "evidence")
+
+
+def _extraction(spark, d) -> DataFrame:
+    docs = t(spark, d, "documents")
+    entity = lambda n, k, x: F.expr(f"named_struct('name', {n}, 'entity_type', {k}, 'description', {x}, 'aliases', cast(array() as array<string>))")
+    relation = lambda a, p, b, e: F.expr(f"named_struct('subject', {a}, 'predicate', {p}, 'object', {b}, 'evidence', {e})")
+    return docs.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("doc_id").alias("seq"), F.array(*(entity(*e) for e in EXTRACTED_ENTITIES)).alias("entities"), F.array(*(relation(*r) for r in EXTRACTED_RELATIONS)).alias("relations"))
 
 
-FLAT_ENTITIES = [(c, s, p, *e[:3]) for c, s, es, _ in EXTRACTION for p, e in enumerate(es)]
 CORRECTED_SQL = f"""
 SELECT *, {canonical_sql('name', 'type')} AS canon, {id_sql('name', 'type')} AS id FROM (
   SELECT chunk_id, seq, pos, name, CASE WHEN declared = 'form' AND NOT regexp_matches({folded_sql('name')}, {quoted(FORM_RE)}) THEN {type_sql('name')} ELSE declared END AS type
-  FROM {values(FLAT_ENTITIES, 'chunk_id', 'seq', 'pos', 'name', 'declared', 'description')})"""
+  FROM {ENTITIES_OF_SQL})"""
 
 
 @query(f"""
 WITH r AS ({CORRECTED_SQL}), k AS (SELECT lower(canon) AS key, id, seq * 1000 + pos * 10 AS place FROM r UNION ALL SELECT lower(trim(name)), id, seq * 1000 + pos * 10 + 1 FROM r)
 SELECT key, arg_max(id, place) AS id FROM k GROUP BY key""")
 def name_index(spark, d):
-    return graph.name_index(graph.typed_entities(_extraction(spark)))
-
-
-FLAT_RELATIONS = [(c, s, p, *r) for c, s, _, rs in EXTRACTION for p, r in enumerate(rs)]
+    return graph.name_index(graph.typed_entities(_extraction(spark, d)))
 
 
 @query(f"""
 WITH r AS ({CORRECTED_SQL}), k AS (SELECT lower(canon) AS key, id, seq * 1000 + pos * 10 AS place FROM r UNION ALL SELECT lower(trim(name)), id, seq * 1000 + pos * 10 + 1 FROM r),
-ix AS (SELECT key, arg_max(id, place) AS id FROM k GROUP BY key), rel AS (SELECT * FROM {values(FLAT_RELATIONS, 'chunk_id', 'seq', 'pos', 'subject', 'predicate', 'object', 'evidence')}),
-ends AS (SELECT DISTINCT subject AS name FROM rel UNION SELECT object FROM rel), typed AS (SELECT name, {type_sql('name')} AS type FROM ends),
+ix AS (SELECT key, arg_max(id, place) AS id FROM k GROUP BY key), rel AS (SELECT * FROM {RELATIONS_OF_SQL}),
+ends AS (SELECT DISTINCT trim(subject) AS name FROM rel WHERE trim(subject) <> '' UNION SELECT object FROM rel), typed AS (SELECT name, {type_sql('name')} AS type FROM ends),
 canon AS (SELECT name, type, {canonical_sql('name', 'type')} AS canon, {id_sql('name', 'type')} AS made FROM typed),
 res AS (SELECT c.name, coalesce(a.id, b.id, c.made) AS id, c.canon FROM canon c LEFT JOIN ix a ON a.key = lower(c.name) LEFT JOIN ix b ON b.key = lower(c.canon)),
 nm AS (SELECT id, arg_min(canon, seq * 1000 + pos) AS name FROM r GROUP BY id UNION SELECT id, canon FROM res WHERE id NOT IN (SELECT id FROM r))
 SELECT s.name AS s, predicate, o.name AS o, CAST(count(*) AS DOUBLE) AS weight
-FROM rel JOIN res x ON x.name = subject JOIN res y ON y.name = object JOIN nm s ON s.id = x.id JOIN nm o ON o.id = y.id WHERE x.id <> y.id GROUP BY ALL""")
+FROM rel JOIN res x ON x.name = trim(subject) JOIN res y ON y.name = object JOIN nm s ON s.id = x.id JOIN nm o ON o.id = y.id WHERE x.id <> y.id GROUP BY ALL""")
 def resolve_endpoints(spark, d):
-    g = graph.build(_extraction(spark))
+    g = graph.build(_extraction(spark, d))
     names = g.entities.select("id", "name")
     return g.relates.join(names.select(F.col("id").alias("src"), F.col("name").alias("s")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("o")), "dst").select("s", "predicate", "o", "weight")
 
 
+# Two batches: the second replaces the documents of an older version (doc_id % 3 = 1) and brings new ones; what it brings comes later in the order.
+
+
+def _in_batches(spark, d) -> graph.Graph:
+    """The graph of all documents, ingested in two batches."""
+    import uuid
+
+    from sparkweave.tables import written
+
+    tables: dict = {}
+    every = _extraction(spark, d).withColumn("doc_id", F.col("seq"))
+    older = every.withColumns({"entities": F.slice("entities", 2, 2), "relations": F.slice("relations", 1, 2)})
+    parts = [every.where("doc_id % 3 = 0").unionByName(older.where("doc_id % 3 = 1")), every.where("doc_id % 3 > 0")]
+    for batch, rows in enumerate(parts, 1):
+        rows = rows.withColumn("seq", F.col("seq") + batch * 10**12)
+
+        def write(df, name, batch=batch):
+            tables[name, batch] = written(df, f"{name}-{uuid.uuid4().hex[:6]}")
+
+        log = increment.GraphLog(lambda name, b: tables[name, b], write, list(range(1, batch)))
+        log.add(rows, rows.select("doc_id").distinct(), rows.select("doc_id", F.col("chunk_id").alias("id"), F.lit("").alias("heading_path"), F.lit("").alias("filepath")))
+    return increment.GraphLog(lambda name, b: tables[name, b], None, [1, 2]).graph()
+
+
+BATCHED_SQL = f"""
+WITH r AS (SELECT *, (seq + 1000000000 * CASE WHEN seq % 3 = 0 THEN 1 ELSE 2 END) * 1000 + pos * 10 AS place FROM ({CORRECTED_SQL})), k AS (SELECT lower(canon) AS key, id, place FROM r UNION ALL SELECT lower(trim(name)), id, place + 1 FROM r),
+ix AS (SELECT key, arg_max(id, place) AS id FROM k GROUP BY key), rel AS (SELECT *, (seq + 1000000000 * CASE WHEN seq % 3 = 0 THEN 1 ELSE 2 END) * 1000 + pos * 10 AS place FROM {RELATIONS_OF_SQL}),
+ends AS (SELECT DISTINCT trim(subject) AS name FROM rel WHERE trim(subject) <> '' UNION SELECT object FROM rel), typed AS (SELECT name, {type_sql('name')} AS type FROM ends),
+canon AS (SELECT name, type, {canonical_sql('name', 'type')} AS canon, {id_sql('name', 'type')} AS made FROM typed),
+res AS (SELECT c.name, coalesce(a.id, b.id, c.made) AS id FROM canon c LEFT JOIN ix a ON a.key = lower(c.name) LEFT JOIN ix b ON b.key = lower(c.canon))"""
+
+
+@query(BATCHED_SQL + """
+SELECT x.id AS src, predicate, y.id AS dst, arg_min(evidence, place) AS evidence, arg_min(chunk_id, place) AS source_chunk, CAST(count(*) AS DOUBLE) AS weight
+FROM rel JOIN res x ON x.name = trim(subject) JOIN res y ON y.name = object WHERE x.id <> y.id GROUP BY x.id, predicate, y.id""")
+def graph_by_batches(spark, d):
+    """Edges after two batches: weights add up over batches, replaced documents count no more, ends follow the names that are known in the end."""
+    return _in_batches(spark, d).relates
+
+
+@query(BATCHED_SQL + """
+SELECT id, arg_min(canon, place) AS name, arg_min(type, place) AS type, arg_max(description, length(description) * 10000000000000 - place) AS description, count(*) AS mention_count
+FROM (SELECT r.*, e.description FROM r JOIN """ + ENTITIES_OF_SQL + """ e USING (seq, pos)) GROUP BY id""")
+def entities_by_batches(spark, d):
+    """Extracted entities after two batches: first names, longest texts, mentions."""
+    return _in_batches(spark, d).entities.where("mention_count > 0").select("id", "name", "type", "description", "mention_count")
+
+
 @query(f"""
-SELECT count(*) AS entities, (SELECT count(*) FROM {values(FLAT_RELATIONS, 'chunk_id', 'seq', 'pos', 'subject', 'predicate', 'object', 'evidence')}) AS relations, count(DISTINCT lower(trim(name))) AS names
-FROM {values(FLAT_ENTITIES, 'chunk_id', 'seq', 'pos', 'name', 'declared', 'description')}""")
+SELECT count(*) AS entities, (SELECT count(*) FROM {RELATIONS_OF_SQL}) AS relations, count(DISTINCT lower(trim(name))) AS names
+FROM {ENTITIES_OF_SQL}""")
 def extraction_totals(spark, d):
-    return extract.extraction_totals(_extraction(spark))
+    return extract.extraction_totals(_extraction(spark, d))
 
 
 # ── retrieval and evaluation ───────────────────────────────────────────────────────────────────────────────────────
@@ -736,9 +881,9 @@ def eval_aggregate(spark, d):
     return evaluate.aggregated(p).select("mode", "metric", F.round("value", 9).alias("value"), F.round("multi", 9).alias("multi"))
 
 
-@query(f"SELECT avg(CASE WHEN coalesce(regexp_matches(said, {quoted(DOMAIN.refusal)}), false) THEN 1.0 ELSE 0.0 END) AS rate FROM {values(SAID, 'id', 'said')}")
-def refusal_rate(spark, d):
-    return evaluate.refusal_rate(spark.createDataFrame(SAID, "id int, answer string"))
+@query_over(SAID, f"SELECT avg(CASE WHEN coalesce(regexp_matches(said, {quoted(DOMAIN.refusal)}), false) THEN 1.0 ELSE 0.0 END) AS rate FROM REL")
+def refusal_rate(rows):
+    return evaluate.refusal_rate(rows.withColumnRenamed("said", "answer"))
 
 
 @query("SELECT doc_id AS chunk_id, text AS content FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")

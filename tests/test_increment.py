@@ -25,8 +25,8 @@ def test_batches_equal_a_rebuild(spark, tmp_path):
         return (f"{doc}-{batch}", batch * 1000 + int(doc[1:]), entities, relations)
 
     paths, alive = {}, {}
-    for batch in range(1, 6):
-        docs = [f"d{i}" for i in rng.sample(range(12), 5 if batch < 5 else 3)]
+    for batch in range(1, 4):
+        docs = [f"d{i}" for i in rng.sample(range(9), 6 if batch < 3 else 4)]
         came = {d: extracted(d, batch) for d in docs if rng.random() < 0.85}
         alive = {d: r for d, r in alive.items() if d not in docs} | came
         with_doc = lambda found: spark.createDataFrame(list(found.values()), EXTRACTION).withColumn("doc_id", F.split("chunk_id", "-")[0])
@@ -41,7 +41,7 @@ def test_batches_equal_a_rebuild(spark, tmp_path):
         want = graph.build(every.drop("doc_id"), every.select("chunk_id", F.lit("h").alias("heading_path"), F.lit("f").alias("filepath")))
         assert rows_of(got) == rows_of(want), batch
     # What a batch does not touch is not written again.
-    written = {r["id"] for r in spark.read.parquet(f"{tmp_path}/5/entities").collect()}
-    assert written < {r["id"] for r in got.entities.collect()} | written and len(written) < sum(spark.read.parquet(f"{tmp_path}/{b}/entities").count() for b in range(1, 5))
+    written = {r["id"] for r in spark.read.parquet(f"{tmp_path}/3/entities").collect()}
+    assert written < {r["id"] for r in got.entities.collect()} | written and len(written) < sum(spark.read.parquet(f"{tmp_path}/{b}/entities").count() for b in range(1, 3))
     increment.GraphLog(read, None, list(paths)).compacted(lambda df, name: df.write.parquet(f"{tmp_path}/9/{name}"))
     assert rows_of(increment.GraphLog(read, None, [9]).graph()) == rows_of(got)
