@@ -46,6 +46,11 @@ def by_order(shingle_set: np.ndarray, factor: int) -> np.ndarray:
     return shingle_set[np.argsort(shingle_set * np.uint64(factor), kind="stable")]
 
 
+def _short(shingle_set: np.ndarray) -> np.ndarray:
+    """32 bits of each shingle: enough for a filter, in half the room. Equal shingles stay equal."""
+    return shingle_set.astype(np.uint32).view(np.int32)
+
+
 def sets_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, t0, t1 (the set's identity), size, first (by rarity), ORDERED (the first shingles under each further order) and the sketch for every row."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, WIDTH))
@@ -58,17 +63,17 @@ def sets_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 s = shingles(_words(text), WIDTH)
                 n = prefix(percent, len(s))
-                firsts = [rare_first(s, order)[:n], *(by_order(s, f)[:n] for f in ORDERS)]
-                for column, value in zip(out, (*set_identity(s), len(s), *(f.view(np.int64) for f in firsts))):
+                firsts = [rare_first(s, order)[:n].view(np.int64), *(_short(by_order(s, f)[:n]) for f in ORDERS)]
+                for column, value in zip(out, (*set_identity(s), len(s), *firsts)):
                     column.append(value)
                 sketches.append(sketch(s))
-            types = (pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * (1 + len(ORDERS)))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * len(ORDERS))
             bits = np.array(sketches, np.int64).reshape(-1, len(SKETCH)).T
             columns = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types)), *(pa.array(np.ascontiguousarray(b)) for b in bits)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "size", "first", *ORDERED, *SKETCH])
 
-    lists = "".join(f", {c} array<long>" for c in ("first", *ORDERED))
-    return docs.transform(in_arrow, run, f"doc_id long, t0 long, t1 long, size long{lists}, " + ", ".join(f"{b} long" for b in SKETCH))
+    lists = "".join(f", {c} array<int>" for c in ORDERED)
+    return docs.transform(in_arrow, run, f"doc_id long, t0 long, t1 long, size long, first array<long>{lists}, " + ", ".join(f"{b} long" for b in SKETCH))
 
 
 def under_all_orders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -88,11 +93,11 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # One number for each different set, and one row that has it; of equal rows any will do.
     one = rows.where("size > 0").groupBy("t0", "t1").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("key"), F.min("doc_id").alias("least"))
     one = written(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    nodes = every.where("size > 0").withColumn("key", key).join(one.select("key", "t0", "t1", "node"), ["key", "t0", "t1"]).dropDuplicates(["node"])
+    # What a node has depends on its set alone, so the row of any document will do; it moves once.
+    nodes = every.where("size > 0").dropDuplicates(["t0", "t1"]).join(one.select("t0", "t1", "node"), ["t0", "t1"])
     nodes = written(nodes.select("node", "size", "first", *ORDERED, *SKETCH), "nodes")
     dropped(every)
-    sets = Sets(docs.withColumn("doc_id", key), one.withColumnRenamed("key", "doc_id"), percent, True, _identity, WIDTH)
+    sets = Sets(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))), one.withColumnRenamed("key", "doc_id"), percent, True, _identity, WIDTH)
 
     def verified(pairs: DataFrame, turn: int) -> DataFrame:
         candidates = written(under_all_orders(pairs, nodes), "candidates")
