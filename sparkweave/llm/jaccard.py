@@ -97,7 +97,8 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = every.where("size > 0").dropDuplicates(["t0", "t1"]).join(one.select("t0", "t1", "node"), ["t0", "t1"])
     nodes = written(nodes.select("node", "size", "first", *ORDERED, *SKETCH), "nodes")
     dropped(every)
-    sets = Sets(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))), one.withColumnRenamed("key", "doc_id"), percent, True, _identity, WIDTH)
+    repeats = rows.count() > rows.select("doc_id").distinct().count()
+    sets = Sets(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))), one.withColumnRenamed("key", "doc_id"), percent, repeats, _identity, WIDTH)
 
     def verified(pairs: DataFrame, turn: int) -> DataFrame:
         candidates = written(under_all_orders(pairs, nodes), "candidates")

@@ -21,7 +21,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -32,6 +32,8 @@ from sparkweave.llm.common import dropped, free_names, in_arrow, written
 WIDTH, PERCENT = 5, 80
 #: Hash values under which shingles are counted.
 COUNTERS = 1 << 18
+#: Hash values of a bitmap of wanted ids.
+SLOTS = 1 << 23
 #: Odd factors of the places in a shingle.
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"place", i) | 1 for i in range(WIDTH)], np.uint64)
 
@@ -102,20 +104,36 @@ def _texts(docs: DataFrame, percent: int) -> DataFrame:
     return docs.transform(in_arrow, run, "doc_id long, t0 long, t1 long, size int, first array<long>, " + ", ".join(f"{b} long" for b in SKETCH))
 
 
-def shingle_sets(docs: DataFrame, identity=_identity, width: int = WIDTH) -> DataFrame:
-    """node, shingles of the rows whose words have the identity t0, t1. Columns: node, text, t0, t1."""
+def _slots(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS))
+
+
+def shingle_sets(docs: DataFrame, need: DataFrame, identity=_identity, width: int = WIDTH) -> DataFrame:
+    """node, shingles of the documents that ``need`` (node, doc_id, t0, t1) lists. ``docs``: doc_id, text.
+
+    Texts stay where they are: a bitmap of SLOTS hash values of the wanted ids, whatever their number, goes to the tasks, which make the sets of
+    the rows that it lets through; sets and list are joined then.
+    """
+    slot = _slots(F.col("doc_id"))
+    bits = need.select(slot.alias("s")).groupBy(F.expr("shiftright(s, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(SLOTS // 64, np.int64)
+    bitmap[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap.astype("<i8").view(np.uint8))
 
     def run(batches):
+        let_through = np.unpackbits(wanted.value, bitorder="little").astype(bool)
         for batch in batches:
-            nodes, found = [], []
-            for node, text, t0, t1 in zip(*(batch.column(c) for c in ("node", "text", "t0", "t1"))):
+            batch = batch.filter(pa.array(let_through[batch.column("slot").to_numpy(zero_copy_only=False)]))
+            out: list[list] = [[], [], []]
+            for text in batch.column("text"):
                 words = _words(text.as_py())
-                if identity(words) == (t0.as_py(), t1.as_py()):
-                    nodes.append(node.as_py())
-                    found.append(shingles(words, width).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+                for column, value in zip(out, (*identity(words), shingles(words, width).view(np.int64))):
+                    column.append(value)
+            columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "t0", "t1", "shingles"])
 
-    return docs.select("node", "text", "t0", "t1").transform(in_arrow, run, "node long, shingles array<long>")
+    found = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).transform(in_arrow, run, "doc_id long, t0 long, t1 long, shingles array<long>")
+    return found.join(need, ["doc_id", "t0", "t1"]).select("node", "shingles")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -138,7 +156,7 @@ class Sets:
         for known in self.tables:
             need = need.join(known.select("node"), "node", "left_anti")
         need = written(need.join(self.owners.select("node", "doc_id", "t0", "t1"), "node"), "need")
-        more = shingle_sets(self.docs.join(need, "doc_id"), self.identity, self.width)
+        more = shingle_sets(self.docs, need, self.identity, self.width)
         self.tables.append(written(more.dropDuplicates(["node"]) if self.repeats else more, "shingles"))
         dropped(need)
         return similar(pairs, reduce(DataFrame.unionByName, self.tables), self.percent)
