@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkweave.schema import DOMAIN, FORM_TITLES, OTHER_TITLE, REFERENCE, DomainSchema
 
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2212"
+# The patterns by which forms are found in texts, paths and addresses.
 IN_TEXT = r"\b([A-Z]{1,3}-\d{2,4}[A-Z]?)\b"
 IN_FILE = r"^([a-z]{1,3})-?(\d{2,4})([a-z]?)"
 FILE_SLUG = r"^([a-z]+)-?(\d+)([a-z]?)$"

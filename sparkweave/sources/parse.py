@@ -227,9 +227,19 @@ def list_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = HTM
     return read_directory(spark, path, extensions, glob).select("path").orderBy("path")
 
 
-def ingest_directory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Sections of all HTML files below a directory; files that cannot be parsed leave a row with their error."""
-    return pages_to_sections(read_directory(spark, path, glob=glob), "path", "content", "path")
+def ingest_directory(spark: SparkSession, path: str, glob: str | None = None, spans: DataFrame | None = None) -> DataFrame:
+    """Sections of all files below a directory; files that cannot be parsed leave a row with their error.
+
+    PDF files have sections if ``spans`` (as ``pdf_sections`` takes them, doc_id: the file's path) has some of theirs, else a row with an error.
+    """
+    out = pages_to_sections(read_directory(spark, path, glob=glob), "path", "content", "path")
+    files = read_directory(spark, path, PDF_EXTENSIONS, glob).select(F.col("path").alias("doc_id"))
+    missing = files
+    if spans is not None:
+        found = pdf_sections(spans.join(files, "doc_id", "left_semi"))
+        out = out.unionByName(found.select("doc_id", F.col("doc_id").alias("filepath"), "section_no", "heading_path", "level", "text", F.lit(None).cast("string").alias("error"), "metadata"))
+        missing = files.join(spans.select("doc_id"), "doc_id", "left_anti")
+    return out.unionByName(missing.select("doc_id", F.col("doc_id").alias("filepath"), F.lit("no spans of this PDF file were given").alias("error")), allowMissingColumns=True)
 
 
 def ingest_file(spark: SparkSession, path: str) -> DataFrame:

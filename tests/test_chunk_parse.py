@@ -111,5 +111,11 @@ def test_pages_and_directories(spark, tmp_path):
         parse.ingest_directory(spark, str(tmp_path / "a.HTML"))
     (tmp_path / "Z.pdf").write_bytes(b"%PDF")
     assert [r["path"].rsplit("/", 1)[1] for r in parse.list_files(spark, str(tmp_path)).collect()] == ["Z.pdf", "a.HTML", "b.htm"]
+    # A PDF file has sections from spans that were given, or else a row that says so.
+    rows = lambda spans: {r["filepath"].rsplit("/", 1)[1]: r for r in parse.ingest_directory(spark, str(tmp_path), spans=spans).collect()}
+    assert "spans" in rows(None)["Z.pdf"]["error"] and set(rows(None)) == {"a.HTML", "b.htm", "Z.pdf"}
+    place = rows(None)["Z.pdf"]["filepath"]
+    found = rows(spark.createDataFrame([(place, 1, 0, 0, 0, "Title", 20.0, 0), (place, 1, 1, 0, 0, "Body", 10.0, 0), (place, 1, 1, 1, 0, "more", 10.0, 0), ("other", 1, 0, 0, 0, "x", 9.0, 0)], "doc_id string, page int, block int, line int, span int, text string, size double, flags int"))
+    assert found["Z.pdf"]["heading_path"] == "Title" and found["Z.pdf"]["text"] == "Body\nmore" and found["Z.pdf"]["error"] is None and len(found) == 3
     chunks = spark.createDataFrame([("f", "d", 1, 0), ("f", "d", 0, 1), ("e", "d", 9, 9)], "filepath string, doc_id string, section_no int, ordinal int")
     assert [r["section_no"] for r in chunk.first_chunks(chunks, 2).collect()] == [9, 0] and chunk.first_chunks(chunks).count() == 3
