@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,6 +23,28 @@ def names_in_contents(contents: DataFrame, entities: DataFrame) -> DataFrame:
     return forms.join(low, F.contains(F.col("low"), F.lower("name"))).select("name").distinct()
 
 
+def trigrams(text: Column) -> Column:
+    """The different three-character parts of a lower-cased text, read in one pass."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(...))"), F.lit(1)))
+
+
+def names_in_all(contents: DataFrame, names: DataFrame, least: int = MIN_NAME) -> DataFrame:
+    """chunk_id, name for every name of at least ``least`` characters (three or more) that a content contains, case aside. ``contents``: chunk_id, content; ``names``: name.
+
+    A posting table of trigrams takes the place of a search of every content for every name: a content is searched for a name only if it has the name's rarest
+    trigram, and not at all if no content has one of them. Postings are made for trigrams that names have; nothing is broadcast that grows with either table.
+    Null contents and names are in no row; equal names count once.
+    """
+    named = names.where(F.length("name") >= max(3, least)).select("name").distinct()
+    parts = written(named.select("name", F.explode(trigrams(F.col("name"))).alias("part")), "parts")
+    postings = contents.select("chunk_id", F.explode(trigrams(F.col("content"))).alias("part")).join(parts.select("part").distinct(), "part", "left_semi")
+    postings = written(postings, "postings")
+    count = postings.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    rare = parts.join(count, "part", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("k")).where("k.n > 0")
+    likely = written(postings.join(rare.select("name", F.col("k.part").alias("part")), "part").select("chunk_id", "name"), "likely")
+    return contents.select("chunk_id", "content").join(likely, "chunk_id").where(F.contains(F.lower("content"), F.lower("name"))).select("chunk_id", "name")
+
+
 def matched_entities(entities: DataFrame, query_entities: DataFrame, chunk_names: DataFrame) -> DataFrame:
     """id, pos: graph entities of the query's entities (name, type, seq) in their order, then of the names in chunks.
 

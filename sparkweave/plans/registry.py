@@ -792,6 +792,16 @@ def content_mentions_name(spark, d):
     return retrieve.names_in_contents(contents, found.withColumn("type", F.lit("form")))
 
 
+@query("""
+WITH n AS (SELECT DISTINCT word AS name FROM (SELECT unnest(string_split(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' ')) AS word FROM conversations) WHERE length(word) >= 9),
+d AS (SELECT doc_id, lower(text) AS low FROM documents)
+SELECT doc_id AS chunk_id, name FROM d JOIN n ON contains(low, lower(name))""")
+def names_in_documents(spark, d):
+    """The long words of all conversations that stand in a document, alone or within words, for all documents."""
+    words = t(spark, d, "conversations").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " ")).alias("name")).where("length(name) >= 9")
+    return retrieve.names_in_all(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), words)
+
+
 GRAPH_CHUNKS_SQL = f"""
 WITH m AS ({MENTIONS_SQL}), k AS ({KNN_SQL}), n AS (SELECT id FROM ({khop_sql('nodes', 2, 60, 10, 40)}))
 SELECT chunk_id, count(DISTINCT CASE WHEN entity_id IN ('customer:7', 'customer:1', 'customer:2') THEN entity_id END) AS graph_score

@@ -121,6 +121,15 @@ def test_matching(spark):
     assert got == ["Form I-693", "Form I-485", "H-1B"]
 
 
+def test_names_in_all_contents(spark):
+    """Against a search of every content for every name: case, parts of words, signs, line breaks, short names, nulls and repeats."""
+    contents = [(1, "See Form I-485 and\nForm I-693."), (2, "form i-4850"), (3, None), (4, ""), (5, "aaaaaaa"), (6, "ÜBER die Straße"), (6, "ab"), (7, "line\nbreak here")]
+    names = ["Form I-485", "FORM I-693", "aaaaa", "aaaaaaaaa", "über d", "e\nbreak", "abcd", "I-48", None, "Form I-485", "nothing", "(.*)+x"]
+    got = retrieve.names_in_all(spark.createDataFrame(contents, "chunk_id long, content string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    want = [(i, n) for i, c in contents if c for n in sorted({n for n in names if n and len(n) >= 5}) if n.lower() in c.lower()]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 6
+
+
 def test_failures_are_not_cached(spark):
     def broken(content, heading, context):
         if "bad" in content:
