@@ -77,7 +77,10 @@ class GraphLog:
         return self.current(name, touched, on, also_new=False)
 
     def add(self, extraction: DataFrame, documents: DataFrame, chunks: DataFrame) -> None:
-        """A batch: ``extraction`` (doc_id, chunk_id, seq, entities, relations) and ``chunks`` (doc_id, id, heading_path, filepath) of ``documents`` (doc_id), whose earlier rows go."""
+        """A batch: ``extraction`` (doc_id, chunk_id, seq, entities, relations) and ``chunks`` (doc_id, id, heading_path, filepath) of ``documents`` (doc_id), whose earlier rows go.
+
+        ``seq`` orders all rows, and two versions of a document never share one (the engine's begins with the batch).
+        """
         self._chunks(documents, chunks)
         changed = self._entities(extraction, documents)
         edges = self._relations(extraction, documents, changed)
