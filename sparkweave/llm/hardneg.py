@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkweave.llm.bitsliced import AREA, _limit, _whole, usable
-from sparkweave.llm.common import dropped, free_names, in_arrow, table, written
+from sparkweave.llm.common import free_names, in_arrow, table, written
 
 #: Most rows of a block, most anchors that meet a block at once.
 BLOCK_ROWS, BLOCK_ANCHORS = 32768, 256
