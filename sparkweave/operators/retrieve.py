@@ -23,26 +23,55 @@ def names_in_contents(contents: DataFrame, entities: DataFrame) -> DataFrame:
     return forms.join(low, F.contains(F.col("low"), F.lower("name"))).select("name").distinct()
 
 
-def trigrams(text: Column) -> Column:
-    """The different three-character parts of a lower-cased text, read in one pass."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(...))"), F.lit(1)))
+def grams(text: Column, size: int) -> Column:
+    """The different parts of ``size`` characters of a text, read in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def tokens(text: Column) -> Column:
+    """The different lower-cased parts of a text between white space."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"\s+")), lambda w: w != "")
+
+
+def parts_in_tokens(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """part, token for every part that a token contains. ``parts``: part; ``vocabulary``: token; both of different values.
+
+    Postings of grams of up to ``MIN_NAME`` characters take the place of a search of every token for every part: a token is searched for a part only if it has the part's
+    rarest gram. Postings are made for grams that parts have.
+    """
+    size = lambda part: F.least(F.length(part), F.lit(MIN_NAME))
+    sized = parts.withColumn("size", size(F.col("part")))
+    found = None
+    for n in sorted(r["size"] for r in sized.select("size").distinct().collect()):  # at most MIN_NAME numbers
+        wanted = written(sized.where(F.col("size") == n).select("part", F.explode(grams(F.col("part"), n)).alias("gram")), "grams")
+        postings = vocabulary.where(F.length("token") >= n).select("token", F.explode(grams(F.col("token"), n)).alias("gram"))
+        postings = written(postings.join(wanted.select("gram").distinct(), "gram", "left_semi"), "postings")
+        count = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        rare = wanted.join(count, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).where("k.n > 0")
+        hits = postings.join(rare.select("part", F.col("k.gram").alias("gram")), "gram").where(F.contains("token", "part")).select("part", "token")
+        found = hits if found is None else found.unionByName(hits)
+    return parts.select("part", F.lit("").alias("token")).limit(0) if found is None else found
 
 
 def names_in_all(contents: DataFrame, names: DataFrame, least: int = MIN_NAME) -> DataFrame:
     """chunk_id, name for every name of at least ``least`` characters (three or more) that a content contains, case aside. ``contents``: chunk_id, content; ``names``: name.
 
-    A posting table of trigrams takes the place of a search of every content for every name: a content is searched for a name only if it has the name's rarest
-    trigram, and not at all if no content has one of them. Postings are made for trigrams that names have; nothing is broadcast that grows with either table.
+    A content that contains a name has a token (what lies between white space) that contains the name's longest part between white space. So parts are searched
+    in the different tokens of all contents, whose number grows more slowly than the contents do, and a content takes the parts of its tokens. Only names of several
+    parts, or with white space at an end, are then looked for in contents themselves. Nothing is broadcast that grows with either table.
     Null contents and names are in no row; equal names count once.
     """
-    named = names.where(F.length("name") >= max(3, least)).select("name").distinct()
-    parts = written(named.select("name", F.explode(trigrams(F.col("name"))).alias("part")), "parts")
-    postings = contents.select("chunk_id", F.explode(trigrams(F.col("content"))).alias("part")).join(parts.select("part").distinct(), "part", "left_semi")
-    postings = written(postings, "postings")
-    count = postings.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    rare = parts.join(count, "part", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("k")).where("k.n > 0")
-    likely = written(postings.join(rare.select("name", F.col("k.part").alias("part")), "part").select("chunk_id", "name"), "likely")
-    return contents.select("chunk_id", "content").join(likely, "chunk_id").where(F.contains(F.lower("content"), F.lower("name"))).select("chunk_id", "name")
+    longest = F.reduce(tokens(F.col("name")), F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
+    named = written(names.where(F.length("name") >= max(3, least)).select("name").distinct().withColumn("part", longest), "names")
+    parts = named.where("part <> ''").select("part").distinct()
+    of_contents = contents.where("chunk_id is not null").select("chunk_id", F.explode(tokens(F.col("content"))).alias("token"))
+    hits = written(parts_in_tokens(parts, written(of_contents.select("token").distinct(), "vocabulary")), "hits")
+    found = of_contents.join(hits, "token").select("chunk_id", "part").distinct().join(named, "part").select("chunk_id", "name", "part")
+    whole = F.lower("name") == F.col("part")
+    several = found.where(~whole).select("chunk_id", "name")
+    inside = contents.select("chunk_id", "content").join(several, "chunk_id").unionByName(contents.select("chunk_id", "content").crossJoin(named.where("part = ''").select("name")))
+    inside = inside.where(F.col("chunk_id").isNotNull() & F.contains(F.lower("content"), F.lower("name"))).select("chunk_id", "name").distinct()
+    return found.where(whole).select("chunk_id", "name").unionByName(inside)
 
 
 def matched_entities(entities: DataFrame, query_entities: DataFrame, chunk_names: DataFrame) -> DataFrame:
