@@ -114,12 +114,15 @@ def merged(vector: DataFrame, graph: DataFrame) -> DataFrame:
 def graph_chunks_many(mentions: DataFrame, nodes: DataFrame, seeds: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """question, chunk_id, graph_score, rank: ``graph_chunks`` for all questions at once.
 
-    ``nodes`` and ``seeds``: question, id; ``vectors``: question, chunk_id. Scores are summed before the shuffle, and k rows a question leave each task.
+    ``nodes`` and ``seeds``: question, id; ``vectors``: question, chunk_id. Mentions of other entities go before anything is shuffled, scores are summed before the
+    shuffle, and k rows a question leave each task.
     """
     ids = nodes.select("question", F.col("id").alias("entity_id"))
     seed = seeds.select("question", F.col("id").alias("entity_id"), F.lit(1).alias("seed")).distinct()
     marked = ids.join(seed, ["question", "entity_id"], "left")
-    reached = mentions.select("chunk_id", "entity_id").distinct().join(marked, "entity_id")
+    marked = written(marked, "marked")  # its size is known to the joins
+    touched = mentions.select("chunk_id", "entity_id").join(marked.select("entity_id").distinct(), "entity_id", "left_semi")
+    reached = touched.distinct().join(marked, "entity_id")
     scores = reached.groupBy("question", "chunk_id").agg(F.count("seed").alias("graph_score"))
     new = scores.join(vectors.select("question", "chunk_id"), ["question", "chunk_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("graph_score"), "chunk_id"))
