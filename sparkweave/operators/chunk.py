@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from sparkweave.functions import text as T
+from sparkweave.tables import in_arrow
 
 MAX_CHARS, MIN_CHARS, OVERLAP = 1500, 500, 100
 BETWEEN = "\n\n"
@@ -71,7 +72,7 @@ def chunked(sections: DataFrame, max_chars: int = MAX_CHARS, min_chars: int = MI
                 pieces.append([dict(zip(("text", "start", "end"), c)) for c in chunks])
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(pieces, kind)], names=[*names, "pieces"])
 
-    return rows.mapInArrow(run, StructType([*sections.schema.fields, *StructType.fromDDL(f"pieces {PIECE}").fields]))
+    return in_arrow(rows, run, StructType([*sections.schema.fields, *StructType.fromDDL(f"pieces {PIECE}").fields]))
 
 
 def section_offsets(sections: DataFrame, by: list[str], order: list[str], text: str = "text", name: str = "offset") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkweave.functions import text as T
+from sparkweave.tables import in_arrow
 
 HTML_EXTENSIONS, PDF_EXTENSIONS = (".html", ".htm", ".xhtml"), (".pdf",)
 SEPARATOR = " > "
@@ -150,7 +151,7 @@ def pages_to_sections(pages: DataFrame, key: str, html: str, path: str | None =
 
     where = F.col(path) if path else F.lit(None)
     rows = pages.select(F.col(key).cast("string").alias("doc_id"), where.cast("string").alias("filepath"), F.col(html))
-    out = rows.mapInArrow(run, "doc_id string, filepath string, section_no int, heading_path string, level int, text string, error string")
+    out = in_arrow(rows, run, "doc_id string, filepath string, section_no int, heading_path string, level int, text string, error string")
     return out.withColumn("metadata", F.expr("cast(map() as map<string,string>)"))
 
 
