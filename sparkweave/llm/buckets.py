@@ -12,7 +12,7 @@ A bucket goes on until nothing in it is open: in each turn some nodes of its ind
 of other classes and leave the bucket; it ends with its last index part, or when all its nodes are one class. The first turn has one
 pivot for a bucket, which gathers groups of copies; later turns take all of a small bucket, and 16 times as many of a large one
 each time, and there sketches exclude pairs inside the join, before anything is written. Classes are connected components of
-verified links; no link or class comes to the driver.
+verified links; no link or class comes to the driver. Links that are found in another way first close buckets before they are opened.
 """
 
 from __future__ import annotations
@@ -91,17 +91,51 @@ def alike(a: str, b: str, percent: int) -> Column:
     return apart <= sizes - 2 * F.ceil(percent / (100 + percent) * sizes - 1e-6)
 
 
-def classes(nodes: DataFrame, percent: int, verified) -> DataFrame | None:
+def ends(pairs: DataFrame) -> DataFrame:
+    """The different nodes of pairs a, b."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+class _Links:
+    """Verified links and the classes that they make. ``nodes``: node, size and SKETCH."""
+
+    def __init__(self, nodes: DataFrame, percent: int, verified) -> None:
+        self.nodes, self.percent, self.verified = nodes, percent, verified
+        self.links = self.labels = self.tried = None
+        self.tables: list[DataFrame] = []
+
+    def look(self, pairs: DataFrame, turn: int) -> None:
+        """Verifies different pairs a, b that sketches do not exclude and that were not verified before."""
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        # What sketches exclude is not remembered: they exclude it again.
+        side = lambda x: self.nodes.select(F.col("node").alias(x), *(F.col(c).alias(x + c) for c in ("size", *SKETCH)))
+        likely = written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike("a", "b", self.percent)).select("a", "b"), "likely")
+        self.tables.append(likely)
+        if not likely.limit(1).count():
+            return
+        self.tried = likely if self.tried is None else self.tried.unionByName(likely)
+        found = self.verified(likely, turn)
+        self.tables.append(found)
+        if found.limit(1).count():
+            self.links = found if self.links is None else self.links.unionByName(found)
+            if self.labels is not None:
+                dropped(self.labels)
+            self.labels = components(self.links)
+
+
+def classes(nodes: DataFrame, percent: int, verified, near: DataFrame | None = None) -> DataFrame | None:
     """node, label of the nodes that have links (a written table), or null if there are none.
 
     ``nodes``: node, size, first (``prefix`` shingles by the common order) and SKETCH. ``verified(pairs, turn)`` returns those of the
-    pairs a, b that are similar.
+    pairs a, b that are similar, as a written table. ``near``: different pairs a, b to look at first; buckets then begin with their classes.
     """
-    rows = written(members(nodes, percent), "members")
-    links = labels = tried = None
-    tables, turn = [], 0
+    found = _Links(nodes, percent, verified)
+    if near is not None:
+        found.look(near, -1)
+    rows, turn = written(members(nodes, percent), "members"), 0
     while True:
-        now = _open(rows, labels)
+        now = _open(rows, found.labels)
         now = written(now if turn != 1 else _with_sketches(now, nodes), "members")
         dropped(rows)
         rows = now
@@ -112,25 +146,10 @@ def classes(nodes: DataFrame, percent: int, verified) -> DataFrame | None:
         if turn:
             meet = meet & F.coalesce(alike("p.", "m.", percent), F.lit(True))
         pairs = pivots.alias("p").join(rows.alias("m"), F.expr("p.key = m.key") & meet)
-        pairs = pairs.select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        # What sketches exclude is not remembered: they exclude it again.
-        side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(x + c) for c in ("size", *SKETCH)))
-        likely = written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike("a", "b", percent)).select("a", "b"), "likely")
-        tables.append(likely)
-        if likely.limit(1).count():
-            tried = likely if tried is None else tried.unionByName(likely)
-            found = written(verified(likely, turn), "links")
-            tables.append(found)
-            if found.limit(1).count():
-                links = found if links is None else links.unionByName(found)
-                if labels is not None:
-                    dropped(labels)
-                labels = components(links)
+        found.look(pairs.select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct(), turn)
         rest = written(rows.join(pivots.select("key", "node"), ["key", "node"], "left_anti"), "members")
         dropped(rows, pivots)
         rows = rest
         turn += 1
-    dropped(rows, *tables)
-    return labels
+    dropped(rows, *found.tables)
+    return found.labels

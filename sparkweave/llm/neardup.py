@@ -1,13 +1,17 @@
-"""Near-duplicate documents: candidates by prefix filtering on word shingles, verified by Jaccard similarity.
+"""Near-duplicate documents: SimHash by covering hashing, verified by Jaccard similarity; a prefix filter for what fingerprints leave.
 
 Texts are compared by their lower-case (A-Z) words. Equal word sequences are one text. Two texts are linked if the sets of their
 five-word shingles have a Jaccard similarity of at least 0.8. All links count: the classes are those of brute force, but for
 collisions of 64-bit hashes.
 
-The shingles of each text are put into one order for all texts, rare ones first; how rare is read from counts under
-``COUNTERS`` hash values, and any order would give the same classes. ``buckets`` finds the pairs that share one of their first shingles, excludes
-pairs by their sketches, and turns verified links into classes. Only texts of pairs that remain are read again, for their whole sets; no
-shingle comes to the driver, only the counts.
+Every text has ``FINGERPRINTS``, the bitwise majorities of the hashes of its different words under as many seeds: a few other words move few
+bits, so most near copies are within 2 bits in one of them. ``simhash.links_within_two`` finds these by its covering tables; the pairs are verified, and their
+classes are what the second step begins with.
+
+Fingerprints alone would miss links, so the rest is found exactly. The shingles of each text are put into one order for all texts, rare ones first; how
+rare is read from counts under ``COUNTERS`` hash values, and any order would give the same classes. ``buckets`` finds the pairs of different classes
+that share one of their first shingles, excludes pairs by their sketches, and turns verified links into classes. Only texts of pairs that remain are
+read again, for their whole sets; no shingle comes to the driver, only the counts.
 
 Cases: null, empty and blank texts are one text without words; texts of fewer than five words are one shingle; rows with
 one doc_id and different texts are documents of their own, equal ones are copies; of rows with the least doc_id of a class one stays; a
@@ -25,11 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sparkweave.llm import buckets
+from sparkweave.llm import buckets, simhash
 from sparkweave.llm.buckets import SKETCH, prefix, sketch
 from sparkweave.llm.common import dropped, free_names, in_arrow, written
 
 WIDTH, PERCENT = 5, 80
+#: Columns of fingerprints, and the odd factors that make one seed's hashes of another's.
+FINGERPRINTS = [f"f{i}" for i in range(4)]
+_SEEDS = np.array([xxhash.xxh64_intdigest(b"fingerprint", i) | 1 for i in range(len(FINGERPRINTS))], np.uint64)
 #: Hash values under which shingles are counted.
 COUNTERS = 1 << 18
 #: Hash values of a bitmap of wanted ids.
@@ -50,6 +57,34 @@ def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
+def fingerprints(words: list[bytes]) -> list[int]:
+    """A SimHash fingerprint of the different words for each seed."""
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in set(words)], np.uint64)
+    out = []
+    for seed in _SEEDS:
+        ones = np.zeros(64, np.int64)
+        for low in range(0, len(hashes), simhash.BLOCK):
+            mixed = hashes[low : low + simhash.BLOCK] * seed
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * seed
+            ones += simhash.bit_counts(mixed ^ (mixed >> np.uint64(29)))
+        out.append(simhash.majority(ones, len(hashes)))
+    return out
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes with words whose fingerprints are within 2 bits under some seed. Of equal fingerprints the least node stands for all: the others meet
+    it, and it meets those that links lead to, so pairs grow with the nodes and not with their squares."""
+    found = []
+    for f in FINGERPRINTS:
+        fps = nodes.where("size > 0").select("node", F.col(f).alias("fp"))
+        heads = fps.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
+        head = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias("head_" + x))
+        found.append(fps.join(heads.where("n > 1"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+        across = simhash.links_within_two(heads.select("fp")).join(head("a"), "a").join(head("b"), "b")
+        found.append(across.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -81,27 +116,28 @@ def rare_first(shingle_set: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, t0, t1 (a 128-bit hash of the word sequence), size (distinct shingles), the first shingles and the sketch for every row."""
+    """doc_id, t0, t1 (a 128-bit hash of the word sequence), size (distinct shingles), the first shingles, the fingerprints and the sketch for every row."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
 
     def run(batches):
         order = counts.value
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            sketches = []
+            bits = []
             for text in batch.column("text").to_pylist():
                 words = _words(text)
                 s = shingles(words)
                 first = rare_first(s, order)[: prefix(percent, len(s))]
                 for column, value in zip(out, (*_identity(words), len(s), first.view(np.int64))):
                     column.append(value)
-                sketches.append(sketch(s))
+                bits.append([*fingerprints(words), *sketch(s)])
             types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            bits = np.array(sketches, np.int64).reshape(-1, len(SKETCH)).T
-            columns = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types)), *(pa.array(np.ascontiguousarray(b)) for b in bits)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "size", "first", *SKETCH])
+            names = [*FINGERPRINTS, *SKETCH]
+            numbers = np.array(bits, np.int64).reshape(-1, len(names)).T
+            columns = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types)), *(pa.array(np.ascontiguousarray(b)) for b in numbers)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "size", "first", *names])
 
-    return docs.transform(in_arrow, run, "doc_id long, t0 long, t1 long, size int, first array<long>, " + ", ".join(f"{b} long" for b in SKETCH))
+    return docs.transform(in_arrow, run, "doc_id long, t0 long, t1 long, size int, first array<long>, " + ", ".join(f"{b} long" for b in (*FINGERPRINTS, *SKETCH)))
 
 
 def _slots(doc_id: Column) -> Column:
@@ -152,14 +188,19 @@ class Sets:
         self.tables: list[DataFrame] = []
 
     def verified(self, pairs: DataFrame, turn: int) -> DataFrame:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = written(buckets.ends(pairs), "asked")
+        need = asked
         for known in self.tables:
             need = need.join(known.select("node"), "node", "left_anti")
         need = written(need.join(self.owners.select("node", "doc_id", "t0", "t1"), "node"), "need")
         more = shingle_sets(self.docs, need, self.identity, self.width)
         self.tables.append(written(more.dropDuplicates(["node"]) if self.repeats else more, "shingles"))
         dropped(need)
-        return similar(pairs, reduce(DataFrame.unionByName, self.tables), self.percent)
+        # Of the sets of earlier turns only those that are asked for move.
+        sets = reduce(DataFrame.unionByName, self.tables).join(asked, "node", "left_semi")
+        out = written(similar(pairs, sets, self.percent), "similar")
+        dropped(asked)
+        return out
 
     def drop(self) -> None:
         dropped(*self.tables)
@@ -194,7 +235,9 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = written(every.select("doc_id", "t0", "t1"), "ids")
     dropped(every)
     sets = Sets(docs, equal, percent, repeats)
-    labels = buckets.classes(texts, percent, sets.verified)
+    near = written(fingerprint_pairs(texts), "near")
+    labels = buckets.classes(texts, percent, sets.verified, near)
+    dropped(near)
     sets.drop()
     dropped(texts)
     links = equal.select("node", F.col("node").alias("label")).limit(0) if labels is None else labels

@@ -29,6 +29,16 @@ from sparkweave.llm.components import components
 BLOCK = 1 << 16
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, count: int) -> int:
+    """The signed 64-bit number of the bits that more than half of ``count`` hashes have."""
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """The signed 64-bit fingerprint of one text."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change and only ASCII white space splits
@@ -42,10 +52,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(64, np.int64)
     for low in range(0, count, BLOCK):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(begins[low : low + BLOCK], ends[low : low + BLOCK])], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > count, bitorder="little")
-    return int(bits.view("<i8")[0])
+        ones += bit_counts(np.array([digest(joined[a:b], seed) for a, b in zip(begins[low : low + BLOCK], ends[low : low + BLOCK])], dtype="<u8"))
+    return majority(ones, count)
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
