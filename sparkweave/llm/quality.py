@@ -37,6 +37,7 @@ COMMON = frozenset(
 )
 _SIGNS = frozenset("#$%&*|{}<>=~^@\\_")
 _ENDS = re.compile(r"[.!?:;\"')\]]$")
+_AGAIN = re.compile(r"(.)\1+")
 
 
 class Memo(dict):
@@ -60,13 +61,19 @@ def _kind(word: str) -> tuple[bool, bool]:
     return word.strip(".,;:!?") in COMMON, not word.strip(".,;:!?'\"()-").replace("-", "").replace("'", "").isalnum()
 
 
-def _buckets(word: str) -> tuple[int, int]:
-    """The hashed shape and the hashed word."""
-    shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
-    return zlib.crc32(b"s" + shape.encode()) % DIMS, zlib.crc32(b"w" + word.lower().encode()) % DIMS
+def _form(code: int) -> str:
+    """What stands for a character in a shape."""
+    c = chr(code)
+    return "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
 
 
-_kinds, _places = Memo(_kind), Memo(_buckets)
+def _buckets(word: str) -> int:
+    """The hashed shape and, above it, the hashed word."""
+    shape = _AGAIN.sub(r"\1", word.translate(_forms))
+    return zlib.crc32(b"s" + shape.encode()) % DIMS + zlib.crc32(b"w" + word.lower().encode()) % DIMS * DIMS
+
+
+_kinds, _places, _forms = Memo(_kind), Memo(_buckets), Memo(_form)
 
 
 def _bad(hit: bool) -> int:
@@ -144,14 +151,11 @@ def em(patterns: list[tuple[list[int], int]], steps: int = 100, prior: float = 0
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed words and shapes with their square-rooted shares of all words."""
     words = (text or "").split()
-    counts: Counter = Counter()
-    for word, n in Counter(words).items():
-        shape, place = _places[word]
-        counts[shape] += n
-        counts[place] += n
-    if not counts:
+    if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    return np.fromiter(counts, np.int32), np.sqrt(np.fromiter(counts.values(), np.float32) / len(words))
+    both = np.fromiter(map(_places.__getitem__, words), np.int64, len(words))
+    at, counts = np.unique(np.concatenate([both % DIMS, both // DIMS]), return_counts=True)
+    return at.astype(np.int32), np.sqrt(counts.astype(np.float32) / len(words))
 
 
 def fit_linear(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray | None = None, penalty: float = 1e-4, steps: int = 200, rate: float = 20.0) -> tuple[np.ndarray, float]:
