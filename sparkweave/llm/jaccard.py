@@ -77,12 +77,16 @@ def sets_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def under_all_orders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs a, b that share a first shingle under each of the further orders."""
-    side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(x + c) for c in ORDERED))
+    """The pairs a, b that share a first shingle under each of the further orders. Of ``nodes`` only those of the pairs move."""
+    asked = written(buckets.ends(pairs), "asked")
+    mine = nodes.join(asked, "node", "left_semi")
+    side = lambda x: mine.select(F.col("node").alias(x), *(F.col(c).alias(x + c) for c in ORDERED))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     for c in ORDERED:
         both = both.where(F.arrays_overlap("a" + c, "b" + c))
-    return both.select("a", "b")
+    out = written(both.select("a", "b"), "candidates")
+    dropped(asked)
+    return out
 
 
 def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -101,8 +105,8 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = Sets(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))), one.withColumnRenamed("key", "doc_id"), percent, repeats, _identity, WIDTH)
 
     def verified(pairs: DataFrame, turn: int) -> DataFrame:
-        candidates = written(under_all_orders(pairs, nodes), "candidates")
-        out = written(sets.verified(candidates, turn), "similar")
+        candidates = under_all_orders(pairs, nodes)
+        out = sets.verified(candidates, turn)
         dropped(candidates)
         return out
 
