@@ -73,16 +73,17 @@ def fingerprints(words: list[bytes]) -> list[int]:
 
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs a, b of nodes with words whose fingerprints are within 2 bits under some seed. Of equal fingerprints the least node stands for all: the others meet
-    it, and it meets those that links lead to, so pairs grow with the nodes and not with their squares."""
-    found = []
-    for f in FINGERPRINTS:
-        fps = nodes.where("size > 0").select("node", F.col(f).alias("fp"))
-        heads = fps.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
-        head = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias("head_" + x))
-        found.append(fps.join(heads.where("n > 1"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
-        across = simhash.links_within_two(heads.select("fp")).join(head("a"), "a").join(head("b"), "b")
-        found.append(across.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")))
-    return reduce(DataFrame.unionByName, found).distinct()
+    it, and it meets those that links lead to, so pairs grow with the nodes and not with their squares. All seeds go through one plan; a plan for each
+    would compile and hold its steps as often as there are seeds."""
+    fps = nodes.where("size > 0").select("node", F.posexplode(F.array(*FINGERPRINTS)).alias("seed", "fp"))
+    heads = written(fps.groupBy("seed", "fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
+    links = written(simhash.links_within_two(heads.select("seed", "fp"), "seed"), "links")
+    head = lambda x: heads.select("seed", F.col("fp").alias(x), F.col("head").alias("head_" + x))
+    equal = fps.join(heads.where("n > 1"), ["seed", "fp"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    across = links.join(head("a"), ["seed", "a"]).join(head("b"), ["seed", "b"])
+    out = written(equal.unionByName(across.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))).distinct(), "near")
+    dropped(heads, links)
+    return out
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -235,7 +236,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = written(every.select("doc_id", "t0", "t1"), "ids")
     dropped(every)
     sets = Sets(docs, equal, percent, repeats)
-    near = written(fingerprint_pairs(texts), "near")
+    near = fingerprint_pairs(texts)
     labels = buckets.classes(texts, percent, sets.verified, near)
     dropped(near)
     sets.drop()

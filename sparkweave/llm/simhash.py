@@ -75,14 +75,15 @@ def covering_masks(radius: int, bits: int = 64) -> list[int]:
 
 
 def in_tables(fps: DataFrame, masks: list[int]) -> DataFrame:
-    """fp, mask and key for every table."""
-    return fps.select("fp", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    """The columns, mask and key for every table."""
+    return fps.select("*", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def shared_buckets(rows: DataFrame) -> DataFrame:
+def shared_buckets(rows: DataFrame, *by: str) -> DataFrame:
     """The rows whose bucket holds more than one fingerprint. Counts are summed before the shuffle, so large buckets are no hot keys."""
-    full = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mask", "key")
-    return rows.join(full, ["mask", "key"])
+    bucket = [*by, "mask", "key"]
+    full = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*bucket)
+    return rows.join(full, bucket)
 
 
 def _flips(fp: Column, mask: Column) -> Column:
@@ -91,12 +92,15 @@ def _flips(fp: Column, mask: Column) -> Column:
     return F.transform(F.filter(ones, lambda b: b.bitwiseAND(mask) == 0), lambda b: fp.bitwiseXOR(b))
 
 
-def links_within_two(fps: DataFrame) -> DataFrame:
-    """Links a, b between distinct fingerprints that join all pairs within 2 bits (as stars: a is the least of a word's neighbours)."""
-    rows = shared_buckets(in_tables(fps, covering_masks(2)))
-    near = rows.select("fp", F.explode(_flips(F.col("fp"), F.col("mask"))).alias("word")).distinct()
-    stars = near.groupBy("word").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    return stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
+def links_within_two(fps: DataFrame, *by: str) -> DataFrame:
+    """Links a, b between distinct fingerprints that join all pairs within 2 bits (as stars: a is the least of a word's neighbours).
+
+    ``by``: columns beside fp; fingerprints that differ in them are kinds of their own, which all go through one plan.
+    """
+    rows = shared_buckets(in_tables(fps, covering_masks(2)), *by)
+    near = rows.select(*by, "fp", F.explode(_flips(F.col("fp"), F.col("mask"))).alias("word")).distinct()
+    stars = near.groupBy(*by, "word").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    return stars.select(*by, F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:

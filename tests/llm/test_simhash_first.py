@@ -4,6 +4,7 @@ import random
 
 from sparkweave.llm import buckets
 from sparkweave.llm import neardup as N
+from sparkweave.llm import simhash
 
 
 def _copies():
@@ -39,3 +40,21 @@ def test_equal_fingerprints_make_few_pairs(spark):
     nodes = spark.createDataFrame(rows, "node long, size int, " + ", ".join(f"{f} long" for f in N.FINGERPRINTS))
     pairs = {(r["a"], r["b"]) for r in N.fingerprint_pairs(nodes.select("node", "size", *(nodes["f0"].alias(f) for f in N.FINGERPRINTS))).collect()}
     assert pairs == {(0, i) for i in range(1, 300)}
+
+
+def test_all_seeds_go_through_one_plan(spark, monkeypatch):
+    """Links of all seeds come from one call of the covering tables, and are those of each seed alone."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(0, 120, 2):
+        fps = [rng.getrandbits(63) for _ in N.FINGERPRINTS]
+        near = [rng.getrandbits(63) for _ in fps]
+        near[i // 2 % 4] = fps[i // 2 % 4] ^ 1 << rng.randrange(63) ^ 1 << rng.randrange(63)
+        rows += [(i, 5, *fps), (i + 1, 5, *near)]
+    rows.append((500, 5, rows[0][3], *(rng.getrandbits(63) for _ in range(3))))  # one seed's fingerprint under another seed: no link
+    nodes = spark.createDataFrame(rows, "node long, size int, " + ", ".join(f"{f} long" for f in N.FINGERPRINTS))
+    calls, links = [], simhash.links_within_two
+    monkeypatch.setattr(simhash, "links_within_two", lambda *a: calls.append(1) or links(*a))
+    pairs = [(r["a"], r["b"]) for r in N.fingerprint_pairs(nodes).collect()]
+    assert sorted(pairs) == [(i, i + 1) for i in range(0, 120, 2)]
+    assert len(calls) == 1
