@@ -67,13 +67,19 @@ def _form(code: int) -> str:
     return "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
 
 
+def _shape(form: str) -> int:
+    """The hashed shape of a word whose characters were replaced by what stands for them."""
+    return zlib.crc32(b"s" + _AGAIN.sub(r"\1", form).encode()) % DIMS
+
+
 def _buckets(word: str) -> int:
-    """The hashed shape and, above it, the hashed word."""
-    shape = _AGAIN.sub(r"\1", word.translate(_forms))
-    return zlib.crc32(b"s" + shape.encode()) % DIMS + zlib.crc32(b"w" + word.lower().encode()) % DIMS * DIMS
+    """The hashed shape and, above it, the hashed word; above these, whether the word is a common one and whether it has signs in it."""
+    low = word.lower()
+    common, odd = _kinds[low]
+    return _shapes[word.translate(_forms)] + zlib.crc32(b"w" + low.encode()) % DIMS * DIMS + DIMS * DIMS * (common + 2 * odd)
 
 
-_kinds, _places, _forms = Memo(_kind), Memo(_buckets), Memo(_form)
+_kinds, _shapes, _places, _forms = Memo(_kind), Memo(_shape), Memo(_buckets), Memo(_form)
 
 
 def _bad(hit: bool) -> int:
@@ -97,21 +103,29 @@ def _characters(text: str) -> tuple[int, int, int]:
     return upper, letters, signs
 
 
-def votes(text: str | None) -> list[int]:
-    """The heuristics' votes on a text."""
+def places(text: str | None) -> np.ndarray:
+    """What ``_buckets`` gives for each word of a text."""
+    words = (text or "").split()
+    return np.fromiter(map(_places.__getitem__, words), np.int64, len(words))
+
+
+def votes(text: str | None, at: np.ndarray | None = None) -> list[int]:
+    """The heuristics' votes on a text. ``at``: its places, if they are known."""
     text = text or ""
-    words = text.split()
-    n = len(words)
+    low = text.lower().split()
+    n = len(low)
     if not n:
         return [0] * 10
     upper, letters, signs = _characters(text)
     capitals, shouts, signs = upper / max(1, letters), text.count("!") / n, signs / n
     lines = [x for x in text.split("\n") if x.strip()]
-    low = text.lower().split()
     counts = Counter(low)
     triples_again = 1 - len(set(zip(low, low[1:], low[2:]))) / (n - 2) if n > 2 else 0.0
-    common = sum(k for w, k in counts.items() if _kinds[w][0]) / n
-    odd = sum(k for w, k in counts.items() if _kinds[w][1]) / n
+    if at is None:
+        kinds = [(k, *_kinds[w]) for w, k in counts.items()]
+        common, odd = sum([k for k, c, _ in kinds if c]) / n, sum([k for k, _, o in kinds if o]) / n
+    else:
+        common, odd = int(np.count_nonzero(at & DIMS * DIMS)) / n, int(np.count_nonzero(at & 2 * DIMS * DIMS)) / n
     ends = sum(1 for x in lines if _ENDS.search(x)) / len(lines)
     return [
         _bad(signs > 0.1),  # signs
@@ -148,14 +162,15 @@ def em(patterns: list[tuple[list[int], int]], steps: int = 100, prior: float = 0
     return good, accuracy, share
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and shapes with their square-rooted shares of all words."""
-    words = (text or "").split()
-    if not words:
+def features(text: str | None, both: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words and shapes with their square-rooted shares of all words. ``both``: the text's places, if they are known."""
+    both = places(text) if both is None else both
+    if not len(both):
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    both = np.fromiter(map(_places.__getitem__, words), np.int64, len(words))
-    at, counts = np.unique(np.concatenate([both % DIMS, both // DIMS]), return_counts=True)
-    return at.astype(np.int32), np.sqrt(counts.astype(np.float32) / len(words))
+    found = np.sort(np.concatenate([both & DIMS - 1, both >> DIMS.bit_length() - 1 & DIMS - 1]).astype(np.int32))
+    begins = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    counts = np.diff(begins, append=len(found))
+    return found[begins], np.sqrt(counts.astype(np.float32) / len(both))
 
 
 def fit_linear(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray | None = None, penalty: float = 1e-4, steps: int = 200, rate: float = 20.0) -> tuple[np.ndarray, float]:
@@ -223,8 +238,9 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         for batch in batches:
             out: list[list] = [[], [], []]
             for text in batch.column("text").to_pylist():
-                pattern = "".join("-01"[v + 1] for v in votes(text))
-                at, value = features(text)
+                both = places(text)  # words are looked up once for votes and features
+                pattern = "".join(["-01"[v + 1] for v in votes(text, both)])
+                at, value = features(text, both)
                 z = float(w[at] @ value) + bias
                 score = 1 / (1 + np.exp(-np.clip(z, -500, 500))) if len(at) else 0.0
                 for column, x in zip(out, (pattern, shared.value[pattern], float(score))):
