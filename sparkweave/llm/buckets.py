@@ -12,7 +12,8 @@ A bucket goes on until nothing in it is open: in each turn some nodes of its ind
 of other classes and leave the bucket; it ends with its last index part, or when all its nodes are one class. The first turn has one
 pivot for a bucket, which gathers groups of copies; later turns take all of a small bucket, and 16 times as many of a large one
 each time, and there sketches exclude pairs inside the join, before anything is written. Classes are connected components of
-verified links; no link or class comes to the driver. Links that are found in another way first close buckets before they are opened.
+verified links; a turn's links join the classes of the turns before, so each link is followed in one turn only; no link or class comes to
+the driver. Links that are found in another way first close buckets before they are opened.
 """
 
 from __future__ import annotations
@@ -96,12 +97,28 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label: the least node of the class; or null) after further links a, b: the same labels as ``components`` gives for all links
+    together. Only pairs of classes that the new links join go through its rounds, each once. A written table."""
+    if labels is None:
+        return components(links)
+    label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias("label_" + x))
+    met = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    across = written(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    roots = components(across)
+    # A root's node is a class's label or a node that had no links before.
+    moved = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    out = written(moved.unionByName(roots.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+    dropped(across, roots)
+    return out
+
+
 class _Links:
-    """Verified links and the classes that they make. ``nodes``: node, size and SKETCH."""
+    """The classes that verified links make. ``nodes``: node, size and SKETCH."""
 
     def __init__(self, nodes: DataFrame, percent: int, verified) -> None:
         self.nodes, self.percent, self.verified = nodes, percent, verified
-        self.links = self.labels = self.tried = None
+        self.labels = self.tried = None
         self.tables: list[DataFrame] = []
 
     def look(self, pairs: DataFrame, turn: int) -> None:
@@ -116,12 +133,10 @@ class _Links:
             return
         self.tried = likely if self.tried is None else self.tried.unionByName(likely)
         found = self.verified(likely, turn)
-        self.tables.append(found)
         if found.limit(1).count():
-            self.links = found if self.links is None else self.links.unionByName(found)
-            if self.labels is not None:
-                dropped(self.labels)
-            self.labels = components(self.links)
+            before, self.labels = self.labels, merged(self.labels, found)
+            dropped(*([] if before is None else [before]))
+        dropped(found)
 
 
 def classes(nodes: DataFrame, percent: int, verified, near: DataFrame | None = None) -> DataFrame | None:
